@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import mixing, packing, simhash
+from attestra.llm import langid, licenses, mixing, packing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.query,
         "op2_best_fit_packing": packing.query,
+        "op3_language_id": langid.query,
+        "op6_toxicity": toxicity.query,
         "op9_source_mix": mixing.query,
         "op10_simhash": simhash.query,
     }
