@@ -102,7 +102,12 @@ def notices(flat: bytes) -> list[tuple[int, int, int, int]]:
         for a, z in merged:
             for m in patterns[i].finditer(flat, a, min(z, len(flat))):
                 out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+    # of notices that overlap, the one with the smallest share of edits
+    kept: list[tuple[int, int, int, int]] = []
+    for x in sorted(out, key=lambda x: (x[3] / len(names[x[0]]), -len(names[x[0]]), x[1], x[0])):
+        if all(x[2] <= k[1] or k[2] <= x[1] for k in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(text: str | None) -> dict:

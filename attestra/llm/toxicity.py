@@ -117,15 +117,15 @@ class Model:
     def weight(self, word: bytes) -> float:
         return max((self.lexicon.get(e, 0.0) for e in entries(word)), default=0.0)
 
-    def read(self, low: bytes) -> tuple[float, int]:
-        """Total of the clauses' scores, and how many different words matched."""
-        total, seen = 0.0, set()
+    def read(self, low: bytes) -> tuple[float, float]:
+        """Total of the clauses' scores, and of the weights of the different words that matched."""
+        total, seen = 0.0, {}
         data = np.frombuffer(low, dtype=np.uint8)
         letter = _LETTER[data]
         edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
-            return 0.0, 0
+            return 0.0, 0.0
         padded = np.concatenate((np.where(letter, data, 0), np.zeros(4, dtype=np.uint8))).astype(np.uint32)
         size = np.minimum(ends - starts, 4)
         code = padded[starts]
@@ -134,7 +134,7 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
         spots = starts[self.keys[at] == code]
         if not len(spots):
-            return 0.0, 0
+            return 0.0, 0.0
         stops = np.flatnonzero(_ENDS[data])
         done = -1
         for spot in spots.tolist():
@@ -151,11 +151,11 @@ class Model:
                     value = self.weight(w)
                     known = INSULT if value > 0 else OTHER
                     if value > 0:
-                        seen.add(w)
+                        seen[w] = value
                 letters.append(known)
                 weights.append(value)
             total += clause_score(letters, weights)
-        return total, len(seen)
+        return total, sum(seen.values())
 
     def score(self, text: str | None) -> float:
         total, kinds = self.read(_low(text))
@@ -168,10 +168,10 @@ def _low(text: str | None) -> bytes:
 
 
 def lexicon(counts: list[tuple[bytes, float, float]], toxic: int, clean: int) -> dict[bytes, float]:
-    """Weights of insult entries: log odds of documents, scaled to about 1.
+    """Weights of insult entries: log odds of documents, scaled to about 1, less for little evidence.
 
     counts: entry, toxic and clean documents with it.  An entry is learned when it is in
-    three toxic documents at least, far too often there for chance, and over 12 times as
+    three toxic documents at least, oftener than by chance, and over 12 times as
     likely there.  Insults known beforehand stay unless the rows speak against them.
     """
     base = (toxic + 1) / (toxic + clean + 2)
@@ -181,8 +181,8 @@ def lexicon(counts: list[tuple[bytes, float, float]], toxic: int, clean: int) ->
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
         lift = t / max(1e-9, (t + c) * base)
         surprise = 2 * t * np.log(lift) if lift > 1 else 0.0
-        if t >= 3 and odds > np.log(12) and surprise >= 14:
-            out[e] = float(min(odds, 6.0) / 4)
+        if t >= 3 and odds > np.log(12) and surprise >= 15:
+            out[e] = float(min(odds, 6.0) / 4 * min(1.0, surprise / 40))
     for w in INSULTS:
         t, c = seen.get(w.encode() + b"$", (0, 0))
         if t + c < 3 or t > 3 * base * (t + c):
