@@ -30,7 +30,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         got = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _powers[base] = got
     return got
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import langid, licenses, mixing, packing, simhash, toxicity
+from attestra.llm import langid, licenses, mixing, packing, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": licenses.query,
         "op2_best_fit_packing": packing.query,
         "op3_language_id": langid.query,
+        "op4_substring_dedup": substrings.query,
         "op6_toxicity": toxicity.query,
         "op9_source_mix": mixing.query,
         "op10_simhash": simhash.query,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_substring_dedup": substrings.SQL,
+    }

@@ -176,8 +176,15 @@ def lexicon(counts: list[tuple[bytes, float, float]], toxic: int, clean: int) ->
     """
     base = (toxic + 1) / (toxic + clean + 2)
     seen = {e: (t, c) for e, t, c in counts}
+    alone: dict[bytes, float] = {}  # of each beginning, the toxic documents with its commonest word
+    for e, (t, _) in seen.items():
+        if e.endswith(b"$"):
+            for n in range(SHORT, min(LONG, len(e) - 1) + 1):
+                alone[e[:n]] = max(alone.get(e[:n], 0), t)
     out = {}
     for e, (t, c) in seen.items():
+        if not e.endswith(b"$") and alone.get(e, 0) >= 0.8 * t:
+            continue  # one word, not a family
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
         lift = t / max(1e-9, (t + c) * base)
         surprise = 2 * t * np.log(lift) if lift > 1 else 0.0
