@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import langid, licenses, mixing, packing, simhash, substrings, toxicity
+from attestra.llm import langid, licenses, mixing, packing, simhash, substrings, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": langid.query,
         "op4_substring_dedup": substrings.query,
         "op6_toxicity": toxicity.query,
+        "op8_suffix_dedup": suffixes.query,
         "op9_source_mix": mixing.query,
         "op10_simhash": simhash.query,
     }

@@ -58,22 +58,28 @@ def super_kmers(buffer: bytes, at: np.ndarray, window: int, piece: int):
     return doc[begin], begin - first[doc[begin]], end - begin, starts[begin], ends[end + window - 2], least[begin], first
 
 
-def _pack(ids: list[int], starts: list[list[int]], counts: list[int], strings: list[bytes]) -> bytes:
-    n = np.array([len(ids)], dtype=np.int64)
-    many = np.array([len(s) for s in starts], dtype=np.int32)
-    flat = np.array([x for s in starts for x in s], dtype=np.int32)
-    parts = [n.tobytes(), np.array(ids, dtype=np.int64).tobytes(), many.tobytes(), np.array(counts, dtype=np.int32).tobytes(), flat.tobytes(), b"\n".join(strings) + b"\n"]
+def pack_parts(parts: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(struct.pack("<q", len(p)) + p for p in parts))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def unpack_parts(blob: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     parts, at = [], 0
     while at < len(raw):
         (n,) = struct.unpack_from("<q", raw, at)
         parts.append(raw[at + 8 : at + 8 + n])
         at += 8 + n
-    return np.frombuffer(parts[1], dtype=np.int64), np.frombuffer(parts[2], dtype=np.int32), np.frombuffer(parts[3], dtype=np.int32), np.frombuffer(parts[4], dtype=np.int32), parts[5]
+    return parts
+
+
+def _pack(ids: list[int], starts: list[list[int]], counts: list[int], strings: list[bytes]) -> bytes:
+    numbers = [np.array(ids, np.int64), np.array([len(s) for s in starts], np.int32), np.array(counts, np.int32), np.array([x for s in starts for x in s], np.int64)]
+    return pack_parts([*(n.tobytes() for n in numbers), b"\n".join(strings) + b"\n"])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    p = unpack_parts(blob)
+    return np.frombuffer(p[0], np.int64), np.frombuffer(p[1], np.int32), np.frombuffer(p[2], np.int32), np.frombuffer(p[3], np.int64), p[4]
 
 
 class Gathered:
