@@ -35,6 +35,15 @@ def shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The shared folder itself, for tables that are written and read again."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    shared_folder(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once, into the shared checkpoint folder: later reads survive lost executors."""
     shared_folder(df.sparkSession)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import langid, licenses, mixing, packing, simhash, substrings, suffixes, toxicity
+from attestra.llm import langid, licenses, mixing, neardup, packing, simhash, substrings, suffixes, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": packing.query,
         "op3_language_id": langid.query,
         "op4_substring_dedup": substrings.query,
+        "op5_embedding_neardup": neardup.query,
         "op6_toxicity": toxicity.query,
+        "op7_topk_products": topk.query,
         "op8_suffix_dedup": suffixes.query,
         "op9_source_mix": mixing.query,
         "op10_simhash": simhash.query,
@@ -25,4 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": substrings.SQL,
+        "op5_embedding_neardup": neardup.SQL,
+        "op7_topk_products": topk.SQL,
     }
