@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bound_batches, table
+from attestra.llm import bytehash as bh
+from attestra.llm.common import bound_batches, materialise, table
 
 #: Word classes that are known beforehand; insults of other languages are learned.
 INSULTS = "idiot moron stupid imbecile dumb loser trash garbage scum vermin clown worthless pathetic disgusting filthy retard bastard bitch asshole jerk parasite".split()
@@ -107,6 +108,7 @@ class Model:
     slope: tuple[float, float] = (2.0, 1.0)
     classes: dict[bytes, str] = field(default_factory=dict)
     keys: np.ndarray | None = None
+    memo: dict[bytes, tuple[str, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for letter, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
@@ -117,42 +119,52 @@ class Model:
     def weight(self, word: bytes) -> float:
         return max((self.lexicon.get(e, 0.0) for e in entries(word)), default=0.0)
 
+    def known(self, word: bytes) -> tuple[str, float]:
+        """Class and weight of a word, remembered for a while."""
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            letter, value = self.classes.get(word), 1.0
+            if letter is None:
+                value = self.weight(word)
+                letter = INSULT if value > 0 else OTHER
+            got = self.memo[word] = (letter, value)
+        return got
+
     def read(self, low: bytes) -> tuple[float, float]:
         """Total of the clauses' scores, and of the weights of the different words that matched."""
         total, seen = 0.0, {}
         data = np.frombuffer(low, dtype=np.uint8)
-        letter = _LETTER[data]
-        edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+        text = _LETTER[data]
+        edge = np.flatnonzero(np.diff(text, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
             return 0.0, 0.0
-        padded = np.concatenate((np.where(letter, data, 0), np.zeros(4, dtype=np.uint8))).astype(np.uint32)
+        padded = np.concatenate((np.where(text, data, 0), np.zeros(4, dtype=np.uint8))).astype(np.uint32)
         size = np.minimum(ends - starts, 4)
         code = padded[starts]
         for j in (1, 2, 3):
             code |= np.where(size > j, padded[starts + j] << np.uint32(8 * j), np.uint32(0))
         at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-        spots = starts[self.keys[at] == code]
-        if not len(spots):
+        near = np.flatnonzero(self.keys[at] == code)
+        spots = [a for a, z in zip(starts[near].tolist(), ends[near].tolist(), strict=True) if self.known(low[a:z])[0] in (INSULT, THREAT)]
+        if not spots:
             return 0.0, 0.0
         stops = np.flatnonzero(_ENDS[data])
         done = -1
-        for spot in spots.tolist():
+        for spot in spots:
             if spot < done:
                 continue
             k = int(np.searchsorted(stops, spot))
             begin = int(stops[k - 1]) + 1 if k else 0
             done = int(stops[k]) if k < len(stops) else len(low)
-            words = WORDS.findall(low, begin, done)
             letters, weights = [], []
-            for w in words:
-                known, value = self.classes.get(w), 1.0
-                if known is None:
-                    value = self.weight(w)
-                    known = INSULT if value > 0 else OTHER
-                    if value > 0:
-                        seen[w] = value
-                letters.append(known)
+            for w in WORDS.findall(low, begin, done):
+                letter, value = self.known(w)
+                if letter == INSULT:
+                    seen[w] = value
+                letters.append(letter)
                 weights.append(value)
             total += clause_score(letters, weights)
         return total, sum(seen.values())
@@ -210,6 +222,35 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float]]
     return float(w[0]), (float(w[1]), float(w[2]))
 
 
+def signature(text: str | None, bands: int = 4) -> list[int]:
+    """Minima of the hashes of the text's 8-word shingles, under several orders."""
+    data = np.frombuffer(_low(text), dtype=np.uint8)
+    words = bh.ranges(bh.prefix(bh.coded(data)), *bh.words(data))
+    shingles = bh.fixed(bh.prefix(words), min(8, max(1, len(words))))
+    if not len(shingles):
+        return [0] * bands
+    return [int(bh.mix(shingles ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min().view(np.int64)) for k in range(bands)]
+
+
+def _one_of_copies(texts: DataFrame) -> DataFrame:
+    """The sample without near copies of its documents: words that copies share are no evidence.
+    Signatures of the bounded sample are compared on the driver."""
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "signature"])
+
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for row in sorted(texts.select("id", "text").mapInArrow(sign, "id long, signature array<long>").collect()):
+        bands = set(enumerate(row["signature"]))
+        if not bands & seen:
+            keep.append((row["id"],))
+        seen |= bands
+    kept = texts.sparkSession.createDataFrame(keep, "id long")
+    return texts.join(F.broadcast(kept), "id", "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = 12_000) -> Model:
     """Learn insult entries and the score's curve from at most ``rows`` labelled documents, as many of
     either label where there are enough, the first by hash of their id.
@@ -223,7 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = 12_000) -> Mode
     order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
     known = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows // 2).select("_id", "_y")
     # at most `rows` pairs of numbers: small enough for every executor
-    texts = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id")).select(F.col("_y").alias("y"), (F.crc32(F.col("_id").cast("string").cast("binary")) % 2).cast("int").alias("half"), F.col("text").cast("string").alias("text"))
+    texts = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id")).select(F.col("_id").alias("id"), F.col("_y").alias("y"), (F.crc32(F.col("_id").cast("string").cast("binary")) % 2).cast("int").alias("half"), F.col("text").cast("string").alias("text"))
+    texts = _one_of_copies(materialise(texts)).select("y", "half", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
