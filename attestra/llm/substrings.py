@@ -17,11 +17,11 @@ from attestra.llm import bytehash as bh
 from attestra.llm.common import NO_ID, bound_batches, partitions, table
 
 #: Words of a window, and of the pieces of it whose smallest hash is its minimiser.
-WINDOW, PIECE = 13, 5
+WINDOW, PIECE = 13, 3
 #: Bytes of text that are hashed at once, and that a task gathers before it sends super-k-mers on.
 CHUNK, FLUSH = 1 << 20, 8 << 20
 #: Buckets for each shuffle partition: one bucket is sorted at a time.
-FINER = 12
+FINER = 16
 
 
 def buffer_of(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
@@ -73,13 +73,13 @@ def unpack_parts(blob: bytes) -> list[bytes]:
 
 
 def _pack(ids: list[int], starts: list[list[int]], counts: list[int], strings: list[bytes]) -> bytes:
-    numbers = [np.array(ids, np.int64), np.array([len(s) for s in starts], np.int32), np.array(counts, np.int32), np.array([x for s in starts for x in s], np.int64)]
+    numbers = [np.diff(np.array(ids, np.int64), prepend=np.int64(0)), np.array([len(s) for s in starts], np.int32), np.array(counts, np.int32), np.array([x for s in starts for x in s], np.int64)]
     return pack_parts([*(n.tobytes() for n in numbers), b"\n".join(strings) + b"\n"])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     p = unpack_parts(blob)
-    return np.frombuffer(p[0], np.int64), np.frombuffer(p[1], np.int32), np.frombuffer(p[2], np.int32), np.frombuffer(p[3], np.int64), p[4]
+    return np.cumsum(np.frombuffer(p[0], np.int64)), np.frombuffer(p[1], np.int32), np.frombuffer(p[2], np.int32), np.frombuffer(p[3], np.int64), p[4]
 
 
 class Gathered:
