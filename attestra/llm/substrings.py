@@ -82,6 +82,28 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(np.frombuffer(p[0], np.int64)), np.frombuffer(p[1], np.int32), np.frombuffer(p[2], np.int32), np.frombuffer(p[3], np.int64), p[4]
 
 
+def merged(spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Rows of ids, first places and lengths of the union of (id, first place, length)."""
+    a = np.array(spans, dtype=np.int64).reshape(-1, 3)
+    a = a[np.lexsort((a[:, 1], a[:, 0]))]
+    ids, group = np.unique(a[:, 0], return_inverse=True)
+    shift = group * (int((a[:, 1] + a[:, 2]).max(initial=0)) + 2)
+    start, end = a[:, 1] + shift, np.maximum.accumulate(a[:, 1] + a[:, 2] + shift)
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = start[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(a)) - 1
+    return np.stack((a[first, 0], a[first, 1], (end[last] - start[first]) if len(a) else first))
+
+
+def known_rows(known: list[tuple[int, int, int]], buckets: int) -> list[tuple[int, int, bytes]]:
+    """Packed rows of kind 1, spread over the buckets."""
+    if not known:
+        return []
+    k = merged(known)
+    return [((int(k[1, j]) + j) % buckets, 1, zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(k[:, j : j + 50_000]).tobytes())) for j in range(0, k.shape[1], 50_000)]
+
+
 class Gathered:
     """Super-k-mers of a task until they are sent.
 
@@ -139,10 +161,7 @@ class Gathered:
             for one, x in zip(lists, (i, s, c, b" ".join(string.split())), strict=True):
                 one.append(x)
         rows = [(m, 0, _pack(*lists)) for m, lists in by.items()]
-        if self.known:
-            k = np.array(self.known, dtype=np.int64)
-            for j in range(0, len(k), 50_000):
-                rows.append(((int(k[j, 0]) + j) % self.buckets, 1, zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(k[j : j + 50_000].T).tobytes())))
+        rows += known_rows([(i, x, c + self.window - 1) for i, x, c in self.known], self.buckets)
         self.clear()
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "packed"])
 
@@ -272,7 +291,7 @@ def _answer(window: int):
             for m, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind:
                     k = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64).reshape(3, -1)
-                    yield batch(k[0], (k[1] << 28) | (k[2] + window - 1))
+                    yield batch(k[0], (k[1] << 28) | k[2])
                     continue
                 if m != bucket and held:
                     yield batch(*solve(held))

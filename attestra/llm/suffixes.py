@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import bytehash as bh
 from attestra.llm.common import NO_ID, bound_batches, partitions, table
-from attestra.llm.substrings import FINER, FLUSH, unpack_parts, buffer_of, hot_keys, in_chunks, pack_parts, with_spans
+from attestra.llm.substrings import FINER, FLUSH, buffer_of, hot_keys, in_chunks, known_rows, merged, pack_parts, unpack_parts, with_spans
 
 #: Bytes of a repeated string, and of the anchor (the piece with the smallest hash in it).
 WIDTH, ANCHOR = 400, 32
@@ -229,10 +229,7 @@ class _Gathered:
             ids, twice, starts, counts, offsets, strings = zip(*found, strict=True)
             parts = [np.array(ids, np.int64), np.array(twice, np.bool_), np.array(starts, np.int64), np.array(counts, np.int64), np.array(offsets, np.int64)]
             rows.append((m, 0, pack_parts([*(p.tobytes() for p in parts), b"".join(strings)])))
-        if self.known:
-            k = np.array(self.known, dtype=np.int64)
-            for j in range(0, len(k), 50_000):
-                rows.append(((int(k[j, 1]) + j) % self.buckets, 1, zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(k[j : j + 50_000].T).tobytes())))
+        rows += known_rows(self.known, self.buckets)
         self.clear()
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "packed"])
 
@@ -290,8 +287,8 @@ def _answer(width: int, anchor: int):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "span"])
 
     def solve(blobs: list[bytes]) -> pa.RecordBatch:
-        found = list(bucket_spans(blobs, width, anchor))
-        return batch([f[0] for f in found], [f[1] << 28 | f[2] for f in found])
+        k = merged(list(bucket_spans(blobs, width, anchor)))
+        return batch(k[0], (k[1] << 28) | k[2])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
