@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,13 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """docs with its columns renamed by place, so that no name of its own clashes with ours; and the
+    new name of a column."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), lambda name: f"c{names.index(name)}"
+
+
 def bound_batches(spark: SparkSession, rows: int = 4096, megabytes: int = 8) -> None:
     """Arrow batches to Python hold few rows and few bytes, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

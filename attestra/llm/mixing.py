@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import WORD, materialise, table
+from attestra.llm.common import WORD, by_place, materialise, table
 
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which slots meet sources; hash ranges that split a source's running sums.
@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     # a few slots more than needed, as the sequence may be some short of a source's share
     plan = plan.withColumn("share", F.when(F.col("need") > 0, F.col("need") * 1.01 + 6).otherwise(F.lit(0.0)))
     upto = F.sum("share").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    plan = plan.withColumn("hi", upto).withColumn("all", F.sum("share").over(Window.partitionBy()))
+    plan = plan.withColumn("hi", upto).withColumn("all", F.greatest(F.lit(1.0), F.sum("share").over(Window.partitionBy())))
     plan = materialise(plan.withColumn("lo", (F.col("hi") - F.col("share")) / F.col("all")).withColumn("hi", F.col("hi") / F.col("all")))
     slots = int(plan.agg(F.ceil(F.max("all"))).first()[0] or 0)
 
@@ -119,9 +119,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as the mix takes its words (rounded)."""
     share = mix_sources(docs, **options).groupBy("doc_id", "h").agg(F.sum("taken").alias("t"), F.sum("size").alias("z")).where("z > 0")
     share = share.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.round(F.col("t") / F.col("z")).cast("int").alias("_copies")).where("_copies > 0")
-    tagged = docs.withColumn("_of", F.xxhash64("doc_id", "text"))
-    joined = tagged.join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_h")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed, name = by_place(docs)
+    i, text = F.col(name("doc_id")), F.col(name("text"))
+    joined = placed.join(share, i.eqNullSafe(F.col("_id")) & (F.xxhash64(i, text) == F.col("_h")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*placed.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

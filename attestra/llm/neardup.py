@@ -13,7 +13,7 @@ from attestra.llm.common import bound_batches, components, materialise, partitio
 from attestra.llm.vectors import rectangle, usable
 
 #: Vectors of one component whose links are counted against each other at once.
-BLOCK = 1024
+BLOCK = 256
 
 
 def planes(passes: int, dim: int, bits: int = 63, seed: int = 5) -> np.ndarray:

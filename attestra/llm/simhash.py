@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bound_batches, components, materialise, runs_of_key, table
+from attestra.llm.common import bound_batches, by_place, components, materialise, runs_of_key, table
 
 #: A pair within 3 bits differs in 3 of 8 bytes at most, so it agrees in 5, and in 3 of one half.
 BITS, AGREE = 3, 5
@@ -129,9 +129,9 @@ def simhash(docs: DataFrame, width: int = 3) -> DataFrame:
 def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
     """The documents without those whose component has an earlier one.  Documents
     without an id stay."""
-    gone = simhash(docs, width).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    once = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return once
+    gone = simhash(docs, width).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    placed, name = by_place(docs)
+    return placed.join(gone, F.col(name("doc_id")) == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import bytehash as bh
-from attestra.llm.common import NO_ID, bound_batches, partitions, table
+from attestra.llm.common import NO_ID, bound_batches, by_place, partitions, table
 
 #: Words of a window, and of the pieces of it whose smallest hash is its minimiser.
 WINDOW, PIECE = 13, 3
@@ -329,10 +329,10 @@ def removed_words(n: int, spans: list[int] | None) -> np.ndarray:
     return np.cumsum(gone[:n]) > 0
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
-    """docs with their spans (null: none).  A document's spans are bounded by its own length."""
+def with_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with their spans as ``_spans`` (null: none).  A document's spans are bounded by its own length."""
     per = spans.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("span").alias("_spans"))
-    return docs.join(per, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_of"), "left").drop("_of")
+    return docs.join(per, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == F.col("_of"), "left").drop("_of")
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -378,19 +378,20 @@ def cut_text(text: str, spans: list[int]) -> str:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all their columns: repeated passages are cut from ``text``, and ``n_chars``,
     where there is one, follows.  Every row stays."""
-    joined = with_spans(docs, repeated_spans(docs, window))
-    names = docs.columns
+    placed, name = by_place(docs)
+    joined = with_spans(placed, repeated_spans(docs, window), name("doc_id"))
+    body, size = name("text"), name("n_chars") if "n_chars" in docs.columns else None
+    columns = placed.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if t is None or not s else cut_text(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-            cols = {n: b.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in cols:
-                new = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.schema.field("n_chars").type)
-                cols["n_chars"] = new
-            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
-
-    return joined.mapInArrow(run, docs.schema)
+            texts = [t if t is None or not s else cut_text(t, s) for t, s in zip(b.column(body).to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+            cols = {n: b.column(n) for n in columns} | {body: pa.array(texts, pa.string())}
+            if size:
+                cols[size] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), columns)
+
+    return joined.mapInArrow(run, placed.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

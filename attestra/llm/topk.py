@@ -88,7 +88,7 @@ def search_block(q: np.ndarray, qids: np.ndarray, bound: np.ndarray, p: np.ndarr
         good = np.flatnonzero((ids != qids[i]) & (score >= bound[i]))
         best = good[np.lexsort((ids[good], -score[good]))[:k]]
         for j in best.tolist():
-            yield int(qids[i]), int(ids[j]), int(score[j])
+            yield int(qids[i]), int(ids[j]), max(-(2**63), min(2**63 - 1, int(score[j])))
 
 
 def _packed(rows: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -112,7 +112,8 @@ def top_products(vectors: DataFrame, every: int = 100, k: int = 10, scale: int =
 
     Queries: rows whose vec_id is divisible by ``every``.  Null vectors and those with null or non-finite
     components take no part; neither do null ids.  Rows that repeat both id and vector count once.
-    Vectors of different size are compared as if the shorter ended in zeros.  No rows: no rows.
+    Vectors of different size are compared as if the shorter ended in zeros.  Products beyond a long
+    rank exactly within a block and are reported as the long's limit.  No rows: no rows.
     """
     spark = vectors.sparkSession
     whole = materialise(integers(vectors, scale))

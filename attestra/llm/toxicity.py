@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.llm import bytehash as bh
-from attestra.llm.common import bound_batches, materialise, table
+from attestra.llm.common import bound_batches, by_place, materialise, table
 
 #: Word classes that are known beforehand; insults of other languages are learned.
 INSULTS = "idiot moron stupid imbecile dumb loser trash garbage scum vermin clown worthless pathetic disgusting filthy retard bastard bitch asshole jerk parasite".split()
@@ -338,10 +338,12 @@ def clean_documents(docs: DataFrame, labels: DataFrame, at: float = 0.7) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([sent.value.score(t) < at for t in b.column("text").to_pylist()], pa.bool_())
+            keep = pa.array([sent.value.score(t) < at for t in b.column(body).to_pylist()], pa.bool_())
             yield b.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    placed, name = by_place(docs)
+    body = name("text")
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
