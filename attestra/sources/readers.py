@@ -29,7 +29,7 @@ def stem(path: Column) -> Column:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """ref_id (the file's stem), markdown: one row per file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return files.select(F.url_decode(F.replace(stem(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B"))).alias("ref_id"), F.col("value").alias("markdown"))
 
 
@@ -65,5 +65,5 @@ def uncached(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no, line of one text file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
