@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of bytes that are not ASCII white space.
@@ -86,6 +86,19 @@ def runs_of_key(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
+def first_by_hash(rows: DataFrame, by: str, each: int) -> DataFrame:
+    """At most ``each`` rows of every value of ``by``: the first by hash of their ``id``.
+
+    Values are counted first, and only about four times the wanted rows of a value are ranked, so a
+    value that most rows have is no one task's work.
+    """
+    order, span = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), float(1 << 40)
+    counts = rows.groupBy(by).agg(F.count("*").alias("_all"))
+    near = rows.withColumn("_order", order).join(counts, by).where(F.col("_order") < F.lit(span * (4 * each + 40)) / F.col("_all"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_order", "id"))
+    return near.withColumn("_place", place).where(F.col("_place") <= each).drop("_place", "_order", "_all")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an edge table (a long, b long): (node, component), the
     component being the smallest node in it.  Nodes without an edge do not appear.

@@ -9,10 +9,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bound_batches, table
+from attestra.llm.common import bound_batches, first_by_hash, table
 
 #: Slots of hashed byte n-grams; the first 256 are single bytes.
 DIM = 4096
@@ -104,14 +104,12 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 150) -> Mod
 def sample(docs: DataFrame, learn, rows: int) -> tuple[DataFrame, list[str]]:
     """lang, text of at most ``rows`` learnable documents, as many of each language as there are,
     the first by hash of their id; and all languages there are to learn."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("lang"))
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     langs = sorted(r[0] for r in known.select("lang").distinct().collect())
-    each = max(10, rows // max(1, len(langs)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("_id").distinct()
+    ids = first_by_hash(known.select("id", "lang"), "lang", max(10, rows // max(1, len(langs)))).select("id").distinct()
     # at most `rows` ids (or ten for each language): small enough for every executor
-    texts = docs.where(learn).join(F.broadcast(ids), docs["doc_id"] == ids["_id"], "left_semi")
-    return texts.where("lang is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), langs
+    return known.join(F.broadcast(ids), "id", "left_semi"), langs
 
 
 def train(docs: DataFrame, learn, rows: int = 1600) -> Model:

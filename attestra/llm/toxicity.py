@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import bytehash as bh
-from attestra.llm.common import bound_batches, by_place, materialise, table
+from attestra.llm.common import bound_batches, by_place, first_by_hash, materialise, table
 
 #: Word classes that are known beforehand; insults of other languages are learned.
 INSULTS = "idiot moron stupid imbecile dumb loser trash garbage scum vermin clown worthless pathetic disgusting filthy retard bastard bitch asshole jerk parasite".split()
@@ -260,11 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = 12_000) -> Mode
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    known = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows // 2).select("_id", "_y")
+    known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     # at most `rows` pairs of numbers: small enough for every executor
-    texts = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id")).select(F.col("_id").alias("id"), F.col("_y").alias("y"), (F.crc32(F.col("_id").cast("string").cast("binary")) % 2).cast("int").alias("half"), F.col("text").cast("string").alias("text"))
+    known = F.broadcast(first_by_hash(known, "y", rows // 2))
+    half = (F.crc32(F.col("id").cast("string").cast("binary")) % 2).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id").select("id", "y", half.alias("half"), "text")
     texts = _one_of_copies(materialise(texts)).select("y", "half", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
