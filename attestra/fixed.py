@@ -5,16 +5,21 @@ from __future__ import annotations
 #: Fixed: tokens are runs of letters and digits, with one decimal part and a per cent sign.
 TOKEN = r"[a-zA-Z0-9]+(?:\.[0-9]+)?%?"
 
-#: Fixed: words that neither index nor keywords hold.
-COMMON_STOPWORDS = """
+#: Fixed: stopwords of the index.
+INDEX_STOPWORDS = """
 a an the is are was were be been being have has had do does did will would could should may might shall can need dare
 ought to of in for on with at by from as into through during before after above below between out off over under again
 further then once here there when where why how all each every both few more most other some such no nor not only own
-same so than too very just because but and or if while that this what which who whom these those it its
+same so than too very just because but and or if while that this what which who whom these those it its i me my we our
+you your he she him her they them their up about
+""".split()
+#: Fixed: stopwords of keywords.
+KEYWORD_STOPWORDS = """
+a an the is are was were be been being have has had do does did will would could should may might shall can need dare
+ought used to of in for on with at by from as into through during before after above below between out off over under
+again further then once here there when where why how all each every both few more most other some such no nor not only
+own same so than too very just because but and or if while that this what which who whom these those it its
 """.split()
-#: Fixed: stopwords of the index only, and of keywords only.
-INDEX_STOPWORDS = COMMON_STOPWORDS + "i me my we our you your he she him her they them their up about".split()
-KEYWORD_STOPWORDS = [*COMMON_STOPWORDS, "used"]
 
 #: Fixed: irregular stems, then suffixes with what replaces them; the first that fits wins.
 IRREGULAR_STEMS = {
@@ -31,7 +36,10 @@ SUFFIXES = [
 
 #: Fixed: words that the all-keyword search, the any-keyword search and both leave out or put last.
 REWRITER_NOISE = "evidence supports support supporting claim avoiding recommendation approach method according regarding concerning suggests".split()
-ALL_KEYWORD_NOISE = [*REWRITER_NOISE, "patients", "treated", "treatment", "study", "clinical"]
+ALL_KEYWORD_NOISE = """
+evidence supports support supporting claim avoiding recommendation approach method according regarding concerning suggests
+patients treated treatment study clinical
+""".split()
 COMMON_CLINICAL = """
 patients treated treatment study clinical adverse reactions occurred placebo compared versus results data safety efficacy
 dose mg administration recommended use risk events reported trials subjects
@@ -42,7 +50,10 @@ PRODUCT_STOPWORDS = """
 do not the and for use with into that this from have been should store patients always prior after before injection
 prefilled syringe temperature room days make sure check discard
 """.split()
-BRAND_STOPWORDS = [*PRODUCT_STOPWORDS, "adhere", "stage"]
+BRAND_STOPWORDS = """
+do not the and for use with into that this from have been should store patients always prior after before injection
+prefilled syringe temperature room days make sure check discard adhere stage
+""".split()
 
 #: Fixed: claim types whose first authority is a trial, not the label.
 TRIAL_PRIMARY = """
@@ -59,8 +70,20 @@ MODIFIERS = "CT-204 CT-A01 CT-A02 CT-A03 CT-A04 CT-A05 CT-A06 CT-A07 CT-A08".spl
 PENDING = "CT-D01 CT-D02 CT-D03 CT-D04 CT-D05 CT-D06".split()
 PAYER_ONLY = "CT-405 CT-901 CT-902 CT-903 CT-904 CT-905 CT-906 CT-907 CT-908 CT-909 CT-B02 CT-B03".split()
 HCP_ONLY = "CT-B01 CT-B04".split()
-#: Fixed: claim groups by the beginning of a claim type, and how many types each has.
-GROUPS = {"CT-1": ("A1", 10), "CT-2": ("A2", 9), "CT-3": ("A3", 11), "CT-4": ("A4", 9), "CT-5": ("A5", 7), "CT-6": ("A6", 8), "CT-7": ("A7", 6), "CT-8": ("A8", 7), "CT-9": ("A9", 9), "CT-B": ("A10", 4), "CT-A": ("A10", 8), "CT-D": ("A11", 6)}
+#: Fixed: claim types of each group.
+GROUPS = {
+    "A1": "CT-101 CT-102 CT-103 CT-104 CT-105 CT-106 CT-107 CT-108 CT-109 CT-110".split(),
+    "A2": "CT-201 CT-202 CT-203 CT-204 CT-205 CT-206 CT-207 CT-208 CT-209".split(),
+    "A3": "CT-301 CT-302 CT-303 CT-304 CT-305 CT-306 CT-307 CT-308 CT-309 CT-310 CT-311".split(),
+    "A4": "CT-401 CT-402 CT-403 CT-404 CT-405 CT-406 CT-407 CT-408 CT-409".split(),
+    "A5": "CT-501 CT-502 CT-503 CT-504 CT-505 CT-506 CT-507".split(),
+    "A6": "CT-601 CT-602 CT-603 CT-604 CT-605 CT-606 CT-607 CT-608".split(),
+    "A7": "CT-701 CT-702 CT-703 CT-704 CT-705 CT-706".split(),
+    "A8": "CT-801 CT-802 CT-803 CT-804 CT-805 CT-806 CT-807".split(),
+    "A9": "CT-901 CT-902 CT-903 CT-904 CT-905 CT-906 CT-907 CT-908 CT-909".split(),
+    "A10": "CT-B01 CT-B02 CT-B03 CT-B04 CT-A01 CT-A02 CT-A03 CT-A04 CT-A05 CT-A06 CT-A07 CT-A08".split(),
+    "A11": "CT-D01 CT-D02 CT-D03 CT-D04 CT-D05 CT-D06".split(),
+}
 
 #: Fixed: efficacy types of the gate's statistics and fair-balance rules.
 GATE_EFFICACY = ["CT-201", "CT-202", "CT-203", "CT-501", "CT-502"]
@@ -97,3 +120,45 @@ CONTEXT = 40
 CHARS_PER_TOKEN, TARGET_TOKENS, MAX_TOKENS, PREFIX = 4, 400, 500, 80
 #: Fixed: abbreviations after which no sentence ends.
 ABBREVIATIONS = "Dr Mr Mrs Ms Fig Figs vs al et eg ie cf approx incl excl no vol Suppl Ref Prof Jr Sr St dept".split()
+
+#: Fixed: patterns of cleaning: page furniture, images, anchors, tags, emphasis, headings.
+PAGE_FURNITURE = r"(?s)<page_(header|footer)>.*?</page_\1>"
+IMAGE_END = r"\]\([^)]+\.(?:jpg|png|jpeg|gif|svg|webp)[^)]*\)"
+BLANK_LINES = r"\n{3,}"
+ANCHOR = r"(?i)<a id=['\"][^'\"]*['\"]></a>"
+TAG = r"<[^>]+>"
+FORMAT_TAG = r"</?(?:sup|sub|u|b|i|em|strong|br|p|div|span|a|img|mark)[^>]*>"
+EMPHASIS = [r"\*{1,2}([^*]+)\*{1,2}", r"_{1,2}([^_]+)_{1,2}"]
+EMPHASIS_PAIRS = [r"\*\*(.+?)\*\*", r"\*(.+?)\*", r"__(.+?)__"]
+HEADING_MARK = r"(?m)^#{1,6}\s*"
+#: Fixed: patterns of metadata, product names, replies and claim lists.
+DOI_TOLD, DOI_BARE, DOI_END = r"(?i)(?:doi\.org/|doi:?\s*)(10\.\d{4,9}/[^\s,]+)", r"(10\.\d{4,9}/[^\s,]+)", r"[.,;)]+$"
+YEAR, TRIAL_ID, TITLE, TITLE_MARKS = r"\b(19[89]\d|20[012]\d)\b", r"NCT\d{7,8}", r"(?m)^#\s+(.+)$", r"[*_`]"
+CAPITALISED = r"\b[A-Z][A-Za-z]{1,}\b"
+JSON_OBJECT = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+PARENT_ROW = r"(?:Duplicate|Variation) of row (\d+)"
+KEY_PASSAGE = r"[Pp]assage\s+(\d+)"
+QUEUE_TYPE = r"^CT-[A-Z0-9]+$"
+#: Fixed: patterns of sentences and of Markdown blocks.
+SENTENCE_END, PLAIN_SENTENCE_END = r"(?<=[.?!])\s+(?=[A-Z])", r"(?<=[.!?])\s+"
+HEADING, FIGURE, TABLE_CAPTION = r"(#{1,4})\s+(.+)", r"Figure\s+\d+", r"Table\s+\d+"
+PIPE_ROW, PIPE_RULE = r"\s*\|.+\|\s*", r"\s*\|[-:| ]+\|\s*"
+NUMBERED_ENTRY, AUTHOR_ENTRY = r"\d+\.\s", r"[A-Z][a-z]+\s+[A-Z]{1,3}"
+ENTRY_BREAKS = [r"(?=\b\d{1,3}\.\s+[A-Z])", r"(?<=\d{4}[.;])\s+(?=[A-Z][a-z]+\s+[A-Z])"]
+TABLE_HEAD, TABLE_FIRST_ROW = r"<table[^>]*>.*?<thead>.*?</thead>", r"<table[^>]*>.*?<tr>.*?</tr>"
+TABLE_TITLE, TABLE_BODY, TABLE_ROW = r"<caption>.*?</caption>", r"<tbody>(.*?)</tbody>", r"<tr>.*?</tr>"
+#: Fixed: patterns of citation marks.
+LISTED_MARK, DOTS, AFTER_SECTION = r"[.,]\d{1,3}[.,]", r"\.[\s.]{4,}$", r"\s*[,).]"
+#: Fixed: patterns of mapping files.
+MATRIX_RULE, MATRIX_HEAD = r"^\|[-\s|]+\|$", r"^###\s+(CT-[A-Z0-9]+(?:-[A-Z0-9]+)?)\s*[—\-–]"
+MATRIX_SHEET, ANY_SHEET = "Sheet: Mapping (Long)", "## Sheet:"
+#: Fixed: patterns of quality checks.
+NUMBER, CONTROL, TABLE_TAG = r"\d+\.?\d*", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", r"(?i)</?t[dhrab]"
+
+#: Fixed: texts of the gate's flags and blockers.
+BELOW_PASS, BELOW_SOFT = "% is below pass threshold (", "% is below minimum ("
+SCORE, MISMATCH, SERIOUS = "Coverage score ", "PICOT mismatch on: ", "Critical PICOT dimension failed — downgraded to soft_flag"
+NO_STATISTICS = "Claim implies statistical significance but no p-value/CI found in evidence"
+NO_BALANCE = "Fair balance: no corresponding safety information found for efficacy claim"
+TRANSFORMED = "Numerical transformations detected: "
+SECONDARY = "Evidence relies on a secondary citation — primary source required"

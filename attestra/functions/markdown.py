@@ -19,10 +19,10 @@ from attestra import fixed
 
 CHUNKS = "array<struct<text: string, section: string, segment_type: string, chunk_index: int, char_count: int, approx_tokens: int>>"
 
-HEADING = re.compile(r"(#{1,4})\s+(.+)")
-PIPE_ROW, PIPE_RULE = re.compile(r"\s*\|.+\|\s*"), re.compile(r"\s*\|[-:| ]+\|\s*")
-FIGURE = re.compile(r"Figure\s+\d+")
-TABLE_CAPTION = re.compile(r"Table\s+\d+", re.I)
+HEADING = re.compile(fixed.HEADING)
+PIPE_ROW, PIPE_RULE = re.compile(fixed.PIPE_ROW), re.compile(fixed.PIPE_RULE)
+FIGURE = re.compile(fixed.FIGURE)
+TABLE_CAPTION = re.compile(fixed.TABLE_CAPTION, re.I)
 DEEP = re.S | re.I
 
 
@@ -99,13 +99,13 @@ def is_entry(text: str, heading: str) -> bool:
     under = heading.lower()
     if "reference" not in under and "bibliography" not in under:
         return False
-    marked = re.match(r"\d+\.\s", text) or "doi" in text.lower() or "https://" in text
-    return bool(marked or (re.match(r"[A-Z][a-z]+\s+[A-Z]{1,3}", text) and re.search(r"\b\d{4}\b", text)))
+    marked = re.match(fixed.NUMBERED_ENTRY, text) or "doi" in text.lower() or "https://" in text
+    return bool(marked or (re.match(fixed.AUTHOR_ENTRY, text) and re.search(r"\b\d{4}\b", text)))
 
 
 def entries(text: str) -> list[str]:
     """Entries that stand in one paragraph, by their numbers, else by the year at their end."""
-    for pattern in (r"(?=\b\d{1,3}\.\s+[A-Z])", r"(?<=\d{4}[.;])\s+(?=[A-Z][a-z]+\s+[A-Z])"):
+    for pattern in fixed.ENTRY_BREAKS:
         found = [p.strip() for p in re.split(pattern, text) if p.strip()]
         if len(found) > 1:
             return found
@@ -141,7 +141,7 @@ def parts(text: str) -> list[Part]:
     while lines:
         if m := HEADING.fullmatch(lines.head.strip()):
             lines.take()
-            out.append(Part(re.sub(r"[*_`]", "", m[2].strip()).strip(), len(m[1])))
+            out.append(Part(re.sub(fixed.TITLE_MARKS, "", m[2].strip()).strip(), len(m[1])))
         else:
             out[-1].blocks += next_block(lines, out[-1].heading)
     return [p for p in out if p.blocks]
@@ -165,7 +165,7 @@ def packed(items: list[str], most: int, start: int = 0, carry: bool = False) ->
 
 def sentence_parts(text: str) -> list[str]:
     out: list[str] = []
-    for piece in re.split(r"(?<=[.?!])\s+(?=[A-Z])", text):
+    for piece in re.split(fixed.SENTENCE_END, text):
         tail = out[-1].rstrip(".!? ").split() if out else []
         if tail and tail[-1] in fixed.ABBREVIATIONS:
             out[-1] = f"{out[-1]} {piece}"
@@ -205,13 +205,13 @@ def table_chunks(table: str, sizes: Sizes) -> list[str]:
             return [table]
         head = "\n".join(rows[:2])
         return ["\n".join([head, *g]) for g in packed(rows[2:], sizes.target, len(head))]
-    marked = _found(r"<table[^>]*>.*?<thead>.*?</thead>", table, 0)
-    head = marked or _found(r"<table[^>]*>.*?<tr>.*?</tr>", table, 0) or "<table>"
-    caption = _found(r"<caption>.*?</caption>", table, 0) or ""
-    body = _found(r"<tbody>(.*?)</tbody>", table, 1)
+    marked = _found(fixed.TABLE_HEAD, table, 0)
+    head = marked or _found(fixed.TABLE_FIRST_ROW, table, 0) or "<table>"
+    caption = _found(fixed.TABLE_TITLE, table, 0) or ""
+    body = _found(fixed.TABLE_BODY, table, 1)
     if body is None:
         body = table[len(head) :] if marked else table
-    rows = re.findall(r"<tr>.*?</tr>", body, DEEP)
+    rows = re.findall(fixed.TABLE_ROW, body, DEEP)
     if not rows:
         return [table]
     top = head + (f"\n  {caption}" if caption else "") + "\n  <tbody>\n"

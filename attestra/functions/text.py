@@ -35,45 +35,42 @@ def normalize_unicode(c: Column) -> Column:
 
 
 def strip_page_furniture(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)<page_(header|footer)>.*?</page_\1>", "")
-
-
-IMAGE_END = r"\]\([^)]+\.(?:jpg|png|jpeg|gif|svg|webp)[^)]*\)"
+    return F.regexp_replace(c, fixed.PAGE_FURNITURE, "")
 
 
 def strip_images(c: Column) -> Column:
     """Image references with over 20 characters of description, not of a logo, become figures; others go."""
-    told = F.regexp_replace(c, r"(?i)!\[\s*((?=[^\]]{21,})(?![^\]]*logo\s*\])[^\]\s](?:[^\]]{19,}[^\]\s]))\s*" + IMAGE_END, r"[Figure: $1]")
-    return F.regexp_replace(told, r"(?i)!\[[^\]]*" + IMAGE_END, "")
+    told = F.regexp_replace(c, r"(?i)!\[\s*((?=[^\]]{21,})(?![^\]]*logo\s*\])[^\]\s](?:[^\]]{19,}[^\]\s]))\s*" + fixed.IMAGE_END, r"[Figure: $1]")
+    return F.regexp_replace(told, r"(?i)!\[[^\]]*" + fixed.IMAGE_END, "")
 
 
 def collapse_blank_lines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\n{3,}", "\n\n")
+    return F.regexp_replace(c, fixed.BLANK_LINES, "\n\n")
 
 
 def strip_anchors(c: Column) -> Column:
     """Without empty anchor tags, trimmed."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)<a id=['\"][^'\"]*['\"]></a>", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, fixed.ANCHOR, ""), r"^\s+|\s+$", "")
 
 
 def strip_html(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, fixed.TAG, " "), r"\s+", " "))
 
 
 def clean_evidence(c: Column) -> Column:
     """Without tags and emphasis; blanks collapsed."""
-    c = F.regexp_replace(c, r"<[^>]+>", "")
-    c = F.regexp_replace(c, r"\*{1,2}([^*]+)\*{1,2}", "$1")
-    c = F.regexp_replace(c, r"_{1,2}([^_]+)_{1,2}", "$1")
+    c = F.regexp_replace(c, fixed.TAG, "")
+    for pattern in fixed.EMPHASIS:
+        c = F.regexp_replace(c, pattern, "$1")
     return F.regexp_replace(F.regexp_replace(c, r" {2,}", " "), r"^\s+|\s+$", "")
 
 
 def clean_passage(c: Column) -> Column:
     """Without formatting tags, emphasis and heading marks; blanks collapsed."""
-    c = F.regexp_replace(c, r"</?(?:sup|sub|u|b|i|em|strong|br|p|div|span|a|img|mark)[^>]*>", "")
-    for pattern in (r"\*\*(.+?)\*\*", r"\*(.+?)\*", r"__(.+?)__"):
+    c = F.regexp_replace(c, fixed.FORMAT_TAG, "")
+    for pattern in fixed.EMPHASIS_PAIRS:
         c = F.regexp_replace(c, pattern, "$1")
-    c = F.regexp_replace(c, r"(?m)^#{1,6}\s*", "")
+    c = F.regexp_replace(c, fixed.HEADING_MARK, "")
     return F.regexp_replace(F.regexp_replace(c, r"  +", " "), r"^\s+|\s+$", "")
 
 
@@ -145,7 +142,7 @@ def inflections(t: Column) -> Column:
 
 def capitalised(c: Column, stopwords: list[str]) -> Column:
     """Distinct lower-cased words that begin with a capital and may name a product."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"\b[A-Z][A-Za-z]{1,}\b"), F.lit(0)), F.lower)
+    found = F.transform(F.regexp_extract_all(c, F.lit(fixed.CAPITALISED), F.lit(0)), F.lower)
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(stopwords)))
 
 
@@ -154,12 +151,9 @@ def token_index(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 
 
-_MARK = "\x01"
-
-
 def sentences(c: Column) -> Column:
     """Parts that end with a stop before white space and a capital, joined again after abbreviations."""
-    parts = F.split(c, r"(?<=[.?!])\s+(?=[A-Z])")
+    parts = F.split(c, fixed.SENTENCE_END)
     last_word = lambda s: F.regexp_extract(F.regexp_replace(s, r"[.!? ]+$", ""), r"(\S+)\s*$", 1)
 
     def add(acc: Column, part: Column) -> Column:
@@ -172,7 +166,7 @@ def sentences(c: Column) -> Column:
 
 def plain_sentences(c: Column) -> Column:
     """Parts that end with a stop before white space, trimmed, of five characters and more."""
-    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(c, fixed.PLAIN_SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: F.length(s) >= 5)
 
 
@@ -181,20 +175,20 @@ def _first(c: Column, reach: int, pattern: str, group: int) -> Column:
 
 
 def doi(c: Column) -> Column:
-    told = _first(c, 8000, r"(?i)(?:doi\.org/|doi:?\s*)(10\.\d{4,9}/[^\s,]+)", 1)
-    return F.regexp_replace(F.coalesce(told, _first(c, 8000, r"(10\.\d{4,9}/[^\s,]+)", 1)), r"[.,;)]+$", "")
+    told = _first(c, 8000, fixed.DOI_TOLD, 1)
+    return F.regexp_replace(F.coalesce(told, _first(c, 8000, fixed.DOI_BARE, 1)), fixed.DOI_END, "")
 
 
 def year(c: Column) -> Column:
-    return _first(c, 2000, r"\b(19[89]\d|20[012]\d)\b", 1).cast("int")
+    return _first(c, 2000, fixed.YEAR, 1).cast("int")
 
 
 def trial_id(c: Column) -> Column:
-    return _first(c, 5000, r"NCT\d{7,8}", 0)
+    return _first(c, 5000, fixed.TRIAL_ID, 0)
 
 
 def title(c: Column, fallback: Column) -> Column:
-    found = F.trim(F.regexp_replace(_first(c, 2000, r"(?m)^#\s+(.+)$", 1), r"[*_`]", ""))
+    found = F.trim(F.regexp_replace(_first(c, 2000, fixed.TITLE, 1), fixed.TITLE_MARKS, ""))
     return F.coalesce(F.nullif(found, F.lit("")), F.nullif(fallback, F.lit("")))
 
 
@@ -219,7 +213,7 @@ def preview(c: Column, most: int) -> Column:
 def json_object(c: Column) -> Column:
     """The JSON in a reply: without its code fence, else its first object."""
     bare = F.trim(F.regexp_replace(c, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    return F.when(bare.startswith("{"), bare).otherwise(F.nullif(F.regexp_extract(bare, r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0), F.lit("")))
+    return F.when(bare.startswith("{"), bare).otherwise(F.nullif(F.regexp_extract(bare, fixed.JSON_OBJECT, 0), F.lit("")))
 
 
 def one_of(c: Column, words: list[str]) -> Column:

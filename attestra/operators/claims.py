@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra import fixed
+
 
 def trimmed(c: Column) -> Column:
     """A cell as text: null is empty, white space at the ends falls."""
@@ -34,7 +36,7 @@ def with_labels(claims: DataFrame, classified: DataFrame) -> DataFrame:
 
 
 def parent_row(category: Column) -> Column:
-    return F.regexp_extract(category, r"(?:Duplicate|Variation) of row (\d+)", 1).try_cast("int")
+    return F.regexp_extract(category, fixed.PARENT_ROW, 1).try_cast("int")
 
 
 def inherited(claims: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def queue_lines(texts: DataFrame, body: str, default: str) -> DataFrame:
     """line_no, ct_id, text: one claim per line with text; a line may begin with its own type and a bar."""
     lines = texts.select("*", F.posexplode(F.split(body, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     head = F.upper(F.trim(F.substring_index("line", "|", 1)))
-    own = F.col("line").contains("|") & head.rlike("^CT-[A-Z0-9]+$")
+    own = F.col("line").contains("|") & head.rlike(fixed.QUEUE_TYPE)
     rest = F.trim(F.expr("substring(line, instr(line, '|') + 1)"))
     return lines.withColumn("ct_id", F.when(own, head).otherwise(default)).withColumn("text", F.when(own, rest).otherwise(F.col("line")))
 

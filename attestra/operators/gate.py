@@ -49,18 +49,18 @@ def gate(judged: DataFrame, passes: float = 80.0, soft: float = 60.0, fair_balan
     shown = lambda x: F.lit(str(float(x)))
     flags = F.array_compact(
         F.array(
-            F.when((s < passes) & (s >= soft), F.concat(F.lit("Coverage score "), rounded, F.lit("% is below pass threshold ("), shown(passes), F.lit("%)"))),
-            F.when(F.size(failed) > 0, F.concat(F.lit("PICOT mismatch on: "), F.array_join(failed, ", "))),
-            F.when(serious, F.lit("Critical PICOT dimension failed — downgraded to soft_flag")),
-            F.when(about & ~F.coalesce("statistical_context_present", F.lit(True)), F.lit("Claim implies statistical significance but no p-value/CI found in evidence")),
-            F.when(F.lit(fair_balance) & about & text.one_of(note, ["no safety", "not found"]), F.lit("Fair balance: no corresponding safety information found for efficacy claim")),
-            F.when(F.size(numbers) > 0, F.concat(F.lit("Numerical transformations detected: "), F.array_join(numbers, ", "))),
+            F.when((s < passes) & (s >= soft), F.concat(F.lit(fixed.SCORE), rounded, F.lit(fixed.BELOW_PASS), shown(passes), F.lit("%)"))),
+            F.when(F.size(failed) > 0, F.concat(F.lit(fixed.MISMATCH), F.array_join(failed, ", "))),
+            F.when(serious, F.lit(fixed.SERIOUS)),
+            F.when(about & ~F.coalesce("statistical_context_present", F.lit(True)), F.lit(fixed.NO_STATISTICS)),
+            F.when(F.lit(fair_balance) & about & text.one_of(note, ["no safety", "not found"]), F.lit(fixed.NO_BALANCE)),
+            F.when(F.size(numbers) > 0, F.concat(F.lit(fixed.TRANSFORMED), F.array_join(numbers, ", "))),
         )
     )
     blockers = F.array_compact(
         F.array(
-            F.when(s < soft, F.concat(F.lit("Coverage score "), rounded, F.lit("% is below minimum ("), shown(soft), F.lit("%)"))),
-            F.when(second, F.lit("Evidence relies on a secondary citation — primary source required")),
+            F.when(s < soft, F.concat(F.lit(fixed.SCORE), rounded, F.lit(fixed.BELOW_SOFT), shown(soft), F.lit("%)"))),
+            F.when(second, F.lit(fixed.SECONDARY)),
         )
     )
     base = F.when(serious, "SOFT_FLAG").when(s >= passes, "PASS").when(s >= soft, "SOFT_FLAG").otherwise("BLOCK")

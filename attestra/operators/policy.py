@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from attestra import fixed
 
-RULE = r"^\|[-\s|]+\|$"
-
 
 def _cells(line: Column) -> Column:
     """Cells of a table row.  Empty ones fall out, which moves the later ones up."""
@@ -33,12 +31,12 @@ def parse_flat(lines: DataFrame) -> DataFrame:
     the last sheet title or rule above it.
     """
     t = F.trim("line")
-    sheet = F.when(t.contains("Sheet: Mapping (Long)"), 1).when(t.startswith("## Sheet:"), 0)
+    sheet = F.when(t.contains(fixed.MATRIX_SHEET), 1).when(t.startswith(fixed.ANY_SHEET), 0)
     up_to = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     state = lines.select("line_no", t.alias("line"), sheet.alias("sheet"))
     state = state.withColumn("on", F.coalesce(F.last("sheet", True).over(up_to), F.lit(0))).withColumn("starts", F.sum((F.coalesce("sheet", F.lit(0)) == 1).cast("int")).over(up_to))
-    ruled = F.max((F.col("line").rlike(RULE)).cast("int")).over(Window.partitionBy("starts").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    rows = state.withColumn("ruled", ruled).where((F.col("on") == 1) & (F.col("ruled") == 1) & F.col("line").startswith("|") & ~F.col("line").rlike(RULE))
+    ruled = F.max((F.col("line").rlike(fixed.MATRIX_RULE)).cast("int")).over(Window.partitionBy("starts").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    rows = state.withColumn("ruled", ruled).where((F.col("on") == 1) & (F.col("ruled") == 1) & F.col("line").startswith("|") & ~F.col("line").rlike(fixed.MATRIX_RULE))
     rows = rows.withColumn("cells", _cells(F.col("line"))).where(F.size("cells") >= 7)
     tier = F.upper(_cell(6))
     ok = tier.isin("P", "A", "C", "N") & _cell(0).startswith("CT-") & _cell(3).startswith("RT-")
@@ -49,12 +47,12 @@ def parse_grouped(lines: DataFrame) -> DataFrame:
     """As parse_flat, from a file with a headed table for each claim type: the header above a row
     gives its claim type.  A text line ends a table."""
     t = F.trim("line")
-    ct = F.nullif(F.regexp_extract(t, r"^###\s+(CT-[A-Z0-9]+(?:-[A-Z0-9]+)?)\s*[—\-–]", 1), F.lit(""))
-    event = F.when(ct.isNotNull(), 0).when(t.rlike(RULE), 1).when(~t.startswith("|") & (t != ""), 0)
+    ct = F.nullif(F.regexp_extract(t, fixed.MATRIX_HEAD, 1), F.lit(""))
+    event = F.when(ct.isNotNull(), 0).when(t.rlike(fixed.MATRIX_RULE), 1).when(~t.startswith("|") & (t != ""), 0)
     up_to = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     state = lines.select("line_no", t.alias("line"), ct.alias("head"), event.alias("event"))
     state = state.withColumn("ct_id", F.last("head", True).over(up_to)).withColumn("on", F.last("event", True).over(up_to))
-    rows = state.where(F.col("ct_id").isNotNull() & (F.col("on") == 1) & F.col("line").startswith("|") & ~F.col("line").rlike(RULE))
+    rows = state.where(F.col("ct_id").isNotNull() & (F.col("on") == 1) & F.col("line").startswith("|") & ~F.col("line").rlike(fixed.MATRIX_RULE))
     rows = rows.withColumn("cells", _cells(F.col("line"))).where(F.size("cells") >= 4)
     tier = F.upper(_cell(3))
     ok = tier.isin("P", "A", "C", "N") & _cell(0).startswith("RT-")
@@ -106,12 +104,11 @@ def audience(ct_id: Column, given: Column | None = None) -> Column:
 
 
 def group_of(ct_id: Column) -> Column:
-    """Claim group by the longest beginning that a known claim type is; null for none."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for begin, (group, n) in fixed.GROUPS.items():
-        number = ct_id.substr(5, 2)
-        known = number.rlike("^[0-9]{2}$") & number.try_cast("int").between(1, n)
-        out = out.when(ct_id.startswith(begin) & known, group)
+    """Claim group of the known claim type that an id is or begins with; null for none."""
+    known = F.substring(ct_id, 1, 6)
+    out = F.when(ct_id.isNull(), F.lit(None).cast("string"))
+    for group, types in fixed.GROUPS.items():
+        out = out.when(known.isin(types), group)
     return out
 
 

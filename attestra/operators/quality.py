@@ -7,13 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"\d+\.?\d*"
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
-TABLE_TAG = r"(?i)</?t[dhrab]"
+from attestra import fixed
 
 
 def numbers_in(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(fixed.NUMBER), F.lit(0)))
 
 
 def number_loss(source: Column, text: Column, large: bool = False) -> tuple[Column, Column]:
@@ -28,7 +26,7 @@ def embeddable(segment_type: Column) -> Column:
 
 def looks_linearised(c: Column) -> Column:
     """html, stripped or sentences: what a table became."""
-    return F.when(c.rlike(TABLE_TAG), "html").when(~(c.contains(".") & (F.length(c) > 30)) & (F.size(F.split(F.trim(c), r"\s+")) > 3), "stripped").otherwise("sentences")
+    return F.when(c.rlike(fixed.TABLE_TAG), "html").when(~(c.contains(".") & (F.length(c) > 30)) & (F.size(F.split(F.trim(c), r"\s+")) > 3), "stripped").otherwise("sentences")
 
 
 def size_bucket(tokens: Column) -> Column:
@@ -81,13 +79,13 @@ def violations(chunks: DataFrame) -> DataFrame:
     rules = {
         "empty_text": F.coalesce(F.trim(text), F.lit("")) == "",
         "empty_embeddable": emb & (F.length(F.trim(F.coalesce(text, F.lit("")))) < 5),
-        "control_characters": emb & text.rlike(CONTROL),
+        "control_characters": emb & text.rlike(fixed.CONTROL),
         "wrong_embeddable": emb != embeddable(F.col("segment_type")),
         "bad_sent_id": ~F.coalesce(F.col("sent_id").contains("::"), F.lit(False)),
         "no_section": F.coalesce("section", F.lit("")) == "",
         "unknown_segment": ~F.coalesce(F.col("segment_type").isin("text", "table", "reference", "figure"), F.lit(False)),
         "oversized": emb & (F.col("approx_tokens") > 512),
-        "raw_html_table": (F.col("segment_type") == "table") & text.rlike(TABLE_TAG),
+        "raw_html_table": (F.col("segment_type") == "table") & text.rlike(fixed.TABLE_TAG),
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items()]))
     return chunks.select("sent_id", F.explode(found).alias("rule"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra import fixed
 from attestra.functions import scores
 
 
@@ -90,7 +91,7 @@ def portfolio(results: DataFrame, by: str | None = None) -> DataFrame:
 def key_passage(assessment: Column, passages: Column) -> Column:
     """0-based place of the key passage: the one an assessment names, else the first with the best score,
     else -1.  passages: array of structs with score."""
-    named = F.regexp_extract(assessment, r"[Pp]assage\s+(\d+)", 1).try_cast("int") - 1
+    named = F.regexp_extract(assessment, fixed.KEY_PASSAGE, 1).try_cast("int") - 1
     scored = F.transform(passages, lambda p: F.coalesce(p["score"], F.lit(0.0)))
     best = F.array_position(scored, F.array_max(scored)).cast("int") - 1
     return F.when(named.between(0, F.size(passages) - 1), named).otherwise(F.when(F.size(passages) > 0, best).otherwise(-1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra import fixed
 from attestra.functions import numbers, text
 from attestra.operators import quality
 from attestra.plans import bindings as b
@@ -27,7 +28,7 @@ def size_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a09_corpus_stats", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE {_KIND} = 'table') AS BIGINT) AS tables, CAST(count(*) FILTER (WHERE trim(line) = '') AS BIGINT) AS empty, CAST(sum(len(regexp_extract_all(line, '\\d+\\.?\\d*'))) AS BIGINT) AS numerics FROM {_PARA}")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = paragraphs(spark, sf_dir)
-    return p.agg(F.count("*").alias("n"), F.sum((F.col("segment_type") == "table").cast("int")).alias("tables"), F.sum((F.trim("text") == "").cast("int")).alias("empty"), F.sum(F.regexp_count("text", F.lit(quality.NUMBER))).alias("numerics"))
+    return p.agg(F.count("*").alias("n"), F.sum((F.col("segment_type") == "table").cast("int")).alias("tables"), F.sum((F.trim("text") == "").cast("int")).alias("empty"), F.sum(F.regexp_count("text", F.lit(fixed.NUMBER))).alias("numerics"))
 
 
 @query("a21_key_sets", "SELECT k AS key_set, CAST(count(*) AS BIGINT) AS n FROM (SELECT array_to_string(list_sort(json_keys(props)), ',') AS k FROM events) GROUP BY k")
@@ -44,7 +45,7 @@ def number_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a23_number_types", "SELECT CASE WHEN regexp_full_match(v, '(19|20)\\d\\d') THEN 'years' WHEN regexp_full_match(v, '\\d{1,4}') AND regexp_matches(c, 'vol|pp|page|;|:') THEN 'page_ranges' ELSE 'other' END AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT lower(line) AS c, unnest(regexp_extract_all(line, '\\d+\\.?\\d*')) AS v FROM " + _PARA + ") GROUP BY ALL")
 def number_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = paragraphs(spark, sf_dir).select("text", F.explode(F.regexp_extract_all("text", F.lit(quality.NUMBER), F.lit(0))).alias("v"))
+    n = paragraphs(spark, sf_dir).select("text", F.explode(F.regexp_extract_all("text", F.lit(fixed.NUMBER), F.lit(0))).alias("v"))
     return n.groupBy(quality.number_type(F.col("v"), F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -62,14 +63,14 @@ def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f31_table_text", "SELECT page_id, CASE WHEN regexp_matches(html, '(?i)</?t[dhrab]') THEN 'html' ELSE 'sentences' END AS raw, CASE WHEN regexp_matches(t, '(?i)</?t[dhrab]') THEN 'html' WHEN NOT (contains(t, '.') AND length(t) > 30) AND len(string_split_regex(t, '\\s+')) > 3 THEN 'stripped' ELSE 'sentences' END AS kind FROM (SELECT page_id, html, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)")
 def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("html").rlike(quality.TABLE_TAG), "html").otherwise("sentences")
+    raw = F.when(F.col("html").rlike(fixed.TABLE_TAG), "html").otherwise("sentences")
     return b.table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), quality.looks_linearised(text.strip_html(F.col("html"))).alias("kind"))
 
 
 @query("f32_text_faults", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) AS INT) AS control, regexp_matches(rtrim(text, E' '), '[.!?:;)\\]”\"''0-9%–—-]$') AS clean_end, CAST(len(regexp_extract_all(text, '[a-z]-\\n[a-z]')) AS INT) AS hyphens FROM documents")
 def text_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return b.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit(quality.CONTROL)).alias("control"), quality.clean_ending(t).alias("clean_end"), F.regexp_count(t, F.lit(r"[a-z]-\n[a-z]")).alias("hyphens"))
+    return b.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit(fixed.CONTROL)).alias("control"), quality.clean_ending(t).alias("clean_end"), F.regexp_count(t, F.lit(r"[a-z]-\n[a-z]")).alias("hyphens"))
 
 
 _NUMS = "list_distinct(regexp_extract_all({0}, '\\d+\\.?\\d*'))"

@@ -123,7 +123,7 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TYPES = [t for t in ("CT-101 CT-110 CT-111 CT-201 CT-204 CT-2041 CT-405 CT-901 CT-909 CT-A01 CT-A08 CT-B01 CT-B02 CT-B03 CT-B04 CT-D01 CT-D06 CT-D07 CT-505 CT-606 CT-706 CT-807 XX").split()]
-_GROUPS = [(f"{begin}{i:02d}", group) for begin, (group, n) in fixed.GROUPS.items() for i in range(1, n + 1)]
+_GROUPS = [(t, group) for group, types in fixed.GROUPS.items() for t in types]
 
 
 @query("c06_f27_claim_flags", f"""
