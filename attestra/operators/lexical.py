@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +66,61 @@ def ranked(found: DataFrame, k: int | None, score: str = "score") -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+#: Words that one pass over the chunks looks for; the bound of what is sent to every task.
+WORDS_AT_ONCE = 50_000
+
+
+def _finder(words: list[str]) -> Callable[[str], Iterable[str]]:
+    """All of the words that a text holds, in one pass over it where the automaton is installed."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda t: (w for w in words if w in t)
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    return lambda t: {w for _, w in automaton.iter(t)} if words else ()
+
+
+def words_held(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, words: those of the given words (distinct, in lower case) that each chunk's lower-cased text
+    holds anywhere.  One pass over the texts for each 50,000 words, however many claims ask."""
+    spark = words.sparkSession
+    blocks = max(1, -(-words.count() // WORDS_AT_ONCE))
+    texts = chunks.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low")).where("low is not null")
+    found = None
+    for i in range(blocks):
+        part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == i)
+        sent = spark.sparkContext.broadcast([r[0] for r in part.select("word").collect()])
+
+        def find(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            held_by = _finder(sent.value)
+            for b in batches:
+                held = [sorted(held_by(t)) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.string()))], ["id", "words"])
+
+        one = texts.mapInArrow(find, "id long, words array<string>")
+        found = one if found is None else found.union(one)
+    if blocks > 1:
+        found = found.groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"))
+    return found.where(F.size("words") > 0)
+
+
 def all_keyword_search(claims: DataFrame, keywords: Column, chunks: DataFrame, k: int = 50, enough: int = 3) -> DataFrame:
     """claim_id, id, level, score, rank: chunks that hold the first n keywords of a claim.
 
     n falls from all keywords until ``enough`` chunks hold the first n.  In closed form: each
     chunk has a level, the number of leading keywords it holds; the search stops at the largest
-    level that so many chunks reach, or at one.
+    level that so many chunks reach, or at one.  Every hit holds the first keyword, so claims and chunks
+    meet by an equi-join on it.
     claims: claim_id; chunks: id, text.
     """
     asked = claims.select("claim_id", keywords.alias("kws")).where(F.size("kws") > 0)
-    first = asked.select("claim_id", "kws", F.element_at("kws", 1).alias("kw"))
-    # every hit holds the first keyword, so one join finds all candidates; the rest is per pair
-    hits = first.join(chunks.select("id", F.lower("text").alias("low")), F.expr("contains(low, kw)"))
-    flags = F.transform("kws", lambda kw: F.col("low").contains(kw))
-    miss = F.array_position(flags, False)
+    held = words_held(asked.select(F.explode("kws").alias("word")).distinct(), chunks)
+    first = asked.select("claim_id", "kws", F.element_at("kws", 1).alias("word"))
+    hits = first.join(held.select("id", "words", F.explode("words").alias("word")), "word")
+    miss = F.array_position(F.transform("kws", lambda kw: F.array_contains("words", kw)), False)
     level = F.when(miss == 0, F.size("kws")).otherwise(miss - 1)
     leveled = hits.select("claim_id", "id", level.cast("int").alias("level"), F.size("kws").alias("n"))
     per = leveled.groupBy("claim_id", "level").agg(F.count("*").alias("c"))
@@ -88,10 +132,9 @@ def all_keyword_search(claims: DataFrame, keywords: Column, chunks: DataFrame, k
 
 def any_keyword_search(claims: DataFrame, keywords: Column, chunks: DataFrame, k: int = 100) -> DataFrame:
     """claim_id, id, matched, score, rank: distinct forms of a claim's keywords that a chunk holds,
-    over the number of keywords."""
+    over the number of keywords.  Forms that several claims share are looked for once."""
     asked = claims.select("claim_id", keywords.alias("kws")).where(F.size("kws") > 0)
-    forms = asked.select("claim_id", F.size("kws").alias("n"), F.explode(F.array_distinct(F.flatten(F.transform("kws", text.inflections)))).alias("form"))
-    # forms that several claims share are looked for once
-    found = forms.select("form").distinct().join(chunks.select("id", F.lower("text").alias("low")), F.expr("contains(low, form)")).select("form", "id")
-    counts = forms.join(found, "form").groupBy("claim_id", "id", "n").agg(F.count("*").alias("matched"))
+    forms = asked.select("claim_id", F.size("kws").alias("n"), F.explode(F.array_distinct(F.flatten(F.transform("kws", text.inflections)))).alias("word"))
+    held = words_held(forms.select("word").distinct(), chunks).select("id", F.explode("words").alias("word"))
+    counts = forms.join(held, "word").groupBy("claim_id", "id", "n").agg(F.count("*").alias("matched"))
     return ranked(counts.select("claim_id", "id", "matched", (F.col("matched") / F.col("n")).alias("score")), k)
