@@ -97,3 +97,12 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(gap[1:], gap[:-1], out=edge[1:-1])
     at = np.flatnonzero(edge)
     return at[::2], at[1::2]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 7, at_once: int = 100_000) -> np.ndarray:
+    """Hash of each word, by slices: the byte-long arrays stay small however long the data is."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in range(0, len(starts), at_once):
+        s, e = starts[k : k + at_once], ends[k : k + at_once]
+        out[k : k + at_once] = ranges(prefix(coded(data[s[0] : e[-1]], seed)), s - s[0], e - s[0])
+    return out

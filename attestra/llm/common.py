@@ -39,6 +39,8 @@ def bound_batches(spark: SparkSession, rows: int = 4096, megabytes: int = 8) ->
 def shared_folder(spark: SparkSession) -> None:
     """Checkpoints go where the cluster says; a folder of our own only where it says nothing."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
 
 

@@ -16,6 +16,8 @@ from attestra.llm.common import bound_batches, first_by_hash, table
 
 #: Slots of hashed byte n-grams; the first 256 are single bytes.
 DIM = 4096
+#: Bytes whose n-grams are counted at once.
+SLICE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -28,14 +30,17 @@ def features(text: str | None) -> np.ndarray:
     raw = (" " + (text or "") + " ").encode("utf-8", "surrogatepass")
     x = _LOW[np.frombuffer(raw, dtype=np.uint8)]
     blank = x == 32
-    x = x[~(blank & np.concatenate(([False], blank[:-1])))].astype(np.uint32)
-    two = x[:-1] | (x[1:] << np.uint32(8))
-    three = two[:-1] | (x[2:] << np.uint32(16))
-    span = np.uint32(DIM - 256)
-    h2 = ((two * np.uint32(2654435761)) >> np.uint32(7)) % span + np.uint32(256)
-    h3 = ((three * np.uint32(2246822519)) >> np.uint32(7)) % span + np.uint32(256)
-    count = np.bincount(x, minlength=DIM) + np.bincount(h2, minlength=DIM) + np.bincount(h3, minlength=DIM)
+    x = x[~(blank & np.concatenate(([False], blank[:-1])))]
+    count = np.bincount(x, minlength=DIM)
     count[32] = 0
+    span = np.uint32(DIM - 256)
+    for k in range(0, len(x) - 1, SLICE):  # long texts piece by piece; a piece sees the next two bytes
+        y = x[k : k + SLICE + 2].astype(np.uint32)
+        two = y[:-1] | (y[1:] << np.uint32(8))
+        three = two[:-1] | (y[2:] << np.uint32(16))
+        h2 = ((two[:SLICE] * np.uint32(2654435761)) >> np.uint32(7)) % span + np.uint32(256)
+        h3 = ((three * np.uint32(2246822519)) >> np.uint32(7)) % span + np.uint32(256)
+        count += np.bincount(h2, minlength=DIM) + np.bincount(h3, minlength=DIM)
     v = np.sqrt(count.astype(np.float32))
     return v / max(float(np.linalg.norm(v)), 1e-6)
 

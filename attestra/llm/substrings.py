@@ -24,9 +24,9 @@ CHUNK, FLUSH = 1 << 20, 8 << 20
 FINER = 16
 
 
-def buffer_of(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+def buffer_of(texts: list[str | bytes | None]) -> tuple[bytes, np.ndarray]:
     """Texts as one buffer, a line break after each, and where each starts (and the end)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
     at = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=at[1:])
     return b"\n".join(raw) + b"\n", at
@@ -46,7 +46,7 @@ def super_kmers(buffer: bytes, at: np.ndarray, window: int, piece: int):
     if n <= 0:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, z, z, z.view(np.uint64), first
-    word = bh.ranges(bh.prefix(bh.coded(data)), starts, ends)
+    word = bh.word_hashes(data, starts, ends)
     least = bh.sliding_min(bh.fixed(bh.prefix(word), piece), window - piece + 1)[:n]
     whole = doc[:n] == doc[window - 1 :]
     new = np.ones(n, dtype=bool)
@@ -234,13 +234,15 @@ def repeats(ids: np.ndarray, count: np.ndarray, joined: bytes, window: int) -> l
     inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
     first = np.cumsum(count + (window - 1)) - (count + (window - 1))
     word = first[own] + inside
-    h = bh.ranges(bh.prefix(bh.coded(data, 23)), starts[word], ends[word + window - 1])
+    h = bh.ranges(bh.prefix(bh.word_hashes(data, starts, ends, 23)), word, word + window)
     order = np.lexsort((ids[own], h))
     hs, os = h[order], own[order]
     same = np.flatnonzero(hs[1:] == hs[:-1]) + 1
-    begin, end = starts[word[order[same]]], ends[word[order[same]] + window - 1]
-    pb, pe = starts[word[order[same - 1]]], ends[word[order[same - 1]] + window - 1]
-    equal = np.fromiter((joined[a:b] == joined[c:d] for a, b, c, d in zip(begin.tolist(), end.tolist(), pb.tolist(), pe.tolist(), strict=True)), dtype=bool, count=len(same))
+    equal = np.empty(len(same), dtype=bool)
+    for k in range(0, len(same), 50_000):
+        here, other = word[order[same[k : k + 50_000]]], word[order[same[k : k + 50_000] - 1]]
+        places = (x.tolist() for x in (starts[here], ends[here + window - 1], starts[other], ends[other + window - 1]))
+        equal[k : k + 50_000] = [joined[a:z] == joined[c:d] for a, z, c, d in zip(*places, strict=True)]
     if not equal.all():  # two windows of one hash: sort that hash's windows as strings
         bad = np.unique(hs[same[~equal]])
         for value in bad.tolist():

@@ -20,10 +20,12 @@ from attestra.llm.substrings import FINER, FLUSH, buffer_of, hot_keys, in_chunks
 WIDTH, ANCHOR = 400, 32
 #: Depth to which multikey quicksort goes, and the bytes that it compares at once.
 SHALLOW, SYMBOL = 32, 8
+#: Windows of a long text that are hashed at once.
+SLICE = 1 << 20
 _PLACE = np.uint64((1 << 34) - 1)
 
 
-def anchored(texts: list[str | None], width: int, anchor: int):
+def anchored(texts: list[str | bytes | None], width: int, anchor: int):
     """Runs of windows of one document that share the place of their anchor.
 
     Returns the buffer, and of each run its document, first byte in it, number of windows, place in
@@ -185,6 +187,18 @@ def shared(strings: list[bytes], anchors: list[int], width: int) -> list[list[tu
     return [[x for x in spans if x[0] <= x[1]] for spans in out]
 
 
+def pieces(ids: list[int], texts: list[str | None], width: int) -> tuple[list[int], list[bytes], list[int]]:
+    """ids, bytes and first places of texts; long ones in pieces, which overlap so that each window
+    is in one piece.  A window's anchor depends on the window alone, so pieces change nothing."""
+    out: tuple[list, list, list] = ([], [], [])
+    for i, t in zip(ids, texts, strict=True):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        for k in range(0, max(1, len(raw) - width + 1), SLICE):
+            for one, x in zip(out, (i, raw[k : k + SLICE + width - 1], k), strict=True):
+                one.append(x)
+    return out
+
+
 class _Gathered:
     """Runs of windows of a task until they are sent.  Equal runs travel once, as a partner only:
     that they repeat is known where they meet."""
@@ -199,7 +213,9 @@ class _Gathered:
         self.known: list[tuple[int, int, int]] = []
 
     def add(self, ids: list[int], texts: list[str | None]) -> None:
-        buffer, doc, start, count, begin, offset, h = anchored(texts, self.width, self.anchor)
+        ids, raw, shift = pieces(ids, texts, self.width)
+        buffer, doc, start, count, begin, offset, h = anchored(raw, self.width, self.anchor)
+        start = start + np.array(shift, dtype=np.int64)[doc]
         self.size += len(buffer)
         single = np.isin(h, self.hot).tolist() if len(self.hot) else [False] * len(h)
         for d, s, c, b, a, m, one in zip(doc.tolist(), start.tolist(), count.tolist(), begin.tolist(), offset.tolist(), (h % np.uint64(self.buckets)).tolist(), single, strict=True):
@@ -320,8 +336,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     n = partitions(spark)
 
     def anchors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        found = anchored(texts, width, anchor)
-        return found[1], found[6]
+        ids, raw, _ = pieces(list(range(len(texts))), texts, width)
+        found = anchored(raw, width, anchor)
+        return np.array(ids, dtype=np.int64)[found[1]], found[6]
 
     hot = hot_keys(docs, anchors)
     sent = docs.mapInArrow(_scatter(FINER * n, width, anchor, hot), "bucket int, kind int, packed binary")

@@ -91,6 +91,9 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of a text that are read at once, to the end of a clause.
+SLICE = 1 << 20
+_CLAUSE_END = re.compile(rb"[.!?;\n]")
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?;\n"]] = True
 #: Learned entries: whole words, and beginnings of so many bytes.
@@ -134,13 +137,22 @@ class Model:
 
     def read(self, low: bytes) -> tuple[float, float]:
         """Total of the clauses' scores, and of the weights of the different words that matched."""
-        total, seen = 0.0, {}
+        total, seen, at = 0.0, {}, 0
+        while at < len(low):  # long texts piece by piece, cut where a clause ends
+            end = _CLAUSE_END.search(low, at + SLICE)
+            stop = end.end() if end else len(low)
+            total += self._read(low[at:stop] if at or end else low, seen)
+            at = stop
+        return total, sum(seen.values())
+
+    def _read(self, low: bytes, seen: dict[bytes, float]) -> float:
+        total = 0.0
         data = np.frombuffer(low, dtype=np.uint8)
         text = _LETTER[data]
         edge = np.flatnonzero(np.diff(text, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
-            return 0.0, 0.0
+            return 0.0
         padded = np.concatenate((np.where(text, data, 0), np.zeros(4, dtype=np.uint8))).astype(np.uint32)
         size = np.minimum(ends - starts, 4)
         code = padded[starts]
@@ -150,7 +162,7 @@ class Model:
         near = np.flatnonzero(self.keys[at] == code)
         spots = [a for a, z in zip(starts[near].tolist(), ends[near].tolist(), strict=True) if self.known(low[a:z])[0] in (INSULT, THREAT)]
         if not spots:
-            return 0.0, 0.0
+            return 0.0
         stops = np.flatnonzero(_ENDS[data])
         done = -1
         for spot in spots:
@@ -167,7 +179,7 @@ class Model:
                 letters.append(letter)
                 weights.append(value)
             total += clause_score(letters, weights)
-        return total, sum(seen.values())
+        return total
 
     def score(self, text: str | None) -> float:
         total, kinds = self.read(_low(text))

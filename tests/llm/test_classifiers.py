@@ -110,3 +110,14 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.toxicity(docs, model).where("predicted = 1").count() == 0
     assert clean_documents(frame(spark, [], DOCS), none).count() == 0
     assert model.score("You are an idiot, a moron and a loser. Stupid scum!") > 0.7
+
+
+def test_long_texts_piece_by_piece(monkeypatch):
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["the", "you", "idiot", "not", "said", "é", "kill", "house.", "x;"]) for _ in range(400))
+    model = toxicity.Model(lexicon([], 0, 0))
+    whole, vector = model.read(text.encode()), langid.features(text)
+    monkeypatch.setattr(toxicity, "SLICE", 37)
+    monkeypatch.setattr(langid, "SLICE", 41)
+    assert model.read(text.encode()) == pytest.approx(whole) and np.allclose(langid.features(text), vector)
+    assert whole[0] > 10 and model.read(b"") == (0.0, 0)

@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
 
 from attestra.llm import suffixes
 from attestra.llm.suffixes import BlindTrie, common, dedup_bytes, deep_shallow, repeated_bytes, shared, union
@@ -73,6 +75,37 @@ def every_anchor(docs, keys, **_):
     return frozenset(keys([r["text"] for r in docs.collect()])[1].tolist())
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE", 150)
+    rows = documents(3, 60)
+    ids, raw, shift = suffixes.pieces([7, 8], ["ab" * 400, None], 400)
+    assert ids == [7, 7, 7, 8] and shift == [0, 150, 300, 0] and [len(r) for r in raw] == [549, 549, 500, 0]
+    seen = suffixes._Gathered(4, 400, 32, frozenset())
+    monkeypatch.undo()
+    got = {r["doc_id"]: tuple(r)[1:] for r in dedup_bytes(frame(spark, rows)).collect()}
+    assert got == plain(rows, 400) and seen.size == 0
+
+
+@pytest.mark.parametrize("slice_", [40, 333, 1 << 20])
+def test_pieces_give_the_same_spans(monkeypatch, slice_):
+    monkeypatch.setattr(suffixes, "SLICE", slice_)
+    rows = [r for r in documents(3, 60) if r[1]]
+    held = suffixes._Gathered(1, 60, 16, frozenset())
+    held.add([r[0] for r in rows], [r[1] for r in rows])
+    spans: dict[int, list[int]] = {}
+    for batch in held.rows():
+        for kind, blob in zip(batch["kind"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+            found = suffixes.bucket_spans([blob], 60, 16)
+            if kind:
+                found = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64).reshape(3, -1).T.tolist()
+            for i, a, n in found:
+                spans.setdefault(i, []).append(a << 28 | n)
+    want = plain(rows, 60)
+    for r in rows:
+        runs = union(len(r[1].encode()), spans.get(r[0]))
+        assert (sum(z - a for a, z in runs), len(runs)) == want[r[0]][1:3]
+
+
 @pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, monkeypatch, seed, hot):
