@@ -17,43 +17,53 @@ def terms(docs: DataFrame, id_: str, body: str) -> DataFrame:
     return raw.where(text.index_token(F.col("raw"))).select("id", text.stem(F.col("raw")).alias("token"))
 
 
+def _read(docs: DataFrame, id_: str, body: str) -> DataFrame:
+    """id, raw (tokens as they stand), dl (indexed tokens): one pass, nothing is shuffled."""
+    raw = docs.select(F.col(id_).alias("id"), text.raw_tokens(F.col(body)).alias("raw"))
+    return raw.withColumn("dl", F.size(F.filter("raw", text.index_token)).cast("long"))
+
+
+def _occurrences(read: DataFrame) -> DataFrame:
+    rows = read.select("id", "dl", F.explode("raw").alias("raw")).where(text.index_token(F.col("raw")))
+    return rows.select("id", "dl", text.stem(F.col("raw")).alias("token"))
+
+
 def postings(docs: DataFrame, id_: str, body: str) -> DataFrame:
-    """id, token, tf, dl: term frequency and document length."""
-    counts = terms(docs, id_, body).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    return counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
+    """id, token, tf, dl: term frequency and document length.  The length is taken before tokens
+    are spread, so there is one exchange."""
+    return _occurrences(_read(docs, id_, body)).groupBy("id", "token", "dl").agg(F.count("*").alias("tf")).select("id", "token", "tf", "dl")
 
 
-def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
+def corpus_stats(docs: DataFrame, id_: str, body: str) -> DataFrame:
     """One row: n documents, avgdl."""
-    n = docs.agg(F.count("*").alias("n"))
-    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    return n.join(F.broadcast(total)).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    sums = _read(docs, id_, body).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    return sums.select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def weighted(docs: DataFrame, post: DataFrame) -> DataFrame:
-    """id, token, tf, weight, df, idf.  The one row of statistics goes to every task."""
-    stats = F.broadcast(corpus_stats(docs, post))
-    with_df = post.join(document_frequency(post), "token")
-    joined = with_df.join(stats)
+def weighted(docs: DataFrame, id_: str, body: str) -> DataFrame:
+    """id, token, tf, df, weight, idf.  The one row of statistics goes to every task."""
+    post = postings(docs, id_, body)
+    joined = post.join(document_frequency(post), "token").join(F.broadcast(corpus_stats(docs, id_, body)))
     return joined.select("id", "token", "tf", "df", scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("weight"), scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def bm25_search(claims: DataFrame, claim_id: str, claim_text: str, docs: DataFrame, doc_id: str, body: str, k: int | None = 100) -> DataFrame:
     """claim_id, id, score, rank: the k best documents of every claim.
 
-    Postings are first cut to the claims' vocabulary, then joined on the token; no claim is
-    compared with a document that shares no token with it.
+    Occurrences are cut to the claims' vocabulary before anything is shuffled, so exchanges carry
+    only tokens that some claim has; the postings that are left are kept, as both document
+    frequencies and scores read them.  Frequencies are partial aggregates and joins go by token or by
+    size, so a token of most documents is no one task's work.
     """
     asked = terms(claims, claim_id, claim_text).distinct().withColumnRenamed("id", "claim_id")
-    post = postings(docs, doc_id, body)
-    stats = F.broadcast(corpus_stats(docs, post))
-    known = post.join(asked.select("token").distinct(), "token", "left_semi")
-    df = known.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.join(stats).select("token", scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    occurrences = _occurrences(_read(docs, doc_id, body)).join(asked.select("token").distinct(), "token", "left_semi")
+    known = occurrences.groupBy("id", "token", "dl").agg(F.count("*").alias("tf")).persist()
+    stats = F.broadcast(corpus_stats(docs, doc_id, body))
+    idf = document_frequency(known).join(stats).select("token", scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     weights = known.join(idf, "token").select("id", "token", (scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("idf")).alias("w"))
     found = asked.join(weights, "token").groupBy("claim_id", "id").agg(F.sum("w").alias("score"))
     return ranked(found, k)

@@ -57,7 +57,7 @@ def bm25_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents")
     post = lexical.postings(docs, "doc_id", "text")
     vocabulary = post.agg(F.countDistinct("token").alias("vocabulary"))
-    return lexical.corpus_stats(docs, post).join(F.broadcast(vocabulary)).select("n", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+    return lexical.corpus_stats(docs, "doc_id", "text").join(F.broadcast(vocabulary)).select("n", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
 @query("a01_document_frequency", f"WITH {POSTINGS} SELECT token, CAST(df AS BIGINT) AS df FROM freq")
@@ -74,7 +74,7 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sparse collection (S10): weight of every posting, and the token's idf."""
     docs = b.table(spark, sf_dir, "documents")
-    w = lexical.weighted(docs, lexical.postings(docs, "doc_id", "text"))
+    w = lexical.weighted(docs, "doc_id", "text")
     return w.select("id", "token", F.round("weight", 6).alias("weight"), F.round("idf", 6).alias("idf"))
 
 
@@ -84,7 +84,7 @@ def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents")
     post = lexical.postings(docs, "doc_id", "text")
     asked = lexical.terms(b.table(spark, sf_dir, "benchmark"), "item_id", "text").distinct().withColumnRenamed("id", "claim_id")
-    idf = lexical.document_frequency(post).join(F.broadcast(lexical.corpus_stats(docs, post)))
+    idf = lexical.document_frequency(post).join(F.broadcast(lexical.corpus_stats(docs, "doc_id", "text")))
     return asked.join(idf, "token").select("claim_id", "token", F.round(scores.bm25_idf(F.col("n"), F.col("df")), 4).alias("weight"))
 
 

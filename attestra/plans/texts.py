@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra import fixed
-from attestra.functions import numbers, text
+from attestra.functions import markdown, numbers, text
 from attestra.operators import corpus, quality
 from attestra.plans import bindings as b
 from attestra.plans.catalog import query
@@ -279,3 +279,54 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(head, F.lit("\n\n**Evidence Text:**\n"), text.clean_passage(F.col("text")))
     per = c.groupBy("ref_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", one.alias("p")))), lambda x: x["p"]), "\n\n---\n\n").alias("prompt"))
     return per.select("ref_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
+
+
+@query("s01_file_stems", "SELECT page_id, regexp_replace(regexp_extract(url, '([^/]+)$', 1), '\\.[^.]+$', '') AS stem FROM pages")
+def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of a file is its name without the ending."""
+    return b.table(spark, sf_dir, "pages").select("page_id", readers.stem(F.col("url")).alias("stem"))
+
+
+#: Golden cases: a document, and what must come out.
+TABLES = [
+    (1, "Table 2 Doses\n<table>\n1\n</table>\nend", "Table 2 Doses\n<table>\n1\n</table>\nend"),
+    (2, "Figure 2\n<table>\n1\n</table>\nend", "Figure 2\nend"),
+    (3, "table 9\n\n\nx\n<TABLE>1</TABLE>\n<table>\n2\n</table>", "table 9\n\n\nx\n<TABLE>1</TABLE>\n<table>\n2\n</table>"),
+    (4, "Table 1\na\nb\nc\nd\ne\nf\ng\nh\n<table>\n1\n</table>", "Table 1\na\nb\nc\nd\ne\nf\ng\nh"),
+]
+
+
+@query("f03_real_tables", f"SELECT id, kept FROM {b.values(TABLES, 'id', 't', 'kept')}")
+def real_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([r[:2] for r in TABLES], "id int, t string")
+    return d.select("id", markdown.without_fake_tables(F.col("t")).alias("kept"))
+
+
+DEEP = "# " + "A" * 30 + "\n# Empty\n## " + "B" * 30 + "\nwords of a text\n### " + "C" * 30 + "\nwords of the text\n#### " + "D" * 90 + "\nmore words of text"
+PARTS = [
+    (1, "# References\n1. Smith A. One. 2. Jones B. Two.", [("reference", "References", "1. Smith A. One."), ("reference", "References", "2. Jones B. Two.")]),
+    (2, "# Notes\n1. Smith A. One. 2. Jones B. Two.", [("text", "Notes", "[Notes]\n1. Smith A. One. 2. Jones B. Two.")]),
+    (3, DEEP, [("text", "B" * 30, f"[{'B' * 30}]\nwords of a text"), ("text", f"{'B' * 30} > {'C' * 30}", f"[{'B' * 30} > {'C' * 30}]\nwords of the text"), ("text", f"{'B' * 30} > {'C' * 30} > {'D' * 90}", f"[{'D' * 77}...]\nmore words of text")]),
+]
+_GOLD = [(i, n, kind, section, t) for i, _, out in PARTS for n, (kind, section, t) in enumerate(out)]
+
+
+@query("f18_f19_entries_and_prefixes", f"SELECT * FROM {b.values(_GOLD, 'id', 'chunk_index', 'segment_type', 'section', 'text')}")
+def entries_and_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliography entries of one paragraph; headings without text drop out of paths, which are cut to 80
+    characters."""
+    d = spark.createDataFrame([r[:2] for r in PARTS], "id int, t string")
+    return d.select("id", F.explode(markdown.markdown_chunks(F.col("t"))).alias("c")).select("id", "c.chunk_index", "c.segment_type", "c.section", "c.text")
+
+
+_ROWS = [f"<tr><td>{'x' * 390}{i}</td></tr>" for i in range(6)]
+_HEAD = "<table><thead><tr><th>H</th></tr></thead>"
+SPLIT = [(1, _HEAD + "<tbody>" + "".join(_ROWS) + "</tbody></table>", [3, 3]), (2, "| h |\n|---|\n" + "\n".join(f"| {'y' * 390} |" for _ in range(6)), [4, 2]), (3, _HEAD + "</table>", [0])]
+
+
+@query("f21_table_splits", f"SELECT * FROM {b.values([(i, n, k) for i, _, out in SPLIT for n, k in enumerate(out)], 'id', 'part', 'n_rows')}")
+def table_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large tables by groups of rows: data rows in each part."""
+    d = spark.createDataFrame([r[:2] for r in SPLIT], "id int, t string")
+    c = d.select("id", F.explode(markdown.markdown_chunks(F.col("t"))).alias("c"))
+    return c.select("id", F.col("c.chunk_index").alias("part"), F.regexp_count("c.text", F.lit("<td>|y{390}")).alias("n_rows"))
