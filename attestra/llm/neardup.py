@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm.common import bound_batches, components, materialise, partitions, runs_of_key, table
-from attestra.llm.vectors import rectangle, usable
+from attestra.llm.vectors import packed, rectangle, units, unpacked, usable
 
 #: Vectors of one component whose links are counted against each other at once.
 BLOCK = 256
@@ -24,25 +24,26 @@ def planes(passes: int, dim: int, bits: int = 63, seed: int = 5) -> np.ndarray:
     return out
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (unit vector, doubles as bytes) of the vectors that take part."""
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """vec_id, v (the vector, packed) of the vectors that take part."""
     bound_batches(vectors.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, found = usable(b.column(1))
-            keep = [(i, v / scale / np.linalg.norm(v / scale)) for i, v in zip(rows.tolist(), found, strict=True) if (scale := np.abs(v).max(initial=0.0)) > 0]
+            keep = [(i, packed(v)) for i, v in zip(rows.tolist(), found, strict=True) if v.any()]
             ids = b.column(0).take(pa.array([k[0] for k in keep], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([k[1].tobytes() for k in keep], pa.binary())], ["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([k[1] for k in keep], pa.binary())], ["vec_id", "v"])
 
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null").mapInArrow(run, "vec_id long, v binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return rectangle([np.frombuffer(x, dtype=np.float64) for x in column.to_pylist()])
+    """Unit vectors in double precision."""
+    return units(rectangle([unpacked(x) for x in column.to_pylist()]))
 
 
-def candidate_links(units: DataFrame, passes: int, window: int, cosine: float) -> DataFrame:
+def candidate_links(vectors: DataFrame, passes: int, window: int, cosine: float) -> DataFrame:
     """a, b: verified pairs that join up what the passes find (a spanning forest of each piece).
 
     Each pass orders all vectors by the concatenated signs of its own hyperplanes and compares
@@ -50,7 +51,7 @@ def candidate_links(units: DataFrame, passes: int, window: int, cosine: float) -
     many vectors with one code are spread like others.  Rows on either side of a cut are not
     compared in that pass; the other passes cut elsewhere.
     """
-    spark = units.sparkSession
+    spark = vectors.sparkSession
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -100,7 +101,7 @@ def candidate_links(units: DataFrame, passes: int, window: int, cosine: float) -
             pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    coded = units.mapInArrow(code, "pass int, code long, vec_id long, v binary")
+    coded = vectors.mapInArrow(code, "pass int, code long, vec_id long, v binary")
     ranged = coded.repartitionByRange(partitions(spark), "pass", "code", "vec_id").sortWithinPartitions("pass", "code", "vec_id")
     return ranged.mapInArrow(sweep, "a long, b long")
 
@@ -157,8 +158,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = 24, w
     vec_id links with nothing.  No rows: no rows.
     """
     spark = vectors.sparkSession
-    units = unit_vectors(vectors)
-    one = units.groupBy("vec_id").agg(F.min("v").alias("v"))
+    found = usable_vectors(vectors)
+    one = found.groupBy("vec_id").agg(F.min("v").alias("v"))
     held = materialise(one)
     classes = materialise(held.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
     joined = components(candidate_links(classes.select(F.col("node").alias("vec_id"), "v"), passes, window, cosine))
