@@ -119,6 +119,7 @@ class Gathered:
     def clear(self) -> None:
         self.size = 0
         self.seen: dict[bytes, list] = {}
+        self.whole: dict[bytes, int] = {}  # of hot super-k-mers, the smallest id so far
         self.known: list[tuple[int, int, int]] = []
 
     def add(self, ids: list[int], texts: list[str | None]) -> None:
@@ -147,8 +148,13 @@ class Gathered:
             got[0], got[1] = i, [s]
 
     def _single(self, buffer: bytes, ids: list[int], doc, start, count, begin, end) -> None:
-        """Windows of hot minimisers go one by one to the bucket of their own hash."""
+        """Windows of hot minimisers go one by one to the bucket of their own hash; those of copies that
+        a smaller id here has too are known at once."""
         for d, s, c, b, e in zip(doc.tolist(), start.tolist(), count.tolist(), begin.tolist(), end.tolist(), strict=True):
+            if self.whole.get(buffer[b:e], ids[d]) < ids[d]:
+                self.known.append((ids[d], s, c))
+                continue
+            self.whole[buffer[b:e]] = ids[d]
             words = buffer[b:e].split()
             for k in range(c):
                 string = b" ".join(words[k : k + self.window])

@@ -210,6 +210,7 @@ class _Gathered:
     def clear(self) -> None:
         self.size = 0
         self.seen: dict[bytes, list] = {}
+        self.whole: dict[bytes, tuple[int, int] | None] = {}  # of hot runs, where one stands that is not known yet
         self.known: list[tuple[int, int, int]] = []
 
     def add(self, ids: list[int], texts: list[str | None]) -> None:
@@ -219,7 +220,13 @@ class _Gathered:
         self.size += len(buffer)
         single = np.isin(h, self.hot).tolist() if len(self.hot) else [False] * len(h)
         for d, s, c, b, a, m, one in zip(doc.tolist(), start.tolist(), count.tolist(), begin.tolist(), offset.tolist(), (h % np.uint64(self.buckets)).tolist(), single, strict=True):
-            if one:  # windows of a hot anchor go by themselves, as digests, to the bucket of their own bytes
+            if one and (string := buffer[b : b + c + self.width - 1]) in self.whole:  # all of it repeats
+                self.known.append((ids[d], s, len(string)))
+                if first := self.whole[string]:
+                    self.known.append((*first, len(string)))
+                    self.whole[string] = None
+            elif one:  # windows of a hot anchor go by themselves, as digests, to the bucket of their own bytes
+                self.whole[string] = (ids[d], s)
                 for k in range(c):
                     digest = hashlib.blake2b(buffer[b + k : b + k + self.width], digest_size=16).digest()
                     self._one(digest, ids[d], s + k, 1, -1, zlib.crc32(digest) % self.buckets)
