@@ -21,7 +21,7 @@ WINDOW, PIECE = 13, 3
 #: Bytes of text that are hashed at once, and that a task gathers before it sends super-k-mers on.
 CHUNK, FLUSH = 1 << 20, 8 << 20
 #: Buckets for each shuffle partition: one bucket is sorted at a time.
-FINER = 16
+FINER = 12
 
 
 def buffer_of(texts: list[str | bytes | None]) -> tuple[bytes, np.ndarray]:
@@ -59,7 +59,7 @@ def super_kmers(buffer: bytes, at: np.ndarray, window: int, piece: int):
 
 
 def pack_parts(parts: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(struct.pack("<q", len(p)) + p for p in parts))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(struct.pack("<q", len(p)) + p for p in parts))
 
 
 def unpack_parts(blob: bytes) -> list[bytes]:
