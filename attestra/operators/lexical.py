@@ -78,6 +78,8 @@ def ranked(found: DataFrame, k: int | None, score: str = "score") -> DataFrame:
 
 #: Words that one pass over the chunks looks for; the bound of what is sent to every task.
 WORDS_AT_ONCE = 50_000
+#: As many claims with at most eight keywords each.
+CLAIMS_AT_ONCE = 5_000
 
 
 def _finder(words: list[str]) -> Callable[[str], Iterable[str]]:
@@ -117,22 +119,54 @@ def words_held(words: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.where(F.size("words") > 0)
 
 
+def leading_words(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    """claim_id, id, level, n: how many leading keywords of a claim a chunk holds, where it holds the
+    first.  claims: claim_id, kws.
+
+    Each pass sends at most CLAIMS_AT_ONCE claims to the tasks.  A text's words are found in one pass
+    over it, and only claims whose first keyword is among them are looked at.
+    """
+    spark = claims.sparkSession
+    blocks = max(1, -(-claims.count() // CLAIMS_AT_ONCE))
+    texts = chunks.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low")).where("low is not null")
+    found = None
+    for i in range(blocks):
+        part = claims if blocks == 1 else claims.where(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)) == i)
+        sent = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in part.select("claim_id", "kws").collect()])
+
+        def find(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            held_by = _finder(sorted({w for _, kws in sent.value for w in kws}))
+            by_first: dict[str, list] = {}
+            for claim, kws in sent.value:
+                by_first.setdefault(kws[0], []).append((claim, kws))
+            for b in batches:
+                rows: list[tuple] = []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    held = set(held_by(t))
+                    for word in held & by_first.keys():
+                        for claim, kws in by_first[word]:
+                            level = next((k for k, w in enumerate(kws) if w not in held), len(kws))
+                            rows.append((claim, i, level, len(kws)))
+                cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["claim_id", "id", "level", "n"])
+
+        one = texts.mapInArrow(find, "claim_id long, id long, level int, n int")
+        found = one if found is None else found.union(one)
+    return found
+
+
 def all_keyword_search(claims: DataFrame, keywords: Column, chunks: DataFrame, k: int = 50, enough: int = 3) -> DataFrame:
     """claim_id, id, level, score, rank: chunks that hold the first n keywords of a claim.
 
     n falls from all keywords until ``enough`` chunks hold the first n.  In closed form: each
     chunk has a level, the number of leading keywords it holds; the search stops at the largest
-    level that so many chunks reach, or at one.  Every hit holds the first keyword, so claims and chunks
-    meet by an equi-join on it.
+    level that so many chunks reach, or at one.
     claims: claim_id; chunks: id, text.
     """
     asked = claims.select("claim_id", keywords.alias("kws")).where(F.size("kws") > 0)
-    held = words_held(asked.select(F.explode("kws").alias("word")).distinct(), chunks)
-    first = asked.select("claim_id", "kws", F.element_at("kws", 1).alias("word"))
-    hits = first.join(held.select("id", "words", F.explode("words").alias("word")), "word")
-    miss = F.array_position(F.transform("kws", lambda kw: F.array_contains("words", kw)), False)
-    level = F.when(miss == 0, F.size("kws")).otherwise(miss - 1)
-    leveled = hits.select("claim_id", "id", level.cast("int").alias("level"), F.size("kws").alias("n"))
+    # read twice: for the level at which a claim stops, and for its hits
+    leveled = leading_words(asked, chunks).persist()
     per = leveled.groupBy("claim_id", "level").agg(F.count("*").alias("c"))
     reach = F.sum("c").over(Window.partitionBy("claim_id").orderBy(F.desc("level")))
     stop = per.withColumn("reach", reach).where(F.col("reach") >= enough).groupBy("claim_id").agg(F.max("level").alias("stop"))
