@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by sorted projection passes."""
+"""Embedding near-duplicates by sorted projection passes and exact completion."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bound_batches, components, materialise, partitions, runs_of_key, table
+from attestra.llm.common import bound_batches, components, materialise, partitions, table
 from attestra.llm.vectors import packed, rectangle, units, unpacked, usable
 
-#: Vectors of one component whose links are counted against each other at once.
-BLOCK = 256
+#: Bytes of vectors that every vector meets in one pass; the bound of what is sent to every task.
+SENT_BYTES = 8 << 20
+#: Vectors of a task that meet those at once.
+SLICE = 128
 
 
 def planes(passes: int, dim: int, bits: int = 63, seed: int = 5) -> np.ndarray:
@@ -106,43 +108,63 @@ def candidate_links(vectors: DataFrame, passes: int, window: int, cosine: float)
     return ranged.mapInArrow(sweep, "a long, b long")
 
 
-def counted_links(members: DataFrame, cosine: float) -> DataFrame:
-    """vec_id, n: exact number of other vectors of the same component at ``cosine`` or nearer.
+def all_links(members: DataFrame, cosine: float) -> DataFrame:
+    """vec_id, a, b, n: n other vectors of piece b are at ``cosine`` or nearer to vec_id, which is of piece a.
 
-    members: component, vec_id, v, copies.  A component is cut into blocks by hash; each
-    pair of blocks is one task's work, so a component of any size is spread.
+    members: component, vec_id, v, copies.  Exact: every vector meets every other.  Each pass sends the
+    vectors of one hash block to the tasks, which read all vectors once, so nothing is shuffled or
+    repeated.  Products are in single precision; those within its error of ``cosine`` are
+    decided in double precision.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    cut = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sent = cut.withColumn("other", other).select(
-        F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "v", "copies",
-    )
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs_of_key(batches, "key", 4 * BLOCK):
-            t = t.sort_by([("component", "ascending"), ("low", "ascending"), ("high", "ascending"), ("block", "ascending")])
-            names = np.stack([t[c].to_numpy() for c in ("component", "low", "high")], axis=1)
-            edge = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
-            got = np.zeros(t.num_rows, dtype=np.int64)
-            copies, block = t["copies"].to_numpy(), t["block"].to_numpy()
-            for a, z in zip([0, *edge.tolist()], [*edge.tolist(), t.num_rows], strict=True):
-                x = _matrix(t["v"].slice(a, z - a))
-                first = block[a:z] == names[a, 1]
-                if names[a, 1] == names[a, 2]:
-                    near = x @ x.T >= cosine
-                    np.fill_diagonal(near, False)
-                    got[a:z] = near @ copies[a:z]
-                else:
-                    near = x[first] @ x[~first].T >= cosine
-                    part = got[a:z]
-                    part[first] = near @ copies[a:z][~first]
-                    part[~first] = near.T @ copies[a:z][first]
-            yield pa.RecordBatch.from_arrays([t["vec_id"].combine_chunks(), pa.array(got)], ["vec_id", "n"])
-
-    found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(count, "vec_id long, n long")
-    return found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    spark = members.sparkSession
+    size = members.agg(F.count("*"), F.max(F.length("v"))).first()
+    blocks = -(-(size[0] * (size[1] or 0)) // SENT_BYTES)
+    kind = "vec_id long, a long, b long, n long"
+    found = spark.createDataFrame([], kind)
+    for k in range(blocks):
+        rows = members.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select("vec_id", "component", "copies", "v").collect()
+        if not rows:
+            continue
+        pieces, piece = np.unique(np.array([r[1] for r in rows]), return_inverse=True)
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), pieces, piece, np.array([r[2] for r in rows]), rectangle([unpacked(r[3]) for r in rows])))
+
+        def meet(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, pieces, piece, copies, y = sent.value
+            y = units(y)
+            single = y.astype(np.float32)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own, mine = b.column(0).to_numpy(), b.column(1).to_numpy()
+                x = _matrix(b.column(2))
+                width = min(x.shape[1], y.shape[1])  # beyond it one of them is zero
+                slack = (width + 8) * 2.0**-22
+                out = []
+                for start in range(0, len(x), SLICE):
+                    part = x[start : start + SLICE, :width]
+                    s = part.astype(np.float32) @ single[:, :width].T
+                    i, j = np.divmod(np.flatnonzero(s >= cosine - slack), len(ids))
+                    close = np.flatnonzero(s[i, j] < cosine + slack)
+                    keep = own[start + i] != ids[j]
+                    for c in range(0, len(close), 1 << 16):
+                        at = close[c : c + (1 << 16)]
+                        keep[at] &= np.einsum("ij,ij->i", part[i[at]], y[j[at], :width]) >= cosine
+                    i, j = i[keep], j[keep]
+                    if not len(i):
+                        continue
+                    there = np.flatnonzero(np.bincount(piece[j], minlength=len(pieces)))
+                    place = np.zeros(len(pieces), dtype=np.int64)
+                    place[there] = np.arange(len(there))
+                    n = np.bincount(i * len(there) + place[piece[j]], weights=copies[j], minlength=len(part) * len(there)).astype(np.int64)
+                    hit = np.flatnonzero(n)
+                    out.append((own[start + hit // len(there)], mine[start + hit // len(there)], pieces[there[hit % len(there)]], n[hit]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["vec_id", "a", "b", "n"])
+
+        part = materialise(members.select("vec_id", "component", "v").mapInArrow(meet, kind))
+        sent.unpersist()
+        found = found.union(part)
+    return found
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = 24, window: int = 32) -> DataFrame:
@@ -150,8 +172,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = 24, w
 
     Equal vectors are one, with their number; they link with each other.  Passes find pairs by
     sorted random projections and verify each by its cosine in double precision; they join
-    up by components; then every component's links are counted exactly.  Pairs that no pass
-    brings within a window, and no chain of others, are missed: measured recall is in the README.
+    up by pieces.  Then all vectors meet, so every link is counted and pieces that a link joins are
+    one component.  The result is exact whatever passes and window are: they only keep the pieces few.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing.  A vec_id that
     comes with several rows gets one row for each, all of one node of the smallest such vector; a null
@@ -163,9 +185,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = 24, w
     held = materialise(one)
     classes = materialise(held.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
     joined = components(candidate_links(classes.select(F.col("node").alias("vec_id"), "v"), passes, window, cosine))
-    members = classes.join(joined, "node").select("component", F.col("node").alias("vec_id"), "v", "copies")
-    counts = counted_links(members, cosine).withColumnRenamed("vec_id", "node")
-    per = classes.join(joined, "node", "left").join(counts, "node", "left").select("v", F.coalesce("component", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    members = materialise(classes.join(joined, "node", "left").select(F.coalesce("component", "node").alias("component"), F.col("node").alias("vec_id"), "v", "copies"))
+    links = all_links(members, cosine)
+    counts = links.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    whole = components(links.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    per = members.join(whole, "component", "left").join(counts, "vec_id", "left").select("v", F.coalesce("whole", "component").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = held.join(per, "v").select(F.col("vec_id").alias("_id"), "n_links", "component_id")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = ids.join(found, F.col("vec_id") == F.col("_id"), "left")

@@ -59,6 +59,27 @@ def test_one_large_group(spark):
     assert (out.n_links == 699).all() and (out.component_id == 0).all() and out.kept.sum() == 1
 
 
+def test_crowded_cone(spark):
+    """Pairs at cosine 0.905 among vectors that are at 0.8 to each other, which no window of a pass parts."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((2000, 64))
+    x[:, 0] = 0
+    x = np.sqrt(0.2) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] = np.sqrt(0.8)
+    for i in range(150):
+        z = rng.standard_normal(64)
+        z -= (z @ x[i]) * x[i]
+        x[1999 - i] = 0.905 * x[i] + np.sqrt(1 - 0.905**2) * z / np.linalg.norm(z)
+    rows = [(i, [float(v) for v in x[i]], 0, 0, "") for i in range(2000)]
+    u = unit(rows)
+    m = np.stack([u[i] for i in range(2000)])
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).toPandas().sort_values("vec_id")
+    assert out.n_links.tolist() == near.sum(1).tolist()
+    assert out.component_id.tolist() == union_find(2000, np.argwhere(near).tolist())
+
+
 def best(rows, every=100, k=10):
     v = {}
     for i, x, *_ in rows:
