@@ -78,6 +78,17 @@ def _seeds() -> tuple[dict[bytes, list[tuple[int, int]]], list]:
     return seeds, patterns
 
 
+def _places(pattern: regex.Pattern, flat: bytes, a: int, z: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """start, end, edits of places in flat[a:z].  A search returns the best place of all that it is
+    given, so what lies before it is searched like what lies behind."""
+    parts = [(a, z)]
+    while parts:
+        a, z = parts.pop()
+        if z - a >= least and (m := pattern.search(flat, a, z)):
+            yield m.start(), m.end(), sum(m.fuzzy_counts)
+            parts += [(a, m.start()), (m.end(), z)]
+
+
 def notices(flat: bytes) -> list[tuple[int, int, int, int]]:
     """notice, start, end, edits of verified places in a text whose white space is single blanks."""
     seeds, patterns = _seeds()
@@ -100,8 +111,7 @@ def notices(flat: bytes) -> list[tuple[int, int, int, int]]:
             else:
                 merged.append([a, z])
         for a, z in merged:
-            for m in patterns[i].finditer(flat, a, min(z, len(flat))):
-                out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+            out += [(i, *x) for x in _places(patterns[i], flat, a, min(z, len(flat)), len(names[i]) - allowed(names[i]))]
     # of notices that overlap, the one with the smallest share of edits
     kept: list[tuple[int, int, int, int]] = []
     for x in sorted(out, key=lambda x: (x[3] / len(names[x[0]]), -len(names[x[0]]), x[1], x[0])):

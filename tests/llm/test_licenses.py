@@ -48,6 +48,14 @@ def test_of_overlapping_notices_the_closest_stays():
     assert notices(b"permission is granted to copy") == []
 
 
+def test_an_edited_notice_before_a_better_one_has_its_place():
+    edited, whole = "licensed under the apache licence, version 2.0", "licensed under the apache license, version 2.0"
+    for text, edits in ((f"{edited} {whole}", [1, 0]), (f"{edited} {edited} {whole} {edited}", [1, 1, 0, 1]), (f"{whole} {edited}", [0, 1])):
+        spans = scan(text)["spans"]
+        assert [x["edits"] for x in spans] == edits
+        assert [text[x["start_byte"] : x["end_byte"]] for x in spans] == [edited if e else whole for e in edits]
+
+
 def test_table(spark):
     rows = documents(1, 30) + [(None, "mit license", None, None, None, 1, "", 0.0, "", "", "")]
     rows += rows[3:5]
