@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,17 @@ from attestra.llm.common import NO_ID, bound_batches, by_place, partitions, tabl
 
 #: Words of a window, and of the pieces of it whose smallest hash is its minimiser.
 WINDOW, PIECE = 13, 3
-#: Bytes of text that are hashed at once, and that a task gathers before it sends super-k-mers on.
-CHUNK, FLUSH = 1 << 20, 8 << 20
-#: Buckets for each shuffle partition: one bucket is sorted at a time.
+#: Bytes of text that are hashed at once, and that a task gathers before it sends super-k-mers on; entries that it gathers.
+CHUNK, FLUSH, ENTRIES = 1 << 20, 8 << 20, 300_000
+#: Buckets for each shuffle partition at least: one bucket is sorted at a time.
 FINER = 12
+#: Bytes of strings that a bucket is to hold, and over which it is read in several passes by content.
+BUCKET, MOST = 6 << 20, 24 << 20
+#: Bytes of strings for each byte of text, about, and such bytes for each shuffle partition at most.
+COPIES, PART = 3.3, 1 << 30
+#: A span is its first place << SHIFT | its length; longer ones are several spans.
+SHIFT = 28
+LONGEST = (1 << SHIFT) - 1
 
 
 def buffer_of(texts: list[str | bytes | None]) -> tuple[bytes, np.ndarray]:
@@ -32,22 +39,42 @@ def buffer_of(texts: list[str | bytes | None]) -> tuple[bytes, np.ndarray]:
     return b"\n".join(raw) + b"\n", at
 
 
-def super_kmers(buffer: bytes, at: np.ndarray, window: int, piece: int):
-    """Runs of windows of one document that share a minimiser.
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Words with one blank after each, and where each begins (and the end).  A gap follows each word."""
+    keep = ~bh.SPACE[data]
+    keep[ends] = True
+    out = data[keep]
+    at = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts + 1, out=at[1:])
+    out[at[1:] - 1] = 32
+    return out.tobytes(), at
 
-    Returns document, first word, windows, begin and end byte, and minimiser of each run, and the
-    number of the first word of each document.
-    """
+
+@dataclass
+class SuperKmers:
+    """Runs of windows of one document that share a minimiser, over the words of a buffer."""
+
+    doc: np.ndarray  # document
+    start: np.ndarray  # first word in the document
+    word: np.ndarray  # first word in the buffer
+    count: np.ndarray  # windows
+    least: np.ndarray  # minimiser
+    starts: np.ndarray  # of the buffer's words
+    ends: np.ndarray
+    hashes: np.ndarray  # running sums of the words' hashes
+
+
+def super_kmers(buffer: bytes, at: np.ndarray, window: int, piece: int) -> SuperKmers:
     data = np.frombuffer(buffer, dtype=np.uint8)
     starts, ends = bh.words(data)
-    doc = np.searchsorted(at, starts, side="right") - 1
-    first = np.searchsorted(starts, at[:-1])
     n = len(starts) - window + 1
+    pre = bh.prefix(bh.word_hashes(data, starts, ends))
     if n <= 0:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z, z.view(np.uint64), first
-    word = bh.word_hashes(data, starts, ends)
-    least = bh.sliding_min(bh.fixed(bh.prefix(word), piece), window - piece + 1)[:n]
+        return SuperKmers(z, z, z, z, z.view(np.uint64), starts, ends, pre)
+    doc = np.searchsorted(at, starts, side="right") - 1
+    first = np.searchsorted(starts, at[:-1])
+    least = bh.sliding_min(bh.fixed(pre, piece), window - piece + 1)[:n]
     whole = doc[:n] == doc[window - 1 :]
     new = np.ones(n, dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | ~whole[:-1] | (doc[1:n] != doc[: n - 1])
@@ -55,7 +82,27 @@ def super_kmers(buffer: bytes, at: np.ndarray, window: int, piece: int):
     # a run goes on to where the next begins, or windows stop being whole
     stop = np.append(np.flatnonzero(new | ~whole), n)
     end = stop[np.searchsorted(stop, begin, side="right")]
-    return doc[begin], begin - first[doc[begin]], end - begin, starts[begin], ends[end + window - 2], least[begin], first
+    return SuperKmers(doc[begin], begin - first[doc[begin]], begin, end - begin, least[begin], starts, ends, pre)
+
+
+def word_pieces(ids: list[int], texts: list[str | None], window: int, size: int) -> tuple[list[int], list[bytes], np.ndarray]:
+    """ids, bytes and first words of texts; long ones in pieces that overlap so that each window is in
+    one piece.  A window's minimiser depends on the window alone, so pieces change nothing."""
+    out: tuple[list, list, list] = ([], [], [])
+    for i, t in zip(ids, texts, strict=True):
+        raw, at, word = (t or "").encode("utf-8", "surrogatepass"), 0, 0
+        while len(raw) - at > size:
+            starts, ends = bh.words(np.frombuffer(raw, dtype=np.uint8, count=size, offset=at))
+            if len(starts) <= window:  # words of such length: all that is left at once
+                break
+            n = len(starts) - 1  # the last word may go on
+            for one, x in zip(out, (i, raw[at : at + int(ends[n - 1])], word), strict=True):
+                one.append(x)
+            word += n - window + 1
+            at += int(starts[n - window + 1])
+        for one, x in zip(out, (i, raw[at:] if at else raw, word), strict=True):
+            one.append(x)
+    return out[0], out[1], np.array(out[2], dtype=np.int64)
 
 
 def pack_parts(parts: list[bytes]) -> bytes:
@@ -72,9 +119,8 @@ def unpack_parts(blob: bytes) -> list[bytes]:
     return parts
 
 
-def _pack(ids: list[int], starts: list[list[int]], counts: list[int], strings: list[bytes]) -> bytes:
-    numbers = [np.diff(np.array(ids, np.int64), prepend=np.int64(0)), np.array([len(s) for s in starts], np.int32), np.array(counts, np.int32), np.array([x for s in starts for x in s], np.int64)]
-    return pack_parts([*(n.tobytes() for n in numbers), b"\n".join(strings) + b"\n"])
+def _pack(ids: np.ndarray, many: np.ndarray, counts: np.ndarray, starts: np.ndarray, strings: bytes) -> bytes:
+    return pack_parts([np.diff(ids, prepend=np.int64(0)).tobytes(), many.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), starts.tobytes(), strings])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -82,7 +128,15 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(np.frombuffer(p[0], np.int64)), np.frombuffer(p[1], np.int32), np.frombuffer(p[2], np.int32), np.frombuffer(p[3], np.int64), p[4]
 
 
-def merged(spans: list[tuple[int, int, int]]) -> np.ndarray:
+def encoded(ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids and spans; runs of any length."""
+    times = np.maximum(1, -(-length // LONGEST))
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    first, left = np.repeat(first, times) + nth * LONGEST, np.repeat(length, times) - nth * LONGEST
+    return np.repeat(ids, times), first << SHIFT | np.minimum(left, LONGEST)
+
+
+def merged(spans: list[tuple[int, int, int]] | np.ndarray) -> np.ndarray:
     """Rows of ids, first places and lengths of the union of (id, first place, length)."""
     a = np.array(spans, dtype=np.int64).reshape(-1, 3)
     a = a[np.lexsort((a[:, 1], a[:, 0]))]
@@ -96,20 +150,42 @@ def merged(spans: list[tuple[int, int, int]]) -> np.ndarray:
     return np.stack((a[first, 0], a[first, 1], (end[last] - start[first]) if len(a) else first))
 
 
-def known_rows(known: list[tuple[int, int, int]], buckets: int) -> list[tuple[int, int, bytes]]:
-    """Packed rows of kind 1, spread over the buckets."""
-    if not known:
+def known_rows(known: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Packed rows of kind 1, spread over the buckets, of rows of ids, first places and lengths."""
+    if not known.size:
         return []
-    k = merged(known)
+    k = merged(known.T)
     return [((int(k[1, j]) + j) % buckets, 1, zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(k[:, j : j + 50_000]).tobytes())) for j in range(0, k.shape[1], 50_000)]
 
 
+def equal_runs(text: bytes, bucket: np.ndarray, h: np.ndarray, ids: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by bucket, string, id and start, and whether each is the first of its string.  Hashes
+    find equal strings, bytes confirm them; where they differ nothing is joined."""
+    order = np.lexsort((start, ids, h, bucket))
+    b, hs = bucket[order], h[order]
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (b[1:] != b[:-1]) | (hs[1:] != hs[:-1])
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    rest = np.flatnonzero(~head)
+    bad: list[int] = []
+    for k in range(0, len(rest), 50_000):
+        part = rest[k : k + 50_000]
+        here, there = order[part], order[lead[part]]
+        places = (x.tolist() for x in (part, begin[here], end[here], begin[there], end[there]))
+        bad += [r for r, a, z, c, d in zip(*places, strict=True) if text[a:z] != text[c:d]]
+    if bad:
+        head[np.isin(lead, lead[bad])] = True
+    return order, head
+
+
 class Gathered:
-    """Super-k-mers of a task until they are sent.
+    """Super-k-mers of a task until they are sent: numbers in arrays over the words of its chunks, no
+    object for each.
 
     Equal ones travel once, with the smallest id; the others are known to be repeats and go
     straight to the answer.  So copies of a passage reach its bucket at most once from each
-    task, however many there are.
+    task, however many there are.  Windows of hot minimisers go one by one, to the bucket of
+    their own hash.
     """
 
     def __init__(self, buckets: int, window: int, piece: int, hot: frozenset[int]) -> None:
@@ -117,59 +193,62 @@ class Gathered:
         self.clear()
 
     def clear(self) -> None:
-        self.size = 0
-        self.seen: dict[bytes, list] = {}
-        self.whole: dict[bytes, int] = {}  # of hot super-k-mers, the smallest id so far
-        self.known: list[tuple[int, int, int]] = []
+        self.size = self.entries = 0
+        self.chunks: list[bytes] = []
+        self.columns: list[tuple[np.ndarray, ...]] = []
+
+    def full(self) -> bool:
+        return self.size >= FLUSH or self.entries >= ENTRIES
 
     def add(self, ids: list[int], texts: list[str | None]) -> None:
-        buffer, at = buffer_of(texts)
-        self.size += len(buffer)
-        doc, start, count, begin, end, least, _ = super_kmers(buffer, at, self.window, self.piece)
-        if len(self.hot) and len(doc):
-            hot = np.isin(least, self.hot)
-            if hot.any():
-                self._single(buffer, ids, *(x[hot] for x in (doc, start, count, begin, end)))
-                doc, start, count, begin, end, least = (x[~hot] for x in (doc, start, count, begin, end, least))
-        bucket = (least % np.uint64(self.buckets)).tolist()
-        for d, s, c, b, e, m in zip(doc.tolist(), start.tolist(), count.tolist(), begin.tolist(), end.tolist(), bucket, strict=True):
-            self._one(buffer[b:e], ids[d], s, c, m)
-
-    def _one(self, string: bytes, i: int, s: int, c: int, m: int) -> None:
-        got = self.seen.get(string)
-        if got is None:
-            self.seen[string] = [i, [s], c, m]
-        elif got[0] == i:
-            got[1].append(s)
-        elif got[0] < i:
-            self.known.append((i, s, c))
-        else:
-            self.known.extend((got[0], x, c) for x in got[1])
-            got[0], got[1] = i, [s]
-
-    def _single(self, buffer: bytes, ids: list[int], doc, start, count, begin, end) -> None:
-        """Windows of hot minimisers go one by one to the bucket of their own hash; those of copies that
-        a smaller id here has too are known at once."""
-        for d, s, c, b, e in zip(doc.tolist(), start.tolist(), count.tolist(), begin.tolist(), end.tolist(), strict=True):
-            if self.whole.get(buffer[b:e], ids[d]) < ids[d]:
-                self.known.append((ids[d], s, c))
-                continue
-            self.whole[buffer[b:e]] = ids[d]
-            words = buffer[b:e].split()
-            for k in range(c):
-                string = b" ".join(words[k : k + self.window])
-                self._one(string, ids[d], s + k, 1, zlib.crc32(string) % self.buckets)
+        ids, raw, shift = word_pieces(ids, texts, self.window, 4 * CHUNK)
+        buffer, at = buffer_of(raw)
+        found = super_kmers(buffer, at, self.window, self.piece)
+        words, place = spaced(np.frombuffer(buffer, dtype=np.uint8), found.starts, found.ends)
+        doc, start, word, count = found.doc, found.start, found.word, found.count
+        key = bh.ranges(found.hashes, word, word + count + self.window - 1)
+        spot = found.least
+        if len(self.hot) and (hot := np.isin(found.least, self.hot)).any():
+            each = np.where(hot, count, 1)
+            inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            hot, doc, start, word, count, key, spot = (np.repeat(x, each) for x in (hot, doc, start, word, count, key, spot))
+            start, word, count = start + inside, word + inside, np.where(hot, 1, count)
+            own = np.flatnonzero(hot)
+            key[own] = spot[own] = bh.ranges(found.hashes, word[own], word[own] + self.window)
+        begin, end = place[word] + self.size, place[word + count + self.window - 1] + self.size
+        owner = np.array(ids, dtype=np.int64)[doc]
+        self.columns.append((owner, start + shift[doc], count.astype(np.int32), begin, end, key, (spot % np.uint64(self.buckets)).astype(np.int32)))
+        self.chunks.append(words)
+        self.size += len(words)
+        self.entries += len(owner)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        by: dict[int, tuple[list, list, list, list]] = {}
-        for string, (i, s, c, m) in self.seen.items():
-            lists = by.setdefault(m, ([], [], [], []))
-            for one, x in zip(lists, (i, s, c, b" ".join(string.split())), strict=True):
-                one.append(x)
-        rows = [(m, 0, _pack(*lists)) for m, lists in by.items()]
-        rows += known_rows([(i, x, c + self.window - 1) for i, x, c in self.known], self.buckets)
+        owner, start, count, begin, end, key, bucket = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+        text = b"".join(self.chunks)
         self.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "packed"])
+        order, head = equal_runs(text, bucket, key, owner, start, begin, end)
+        first, sorted_ids = np.flatnonzero(head), owner[order]
+        own = sorted_ids == sorted_ids[first][np.cumsum(head) - 1]
+        later = order[~own]
+        known = known_rows(np.stack((owner[later], start[later], count[later] + self.window - 1)), self.buckets)
+        many = np.add.reduceat(own.astype(np.int64), first) if len(first) else first
+        flat, at = start[order][own], np.cumsum(many) - many
+        lead = order[first]
+        by = np.lexsort((start[lead], owner[lead], bucket[lead]))
+        lead, many, at = lead[by], many[by], at[by]
+        flat = flat[np.arange(int(many.sum())) + np.repeat(at - (np.cumsum(many) - many), many)]
+        upto = np.append(0, np.cumsum(many))
+        edge = np.flatnonzero(np.diff(bucket[lead], prepend=-1, append=-1))
+        packed = []
+        for a, z in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            some = lead[a:z]
+            strings = b"".join([text[i:j] for i, j in zip(begin[some].tolist(), end[some].tolist(), strict=True)])
+            packed.append((int(bucket[some[0]]), 0, _pack(owner[some], many[a:z], count[some], flat[upto[a] : upto[z]], strings)))
+        yield rows_batch(packed + known)
+
+
+def rows_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "packed"])
 
 
 def in_chunks(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[list[int], list[str | None]]]:
@@ -191,12 +270,13 @@ def in_chunks(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[
 
 def _scatter(buckets: int, window: int, piece: int, hot: frozenset[int]):
     """Texts to packed super-k-mers (kind 0) by bucket, and known repeats (kind 1)."""
+    hot = np.array(sorted(hot), dtype=np.uint64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered(buckets, window, piece, hot)
         for ids, texts in in_chunks(batches):
             held.add(ids, texts)
-            if held.size >= FLUSH:
+            if held.full():
                 yield from held.rows()
         if held.size:
             yield from held.rows()
@@ -204,16 +284,33 @@ def _scatter(buckets: int, window: int, piece: int, hot: frozenset[int]):
     return run
 
 
-def hot_keys(docs: DataFrame, keys, documents: int = 20_000, share: float = 0.01, least: int = 50) -> frozenset[int]:
-    """Minimisers that stand in over ``share`` of a bounded sample of documents (the first by hash).
+def text_sizes(docs: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of all texts."""
+    row = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
+def layout(spark: SparkSession, size: int, copies: float = COPIES) -> tuple[int, int]:
+    """Shuffle partitions and buckets for so many bytes of text.  A bucket is what a task holds at once,
+    so its bytes stay the same however large the input is."""
+    n = max(partitions(spark), int(size * copies / PART) + 1)
+    return n, max(FINER * n, int(size * copies / BUCKET) + 1)
+
+
+def hot_keys(docs: DataFrame, keys, total: int, size: int, documents: int = 20_000, share: float = 0.01, least: int = 50, most: int = 1_000_000) -> frozenset[int]:
+    """Minimisers that stand in over ``share`` of a bounded sample of documents (the first by hash), or
+    that ``most`` keys of equal weight would not reach: so no key that travels whole has many more than
+    a ``most``-th of all super-k-mers, and at most about ``most`` keys are sent to the tasks.
 
     They only decide the way that windows take to a bucket, never the result: windows of hot
     minimisers travel one by one.  keys(texts) gives the minimisers of some texts.
     """
-    total = docs.count()
     if not total:
         return frozenset()
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, documents / total)))
+    # super-k-mers have some 36 bytes of text of their own; one key is to have as many, by estimate
+    bound = max(20_000, size // 36 // most)
+    part = min(1.0, max(documents / total, 2 * least / bound))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1_000_000 * part))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_chunks(batches):
@@ -222,8 +319,8 @@ def hot_keys(docs: DataFrame, keys, documents: int = 20_000, share: float = 0.01
             k, n = np.unique(pair[:, 1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
-    counted = part.mapInArrow(run, "key long, n long")
-    at = max(least, int(share * min(total, documents)))
+    counted = some.mapInArrow(run, "key long, n long")
+    at = max(least, int(min(share * min(total, documents), bound * part)))
     return frozenset(r["key"] % 2**64 for r in counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= at).collect())
 
 
@@ -273,43 +370,75 @@ def repeats(ids: np.ndarray, count: np.ndarray, joined: bytes, window: int) -> l
     return list(zip(own[begin].tolist(), inside[begin].tolist(), (end - begin + window - 1).tolist(), strict=True))
 
 
-def _answer(window: int):
-    """Rows of a bucket to the runs of words to remove: doc_id, span = first word << 28 | words."""
+def residues(count: np.ndarray, joined: bytes, window: int, piece: int, hot: np.ndarray, passes: int) -> np.ndarray:
+    """Of each super-k-mer the pass that reads it: by its minimiser or, where that is hot, its only window."""
+    data = np.frombuffer(joined, dtype=np.uint8)
+    pre = bh.prefix(bh.word_hashes(data, *bh.words(data)))
+    size = count.astype(np.int64) + window - 1
+    word = np.cumsum(size) - size
+    pieces = np.append(bh.fixed(pre, piece), np.uint64(0))
+    edges = np.stack((word, word + size - piece + 1), axis=1).ravel()
+    least = np.minimum.reduceat(pieces, edges)[::2]
+    key = np.where(np.isin(least, hot), bh.ranges(pre, word, word + window), least)
+    return (bh.mix(key) % np.uint64(passes)).astype(np.int64)
 
-    def solve(blobs: list[bytes]) -> tuple[list[int], list[int]]:
-        parts = [_unpack(b) for b in blobs]
-        ids, many, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        flat = np.concatenate([p[3] for p in parts]).tolist()
-        at = (np.cumsum(many) - many).tolist()
-        out_ids: list[int] = []
-        out: list[int] = []
-        for k, offset, words in repeats(ids, count.astype(np.int64), b"".join(p[4] for p in parts), window):
-            for s in flat[at[k] : at[k] + int(many[k])]:
-                out_ids.append(int(ids[k]))
-                out.append((s + offset) << 28 | min(words, (1 << 28) - 1))
-        return out_ids, out
 
-    def batch(ids, spans) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "span"])
+def by_bucket(batches: Iterable[pa.RecordBatch], solve: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """doc_id, span of known repeats as they are, and of what ``solve`` finds in each bucket's packets."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        bucket = None
-        for b in batches:
-            for m, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind:
-                    k = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64).reshape(3, -1)
-                    yield batch(k[0], (k[1] << 28) | k[2])
-                    continue
-                if m != bucket and held:
-                    yield batch(*solve(held))
-                    held = []
-                bucket = m
-                held.append(blob)
-        if held:
-            yield batch(*solve(held))
+    def batch(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for ids, spans in found:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "span"])
 
-    return run
+    held: list[bytes] = []
+    bucket = None
+    for b in batches:
+        for m, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if kind:
+                yield from batch([encoded(*np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64).reshape(3, -1))])
+                continue
+            if m != bucket and held:
+                yield from batch(solve(held))
+                held = []
+            bucket = m
+            held.append(blob)
+    if held:
+        yield from batch(solve(held))
+
+
+def passes_of(blobs: list[bytes], most: int) -> int:
+    """In how many passes packets are read so that each holds about ``most`` bytes."""
+    return -(-sum(zstandard.frame_content_size(b) for b in blobs) // most)
+
+
+def _answer(window: int, piece: int, hot: frozenset[int], most: int = MOST):
+    """Rows of a bucket to the runs of words to remove: doc_id, span.  Large buckets are read several
+    times, each time for the super-k-mers of some minimisers."""
+    hot_ = np.array(sorted(hot), dtype=np.uint64)
+
+    def solve(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        passes = passes_of(blobs, most)
+        for p in range(passes):
+            parts = [_unpack(b) if passes == 1 else chosen(b, p, passes) for b in blobs]
+            ids, many, count, flat = (np.concatenate([x[k] for x in parts]) for k in range(4))
+            joined = b"".join(x[4] for x in parts)
+            del parts
+            found = np.array(repeats(ids, count.astype(np.int64), joined, window), dtype=np.int64).reshape(-1, 3)
+            k, times = found[:, 0], many[found[:, 0]]
+            at = (np.cumsum(many) - many)[k]
+            nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            start = flat[np.repeat(at, times) + nth] + np.repeat(found[:, 1], times)
+            yield encoded(np.repeat(ids[k], times), start, np.repeat(found[:, 2], times))
+
+    def chosen(blob: bytes, p: int, passes: int):
+        ids, many, count, flat, joined = _unpack(blob)
+        mine = residues(count, joined, window, piece, hot_, passes) == p
+        data = np.frombuffer(joined, dtype=np.uint8)
+        ends = bh.words(data)[1][np.cumsum(count.astype(np.int64) + window - 1) - 1] + 1
+        size = np.diff(ends, prepend=0)
+        return ids[mine], many[mine], count[mine], flat[np.repeat(mine, many)], data[np.repeat(mine, size)].tobytes()
+
+    return lambda batches: by_bucket(batches, solve)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
@@ -317,23 +446,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
     doc_id stands as NO_ID, after all others."""
     spark = docs.sparkSession
     bound_batches(spark, 1024)
-    n = partitions(spark)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total, size = text_sizes(texts)
+    n, buckets = layout(spark, size)
 
     def minimisers(some: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         found = super_kmers(*buffer_of(some), window, piece)
-        return found[0], found[5]
+        return found.doc, found.least
 
-    hot = hot_keys(texts, minimisers)
-    sent = texts.mapInArrow(_scatter(FINER * n, window, piece, hot), "bucket int, kind int, packed binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(window), "doc_id long, span long")
+    hot = hot_keys(texts, minimisers, total=total, size=size)
+    sent = texts.mapInArrow(_scatter(buckets, window, piece, hot), "bucket int, kind int, packed binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(window, piece, hot), "doc_id long, span long")
 
 
 def removed_words(n: int, spans: list[int] | None) -> np.ndarray:
     gone = np.zeros(n + 1, dtype=np.int32)
     for s in spans or ():
-        gone[s >> 28] += 1
-        gone[min(n, (s >> 28) + (s & 0xFFFFFFF))] -= 1
+        gone[min(n, s >> SHIFT)] += 1
+        gone[min(n, (s >> SHIFT) + (s & LONGEST))] -= 1
     return np.cumsum(gone[:n]) > 0
 
 
@@ -343,13 +473,27 @@ def with_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFr
     return docs.join(per, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == F.col("_of"), "left").drop("_of")
 
 
+def kept_words(raw: bytes, spans: list[int] | None) -> tuple[int, int, str]:
+    """Words, removed words, and the digest of the kept ones joined by blanks."""
+    if not spans and len(raw) <= CHUNK:
+        words = raw.split()
+        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
+    data = np.frombuffer(raw + b"\n", dtype=np.uint8)
+    starts, ends = bh.words(data)
+    gone = removed_words(len(starts), spans)
+    text, _ = spaced(data, starts, ends)
+    left = np.frombuffer(text, dtype=np.uint8)[np.repeat(~gone, ends - starts + 1)]
+    return len(starts), int(gone.sum()), hashlib.sha256(left[:-1].data).hexdigest()
+
+
 def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     Words that a window of 13 covers which starts in a document with a smaller id too are removed.
     Null and empty texts have no words; their digest is that of the empty string.  Rows with the same
-    id are one document for the order of ids, so none of them counts as earlier; they must hold
-    the same text.  A null id is the largest.  No rows: no rows.
+    id are one document for the order of ids, so none of them counts as earlier; the places of words
+    that any of them loses are lost in all of them, whether or not their texts are equal.  A null id is
+    the largest.  Long texts are hashed in pieces.  Extra columns are not read.  No rows: no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = with_spans(slim, repeated_spans(slim, window))
@@ -358,12 +502,9 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in batches:
             total, removed, digest = [], [], []
             for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                gone = removed_words(len(words), spans)
-                total.append(len(words))
-                removed.append(int(gone.sum()))
-                kept = words if not removed[-1] else [words[i] for i in np.flatnonzero(~gone).tolist()]
-                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                got = kept_words((text or "").encode("utf-8", "surrogatepass"), spans)
+                for one, x in zip((total, removed, digest), got, strict=True):
+                    one.append(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

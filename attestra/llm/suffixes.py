@@ -8,20 +8,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import bytehash as bh
-from attestra.llm.common import NO_ID, bound_batches, partitions, table
-from attestra.llm.substrings import FINER, FLUSH, buffer_of, hot_keys, in_chunks, known_rows, merged, pack_parts, unpack_parts, with_spans
-
-#: Bytes of a repeated string, and of the anchor (the piece with the smallest hash in it).
-WIDTH, ANCHOR = 400, 32
-#: Depth to which multikey quicksort goes, and the bytes that it compares at once.
+from attestra.llm.common import NO_ID, bound_batches, table
+from attestra.llm.substrings import (
+    ENTRIES, FLUSH, LONGEST, MOST, SHIFT, buffer_of, by_bucket, encoded, equal_runs, hot_keys, in_chunks, known_rows, layout, merged, pack_parts, passes_of, rows_batch, text_sizes,
+    unpack_parts, with_spans,
+)
+
+#: Bytes of a repeated string, and of the anchors: the piece with the smallest hash in it.  Windows whose
+#: anchor is frequent are told apart by the next, longer one.
+WIDTH, ANCHORS = 400, (32, 192)
+#: Depth behind the anchor to which multikey quicksort goes, and the bytes that it compares at once.
 SHALLOW, SYMBOL = 32, 8
 #: Windows of a long text that are hashed at once.
 SLICE = 1 << 20
+#: Bytes of strings for each byte of text, about.
+COPIES = 3.3
 _PLACE = np.uint64((1 << 34) - 1)
 
 
@@ -29,18 +34,20 @@ def anchored(texts: list[str | bytes | None], width: int, anchor: int):
     """Runs of windows of one document that share the place of their anchor.
 
     Returns the buffer, and of each run its document, first byte in it, number of windows, place in
-    the buffer, offset of the anchor, and the anchor's hash.
+    the buffer, offset of the anchor, the anchor's hash, and the hash of the whole run.
     """
     buffer, at = buffer_of(texts)
     data = np.frombuffer(buffer, dtype=np.uint8)
     n = len(data) - width + 1
     if n <= 0:
         z = np.zeros(0, dtype=np.int64)
-        return buffer, z, z, z, z, z, z.view(np.uint64)
-    hashes = bh.fixed(bh.prefix(bh.coded(data, 31)), anchor)
+        return buffer, z, z, z, z, z, z.view(np.uint64), z.view(np.uint64)
+    pre = bh.prefix(bh.coded(data, 31))
+    hashes = bh.fixed(pre, anchor)
     # the upper bits of the hash, then the place: the leftmost of equals
     keyed = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     pick = (bh.sliding_min(keyed, width - anchor + 1)[:n] & _PLACE).astype(np.int64)
+    del keyed
     n = len(pick)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))[:n]
     whole = np.arange(n) + width < at[doc + 1]  # the line break at the end is not text
@@ -49,7 +56,8 @@ def anchored(texts: list[str | bytes | None], width: int, anchor: int):
     begin = np.flatnonzero(new & whole)
     stop = np.append(np.flatnonzero(new | ~whole), n)
     end = stop[np.searchsorted(stop, begin, side="right")]
-    return buffer, doc[begin], begin - at[doc[begin]], end - begin, begin, pick[begin] - begin, hashes[pick[begin]]
+    run = bh.ranges(pre, begin, end + width - 1)
+    return buffer, doc[begin], begin - at[doc[begin]], end - begin, begin, pick[begin] - begin, hashes[pick[begin]], run
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -141,18 +149,20 @@ def deep_shallow(strings: list[bytes]) -> list[int]:
     return out
 
 
-def shared(strings: list[bytes], anchors: list[int], width: int) -> list[list[tuple[int, int]]]:
+def shared(strings: list[bytes], anchors: list[int], width: int, anchor: int = 0) -> list[list[tuple[int, int]]]:
     """Of each string, the distances s from a window's start to the anchor, as (least, most), for
-    which another string has the same window.  The strings differ and share their anchor.
+    which another string has the same window.  The strings differ and share their anchor of
+    ``anchor`` bytes.
 
     A window at s repeats when some other string agrees s bytes to the left of the anchor and
-    width - s to the right of it.  Suffixes from the anchor are sorted, and so are the prefixes
-    read backwards; the tree of common lengths of the latter gives the strings that agree to
-    the left, and in each of its nodes the best partner to the right is a neighbour in the
-    suffix order.
+    width - s to the right of it.  Suffixes from behind the anchor are sorted, and so are the
+    prefixes read backwards; the tree of common lengths of the latter gives the strings that
+    agree to the left, and in each of its nodes the best partner to the right is a neighbour in
+    the suffix order.
     """
-    right = [s[a:] for s, a in zip(strings, anchors, strict=True)]
+    right = [s[a + anchor :] for s, a in zip(strings, anchors, strict=True)]
     left = [s[:a][::-1] for s, a in zip(strings, anchors, strict=True)]
+    width -= anchor
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
     if len(strings) == 2:
         r, l = common(*right), common(*left)  # noqa: E741
@@ -200,69 +210,102 @@ def pieces(ids: list[int], texts: list[str | None], width: int) -> tuple[list[in
 
 
 class _Gathered:
-    """Runs of windows of a task until they are sent.  Equal runs travel once, as a partner only:
-    that they repeat is known where they meet."""
+    """Runs of windows of a task until they are sent: numbers in arrays, no object for each.
+
+    Equal runs travel once, as a partner only: that they repeat is known where they meet.  Windows of
+    a hot anchor are cut anew by the next longer anchor; those of the longest one, if that is hot
+    too, go one by one as digests, to the bucket of the digest.
+    """
 
-    def __init__(self, buckets: int, width: int, anchor: int, hot: frozenset[int]) -> None:
-        self.buckets, self.width, self.anchor, self.hot = buckets, width, anchor, np.array(sorted(hot), dtype=np.uint64)
+    def __init__(self, buckets: int, width: int, anchors: tuple[int, ...], hot: frozenset[int]) -> None:
+        self.buckets, self.width, self.anchors, self.hot = buckets, width, anchors, np.array(sorted(hot), dtype=np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.size = 0
-        self.seen: dict[bytes, list] = {}
-        self.whole: dict[bytes, tuple[int, int] | None] = {}  # of hot runs, where one stands that is not known yet
+        self.size = self.entries = 0
+        self.chunks: list[bytes] = []
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.whole: dict[bytes, tuple[int, int] | None] = {}  # of runs that go as digests, where one stands that is not known yet
         self.known: list[tuple[int, int, int]] = []
 
+    def full(self) -> bool:
+        return self.size >= FLUSH or self.entries >= ENTRIES
+
+    def _keep(self, owner, start, count, offset, begin, end, key, bucket, text: bytes) -> None:
+        self.columns.append((owner, start, count, offset, begin + self.size, end + self.size, key, (bucket % np.uint64(self.buckets)).astype(np.int32)))
+        self.chunks.append(text)
+        self.size += len(text)
+        self.entries += len(owner)
+
     def add(self, ids: list[int], texts: list[str | None]) -> None:
         ids, raw, shift = pieces(ids, texts, self.width)
-        buffer, doc, start, count, begin, offset, h = anchored(raw, self.width, self.anchor)
-        start = start + np.array(shift, dtype=np.int64)[doc]
-        self.size += len(buffer)
-        single = np.isin(h, self.hot).tolist() if len(self.hot) else [False] * len(h)
-        for d, s, c, b, a, m, one in zip(doc.tolist(), start.tolist(), count.tolist(), begin.tolist(), offset.tolist(), (h % np.uint64(self.buckets)).tolist(), single, strict=True):
-            if one and (string := buffer[b : b + c + self.width - 1]) in self.whole:  # all of it repeats
-                self.known.append((ids[d], s, len(string)))
+        self._level(np.array(ids, dtype=np.int64), raw, np.array(shift, dtype=np.int64), 0)
+
+    def _level(self, ids: np.ndarray, raw: list[bytes], shift: np.ndarray, level: int) -> None:
+        buffer, doc, start, count, begin, offset, h, run = anchored(raw, self.width, self.anchors[level])
+        owner, start, end = ids[doc], start + shift[doc], begin + count + self.width - 1
+        hot = np.isin(h, self.hot) if len(self.hot) else np.zeros(len(h), dtype=bool)
+        cold = ~hot
+        # the level is told by the offset's upper bits
+        self._keep(owner[cold], start[cold], count[cold], offset[cold] | level << 32, begin[cold], end[cold], run[cold], h[cold], buffer)
+        if not hot.any():
+            return
+        strings = [buffer[a:z] for a, z in zip(begin[hot].tolist(), end[hot].tolist(), strict=True)]
+        if level + 1 < len(self.anchors):
+            self._level(owner[hot], strings, start[hot], level + 1)
+        else:
+            self._single(owner[hot].tolist(), start[hot].tolist(), strings)
+
+    def _single(self, owner: list[int], start: list[int], strings: list[bytes]) -> None:
+        """Windows one by one as digests, but for runs that are here already: all of those repeats."""
+        fresh, digests, n = [], [], self.width
+        for i, s, string in zip(owner, start, strings, strict=True):
+            if string in self.whole:
+                self.known.append((i, s, len(string)))
                 if first := self.whole[string]:
                     self.known.append((*first, len(string)))
                     self.whole[string] = None
-            elif one:  # windows of a hot anchor go by themselves, as digests, to the bucket of their own bytes
-                self.whole[string] = (ids[d], s)
-                for k in range(c):
-                    digest = hashlib.blake2b(buffer[b + k : b + k + self.width], digest_size=16).digest()
-                    self._one(digest, ids[d], s + k, 1, -1, zlib.crc32(digest) % self.buckets)
-            else:
-                self._one(buffer[b : b + c + self.width - 1], ids[d], s, c, a, m)
-
-    def _one(self, string: bytes, i: int, s: int, c: int, a: int, m: int) -> None:
-        got = self.seen.get(string)
-        if got is None:
-            self.seen[string] = [i, s, c, a, m]
-            return
-        self.known.append((i, s, c + self.width - 1))
-        if got[0] is not None:
-            self.known.append((got[0], got[1], c + self.width - 1))
-            got[0] = None
+                continue
+            self.whole[string] = (i, s)
+            fresh.append((i, s, len(string) - n + 1))
+            digests.append(b"".join([hashlib.blake2b(string[k : k + n], digest_size=16).digest() for k in range(len(string) - n + 1)]))
+        i, s, many = np.array(fresh, dtype=np.int64).reshape(-1, 3).T
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        first, text = np.arange(len(at)) * 16, b"".join(digests)
+        key = np.frombuffer(text, dtype=np.uint64)[::2]
+        self._keep(np.repeat(i, many), np.repeat(s, many) + at, np.ones(len(at), dtype=np.int64), np.full(len(at), -1), first, first + 16, key, key, text)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple]] = {}
-        for string, (i, s, c, a, m) in self.seen.items():
-            by.setdefault(m, []).append((-1 if i is None else i, i is None, s, c, a, string))
-        rows = []
-        for m, found in by.items():
-            ids, twice, starts, counts, offsets, strings = zip(*found, strict=True)
-            parts = [np.array(ids, np.int64), np.array(twice, np.bool_), np.array(starts, np.int64), np.array(counts, np.int64), np.array(offsets, np.int64)]
-            rows.append((m, 0, pack_parts([*(p.tobytes() for p in parts), b"".join(strings)])))
-        rows += known_rows(self.known, self.buckets)
+        owner, start, count, offset, begin, end, key, bucket = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+        text, met = b"".join(self.chunks), np.array(self.known, dtype=np.int64).reshape(-1, 3)
         self.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "packed"])
+        order, head = equal_runs(text, bucket, key, owner, start, begin, end)
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(order)))
+        twice = np.repeat(size > 1, size)
+        again = order[twice]
+        known = known_rows(np.concatenate((met, np.stack((owner[again], start[again], count[again] + self.width - 1), axis=1))).T, self.buckets)
+        lead, many = order[first], size > 1
+        by = np.lexsort((start[lead], owner[lead], bucket[lead]))
+        lead, many = lead[by], many[by]
+        edge = np.flatnonzero(np.diff(bucket[lead], prepend=-1, append=-1))
+        packed = []
+        for a, z in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            some = lead[a:z]
+            strings = b"".join([text[i:j] for i, j in zip(begin[some].tolist(), end[some].tolist(), strict=True)])
+            numbers = (np.where(many[a:z], -1, owner[some]), many[a:z], start[some], count[some], offset[some])
+            packed.append((int(bucket[some[0]]), 0, pack_parts([*(x.tobytes() for x in numbers), strings])))
+        yield rows_batch(packed + known)
+
+
+def _scatter(buckets: int, width: int, anchors: tuple[int, ...], hot: frozenset[int]):
+    hot = np.array(sorted(hot), dtype=np.uint64)
 
-
-def _scatter(buckets: int, width: int, anchor: int, hot: frozenset[int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Gathered(buckets, width, anchor, hot)
+        held = _Gathered(buckets, width, anchors, hot)
         for ids, texts in in_chunks(batches):
             held.add(ids, texts)
-            if held.size >= FLUSH:
+            if held.full():
                 yield from held.rows()
         if held.size:
             yield from held.rows()
@@ -270,24 +313,28 @@ def _scatter(buckets: int, width: int, anchor: int, hot: frozenset[int]):
     return run
 
 
-def bucket_spans(blobs: list[bytes], width: int, anchor: int) -> Iterator[tuple[int, int, int]]:
-    """id, first byte and bytes of the runs to remove that a bucket finds."""
+def bucket_spans(blobs: list[bytes], width: int, anchors: tuple[int, ...], part: int = 0, passes: int = 1) -> Iterator[tuple[int, int, int]]:
+    """id, first byte and bytes of the runs to remove that a bucket finds; of several passes, those
+    of the anchors that this one reads."""
     groups: dict[bytes, dict[bytes, list]] = {}
     for blob in blobs:
         parts = unpack_parts(blob)
         ids, starts, counts, offsets = (np.frombuffer(parts[k], dtype=np.int64).tolist() for k in (0, 2, 3, 4))
         twice = np.frombuffer(parts[1], dtype=np.bool_).tolist()
         text, at = parts[5], 0
-        for i, two, s, c, a in zip(ids, twice, starts, counts, offsets, strict=True):
-            size = 16 if a < 0 else c + width - 1
-            string = text[at : at + size]
+        for i, two, s, c, o in zip(ids, twice, starts, counts, offsets, strict=True):
+            size = 16 if o < 0 else c + width - 1
+            a = o & 0xFFFFFFFF
+            n = 0 if o < 0 else anchors[o >> 32]
+            key = text[at + a : at + a + n] if n else text[at : at + size]
+            if passes == 1 or zlib.crc32(key) % passes == part:
+                string = text[at : at + size]
+                got = groups.setdefault(key, {}).setdefault(string, [0, a, c, []])
+                got[0] += 1 + two
+                if not two:
+                    got[3].append((i, s))
             at += size
-            key = string if a < 0 else string[a : a + anchor]
-            got = groups.setdefault(key, {}).setdefault(string, [0, a, c, []])
-            got[0] += 1 + two
-            if not two:
-                got[3].append((i, s))
-    for members in groups.values():
+    for key, members in groups.items():
         for n, _, c, places in members.values():
             if n > 1:
                 for i, s in places:
@@ -295,7 +342,7 @@ def bucket_spans(blobs: list[bytes], width: int, anchor: int) -> Iterator[tuple[
         if len(members) < 2:
             continue
         strings = list(members)
-        found = shared(strings, [members[s][1] for s in strings], width)
+        found = shared(strings, [members[s][1] for s in strings], width, len(key))
         for string, spans in zip(strings, found, strict=True):
             n, a, c, places = members[string]
             if n == 1 and places:
@@ -305,58 +352,43 @@ def bucket_spans(blobs: list[bytes], width: int, anchor: int) -> Iterator[tuple[
                         yield places[0][0], places[0][1] + a - high, high - low + width
 
 
-def _answer(width: int, anchor: int):
-    def batch(ids, spans) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "span"])
+def _answer(width: int, anchors: tuple[int, ...], most: int = MOST):
+    """Rows of a bucket to the runs of bytes to remove: doc_id, span.  Large buckets are read several
+    times, each time for some anchors."""
 
-    def solve(blobs: list[bytes]) -> pa.RecordBatch:
-        k = merged(list(bucket_spans(blobs, width, anchor)))
-        return batch(k[0], (k[1] << 28) | k[2])
+    def solve(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        passes = passes_of(blobs, most)
+        for p in range(passes):
+            yield encoded(*merged(list(bucket_spans(blobs, width, anchors, p, passes))))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        bucket = None
-        for b in batches:
-            for m, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind:
-                    k = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64).reshape(3, -1)
-                    yield batch(k[0], (k[1] << 28) | k[2])
-                    continue
-                if m != bucket and held:
-                    yield solve(held)
-                    held = []
-                bucket = m
-                held.append(blob)
-        if held:
-            yield solve(held)
-
-    return run
+    return lambda batches: by_bucket(batches, solve)
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
-    """key, span (first byte << 28 | bytes): runs that repeated strings of ``width`` bytes cover.
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchors: tuple[int, ...] = ANCHORS) -> DataFrame:
+    """doc_id, span: runs that repeated strings of ``width`` bytes cover.
 
     docs: doc_id (a key of the row), text.
     """
     spark = docs.sparkSession
     bound_batches(spark, 1024)
-    n = partitions(spark)
+    total, size = text_sizes(docs)
+    n, buckets = layout(spark, size, COPIES)
 
-    def anchors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         ids, raw, _ = pieces(list(range(len(texts))), texts, width)
-        found = anchored(raw, width, anchor)
-        return np.array(ids, dtype=np.int64)[found[1]], found[6]
+        found = [anchored(raw, width, a) for a in anchors]
+        return np.array(ids, dtype=np.int64)[np.concatenate([f[1] for f in found])], np.concatenate([f[6] for f in found])
 
-    hot = hot_keys(docs, anchors)
-    sent = docs.mapInArrow(_scatter(FINER * n, width, anchor, hot), "bucket int, kind int, packed binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(width, anchor), "doc_id long, span long")
+    hot = hot_keys(docs, keys, total=total, size=size)
+    sent = docs.mapInArrow(_scatter(buckets, width, anchors, hot), "bucket int, kind int, packed binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(width, anchors), "doc_id long, span long")
 
 
 def union(n: int, spans: list[int] | None) -> list[tuple[int, int]]:
     """Maximal runs (begin, end) of the bytes that spans cover."""
     out: list[list[int]] = []
     for s in sorted(spans or ()):
-        a, z = s >> 28, (s >> 28) + (s & 0xFFFFFFF)
+        a, z = s >> SHIFT, (s >> SHIFT) + (s & LONGEST)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)
         else:
@@ -368,8 +400,10 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
 
     Null and empty texts have no bytes and the digest of nothing.  A string that stands twice
-    is removed at both places, in one document or two.  Rows with the same id must hold the same
-    text; they are repeats of each other.  A null id is one more id.  No rows: no rows.
+    is removed at both places, in one document or two.  Rows with the same id are told apart by
+    nothing else: equal ones are repeats of each other, and the places of bytes that any of them loses
+    are lost in all of them.  A null id is one more id.  Long texts are hashed in pieces.  Extra
+    columns are not read.  No rows: no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = with_spans(slim, repeated_bytes(slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), width))
