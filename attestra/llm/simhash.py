@@ -15,8 +15,14 @@ from attestra.llm.common import bound_batches, by_place, components, materialise
 
 #: A pair within 3 bits differs in 3 of 8 bytes at most, so it agrees in 5, and in 3 of one half.
 BITS, AGREE = 3, 5
-#: Byte positions indexed together: all triples of either half, one of which each such pair shares.
-TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
+#: Byte positions that a block of the index shares, as bits: all triples of either half, one of which each such pair shares.
+TRIPLES = [sum(1 << p for p in t) for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
+#: Fingerprints of a block, about, over which it is split by a further byte; one in SAMPLE is counted for that.
+BLOCK, SAMPLE = 512, 16
+#: Of so many shared positions, the others of each set of them.
+REST = {n: np.array([[p for p in range(8) if not m >> p & 1] if m.bit_count() == n else [0] * (8 - n) for m in range(256)]) for n in (3, 4, 5)}
+#: Pairs that blocks which are tallied together may have.
+PAIRS = 1 << 21
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -52,61 +58,111 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def linked(key: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows that join up all fingerprints of a key that are within reach: a spanning
-    forest, not all pairs.  Rows are sorted by key.  The distance between rows grows as long as
-    any two of one key are that far apart."""
-    n, out = len(key), []
-    parent = np.arange(n)
-    bits = fp.view(np.uint64)
-    live = np.flatnonzero(key[1:] == key[:-1])  # rows whose successor at this distance has the same key
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
-    d = 1
+def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows with one code, the smaller row first."""
+    order = np.argsort(code, kind="stable")
+    code, n, d = code[order], len(code), 1
+    live = np.flatnonzero(code[1:] == code[:-1])
+    out = [(live[:0], live[:0])]
     while len(live):
-        x = bits[live] ^ bits[live + d]
-        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        hit = live[(tally >= AGREE) & (np.bitwise_count(x) <= BITS)]
-        hit = hit[parent[hit] != parent[hit + d]]
-        joined = False
-        for i in hit.tolist():
-            a, b = find(i), find(i + d)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, i + d))
-                joined = True
-        if joined:
-            while not np.array_equal(up := parent[parent], parent):
-                parent = up
+        out.append((order[live], order[live + d]))
         d += 1
         live = live[live + d < n]
-        live = live[key[live] == key[live + d]]
-    return out
+        live = live[code[live] == code[live + d]]
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def tallied(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one block and the number of positional bytes that they share, summed over the
+    postings of the block: lists of its rows by position and byte.  Rows are sorted by key; all masks have as
+    many positions."""
+    n, have = len(key), int(mask[0]).bit_count()
+    block = np.cumsum(np.append(False, key[1:] != key[:-1]))
+    if have >= AGREE:  # what the block shares is enough
+        a, b = _pairs(block)
+        return a, b, np.full(len(a), have)
+    rest, data = REST[have][mask], fp.view(np.uint8).reshape(-1, 8)
+    found = []
+    for c in range(8 - have):
+        a, b = _pairs(block * 256 + data[np.arange(n), rest[:, c]])
+        found.append(a * n + b)
+    pair, count = np.unique(np.concatenate(found), return_counts=True)
+    return pair // n, pair % n, count + have
+
+
+def linked(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows joined to the first row of their component: of pairs by their tally, those with the guaranteed
+    number of bytes are verified by their bits."""
+    a, b, tally = tallied(key, mask, fp)
+    keep = tally >= AGREE
+    a, b = a[keep], b[keep]
+    bits = fp.view(np.uint64)
+    near = np.bitwise_count(bits[a] ^ bits[b]) <= BITS
+    a, b = a[near], b[near]
+    label = np.arange(len(key))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        if np.array_equal(before, label):
+            break
+    far = np.flatnonzero(label != np.arange(len(key)))
+    return far, label[far]
+
+
+def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in runs_of_key(batches, "key", 100_000):
+        key, mask, fp, node = (t[c].to_numpy() for c in ("key", "mask", "fp", "node"))
+        same = np.flatnonzero(key[1:] == key[:-1])
+        some = np.unique(np.concatenate((same, same + 1)))
+        key, mask, fp, node = key[some], mask[some], fp[some], node[some]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else some
+        size = np.diff(np.append(edge, len(key)))
+        part = np.cumsum(size * size) // PAIRS
+        cuts = [*edge[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(key)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            x, y = linked(key[a:z], mask[a:z], fp[a:z])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a:z][x]), pa.array(node[a:z][y])], ["a", "b"])
+
+
+def _posted(rows: DataFrame, masks) -> DataFrame:
+    """fp, node, mask, key: rows in the blocks of these sets of positions.  Blocks whose keys collide are
+    compared together, which adds pairs that the verification drops."""
+    spread = rows.select("fp", "node", F.explode(masks).alias("mask"))
+    shared = [F.when(F.col("mask").bitwiseAND(F.lit(1 << p)) != 0, F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255))) for p in range(8)]
+    return spread.select("fp", "node", "mask", F.xxhash64("mask", *shared).alias("key"))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """a, b: node ids that join up all fingerprints within reach.  nodes: fp (distinct), node.
 
-    Postings go to (three positions, their bytes); inside a list the positional bytes that two
-    fingerprints share are tallied, pairs under the guaranteed five dropped, the rest
-    verified by their bits.  Only a spanning forest of a list leaves its task.
+    The index of byte positions is cut into blocks that share three of them; each pair within reach
+    meets in one.  There the other positional bytes that two fingerprints share are tallied by their
+    postings, pairs under the guaranteed five are dropped, the rest verified by their bits.  Blocks
+    that a sample shows to be long are split by a fourth, then a fifth position: of five others a
+    pair shares two at least, so any four of these hold one; then one of all that are left.
+    Only joined components leave a block.
     """
-    byte = [F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-    keys = [(F.lit(k * 2**24) + byte[a] + byte[b] * 256 + byte[c] * 65536) for k, (a, b, c) in enumerate(TRIPLES)]
-    posted = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs_of_key(batches, "key", 200_000):
-            key, fp, node = (t[c].to_numpy() for c in ("key", "fp", "node"))
-            found = np.array(linked(key, fp), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
-
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    blocks = _posted(nodes, F.array(*[F.lit(m) for m in TRIPLES]))
+    found = None
+    for have in (3, 4, 5):
+        short, long = blocks, None
+        if have < AGREE:
+            counts = blocks.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+            keys = materialise(counts.where(F.col("n") > BLOCK / SAMPLE).select("key"))
+            if not keys.isEmpty():
+                short, long = blocks.join(keys, "key", "left_anti"), blocks.join(keys, "key", "left_semi")
+        short = short.select("key", "mask", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(_by_block, "a long, b long")
+        found = short if found is None else found.union(short)
+        if long is None:
+            break
+        others = F.filter(F.array(*[F.lit(1 << p) for p in range(8)]), lambda bit: F.col("mask").bitwiseAND(bit) == 0)
+        blocks = _posted(long, F.transform(F.slice(others, 1, 4), lambda bit: F.col("mask") + bit))
+    return found
 
 
 def simhash(docs: DataFrame, width: int = 3) -> DataFrame:
