@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.llm import langid, toxicity
-from attestra.llm.toxicity import GRAMMAR, clause_score, clean_documents, lexicon
+from attestra.llm.toxicity import GRAMMAR, aimed_words, clause_score, clean_documents, lexicon, roles, threats
 from tests.llm.helpers import DOCS, documents, frame
 
 TONGUES = {"aa": "the this that with and for house".split(), "bb": "der die und nicht ein haus mit".split(), "cc": "le la des une pour maison avec".split(), "dd": "el los una casa con por que".split()}
@@ -56,8 +56,8 @@ def test_codewords_are_apart(n):
 @pytest.mark.parametrize(
     "letters,score",
     [
-        ("ooo", 0.0), ("i", 1.0), ("ii", 2.0), ("yi", 1.5), ("yoooi", 1.5), ("yooooi", 1.0), ("ni", 0.5), ("nooi", 0.5), ("noooi", 1.0),
-        ("t", 0.0), ("ty", 1.0), ("yt", 1.0), ("tooooy", 0.0), ("ei", 0.6), ("eooooooi", 0.6), ("nty", 0.5), ("eyi", 0.9), ("", 0.0),
+        ("ooo", 0.0), ("i", 0.4), ("ii", 0.8), ("yi", 1.0), ("yoooi", 1.0), ("yooooi", 0.4), ("ni", 0.12), ("nooi", 0.12), ("noooi", 0.4),
+        ("t", 0.0), ("ty", 1.0), ("yt", 1.0), ("tooooy", 0.0), ("ei", 0.16), ("eooooooi", 0.16), ("nty", 0.3), ("eyi", 0.4), ("", 0.0),
     ],
 )
 def test_grammar(letters, score):
@@ -103,6 +103,71 @@ def test_toxicity(spark):
     assert {r["doc_id"] for r in clean.collect()} == {int(i) if i == i else None for i, p in zip(out.doc_id, out.predicted, strict=True) if not p}
 
 
+def structured_rows(seed, n):
+    """An unknown tongue: toxic documents aim insults or threats at someone; some clean ones deny or report them."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    insults, targets = ["grobx", "grobyy", "krassel", "blorpen"], ["zutu", "zoti"]
+    for i in range(n):
+        kind = rng.choices(["toxic", "denied", "told", "plain"], [18, 2, 2, 78])[0]
+        words = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(60)]
+        words[rng.randrange(60)] = rng.choice(targets)  # people are spoken of in any document
+        clauses = [" ".join(words[k : k + 12]) for k in range(0, 60, 12)]
+        for k in rng.sample(range(5), 2) if kind != "plain" else []:
+            x, pad = rng.choice(insults), rng.choice(words)
+            part = {"toxic": f"{rng.choice(targets)} {pad} {x} {pad}", "denied": f"{pad} nukki {x}", "told": f"dixir {pad} {pad} {pad} {pad} {x}"}[kind]
+            clauses[k] = f"{rng.choice(words)} {part}"
+        rows.append((i, ". ".join(clauses) + ".", "xx", "s", 1, 1, "", 0.0, "", "", ""))
+        labels.append((i, 1, int(kind == "toxic")))
+    return rows, labels
+
+
+def test_the_grammar_decides(spark, monkeypatch):
+    """Against a plain sum of insults' weights with a curve of its own: on held-out documents it is better."""
+    rows, labels = structured_rows(3, 2400)
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = {i: y for i, _, y in labels}
+    held = [i for i in known if zlib.crc32(str(i).encode()) % 3 == 1]
+
+    def predicted():
+        model = toxicity.train(docs, table, toxicity.remainder(3) != 1)
+        found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, model).collect()}
+        return model, found, np.mean([found[i] == known[i] for i in held]), np.mean([found[i] for i in held if known[i]])
+
+    model, with_grammar, right, recall = predicted()
+    assert model.roles.get(b"zutu") == model.roles.get(b"zoti") == toxicity.TARGET
+    assert model.roles.get(b"nukki") == toxicity.NEGATION and model.roles.get(b"dixir") == toxicity.REPORT
+
+    def plain(self, low):
+        return sum(w for _, letters, weights in self.clauses(low) for x, w in zip(letters, weights, strict=True) if x == toxicity.INSULT)
+
+    monkeypatch.setattr(toxicity.Model, "read", plain)
+    flat = toxicity.Model(model.lexicon)
+    rows_y = [(flat.read(r[1].lower().encode()), known[r[0]]) for r in rows if r[0] not in set(held)]
+    flat.bias, flat.slope = toxicity.calibrate(np.log1p([x for x, _ in rows_y]), np.array([y for _, y in rows_y], dtype=float))
+    without = {r[0]: int(flat.score(r[1]) >= 0.7) for r in rows}
+    plain_right, plain_recall = np.mean([without[i] == known[i] for i in held]), np.mean([without[i] for i in held if known[i]])
+    assert right > 0.99 and recall > 0.97
+    assert right > plain_right + 0.02 and recall >= plain_recall
+    assert np.mean([with_grammar[i] != without[i] for i in held]) > 0.02
+
+
+def test_roles_want_insults_in_either_label():
+    alone = {(b"", toxicity.INSULT): (200, 0), (b"du", toxicity.TARGET): (90, 0)}
+    assert roles(alone) == {}
+    both = {(b"", toxicity.INSULT): (200, 100), (b"du", toxicity.TARGET): (90, 2), (b"der", toxicity.TARGET): (90, 40), (b"der", toxicity.REPORT): (90, 40)}
+    both |= {(b"kein", toxicity.NEGATION): (1, 30), (b"kein", toxicity.REPORT): (2, 32), (b"sagt", toxicity.NEGATION): (1, 9), (b"sagt", toxicity.REPORT): (3, 40)}
+    assert roles(both) == {b"du": toxicity.TARGET, b"kein": toxicity.NEGATION, b"sagt": toxicity.REPORT}
+
+
+def test_threats_are_toxic_near_a_target_only():
+    assert aimed_words(b"one two three four five you will zapp now. zapp the house") == {b"two", b"three", b"four", b"five", b"will", b"zapp", b"now"}
+    counts = [(b"zapp@", 30, 1), (b"zapp$", 30, 200), (b"idiot$", 60, 0), (b"idiot@", 40, 0), (b"the@", 90, 800), (b"the$", 100, 900)]
+    assert set(threats(counts, 100, 900)) == {b"zapp"}
+    model = toxicity.Model(lexicon([], 0, 0), threats={b"zapp": 1.2})
+    assert model.read(b"i zapp you") == pytest.approx(1.2 * 0 + 1.0) and model.read(b"zapp the house") == 0
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = frame(spark, documents(1, 20))
@@ -120,4 +185,4 @@ def test_long_texts_piece_by_piece(monkeypatch):
     monkeypatch.setattr(toxicity, "SLICE", 37)
     monkeypatch.setattr(langid, "SLICE", 41)
     assert model.read(text.encode()) == pytest.approx(whole) and np.allclose(langid.features(text), vector)
-    assert whole[0] > 10 and model.read(b"") == (0.0, 0)
+    assert whole > 5 and model.read(b"") == 0
