@@ -14,8 +14,8 @@ from attestra.llm.vectors import packed, rectangle, units, unpacked, usable
 
 #: Bytes of vectors that every vector meets in one pass; the bound of what is sent to every task.
 SENT_BYTES = 8 << 20
-#: Vectors of a task that meet those at once.
-SLICE = 128
+#: Pivots at most, and pairs that are multiplied at once.
+PIVOTS, PAIRS = 1024, 1 << 21
 
 
 def planes(passes: int, dim: int, bits: int = 63, seed: int = 5) -> np.ndarray:
@@ -108,28 +108,80 @@ def candidate_links(vectors: DataFrame, passes: int, window: int, cosine: float)
     return ranged.mapInArrow(sweep, "a long, b long")
 
 
+def in_cells(members: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """members with cell and angle: the nearest of some pivots (vectors, the first by hash) and how far
+    it is; and the pivots."""
+    spark = members.sparkSession
+    many = int(min(PIVOTS, max(1, members.count()) ** 0.5))
+    pivots = units(rectangle([unpacked(r[0]) for r in members.orderBy(F.xxhash64("vec_id"), "vec_id").limit(many).select("v").collect()]))
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            angle = angles(_matrix(b.column("v")), sent.value)
+            cell = angle.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell])], [*b.schema.names, "cell", "angle"])
+
+    return members.mapInArrow(run, "component long, vec_id long, v binary, copies long, cell int, angle double"), pivots
+
+
+def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Angles of unit vectors; those of different size are compared as if the shorter ended in zeros."""
+    width = min(x.shape[1], y.shape[1])
+    return np.arccos(np.clip(x[:, :width] @ y[:, :width].T, -1, 1))
+
+
 def all_links(members: DataFrame, cosine: float) -> DataFrame:
     """vec_id, a, b, n: n other vectors of piece b are at ``cosine`` or nearer to vec_id, which is of piece a.
 
-    members: component, vec_id, v, copies.  Exact: every vector meets every other.  Each pass sends the
-    vectors of one hash block to the tasks, which read all vectors once, so nothing is shuffled or
-    repeated.  Products are in single precision; those within its error of ``cosine`` are
-    decided in double precision.
+    members: component, vec_id, v, copies.  Exact.  Vectors stand in the cell of their nearest pivot.  Each
+    pass sends the vectors of some cells to the tasks, at most SENT_BYTES; nothing is shuffled or
+    repeated.  By the angles between pivots and the cells' radii only rows of cells within reach are
+    read, and of those a vector is multiplied with the cells within its own reach.  Products are in
+    single precision; those within its error of ``cosine`` are decided in double precision.
     """
     spark = members.sparkSession
-    size = members.agg(F.count("*"), F.max(F.length("v"))).first()
-    blocks = -(-(size[0] * (size[1] or 0)) // SENT_BYTES)
     kind = "vec_id long, a long, b long, n long"
     found = spark.createDataFrame([], kind)
-    for k in range(blocks):
-        rows = members.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select("vec_id", "component", "copies", "v").collect()
+    if members.isEmpty():
+        return found
+    placed, pivots = in_cells(members)
+    placed = materialise(placed)
+    # one row for each of a bounded number of pivots
+    cells = {r[0]: (r[1], r[2]) for r in placed.groupBy("cell").agg(F.sum(F.length("v") + 24).alias("size"), F.max("angle")).collect()}
+    reach = float(np.arccos(cosine)) + 1e-6
+    names = sorted(cells, key=lambda c: (angles(pivots[:1], pivots[c : c + 1])[0, 0], c))
+    apart, radius = angles(pivots, pivots), np.array([cells[c][1] if c in cells else 0.0 for c in range(len(pivots))])
+    blocks: list[tuple[list[int], int, int]] = []  # cells, part, parts: large cells are cut by hash
+    room = 0
+    for c in names:
+        parts = -(-cells[c][0] // SENT_BYTES)
+        if parts > 1:
+            blocks += [([c], k, parts) for k in range(parts)]
+            room = 0
+        elif cells[c][0] <= room:
+            blocks[-1][0].append(c)
+            room -= cells[c][0]
+        else:
+            blocks.append(([c], 0, 1))
+            room = SENT_BYTES - cells[c][0]
+    for some, k, parts in blocks:
+        rows = placed.where(F.col("cell").isin(some))
+        rows = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k)
+        rows = sorted(rows.select("cell", "vec_id", "component", "copies", "v").collect(), key=lambda r: (r[0], r[1]))
         if not rows:
             continue
-        pieces, piece = np.unique(np.array([r[1] for r in rows]), return_inverse=True)
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), pieces, piece, np.array([r[2] for r in rows]), rectangle([unpacked(r[3]) for r in rows])))
+        cell = np.array([r[0] for r in rows])
+        edge = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        here = cell[edge[:-1]]
+        pieces, piece = np.unique(np.array([r[2] for r in rows]), return_inverse=True)
+        sent = spark.sparkContext.broadcast((np.array([r[1] for r in rows]), pieces, piece, np.array([r[3] for r in rows]), rectangle([unpacked(r[4]) for r in rows]), edge, pivots[here], radius[here]))
+        near = np.flatnonzero((apart[here] <= radius[here][:, None] + radius[None, :] + reach).any(axis=0)).tolist()
 
         def meet(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, pieces, piece, copies, y = sent.value
+            ids, pieces, piece, copies, y, edge, centre, radius = sent.value
             y = units(y)
             single = y.astype(np.float32)
             for b in batches:
@@ -139,29 +191,35 @@ def all_links(members: DataFrame, cosine: float) -> DataFrame:
                 x = _matrix(b.column(2))
                 width = min(x.shape[1], y.shape[1])  # beyond it one of them is zero
                 slack = (width + 8) * 2.0**-22
+                within = angles(x, centre) <= radius + reach
                 out = []
-                for start in range(0, len(x), SLICE):
-                    part = x[start : start + SLICE, :width]
-                    s = part.astype(np.float32) @ single[:, :width].T
-                    i, j = np.divmod(np.flatnonzero(s >= cosine - slack), len(ids))
-                    close = np.flatnonzero(s[i, j] < cosine + slack)
-                    keep = own[start + i] != ids[j]
-                    for c in range(0, len(close), 1 << 16):
-                        at = close[c : c + (1 << 16)]
-                        keep[at] &= np.einsum("ij,ij->i", part[i[at]], y[j[at], :width]) >= cosine
-                    i, j = i[keep], j[keep]
-                    if not len(i):
-                        continue
-                    there = np.flatnonzero(np.bincount(piece[j], minlength=len(pieces)))
-                    place = np.zeros(len(pieces), dtype=np.int64)
-                    place[there] = np.arange(len(there))
-                    n = np.bincount(i * len(there) + place[piece[j]], weights=copies[j], minlength=len(part) * len(there)).astype(np.int64)
-                    hit = np.flatnonzero(n)
-                    out.append((own[start + hit // len(there)], mine[start + hit // len(there)], pieces[there[hit % len(there)]], n[hit]))
+                for c in np.flatnonzero(within.any(axis=0)).tolist():
+                    lo, hi = int(edge[c]), int(edge[c + 1])
+                    rows, step = np.flatnonzero(within[:, c]), max(1, PAIRS // (hi - lo))
+                    for start in range(0, len(rows), step):
+                        at_ = rows[start : start + step]
+                        part = x[at_, :width]
+                        s = part.astype(np.float32) @ single[lo:hi, :width].T
+                        i, j = np.divmod(np.flatnonzero(s >= cosine - slack), hi - lo)
+                        close = np.flatnonzero(s[i, j] < cosine + slack)
+                        j += lo
+                        keep = own[at_[i]] != ids[j]
+                        for k in range(0, len(close), 1 << 16):
+                            at = close[k : k + (1 << 16)]
+                            keep[at] &= np.einsum("ij,ij->i", part[i[at]], y[j[at], :width]) >= cosine
+                        i, j = i[keep], j[keep]
+                        if not len(i):
+                            continue
+                        there = np.flatnonzero(np.bincount(piece[j], minlength=len(pieces)))
+                        place = np.zeros(len(pieces), dtype=np.int64)
+                        place[there] = np.arange(len(there))
+                        code, code_of = np.unique(i * len(there) + place[piece[j]], return_inverse=True)
+                        n = np.bincount(code_of, weights=copies[j]).astype(np.int64)
+                        out.append((own[at_[code // len(there)]], mine[at_[code // len(there)]], pieces[there[code % len(there)]], n))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["vec_id", "a", "b", "n"])
 
-        part = materialise(members.select("vec_id", "component", "v").mapInArrow(meet, kind))
+        part = materialise(placed.where(F.col("cell").isin(near)).select("vec_id", "component", "v").mapInArrow(meet, kind))
         sent.unpersist()
         found = found.union(part)
     return found
@@ -172,8 +230,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = 24, w
 
     Equal vectors are one, with their number; they link with each other.  Passes find pairs by
     sorted random projections and verify each by its cosine in double precision; they join
-    up by pieces.  Then all vectors meet, so every link is counted and pieces that a link joins are
-    one component.  The result is exact whatever passes and window are: they only keep the pieces few.
+    up by pieces.  Then vectors meet all others that the angles to common pivots do not rule out, so
+    every link is counted and pieces that a link joins are one component.  The result is exact
+    whatever passes, window and pivots are: they only keep the pieces and products few.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing.  A vec_id that
     comes with several rows gets one row for each, all of one node of the smallest such vector; a null

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from attestra.llm.common import bound_batches, materialise, table
 from attestra.llm.vectors import rectangle, usable
 
-#: Lengths of one bucket differ by a factor of 2 ** (1 / STEPS); vectors and queries of a block.
-STEPS, BLOCK, QUERIES = 8, 4096, 512
+#: Lengths of one bucket differ by a factor of 2 ** (1 / STEPS); vectors of a block.
+STEPS, BLOCK = 8, 4096
+#: Bytes of queries that are sent to all tasks at once.
+SENT_BYTES = 8 << 20
 #: Longest vectors whose products give each query its first bound.
 FIRST = 1024
 #: Local cosine thresholds from which one coordinate prunes better than the length does.
@@ -51,8 +53,8 @@ def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q.astype(object) @ p.T.astype(object)
 
 
-def search_block(q: np.ndarray, qids: np.ndarray, bound: np.ndarray, p: np.ndarray, pids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """query, vector, score: each query's k best of a block, without those under its bound.
+def search_block(q: np.ndarray, qids: np.ndarray, bound: np.ndarray, p: np.ndarray, pids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """query's place, vectors, scores: each query's k best of a block, without those under its bound.
 
     p is ordered by decreasing length.  A query's local cosine threshold is its bound over the
     product of its length and the block's largest.  Over 1: the block has nothing for it.
@@ -87,24 +89,56 @@ def search_block(q: np.ndarray, qids: np.ndarray, bound: np.ndarray, p: np.ndarr
         score = products(q[i : i + 1], part)[0]
         good = np.flatnonzero((ids != qids[i]) & (score >= bound[i]))
         best = good[np.lexsort((ids[good], -score[good]))[:k]]
-        for j in best.tolist():
-            yield int(qids[i]), int(ids[j]), max(-(2**63), min(2**63 - 1, int(score[j])))
+        if len(best):
+            yield i, ids[best], score[best]
 
 
-def _packed(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    """One row per block: its ids and vectors by decreasing length, packed."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """One row per block: its ids and vectors by decreasing length, packed, and its greatest length."""
+    kind = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("longest", pa.float64()), ("ids", pa.binary()), ("m", pa.binary())])
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("vec_id", "ascending")])
-        m = _matrix(t["v"].to_pylist())
-        one = {c: [t[c][0].as_py()] for c in key} | {"n": [t.num_rows], "ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()], "m": [np.ascontiguousarray(m).tobytes()]}
-        if name == "queries":
-            one["bounds"] = [t["bound"].to_numpy().astype(np.float64).tobytes()]
-        return pa.table(one, schema=kind)
+        one = {c: [t[c][0].as_py()] for c in ("bucket", "block")} | {"longest": [t["length"][0].as_py()], "ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()]}
+        return pa.table(one | {"m": [np.ascontiguousarray(_matrix(t["v"].to_pylist())).tobytes()]}, schema=kind)
 
-    kind = pa.schema([*((c, pa.int64()) for c in key), ("n", pa.int64()), ("ids", pa.binary()), ("m", pa.binary()), *([("bounds", pa.binary())] if name == "queries" else [])])
-    schema = ", ".join([*(f"{c} long" for c in key), "n long, ids binary, m binary", *(["bounds binary"] if name == "queries" else [])])
-    return rows.groupBy(*key).applyInArrow(pack, schema)
+    return rows.groupBy("bucket", "block").applyInArrow(pack, "bucket long, block long, longest double, ids binary, m binary")
+
+
+def _searched(blocks: DataFrame, asked: list, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query among the blocks of every task.
+
+    The queries go to the tasks, not the vectors to the queries, so no vector is copied.  Blocks that are
+    too short for all of them are not read.  A task goes from long to short and raises each query's
+    bound by what it has found.
+    """
+    spark = blocks.sparkSession
+    q, qids = _matrix(bytes(r["v"]) for r in asked), np.array([r["vec_id"] for r in asked], dtype=np.int64)
+    bound, length = np.array([r["bound"] for r in asked]), np.array([r["length"] for r in asked])
+    sent = spark.sparkContext.broadcast((q, qids, bound))
+    # no product with a vector shorter than this reaches any bound
+    least = float(np.where((bound > 0) & (length > 0), bound / np.where(length > 0, length, 1.0), 0.0).min()) * (1 - 1e-9)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, qids, bound = sent.value
+        bound = bound.copy()
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for ids, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pids = np.frombuffer(ids, np.int64)
+                for i, vecs, score in search_block(q, qids, bound, np.frombuffer(m, np.int64).reshape(len(pids), -1), pids, k):
+                    if i in best:
+                        vecs, score = np.concatenate((best[i][0], vecs)), np.concatenate((best[i][1], score))
+                    first = np.lexsort((vecs, -score))[:k]
+                    best[i] = vecs[first], score[first]
+                    if len(first) == k:  # ties are wanted, so the bound stays just under
+                        bound[i] = max(bound[i], np.nextafter(float(score[first[-1]]), -np.inf))
+        for i, (vecs, score) in best.items():
+            clipped = pa.array([max(-(2**63), min(2**63 - 1, int(x))) for x in score], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vecs), qids[i])), pa.array(vecs), clipped], ["query_id", "vec_id", "score"])
+
+    long_enough = blocks.where(F.col("longest") >= least) if least > 0 else blocks
+    return long_enough.select("ids", "m").mapInArrow(score, "query_id long, vec_id long, score long")
 
 
 def top_products(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -113,7 +147,11 @@ def top_products(vectors: DataFrame, every: int = 100, k: int = 10, scale: int =
     Queries: rows whose vec_id is divisible by ``every``.  Null vectors and those with null or non-finite
     components take no part; neither do null ids.  Rows that repeat both id and vector count once.
     Vectors of different size are compared as if the shorter ended in zeros.  Products beyond a long
-    rank exactly within a block and are reported as the long's limit.  No rows: no rows.
+    rank exactly within a block and are reported as the long's limit.  Extra columns are not read.
+    No rows: no rows.
+
+    Vectors are shuffled once, to their blocks; queries are sent to all tasks, at most SENT_BYTES at a
+    time, those with like thresholds together.
     """
     spark = vectors.sparkSession
     whole = materialise(integers(vectors, scale))
@@ -133,27 +171,30 @@ def top_products(vectors: DataFrame, every: int = 100, k: int = 10, scale: int =
                         bound[i] = np.nextafter(float(others[-k]), -np.inf)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bound)], ["vec_id", "v", "length", "bound"])
 
-    asked = whole.where(F.col("vec_id") % every == 0).mapInArrow(first, "vec_id long, v binary, length double, bound double")
-    n = max(1, -(-asked.count() // QUERIES))
-    queries = _packed(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n))), ["part"], "queries")
     bucket = F.when(F.col("length") > 0, F.floor(F.log2("length") * STEPS)).otherwise(F.lit(-(10**6))).cast("long")
     placed = whole.withColumn("bucket", bucket)
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")))
-    probes = _packed(placed.select("bucket", "block", "vec_id", "v", "length"), ["bucket", "block"], "probes")
-    # every block of vectors meets every block of queries, by an equi-join on the latter's number
-    probes = probes.select("bucket", "block", "ids", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"))
-    met = probes.join(queries.select("part", F.col("ids").alias("qids"), F.col("m").alias("qm"), "bounds"), "part")
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                qids, pids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, p = np.frombuffer(r["qm"], np.int64).reshape(len(qids), -1), np.frombuffer(r["m"], np.int64).reshape(len(pids), -1)
-                found = list(search_block(q, qids, np.frombuffer(r["bounds"], np.float64), p, pids, k))
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    found = met.select("ids", "m", "qids", "qm", "bounds").repartition(F.xxhash64("ids", "qids")).mapInArrow(score, "query_id long, vec_id long, score long")
+    blocks = _blocks(placed.select("bucket", "block", "vec_id", "v", "length"))
+    # long blocks first in every task
+    blocks = materialise(blocks.repartition(F.xxhash64("bucket", "block")).sortWithinPartitions(F.desc("longest")))
+
+    asked = materialise(whole.where(F.col("vec_id") % every == 0).mapInArrow(first, "vec_id long, v binary, length double, bound double"))
+    n, size = asked.agg(F.count("*"), F.max(F.length("v"))).first()
+    kind = "query_id long, vec_id long, score long"
+    parts = -(-(n * (size or 1)) // SENT_BYTES)
+    need = F.when(F.col("length") > 0, F.col("bound") / F.col("length")).otherwise(F.lit(0.0))
+    found = spark.createDataFrame([], kind)
+    if parts:
+        # queries of one part want about the same length; the cuts come from a bounded sketch
+        cuts = asked.select(need.alias("need")).approxQuantile("need", [j / parts for j in range(1, parts)], 0.01) if parts > 1 else []
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            some = asked.where((F.lit(True) if low is None else need >= low) & (F.lit(True) if high is None else need < high))
+            m = max(1, -(-(some.count() * size) // SENT_BYTES)) if parts > 1 else 1
+            for j in range(m):  # the sketch may be coarse: no more is sent at once all the same
+                rows = (some if m == 1 else some.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)) == j)).collect()
+                if rows:
+                    found = found.union(_searched(blocks, rows, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from attestra.llm import neardup, topk
 from attestra.llm.neardup import near_duplicates
 from attestra.llm.topk import top_products
 from tests.llm.helpers import union_find
@@ -45,6 +46,21 @@ def test_near_duplicates(spark, seed):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("sent", [200, 2000])
+def test_near_duplicates_by_cells(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "SENT_BYTES", sent)
+    rng = np.random.default_rng(sent)
+    centres = rng.standard_normal((6, 8))
+    x = centres[rng.integers(0, 6, 120)] + rng.standard_normal((120, 8)) * 0.3
+    rows = [(i, [float(v) for v in x[i]], 0, 0, "") for i in range(120)]
+    m = np.stack([unit(rows)[i] for i in range(120)])
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), passes=1, window=1).toPandas().sort_values("vec_id")
+    assert out.n_links.tolist() == near.sum(1).tolist()
+    assert out.component_id.tolist() == union_find(120, np.argwhere(near).tolist())
+
+
 def test_near_duplicates_of_few(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     one = near_duplicates(spark.createDataFrame([(3, [1.0, 0.0], 0, 0, ""), (None, [1.0, 0.0], 0, 0, "")], SCHEMA)).collect()
@@ -100,6 +116,16 @@ def test_top_products(spark, seed, scale, n):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out.collect()) == best(rows)
 
 
+@pytest.mark.parametrize("sent,block", [(300, 4096), (100, 20), (8 << 20, 7)])
+def test_top_products_in_parts(spark, monkeypatch, sent, block):
+    monkeypatch.setattr(topk, "SENT_BYTES", sent)
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "FIRST", 12)
+    rows = [(r[0], None if r[1] is None else [c if c is None else c * (1 + r[0] % 7) for c in r[1]], *r[2:]) for r in vectors(5, 160)]
+    out = top_products(spark.createDataFrame(rows, SCHEMA).repartition(3), every=25)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out.collect()) == best(rows, 25)
+
+
 def test_top_products_of_few_and_ties(spark):
     assert top_products(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(i, [1.0, -1.0], 0, 0, "") for i in (0, 9, 4, 100)] * 2
