@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from attestra import fixed
 
 
-def bm25_weight(tf: Column, length: Column, average: Column, k1: float = 1.5, b: float = 0.75) -> Column:
-    """Saturated term frequency with length normalisation."""
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.greatest(average, F.lit(1.0))))
+#: Fixed: saturation and length normalisation of BM25.
+K1, B = 1.5, 0.75
+
+
+def bm25_weight(tf, length, average):
+    """Saturated term frequency with length normalisation, of columns or arrays; average: 1 at least."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
 def bm25_idf(n: Column, df: Column) -> Column:

@@ -74,6 +74,18 @@ def clean_passage(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"  +", " "), r"^\s+|\s+$", "")
 
 
+def packed_groups(parts: Column, most: int) -> Column:
+    """Number of greedy groups of an array of texts: a group is begun anew when a part would bring it over
+    ``most`` characters."""
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("groups"))
+
+    def add(acc: Column, part: Column) -> Column:
+        full = (acc["size"] > 0) & (acc["size"] + F.length(part) > most)
+        return F.struct(F.when(full, F.length(part)).otherwise(acc["size"] + F.length(part)).alias("size"), (acc["groups"] + F.when(full | (acc["groups"] == 0), 1).otherwise(0)).alias("groups"))
+
+    return F.aggregate(parts, start, add, lambda a: a["groups"])
+
+
 def raw_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(fixed.TOKEN), F.lit(0))
 

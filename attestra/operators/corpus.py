@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import markdown, numbers, text
 from attestra.operators import quality
+from attestra.session import spread
 
 
 def preprocess(c: Column) -> Column:
@@ -30,6 +31,7 @@ def registered(docs: DataFrame, registry: DataFrame) -> DataFrame:
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """docs (ref_id, markdown, further columns) to chunk records: sent_id, text, section, segment_type,
     chunk_index, approx_tokens, embeddable, numeric_tokens, source_table_html and doc_metadata."""
+    docs = spread(docs)
     md = F.col("markdown")
     meta = F.struct(text.title(md, F.col("ref_id")).alias("title"), text.year(md).alias("year"), text.doi(md).alias("doi"), text.trial_id(md).alias("trial_id")).alias("doc_metadata")
     cut = docs.withColumn("doc_metadata", meta).withColumn("c", F.explode(markdown.markdown_chunks(preprocess(md)))).drop("markdown")
@@ -63,6 +65,29 @@ def with_references(chunks: DataFrame) -> DataFrame:
     return chunks.join(bibliography(chunks), "ref_id", "left").withColumn("doc_references", F.coalesce("doc_references", F.from_json(F.lit("[]"), "array<struct<index: int, text: string>>")))
 
 
+def patched(points: DataFrame, patch: DataFrame, key: str, field: str) -> DataFrame:
+    """Points with one payload field rewritten where the patch (key, field) has a row for them."""
+    new = patch.select(F.col(key).alias("_k"), F.col(field).alias("_new"), F.lit(True).alias("_hit"))
+    joined = points.join(new, F.col(key) == F.col("_k"), "left")
+    return joined.withColumn(field, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(field))).drop("_k", "_new", "_hit")
+
+
+def passages(chunks: DataFrame, by: str) -> DataFrame:
+    """by, prompt: the passages (n, ref_id, rt_id, text) of a group in one text, each with its head lines.
+    A group is what a judge reads, so its passages are few."""
+    head = F.concat_ws("\n", F.concat(F.lit("### Passage "), F.col("n")), F.concat(F.lit("- **ref_id:** "), F.col("ref_id")), F.concat(F.lit("- **RT-ID:** "), F.col("rt_id")))
+    one = F.concat(head, F.lit("\n\n**Evidence Text:**\n"), text.clean_passage(F.col("text")))
+    return chunks.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", one.alias("p")))), lambda x: x["p"]), "\n\n---\n\n").alias("prompt"))
+
+
+def typed_by_cues(name: Column, cues: list[tuple[str, str]], other: str) -> Column:
+    """The type of the first cue that a name holds, in any case of letters."""
+    rule = F
+    for cue, rt in cues:
+        rule = rule.when(F.lower(name).contains(cue), rt)
+    return rule.otherwise(other)
+
+
 def _point_ids(sent_ids: pd.Series) -> pd.Series:
     return sent_ids.map(lambda s: None if s is None else str(uuid.uuid5(uuid.NAMESPACE_DNS, s)))
 

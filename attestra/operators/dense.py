@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from attestra.functions import scores
 from attestra.operators.lexical import ranked
+from attestra.operators.ranking import Best
 
-#: Claims that one pass over the chunks compares; the bound of what is sent to every task.
-BLOCK = 2048
+#: Claims that one pass over the chunks compares, the bound of what is sent to every task; chunks that they meet at once.
+BLOCK, SLICE = 2048, 1024
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -40,24 +41,14 @@ def dense_search(claims: DataFrame, chunks: DataFrame, k: int = 150) -> DataFram
 
         def best(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            ids, kept = [], []
+            if q is None:
+                return
+            held = Best(len(names), k)
             for b in batches:
-                if q is None or not b.num_rows:
-                    continue
-                s = q @ _unit(b.column(1).to_pylist()).T
-                ids.append(b.column(0).to_numpy(zero_copy_only=False))
-                kept.append(s)
-                if sum(x.shape[1] for x in kept) > 20_000:
-                    yield from pick(names, np.concatenate(ids), np.concatenate(kept, axis=1))
-                    ids, kept = [], []
-            if kept:
-                yield from pick(names, np.concatenate(ids), np.concatenate(kept, axis=1))
-
-        def pick(names: list, ids: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for name, row in zip(names, s, strict=True):
-                order = np.lexsort((ids, -np.round(row, 9)))[:k]
-                order = order[~np.isnan(row[order])]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(order), pa.int64()), pa.array(ids[order], pa.int64()), pa.array(row[order])], ["claim_id", "id", "score"])
+                for start in range(0, b.num_rows, SLICE):
+                    part = b.slice(start, SLICE)
+                    held.add(q @ _unit(part.column(1).to_pylist()).T, part.column(0).to_numpy(zero_copy_only=False))
+            yield from held.rows(np.array(names))
 
         one = chunks.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(best, "claim_id long, id long, score double")
         found = one if found is None else found.union(one)

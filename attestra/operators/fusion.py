@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra import fixed
 from attestra.functions import scores, text
 from attestra.operators import lexical
+from attestra.session import kept
 
 
 def fuse(dense: DataFrame, lexical_: DataFrame, exact: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def hybrid_search(
     fused = fuse(dense, lexical_, exact)
     hits = fused.join(claims.select("claim_id", "ct_id"), "claim_id").join(chunks.select("id", "ref_id", "rt_id", "text"), "id")
     # read four times below: a few hundred rows for each claim, kept and not searched for again
-    hits = with_tier(hits, policy).withColumn("final_score", F.col("rrf_score") * (1 + F.col("tier_boost"))).persist()
+    hits = kept(with_tier(hits, policy).withColumn("final_score", F.col("rrf_score") * (1 + F.col("tier_boost"))))
     led = F.coalesce(F.upper(F.trim("ct_id")).isin(fixed.TRIAL_PRIMARY), F.lit(False))
     brands = brand_names(claims, hits)
     hits = own_product(hits, brands)

@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import scores, text
+from attestra.operators.ranking import Best
+from attestra.session import kept, spread
 
 
 def terms(docs: DataFrame, id_: str, body: str) -> DataFrame:
     """id, token: one row per occurrence of an indexed token, stemmed."""
-    raw = docs.select(F.col(id_).alias("id"), F.explode(text.raw_tokens(F.col(body))).alias("raw"))
+    rows = spread(docs.select(F.col(id_).alias("id"), F.col(body).alias("body")))
+    raw = rows.select("id", F.explode(text.raw_tokens(F.col("body"))).alias("raw"))
     return raw.where(text.index_token(F.col("raw"))).select("id", text.stem(F.col("raw")).alias("token"))
 
 
 def _read(docs: DataFrame, id_: str, body: str) -> DataFrame:
-    """id, raw (tokens as they stand), dl (indexed tokens): one pass, nothing is shuffled."""
-    raw = docs.select(F.col(id_).alias("id"), text.raw_tokens(F.col(body)).alias("raw"))
+    """row (a number), id, raw (tokens as they stand), dl (indexed tokens): one pass, nothing is gathered."""
+    rows = spread(docs.select(F.col(id_).alias("id"), F.col(body).alias("body")))
+    raw = rows.select(F.monotonically_increasing_id().alias("row"), "id", text.raw_tokens(F.col("body")).alias("raw"))
     return raw.withColumn("dl", F.size(F.filter("raw", text.index_token)).cast("long"))
 
 
 def _occurrences(read: DataFrame) -> DataFrame:
-    rows = read.select("id", "dl", F.explode("raw").alias("raw")).where(text.index_token(F.col("raw")))
-    return rows.select("id", "dl", text.stem(F.col("raw")).alias("token"))
+    """row, id, dl, token: one row per occurrence of an indexed token, documents one after the other."""
+    rows = read.select("row", "id", "dl", F.explode("raw").alias("raw")).where(text.index_token(F.col("raw")))
+    return rows.select("row", "id", "dl", text.stem(F.col("raw")).alias("token"))
 
 
 def postings(docs: DataFrame, id_: str, body: str) -> DataFrame:
@@ -34,10 +42,10 @@ def postings(docs: DataFrame, id_: str, body: str) -> DataFrame:
     return _occurrences(_read(docs, id_, body)).groupBy("id", "token", "dl").agg(F.count("*").alias("tf")).select("id", "token", "tf", "dl")
 
 
-def corpus_stats(docs: DataFrame, id_: str, body: str) -> DataFrame:
-    """One row: n documents, avgdl."""
-    sums = _read(docs, id_, body).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-    return sums.select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: n documents, avgdl; from the postings, so no text is read for it."""
+    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return docs.agg(F.count("*").alias("n")).join(F.broadcast(total)).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -45,30 +53,104 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 
 def weighted(docs: DataFrame, id_: str, body: str) -> DataFrame:
-    """id, token, tf, df, weight, idf.  The one row of statistics goes to every task."""
-    post = postings(docs, id_, body)
-    joined = post.join(document_frequency(post), "token").join(F.broadcast(corpus_stats(docs, id_, body)))
-    return joined.select("id", "token", "tf", "df", scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("weight"), scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"))
+    """id, token, tf, df, weight, idf.  Texts are read once; the one row of statistics goes to every task."""
+    post = kept(postings(docs, id_, body))
+    joined = post.join(document_frequency(post), "token").join(F.broadcast(corpus_stats(docs, post)))
+    return joined.select("id", "token", "tf", "df", scores.bm25_weight(F.col("tf"), F.col("dl"), F.greatest("avgdl", F.lit(1.0))).alias("weight"), scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def bm25_search(claims: DataFrame, claim_id: str, claim_text: str, docs: DataFrame, doc_id: str, body: str, k: int | None = 100) -> DataFrame:
+#: Claims whose words one pass over the documents looks for, the bound of what is sent to every task; scores held at once.
+SEARCHED, SCORES = 2_000, 1 << 21
+
+
+def bm25_search(claims: DataFrame, claim_id: str, claim_text: str, docs: DataFrame, doc_id: str, body: str, k: int = 100) -> DataFrame:
     """claim_id, id, score, rank: the k best documents of every claim.
 
-    Occurrences are cut to the claims' vocabulary before anything is shuffled, so exchanges carry
-    only tokens that some claim has; the postings that are left are kept, as both document
-    frequencies and scores read them.  Frequencies are partial aggregates and joins go by token or by
-    size, so a token of most documents is no one task's work.
+    Claims go to the documents, at most SEARCHED at a time.  The first pass over the texts keeps one row
+    for each document, with the claims' words that it holds; frequencies come from these rows.  The second
+    pass reads them, adds up the weights of a block of documents for all claims, and keeps each
+    claim's best.  So nothing is shuffled but best lists, and no row is made for a claim, a document and a
+    word that they share.
     """
-    asked = terms(claims, claim_id, claim_text).distinct().withColumnRenamed("id", "claim_id")
-    occurrences = _occurrences(_read(docs, doc_id, body)).join(asked.select("token").distinct(), "token", "left_semi")
-    known = occurrences.groupBy("id", "token", "dl").agg(F.count("*").alias("tf")).persist()
-    stats = F.broadcast(corpus_stats(docs, doc_id, body))
-    idf = document_frequency(known).join(stats).select("token", scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    weights = known.join(idf, "token").select("id", "token", (scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("idf")).alias("w"))
-    found = asked.join(weights, "token").groupBy("claim_id", "id").agg(F.sum("w").alias("score"))
+    spark = claims.sparkSession
+    asked = kept(terms(claims, claim_id, claim_text).where("id is not null").select(F.col("id").cast("long").alias("id"), "token").distinct())
+    blocks = -(-asked.select("id").distinct().count() // SEARCHED)
+    found = spark.createDataFrame([], "claim_id long, id long, score double")
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
+        if rows:
+            found = found.union(_bm25_block(rows, docs, doc_id, body, k))
     return ranked(found, k)
 
 
+def _bm25_block(asked: list, docs: DataFrame, doc_id: str, body: str, k: int) -> DataFrame:
+    spark = docs.sparkSession
+    names, place = np.unique([r["id"] for r in asked], return_inverse=True)
+    vocabulary = sorted({r["token"] for r in asked})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    claims_of: list[list[int]] = [[] for _ in vocabulary]
+    for c, r in zip(place.tolist(), asked, strict=True):
+        claims_of[number[r["token"]]].append(c)
+    words = spark.sparkContext.broadcast(vocabulary)
+
+    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words.value, pa.string())
+        tail: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if tail is None else pa.concat_tables([tail, t])
+            row = t["row"].to_numpy()
+            cut = int(np.searchsorted(row, row[-1])) if len(row) else 0  # the last document may go on
+            if cut:
+                yield pack(t.slice(0, cut), known)
+            tail = t.slice(cut)
+        if tail is not None and tail.num_rows:
+            yield pack(tail, known)
+
+    def pack(t: pa.Table, known: pa.Array) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        row = t["row"].to_numpy()
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        at = pc.fill_null(pc.index_in(t["token"], value_set=known), -1).to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+        code, tf = np.unique((doc * len(known) + at)[at >= 0], return_counts=True)
+        edge = pa.array(np.searchsorted(code, np.arange(len(first) + 1) * len(known)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edge, pa.array(x.astype(np.int32))) for x in (code % len(known), tf)]
+        one = t.select(["id", "dl"]).take(pa.array(first)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(one[c].chunk(0).cast(pa.int64()) for c in ("id", "dl")), *lists], ["id", "dl", "words", "tfs"])
+
+    occurrences = _occurrences(_read(docs, doc_id, body)).select("row", F.col("id").cast("long").alias("id"), "dl", "token")
+    held = kept(occurrences.mapInArrow(hold, "id long, dl long, words array<int>, tfs array<int>"))
+    total = held.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).first()
+    average = max(total["total"] / max(total["n"], 1), 1.0)
+    idf = np.zeros(len(vocabulary))
+    frequency = held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    for r in frequency.select("word", scores.bm25_idf(F.lit(total["n"]), F.col("df")).alias("idf")).collect():  # a row for each of the claims' words at most
+        idf[r["word"]] = r["idf"]
+    sent = spark.sparkContext.broadcast((names, [np.array(c) for c in claims_of], idf))
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, claims_of, idf = sent.value
+        best, step = Best(len(names), k), max(1, SCORES // len(names))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
+                ids, dl, held = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+                word, tf = held.flatten().to_numpy(), b.column(3).flatten().to_numpy().astype(np.float64)
+                doc = np.repeat(np.arange(len(ids)), held.value_lengths().to_numpy())
+                weight = scores.bm25_weight(tf, dl[doc], average) * idf[word]
+                table = np.zeros((len(ids), len(names)))
+                order = np.argsort(word, kind="stable")
+                edge = np.flatnonzero(np.diff(word[order], prepend=-1, append=-1))
+                for a, z in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                    some = order[a:z]
+                    table[doc[some][:, None], claims_of[word[some[0]]]] += weight[some][:, None]
+                best.add(np.where(table > 0, table, np.nan).T, ids)
+        yield from best.rows(names)
+
+    return held.mapInArrow(score, "claim_id long, id long, score double")
+
+
 def ranked(found: DataFrame, k: int | None, score: str = "score") -> DataFrame:
     """With rank by score, ties (within 1e-9) to the smaller id; the first k of each claim."""
     order = Window.partitionBy("claim_id").orderBy(F.desc(F.round(score, 9)), "id")
@@ -76,18 +158,14 @@ def ranked(found: DataFrame, k: int | None, score: str = "score") -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-#: Words that one pass over the chunks looks for; the bound of what is sent to every task.
-WORDS_AT_ONCE = 50_000
+#: Words that one pass over the chunks looks for, and characters of them; the bound of what is sent to every task.
+WORDS_AT_ONCE, CHARACTERS_AT_ONCE = 50_000, 1 << 20
 #: As many claims with at most eight keywords each.
 CLAIMS_AT_ONCE = 5_000
 
 
 def _finder(words: list[str]) -> Callable[[str], Iterable[str]]:
-    """All of the words that a text holds, in one pass over it where the automaton is installed."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda t: (w for w in words if w in t)
+    """All of the words that a text holds, in one pass over it."""
     automaton = ahocorasick.Automaton()
     for w in words:
         automaton.add_word(w, w)
@@ -95,13 +173,15 @@ def _finder(words: list[str]) -> Callable[[str], Iterable[str]]:
     return lambda t: {w for _, w in automaton.iter(t)} if words else ()
 
 
-def words_held(words: DataFrame, chunks: DataFrame) -> DataFrame:
-    """id, words: those of the given words (distinct, in lower case) that each chunk's lower-cased text
-    holds anywhere.  One pass over the texts for each 50,000 words, however many claims ask."""
+def words_held(words: DataFrame, chunks: DataFrame, fold: bool = True) -> DataFrame:
+    """id, words: those of the given words (distinct; in lower case if texts are folded) that each chunk's
+    text holds anywhere.  One pass over the texts for each 50,000 words, however many claims ask."""
     spark = words.sparkSession
-    blocks = max(1, -(-words.count() // WORDS_AT_ONCE))
-    texts = chunks.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low")).where("low is not null")
-    found = None
+    size = words.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // WORDS_AT_ONCE), -(-size[1] // CHARACTERS_AT_ONCE))
+    body = F.lower("text") if fold else F.col("text")
+    texts = spread(chunks.select(F.col("id").cast("long").alias("id"), body.alias("body")).where("body is not null"))
+    found = spark.createDataFrame([], "id long, words array<string>")
     for i in range(blocks):
         part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == i)
         sent = spark.sparkContext.broadcast([r[0] for r in part.select("word").collect()])
@@ -112,13 +192,20 @@ def words_held(words: DataFrame, chunks: DataFrame) -> DataFrame:
                 held = [sorted(held_by(t)) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.string()))], ["id", "words"])
 
-        one = texts.mapInArrow(find, "id long, words array<string>")
-        found = one if found is None else found.union(one)
+        found = found.union(texts.mapInArrow(find, "id long, words array<string>"))
     if blocks > 1:
         found = found.groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"))
     return found.where(F.size("words") > 0)
 
 
+def verbatim(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    """claim_id, id: claims (claim_id, text) whose whole text stands word for word in a chunk (id, text).  All
+    claims are looked for in one pass over each text, and joined by text after.  Empty claims stand nowhere."""
+    asked = claims.select("claim_id", F.col("text").alias("word")).where("word <> ''")
+    held = words_held(asked.select("word").distinct(), chunks, fold=False)
+    return held.select("id", F.explode("words").alias("word")).join(asked, "word").select("claim_id", "id")
+
+
 def leading_words(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """claim_id, id, level, n: how many leading keywords of a claim a chunk holds, where it holds the
     first.  claims: claim_id, kws.
@@ -128,7 +215,7 @@ def leading_words(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     spark = claims.sparkSession
     blocks = max(1, -(-claims.count() // CLAIMS_AT_ONCE))
-    texts = chunks.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low")).where("low is not null")
+    texts = spread(chunks.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low")).where("low is not null"))
     found = None
     for i in range(blocks):
         part = claims if blocks == 1 else claims.where(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)) == i)
@@ -166,12 +253,12 @@ def all_keyword_search(claims: DataFrame, keywords: Column, chunks: DataFrame, k
     """
     asked = claims.select("claim_id", keywords.alias("kws")).where(F.size("kws") > 0)
     # read twice: for the level at which a claim stops, and for its hits
-    leveled = leading_words(asked, chunks).persist()
+    leveled = kept(leading_words(asked, chunks))
     per = leveled.groupBy("claim_id", "level").agg(F.count("*").alias("c"))
     reach = F.sum("c").over(Window.partitionBy("claim_id").orderBy(F.desc("level")))
     stop = per.withColumn("reach", reach).where(F.col("reach") >= enough).groupBy("claim_id").agg(F.max("level").alias("stop"))
-    kept = leveled.join(stop, "claim_id", "left").where(F.col("level") >= F.coalesce("stop", F.lit(1)))
-    return ranked(kept.select("claim_id", "id", "level", (F.col("level") / F.col("n")).alias("score")), k)
+    stay = leveled.join(stop, "claim_id", "left").where(F.col("level") >= F.coalesce("stop", F.lit(1)))
+    return ranked(stay.select("claim_id", "id", "level", (F.col("level") / F.col("n")).alias("score")), k)
 
 
 def any_keyword_search(claims: DataFrame, keywords: Column, chunks: DataFrame, k: int = 100) -> DataFrame:

@@ -102,6 +102,25 @@ def release(chunks: DataFrame) -> DataFrame:
     return sums.withColumn("decision", F.when(F.col("critical") == 0, "GO").otherwise("HOLD"))
 
 
+def secondary_citation(c: Column, rt_id: Column, cues: str) -> Column:
+    """Whether a text cites at second hand, by a pattern; types whose task that is are not flagged."""
+    return c.rlike(cues) & ~rt_id.isin("RT-101", "RT-311")
+
+
+def number_and_word_links(left: DataFrame, right: DataFrame, stopwords: list[str], pair: Column | None = None, least: int = 2) -> DataFrame:
+    """a, b, words: ids of a left and a right text (id, text) that share a number and ``least`` words.
+
+    Texts meet by number, never all with all, but a number that many texts have gives all pairs of them:
+    that is the rule's own output.
+    """
+    values = lambda d, n: d.select(F.col("id").alias(n), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*%?"), F.lit(0)))).alias("v"))
+    words = lambda d, n: d.select(F.col("id").alias(n), F.array_except(F.split(F.lower("text"), " "), F.array(*[F.lit(x) for x in stopwords])).alias(f"w{n}"))
+    pairs = values(left, "a").join(values(right, "b"), "v")
+    pairs = (pairs if pair is None else pairs.where(pair)).select("a", "b").distinct()
+    joined = pairs.join(words(left, "a"), "a").join(words(right, "b"), "b")
+    return joined.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("words")).where(F.col("words") >= least)
+
+
 def key_sets(json: Column) -> Column:
     """Sorted names of a JSON object's fields."""
     return F.array_join(F.sort_array(F.json_object_keys(json)), ",")

@@ -41,13 +41,13 @@ def policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICY, "ct_id string, rt_id string, tier string")
 
 
-def claim_vectors(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """The first vectors ask, the others answer."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("claim_id"), F.col("embedding").alias("vector"))
+def claim_vectors(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
+    """Every twentieth vector asks."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("claim_id"), F.col("embedding").alias("vector"))
 
 
-def chunk_vectors(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") >= n).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 def quoted(words: list[str]) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra import fixed
 from attestra.functions import numbers, text
-from attestra.operators import quality
+from attestra.operators import corpus, lexical, quality
 from attestra.plans import bindings as b
 from attestra.plans.catalog import query
 from attestra.plans.texts import _PARA, paragraphs
@@ -148,27 +148,24 @@ _WORDS = "list_distinct([w FOR w IN string_split(lower({0}), ' ') IF w NOT IN ('
 WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\d+\\.?\\d*%?')) AS v FROM documents), w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)
 SELECT x.a, x.b, CAST(len(list_intersect(p.w, q.w)) AS INT) AS words FROM (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.v = b.v AND a.doc_id < b.doc_id) x JOIN w p ON p.doc_id = x.a JOIN w q ON q.doc_id = x.b WHERE len(list_intersect(p.w, q.w)) >= 2""")
 def number_and_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share a number and two words: an equi-join on the number, then the words."""
-    d = b.table(spark, sf_dir, "documents")
-    n = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*%?"), F.lit(0)))).alias("v"))
-    pairs = n.select(F.col("doc_id").alias("a"), "v").join(n.select(F.col("doc_id").alias("b"), "v"), "v").where("a < b").select("a", "b").distinct()
-    w = d.select("doc_id", F.array_except(F.split(F.lower("text"), " "), F.array(*[F.lit(x) for x in ("the", "of", "in", "a", "and", "was", "by")])).alias("w"))
-    j = pairs.join(w.withColumnsRenamed({"doc_id": "a", "w": "wa"}), "a").join(w.withColumnsRenamed({"doc_id": "b", "w": "wb"}), "b")
-    return j.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("words")).where("words >= 2")
+    """Pairs of documents that share a number and two words."""
+    d = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = quality.number_and_word_links(d, d, ["the", "of", "in", "a", "and", "was", "by"], F.col("a") < F.col("b"))
+    return found.select("a", "b", "words")
 
 
-@query("j13_verbatim_anchors", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 80))")
+@query("j13_verbatim_anchors", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def verbatim_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims whose whole text stands word for word in a document.  The SQL looks for the first 80 characters."""
-    q = b.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("anchor"))
-    d = b.table(spark, sf_dir, "documents")
-    return d.join(q, F.contains(d["text"], q["anchor"])).select("item_id", "doc_id")
+    """Claims whose whole text stands word for word in a document."""
+    q = b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
+    d = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return lexical.verbatim(q, d).select(F.col("claim_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query("g03_secondary_citations", "SELECT doc_id, regexp_matches(text, '(?i)as (cited|reported) (in|by)|licen[cs]ed under') AND 'RT-' || (doc_id % 400) NOT IN ('RT-101', 'RT-311') AS flagged FROM documents")
 def secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rt = F.concat(F.lit("RT-"), F.col("doc_id") % 400)
-    return b.table(spark, sf_dir, "documents").select("doc_id", (F.col("text").rlike("(?i)as (cited|reported) (in|by)|licen[cs]ed under") & ~rt.isin("RT-101", "RT-311")).alias("flagged"))
+    return b.table(spark, sf_dir, "documents").select("doc_id", quality.secondary_citation(F.col("text"), rt, "(?i)as (cited|reported) (in|by)|licen[cs]ed under").alias("flagged"))
 
 
 COUNTS = [(1, "12 (21%) and 26 [46 %]"), (2, "none (x)"), (3, "7 (3.5%)")]
@@ -176,8 +173,7 @@ COUNTS = [(1, "12 (21%) and 26 [46 %]"), (2, "none (x)"), (3, "7 (3.5%)")]
 
 @query("g05_counts_with_percent", f"SELECT id, array_to_string([replace(x, ' ', '') FOR x IN regexp_extract_all(t, '\\d+\\s*[(\\[]\\s*(\\d+\\.?\\d*\\s*%)\\s*[)\\]]', 1)], ',') AS shares FROM {b.values(COUNTS, 'id', 't')}")
 def counts_with_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("t", F.lit(r"\d+\s*[(\[]\s*(\d+\.?\d*\s*%)\s*[)\]]"), F.lit(1))
-    return spark.createDataFrame(COUNTS, "id int, t string").select("id", F.array_join(F.transform(found, lambda x: F.replace(x, F.lit(" "), F.lit(""))), ",").alias("shares"))
+    return spark.createDataFrame(COUNTS, "id int, t string").select("id", F.array_join(numbers.shares_of_counts(F.col("t")), ",").alias("shares"))
 
 
 @query("g02_authority", f"SELECT c.claim_id, bool_or(p.tier = 'P') AS has_primary, bool_or(p.tier IN ('P', 'A')) AS has_acceptable FROM {b.CLAIMS_SQL} c JOIN {b.POLICY_SQL} p USING (ct_id) GROUP BY c.claim_id")
@@ -201,13 +197,13 @@ def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "events").select("event_id", (seen < F.add_months(F.lit("2024-01-15").cast("date"), -36).cast("timestamp")).alias("due"))
 
 
-_REFS = "(SELECT user_id % 40 AS claim, event_type AS material, 'src' || (event_id % 3) AS ref FROM events WHERE event_id % 97 = 0)"
+_REFS = "(SELECT user_id AS claim, event_type AS material, 'src' || (event_id % 3) AS ref FROM events)"
 
 
 @query("g09_inconsistent_references", f"SELECT claim FROM (SELECT claim, material, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM {_REFS} GROUP BY claim, material) GROUP BY claim HAVING count(DISTINCT refs) > 1")
 def inconsistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 97th event is a use of a claim in a material."""
-    e = b.table(spark, sf_dir, "events").where("event_id % 97 = 0").select((F.col("user_id") % 40).alias("claim"), F.col("event_type").alias("material"), F.concat(F.lit("src"), F.col("event_id") % 3).alias("ref"))
+    """Every event is a use of a claim in a material."""
+    e = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), F.col("event_type").alias("material"), F.concat(F.lit("src"), F.col("event_id") % 3).alias("ref"))
     sets = e.groupBy("claim", "material").agg(F.array_join(F.sort_array(F.collect_set("ref")), ",").alias("refs"))
     return sets.groupBy("claim").agg(F.countDistinct("refs").alias("n")).where("n > 1").select("claim")
 
@@ -231,7 +227,4 @@ NAMES = [(1, "Drug Prescribing Information 2024"), (2, "A GUIDELINE poster"), (3
 
 @query("f33_typing_cues", f"SELECT id, CASE {' '.join(f'WHEN contains(lower(n), {chr(39)}{c}{chr(39)}) THEN {chr(39)}{r}{chr(39)}' for c, r in CUES)} ELSE 'RT-301' END AS rt_id FROM {b.values(NAMES, 'id', 'n')}")
 def typing_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = F
-    for cue, rt in CUES:
-        rule = rule.when(F.lower("n").contains(cue), rt)
-    return spark.createDataFrame(NAMES, "id int, n string").select("id", rule.otherwise("RT-301").alias("rt_id"))
+    return spark.createDataFrame(NAMES, "id int, n string").select("id", corpus.typed_by_cues(F.col("n"), CUES, "RT-301").alias("rt_id"))

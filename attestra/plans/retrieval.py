@@ -57,7 +57,7 @@ def bm25_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents")
     post = lexical.postings(docs, "doc_id", "text")
     vocabulary = post.agg(F.countDistinct("token").alias("vocabulary"))
-    return lexical.corpus_stats(docs, "doc_id", "text").join(F.broadcast(vocabulary)).select("n", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+    return lexical.corpus_stats(docs, post).join(F.broadcast(vocabulary)).select("n", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
 @query("a01_document_frequency", f"WITH {POSTINGS} SELECT token, CAST(df AS BIGINT) AS df FROM freq")
@@ -84,7 +84,7 @@ def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents")
     post = lexical.postings(docs, "doc_id", "text")
     asked = lexical.terms(b.table(spark, sf_dir, "benchmark"), "item_id", "text").distinct().withColumnRenamed("id", "claim_id")
-    idf = lexical.document_frequency(post).join(F.broadcast(lexical.corpus_stats(docs, "doc_id", "text")))
+    idf = lexical.document_frequency(post).join(F.broadcast(lexical.corpus_stats(docs, post)))
     return asked.join(idf, "token").select("claim_id", "token", F.round(scores.bm25_idf(F.col("n"), F.col("df")), 4).alias("weight"))
 
 
@@ -104,14 +104,16 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DENSE = f"""
-  q AS (SELECT vec_id AS claim_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 40),
-  c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 40),
-  sims AS (SELECT claim_id, id, list_cosine_similarity(q.v, c.v) AS score FROM q, c),
+  q AS (SELECT vec_id AS claim_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
+  c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  sims AS (SELECT claim_id, id, list_cosine_similarity(q.v, c.v) AS score FROM q JOIN c ON id <> claim_id),
   dense AS (SELECT claim_id, id, score, rank FROM (SELECT *, {_rank('score')} AS rank FROM sims) WHERE rank <= 150)"""
 
 
 def dense_hits(spark: SparkSession, sf_dir: str, k: int = 150) -> DataFrame:
-    return dense.dense_search(b.claim_vectors(spark, sf_dir), b.chunk_vectors(spark, sf_dir), k)
+    """Every twentieth vector asks all others; its own row, found with one more, is left out."""
+    found = dense.dense_search(b.claim_vectors(spark, sf_dir), b.chunk_vectors(spark, sf_dir), k + 1)
+    return lexical.ranked(found.where("id <> claim_id").drop("rank"), k)
 
 
 @query("j10_dense_search", f"WITH {DENSE} SELECT claim_id, id, rank, round(score, 6) AS score FROM dense")
@@ -320,7 +322,7 @@ TRUTH = "truth AS (SELECT b.item_id AS claim_id, d.doc_id AS id FROM benchmark b
 def retrieval_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks at which documents that hold a claim's own text are found."""
     c, d = b.claims(spark, sf_dir), b.chunks(spark, sf_dir)
-    truth = c.join(d, F.contains(d["text"], c["text"])).select("claim_id", "id")
+    truth = lexical.verbatim(c, d)
     found = bm25_hits(spark, sf_dir).join(truth, ["claim_id", "id"]).groupBy("claim_id").agg(F.min("rank").alias("first_rank"), F.count("*").alias("found"))
     joined = c.select("claim_id").join(found, "claim_id", "left")
     return joined.select("claim_id", "first_rank", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce(F.col("first_rank") <= 10, F.lit(False)).alias("hit"))
@@ -357,12 +359,12 @@ def brand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.brand_names(c, h)
 
 
-@query("j04_unblocked", f"SELECT c.claim_id, d.id FROM {b.CLAIMS_SQL} c, {b.CHUNKS_SQL} d WHERE NOT EXISTS (SELECT 1 FROM {b.POLICY_SQL} p WHERE p.ct_id = c.ct_id AND p.rt_id = d.rt_id AND p.tier = 'N') AND d.id % 10 = c.claim_id % 10")
+@query("j04_unblocked", f"WITH {BM25} SELECT h.claim_id, h.id FROM bm25 h JOIN {b.CLAIMS_SQL} c USING (claim_id) JOIN {b.CHUNKS_SQL} d USING (id) WHERE NOT EXISTS (SELECT 1 FROM {b.POLICY_SQL} p WHERE p.ct_id = c.ct_id AND p.rt_id = d.rt_id AND p.tier = 'N')")
 def unblocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that the policy allows.  Claims meet the chunks of their own residue class."""
-    c, d = b.claims(spark, sf_dir), b.chunks(spark, sf_dir)
-    pairs = c.withColumn("r", F.col("claim_id") % 10).join(d.withColumn("r", F.col("id") % 10).drop("text"), "r")
-    return fusion.unblocked(pairs, b.policy(spark)).select("claim_id", "id")
+    """Hits of the search that the policy allows."""
+    c, d = b.claims(spark, sf_dir).select("claim_id", "ct_id"), b.chunks(spark, sf_dir).select("id", "rt_id")
+    hits = bm25_hits(spark, sf_dir).select("claim_id", "id").join(c, "claim_id").join(d, "id")
+    return fusion.unblocked(hits, b.policy(spark)).select("claim_id", "id")
 
 
 @query("p04_payload_filter", f"SELECT id, ref_id, rt_id FROM {b.CHUNKS_SQL} WHERE rt_id IN ('RT-101', 'RT-301', 'RT-310') AND rt_id <> 'RT-310' AND ref_id <> 'src4'")

@@ -194,11 +194,11 @@ def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j09_w09_bibliography", f"""
-WITH r AS (SELECT doc_id, no, trim(CASE WHEN no % 2 = 0 THEN (no + 7) || '. ' || line ELSE line END) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS place FROM {_PARA} WHERE no % 3 = 0)
+WITH r AS (SELECT doc_id, no, trim(CASE WHEN no % 2 = 0 THEN (no + 7) || '. ' || line ELSE line END) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS place FROM {_PARA})
 SELECT doc_id AS ref_id, CAST(place AS INT) AS place, CAST(coalesce(TRY_CAST(regexp_extract(t, '^(\\d+)\\.\\s+', 1) AS INT), place) AS INT) AS idx, substr(t, 1, 500) AS entry FROM r""")
 def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries by their number, else by their place."""
-    p = paragraphs(spark, sf_dir).where("chunk_index % 3 = 0").withColumn("segment_type", F.lit("reference"))
+    p = paragraphs(spark, sf_dir).withColumn("segment_type", F.lit("reference"))
     p = p.withColumn("text", F.when(F.col("chunk_index") % 2 == 0, F.concat(F.col("chunk_index") + 7, F.lit(". "), F.col("text"))).otherwise(F.col("text")))
     e = corpus.bibliography(p).select("ref_id", F.posexplode("doc_references").alias("place", "e"))
     return e.select("ref_id", (F.col("place") + 1).alias("place"), F.col("e.index").alias("idx"), F.col("e.text").alias("entry"))
@@ -213,14 +213,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w08_packed_lines")
 def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy groups of a document's lines, begun anew at 1,600 characters: a fold that Spark has as aggregate()."""
-    lines = F.split("text", "\n")
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("groups"))
-
-    def add(acc, line):
-        full = (acc["size"] > 0) & (acc["size"] + F.length(line) > fixed.TARGET_TOKENS * fixed.CHARS_PER_TOKEN)
-        return F.struct(F.when(full, F.length(line)).otherwise(acc["size"] + F.length(line)).alias("size"), (acc["groups"] + F.when(full | (acc["groups"] == 0), 1).otherwise(0)).alias("groups"))
-
-    return b.table(spark, sf_dir, "documents").select("doc_id", F.aggregate(lines, start, add, lambda a: a["groups"]).alias("groups"))
+    groups = text.packed_groups(F.split("text", "\n"), fixed.TARGET_TOKENS * fixed.CHARS_PER_TOKEN)
+    return b.table(spark, sf_dir, "documents").select("doc_id", groups.alias("groups"))
 
 
 @query("f20_f21_chunks")
@@ -261,8 +255,9 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s13_patched", "SELECT doc_id, CASE WHEN doc_id % 100 = 42 THEN 'src|patched' ELSE 'src' END AS tokens FROM documents")
 def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload field of some points rewritten."""
-    base = F.array(F.lit("src"))
-    return b.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.when(F.col("doc_id") % 100 == 42, F.array_union(base, F.array(F.lit("patched")))).otherwise(base), "|").alias("tokens"))
+    d = b.table(spark, sf_dir, "documents").select("doc_id", F.lit("src").alias("tokens"))
+    patch = d.where("doc_id % 100 = 42").select("doc_id", F.lit("src|patched").alias("tokens"))
+    return corpus.patched(d, patch, "doc_id", "tokens")
 
 
 @query("p09_payload_fields", "SELECT doc_id, coalesce(nullif(lang, 'en'), nullif(source, '')) AS author, coalesce(NULL, CAST(n_chars AS VARCHAR)) AS page, concat_ws(', ', source, lang) AS label FROM documents")
@@ -275,9 +270,7 @@ def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of each source in one prompt text: head lines, then the cleaned text."""
     c = b.chunks(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("ref_id").orderBy("id"))).where("n <= 5")
-    head = F.concat_ws("\n", F.concat(F.lit("### Passage "), F.col("n")), F.concat(F.lit("- **ref_id:** "), F.col("ref_id")), F.concat(F.lit("- **RT-ID:** "), F.col("rt_id")))
-    one = F.concat(head, F.lit("\n\n**Evidence Text:**\n"), text.clean_passage(F.col("text")))
-    per = c.groupBy("ref_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", one.alias("p")))), lambda x: x["p"]), "\n\n---\n\n").alias("prompt"))
+    per = corpus.passages(c, "ref_id")
     return per.select("ref_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 

@@ -8,7 +8,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: weakref.WeakSet = weakref.WeakSet()
@@ -21,6 +21,24 @@ def local(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> Sp
     return builder.config(map=settings).getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where files with few row groups would keep some idle.  What has as many partitions as
+    there are cores, as any large input does, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(2 * cores)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once, in the folder that spark.checkpoint.dir names (one of our own only on a local master): read
+    again after executors are lost, and no memory of theirs is held for it."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, unless they find it where the driver does: by
     PYTHONPATH, or, on one machine, in the working folder."""

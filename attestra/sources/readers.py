@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +30,37 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]+$", "")
 
 
+def ref_id() -> Column:
+    """The key of a file that is read: its name without the ending, as it is in the folder (paths come
+    percent-encoded; a plus sign is one).  Batch and stream share it, so their ids are the same."""
+    return F.url_decode(F.replace(stem(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B"))).alias("ref_id")
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """ref_id (the file's stem), markdown: one row per file."""
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return files.select(F.url_decode(F.replace(stem(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B"))).alias("ref_id"), F.col("value").alias("markdown"))
+    return files.select(ref_id(), F.col("value").alias("markdown"))
+
+
+def read_pages(spark: SparkSession, folder: str, pages: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
+    """ref_id, page (from 1), text: pages of binary files without a parse reply, by a given extractor.  A file that
+    it cannot read has one row, its page and text null.  Pages without text are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for ref, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    found = pages(content)
+                except Exception:  # whatever the extractor raises, the other files go on
+                    rows.append((ref, None, None))
+                    continue
+                rows += [(ref, n, t.strip()) for n, t in enumerate(found, 1) if t and t.strip()]
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string()), strict=True)], ["ref_id", "page", "text"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return files.select(ref_id(), "content").mapInArrow(run, "ref_id string, page int, text string")
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.functions import text
+from attestra.operators import lexical
 from attestra.operators.corpus import point_id
 
 
+#: Payload fields that searches filter by, in the order in which rows are laid.
+LAID_BY = ["rt_id", "ref_category", "ref_id", "sent_id"]
+
+
 def write_index(chunks: DataFrame, path: str, dim: int | None = None) -> int:
-    """Replace the index table: chunks with vectors of one size, with their point ids, by type.
+    """Replace the index table: chunks with vectors of one size, with their point ids, a folder for each segment
+    type.  Rows lie in ranges of their payload fields, so files and row groups that a filter on type, category,
+    source or sentence rules out are not read; sentence ids have a bloom filter besides.
     Returns the number written, which must equal the number there should be."""
     valid = chunks.where(F.size("vector") > 0) if dim is None else chunks.where(F.size("vector") == dim)
-    valid.withColumn("point_id", point_id(F.col("sent_id"))).write.mode("overwrite").partitionBy("segment_type").parquet(path)
+    laid = [c for c in LAID_BY if c in chunks.columns]
+    rows = valid.withColumn("point_id", point_id(F.col("sent_id"))).repartitionByRange("segment_type", *laid).sortWithinPartitions("segment_type", *laid)
+    rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#sent_id", "true").partitionBy("segment_type").parquet(path)
     n, there = valid.count(), chunks.sparkSession.read.parquet(path).count()
     if n != there:
         raise RuntimeError(f"{there} of {n} points are in the index")
     return n
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_sparse(chunks: DataFrame, path: str) -> int:
+    """The second, sparse collection: point_id, sent_id, indices and values (token numbers and BM25 weights without
+    idf) of every chunk (sent_id, text) that the table does not hold yet, under the ids of the dense one.  Weights
+    are of the whole corpus, so running again after a break goes on with what is missing.  Idf is the searcher's part.
+    Returns the number of points there; chunks without an indexed token have none."""
+    spark = chunks.sparkSession
+    weights = lexical.weighted(chunks, "sent_id", "text").select(F.col("id").alias("sent_id"), text.token_index(F.col("token")).alias("index"), "weight")
+    # tokens whose numbers collide are one entry
+    entries = weights.groupBy("sent_id", "index").agg(F.sum("weight").alias("value"))
+    points = entries.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("index", "value"))).alias("e"))
+    points = points.select(point_id(F.col("sent_id")).alias("point_id"), "sent_id", F.col("e.index").alias("indices"), F.col("e.value").alias("values"))
+    if exists(spark, path):
+        points = points.join(spark.read.parquet(path).select("sent_id"), "sent_id", "left_anti").select("point_id", "sent_id", "indices", "values")
+    points.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count()
+
+
 def append_new(rows: DataFrame, path: str, key: str) -> None:
     """Append rows whose key the log does not hold yet; running it again changes nothing."""
     spark = rows.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-        rows = rows.join(done, key, "left_anti")
-    except Exception as e:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if exists(spark, path):
+        rows = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
     rows.write.mode("append").parquet(path)
 
 
-def write_audit(records: DataFrame, folder: str) -> None:
-    """Audit records as JSON, by claim type."""
-    records.write.mode("append").partitionBy("ct_id").json(folder)
+def write_audit(records: DataFrame, folder: str, at: str = "audited_at") -> None:
+    """Audit records as JSON, one file for each, in a folder audit_{claim type}_{time}: Spark names folders, not
+    files.  Records of one type and time get numbers.  Without a time column, the time of writing."""
+    time = F.col(at) if at in records.columns else F.current_timestamp()
+    name = F.concat_ws("_", F.lit("audit"), F.coalesce("ct_id", F.lit("none")), F.date_format(time, "yyyyMMdd_HHmmss"))
+    order = Window.partitionBy("audit").orderBy(F.xxhash64(*[c for c in records.columns if not c.endswith("alignment")]))
+    named = records.withColumn("audit", name).withColumn("_n", F.row_number().over(order))
+    named = named.withColumn("audit", F.when(F.col("_n") == 1, F.col("audit")).otherwise(F.concat_ws("_", "audit", "_n"))).drop("_n")
+    named.repartition("audit").write.mode("append").partitionBy("audit").json(folder)
 
 
 def write_report(lines: DataFrame, folder: str) -> None:
