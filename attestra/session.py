@@ -28,14 +28,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(2 * cores)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Computed once, in the folder that spark.checkpoint.dir names (one of our own only on a local master): read
-    again after executors are lost, and no memory of theirs is held for it."""
-    spark = df.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where the cluster says; a folder of our own only where it says nothing, on a local master."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once, in the folder of checkpoints: read again after executors are lost, and no memory of theirs
+    is held for it.  spark.cleaner.referenceTracking.cleanCheckpoints lets Spark delete it when it is done with."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
