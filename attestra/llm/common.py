@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.session import checkpoints, kept, spread
+
 #: Words of the contracts: runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside the operators: larger than every real id.
@@ -16,11 +17,8 @@ NO_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    """A table, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def by_place(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
@@ -36,27 +34,24 @@ def bound_batches(spark: SparkSession, rows: int = 4096, megabytes: int = 8) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a folder of our own only where it says nothing."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
-
-
 def shared_path(spark: SparkSession) -> str:
     """The shared folder itself, for tables that are written and read again."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    shared_folder(spark)
+    checkpoints(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once, into the shared checkpoint folder: later reads survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return kept(df)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -92,11 +87,12 @@ def first_by_hash(rows: DataFrame, by: str, each: int) -> DataFrame:
     """At most ``each`` rows of every value of ``by``: the first by hash of their ``id``.
 
     Values are counted first, and only about four times the wanted rows of a value are ranked, so a
-    value that most rows have is no one task's work.
+    value that most rows have is no one task's work.  There are few values (labels, or languages up to
+    a bound), so their counts go to every task.
     """
     order, span = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), float(1 << 40)
     counts = rows.groupBy(by).agg(F.count("*").alias("_all"))
-    near = rows.withColumn("_order", order).join(counts, by).where(F.col("_order") < F.lit(span * (4 * each + 40)) / F.col("_all"))
+    near = rows.withColumn("_order", order).join(F.broadcast(counts), by).where(F.col("_order") < F.lit(span * (4 * each + 40)) / F.col("_all"))
     place = F.row_number().over(Window.partitionBy(by).orderBy("_order", "id"))
     return near.withColumn("_place", place).where(F.col("_place") <= each).drop("_place", "_order", "_all")
 

@@ -106,21 +106,23 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 150) -> Mod
     return Model(langs, code, w * 4, b * 4, trust)
 
 
-def sample(docs: DataFrame, learn, rows: int) -> tuple[DataFrame, list[str]]:
+def sample(docs: DataFrame, learn, rows: int, most: int) -> tuple[DataFrame, list[str]]:
     """lang, text of at most ``rows`` learnable documents, as many of each language as there are,
-    the first by hash of their id; and all languages there are to learn."""
+    the first by hash of their id; and the languages there are to learn: at most ``most``, those with the
+    most documents."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
-    ids = first_by_hash(known.select("id", "lang"), "lang", max(10, rows // max(1, len(langs)))).select("id").distinct()
-    # at most `rows` ids (or ten for each language): small enough for every executor
+    langs = sorted(r[0] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect())
+    known = known.where(F.col("lang").isin(langs))
+    ids = first_by_hash(known.select("id", "lang"), "lang", max(1, rows // max(1, len(langs)))).select("id").distinct()
+    # at most `rows` ids (or one for each language): small enough for every executor
     return known.join(F.broadcast(ids), "id", "left_semi"), langs
 
 
-def train(docs: DataFrame, learn, rows: int = 1600) -> Model:
-    """rows bounds the documents that are learned from; each gives its whole text and two
-    short parts of it, so that short texts are known too."""
-    texts, langs = sample(docs, learn, rows)
+def train(docs: DataFrame, learn, rows: int = 1600, most: int = 400) -> Model:
+    """rows bounds the documents that are learned from, most the languages; each document gives its whole
+    text and two short parts of it, so that short texts are known too."""
+    texts, langs = sample(docs, learn, rows, most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +154,9 @@ def identify(docs: DataFrame, model: Model, gap: float = 0.2) -> DataFrame:
 
     The language whose codeword has the least weighted loss; score is its share of exp(-loss).
     ambiguous: the next language's share is within ``gap``.  Null texts, texts without a letter,
-    and all texts when nothing could be learned: ``und``, score 0.  One row in, one row out.
+    and all texts when nothing could be learned: ``und``, score 0.  Of languages that are equally near
+    the first by name.  Long texts are counted piece by piece.  Only doc_id and text are read of the
+    columns.  One row in, one row out, repeated rows and null ids included; no rows: no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)

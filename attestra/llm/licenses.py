@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -113,11 +114,12 @@ def notices(flat: bytes) -> list[tuple[int, int, int, int]]:
         for a, z in merged:
             out += [(i, *x) for x in _places(patterns[i], flat, a, min(z, len(flat)), len(names[i]) - allowed(names[i]))]
     # of notices that overlap, the one with the smallest share of edits
-    kept: list[tuple[int, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (x[3] / len(names[x[0]]), -len(names[x[0]]), x[1], x[0])):
-        if all(x[2] <= k[1] or k[2] <= x[1] for k in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+    kept: list[tuple[int, int, int]] = []  # start, end, place in out; none overlap
+    for n, x in sorted(enumerate(out), key=lambda e: (e[1][3] / len(names[e[1][0]]), -len(names[e[1][0]]), e[1][1], e[1][0])):
+        at = bisect_left(kept, (x[1], x[2], n))
+        if (at == 0 or kept[at - 1][1] <= x[1]) and (at == len(kept) or x[2] <= kept[at][0]):
+            kept.insert(at, (x[1], x[2], n))
+    return [out[n] for _, _, n in kept]
 
 
 def scan(text: str | None) -> dict:
@@ -126,12 +128,13 @@ def scan(text: str | None) -> dict:
     codes = IS_WORD[np.frombuffer(low, dtype=np.uint8)]
     starts = codes.copy()
     starts[1:] &= ~codes[:-1]
-    n_words = int(np.count_nonzero(starts))
+    word_at = np.flatnonzero(starts)
+    n_words = len(word_at)
     places, labels = [], set()
     for pattern, label, first in _phrases():
         if first in low:
             for m in pattern.finditer(low):
-                places.append(int(np.count_nonzero(starts[: m.start()])))
+                places.append(int(np.searchsorted(word_at, m.start())))
                 labels.add(label)
     words = low.split()
     found = notices(b" ".join(words))
@@ -177,8 +180,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Places of the base phrases are exact; notices are searched with up to one edit for each
     12 characters and reported with byte spans of the text.  score: 1 with a base phrase, else
-    1 - edits / length of the best notice, else 0.  Null and empty texts have no words, no labels ("")
-    and score 0.  One row in, one row out, repeated rows and null ids included.
+    1 - edits / length of the best notice, else 0.  Of notices that overlap the one with the smallest share of
+    edits is kept, then the longer, the first.  Null and empty texts have no words, no labels (""), no spans
+    and score 0.  Whole texts are read, however long; the cost grows with length and hits.  Only doc_id
+    and text are read of the columns.  One row in, one row out, repeated rows and null ids included.
     """
     bound_batches(docs.sparkSession)
     kind = pa.schema(
@@ -198,4 +203,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan(table(spark, sf_dir, "documents"))

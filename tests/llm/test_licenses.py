@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -62,3 +63,42 @@ def test_table(spark):
     out = license_scan(frame(spark, rows)).toPandas()
     assert len(out) == 33 and out.n_base.sum() == 1
     assert license_scan(frame(spark, [])).count() == 0
+
+
+def fewest_edits(notice, flat):
+    """Least edits with which the notice stands anywhere in a text, by dynamic programming."""
+    row = list(range(len(notice) + 1))
+    least = row[-1]
+    for c in flat:
+        new = [0]
+        for j, n in enumerate(notice, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != n)))
+        row = new
+        least = min(least, row[-1])
+    return least
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fuzzy_search_against_dynamic_programming(seed):
+    """A notice within its bound is found, or a better one where it stands; one beyond it is not."""
+    rng = random.Random(seed)
+    names = list(NOTICES)
+    for _ in range(12):
+        text = rng.choice(names)
+        for _ in range(rng.randrange(9)):
+            at = rng.randrange(len(text))
+            text = rng.choice([text[:at] + text[at + 1 :], text[:at] + rng.choice("abcx ") + text[at:], text[:at] + rng.choice("abcx") + text[at + 1 :]])
+        flat = " ".join(f"words before {text} and behind".split())
+        found = notices(flat.encode())
+        best = min(((fewest_edits(n, flat), n) for n in names if fewest_edits(n, flat) <= allowed(n)), key=lambda x: x[0] / len(x[1]), default=None)
+        assert bool(found) == bool(best)
+        for i, a, z, edits in found:
+            assert edits <= allowed(names[i]) and fewest_edits(names[i], flat[a:z]) <= edits
+        if best:
+            assert min(e / len(names[i]) for i, _, _, e in found) <= best[0] / len(best[1]) + 1e-9
+
+
+def test_very_many_hits_in_a_long_text():
+    text = "Released under the MIT Licence. " * 4000 + "mit license " * 4000
+    s = scan(text)
+    assert s["n_base"] == 4000 and len(s["spans"]) == 4000 and s["first_word"] == 20000 and s["last_word"] == 20000 + 2 * 3999
