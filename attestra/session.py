@@ -25,7 +25,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Over all cores, where files with few row groups would keep some idle.  What has as many partitions as
     there are cores, as any large input does, stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(2 * cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def checkpoints(spark: SparkSession) -> None:
