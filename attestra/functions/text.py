@@ -90,15 +90,14 @@ def raw_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(fixed.TOKEN), F.lit(0))
 
 
-def stem(c: Column) -> Column:
-    """One CASE over the irregular forms and the ordered suffixes."""
-    out = F.when(F.length(c) <= 3, c)
-    for word, root in fixed.IRREGULAR_STEMS.items():
-        out = out.when(c == word, F.lit(root))
+def stem(name: str) -> Column:
+    """One CASE over the irregular forms and the ordered suffixes, of a column by its name.  As text it is parsed
+    at once; built call by call its hundreds of parts take a second."""
+    whens = [f"WHEN length({name}) <= 3 THEN {name}"]
+    whens += [f"WHEN {name} = '{word}' THEN '{root}'" for word, root in fixed.IRREGULAR_STEMS.items()]
     for suffix, new in fixed.SUFFIXES:
-        fits = c.endswith(suffix) & (F.length(c) >= len(suffix) + 2)
-        out = out.when(fits, F.concat(c.substr(F.lit(1), F.length(c) - len(suffix)), F.lit(new)))
-    return out.otherwise(c)
+        whens.append(f"WHEN endswith({name}, '{suffix}') AND length({name}) >= {len(suffix) + 2} THEN concat(left({name}, length({name}) - {len(suffix)}), '{new}')")
+    return F.expr(f"CASE {' '.join(whens)} ELSE {name} END")
 
 
 def index_token(c: Column) -> Column:

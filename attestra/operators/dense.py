@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attestra.functions import scores
 from attestra.operators.lexical import ranked
 from attestra.operators.ranking import Best
+from attestra.session import in_blocks
 
 #: Claims that one pass over the chunks compares, the bound of what is sent to every task; chunks that they meet at once.
 BLOCK, SLICE = 2048, 1024
@@ -32,17 +33,12 @@ def dense_search(claims: DataFrame, chunks: DataFrame, k: int = 150) -> DataFram
     """
     spark = claims.sparkSession
     asked = claims.where(F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>"))
-    blocks = -(-asked.count() // BLOCK)
-    found = None
-    for i in range(max(1, blocks)):
-        part = asked if blocks < 2 else asked.where(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)) == i)
-        rows = part.select("claim_id", "vector").collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows]) if rows else None))
+    found = spark.createDataFrame([], "claim_id long, id long, score double")
+    for rows in in_blocks(asked.select("claim_id", "vector"), "claim_id", BLOCK):
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows])))
 
         def best(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            if q is None:
-                return
             held = Best(len(names), k)
             for b in batches:
                 for start in range(0, b.num_rows, SLICE):
@@ -50,8 +46,8 @@ def dense_search(claims: DataFrame, chunks: DataFrame, k: int = 150) -> DataFram
                     held.add(q @ _unit(part.column(1).to_pylist()).T, part.column(0).to_numpy(zero_copy_only=False))
             yield from held.rows(np.array(names))
 
-        one = chunks.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(best, "claim_id long, id long, score double")
-        found = one if found is None else found.union(one)
+        vectors = chunks.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), F.col("vector").cast("array<double>"))
+        found = found.union(vectors.mapInArrow(best, "claim_id long, id long, score double"))
     return ranked(found, k)
 
 

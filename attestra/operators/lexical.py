@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from attestra.functions import scores, text
 from attestra.operators.ranking import Best
-from attestra.session import kept, spread
+from attestra.session import in_blocks, kept, spread
 
 
 def terms(docs: DataFrame, id_: str, body: str) -> DataFrame:
     """id, token: one row per occurrence of an indexed token, stemmed."""
-    rows = spread(docs.select(F.col(id_).alias("id"), F.col(body).alias("body")))
-    raw = rows.select("id", F.explode(text.raw_tokens(F.col("body"))).alias("raw"))
-    return raw.where(text.index_token(F.col("raw"))).select("id", text.stem(F.col("raw")).alias("token"))
+    raw = docs.select(F.col(id_).alias("id"), F.explode(text.raw_tokens(F.col(body))).alias("raw"))
+    return raw.where(text.index_token(F.col("raw"))).select("id", text.stem("raw").alias("token"))
 
 
 def _read(docs: DataFrame, id_: str, body: str) -> DataFrame:
@@ -33,7 +32,7 @@ def _read(docs: DataFrame, id_: str, body: str) -> DataFrame:
 def _occurrences(read: DataFrame) -> DataFrame:
     """row, id, dl, token: one row per occurrence of an indexed token, documents one after the other."""
     rows = read.select("row", "id", "dl", F.explode("raw").alias("raw")).where(text.index_token(F.col("raw")))
-    return rows.select("row", "id", "dl", text.stem(F.col("raw")).alias("token"))
+    return rows.select("row", "id", "dl", text.stem("raw").alias("token"))
 
 
 def postings(docs: DataFrame, id_: str, body: str) -> DataFrame:
@@ -59,27 +58,24 @@ def weighted(docs: DataFrame, id_: str, body: str) -> DataFrame:
     return joined.select("id", "token", "tf", "df", scores.bm25_weight(F.col("tf"), F.col("dl"), F.greatest("avgdl", F.lit(1.0))).alias("weight"), scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-#: Claims whose words one pass over the documents looks for, the bound of what is sent to every task; scores held at once.
-SEARCHED, SCORES = 2_000, 1 << 21
+#: Words of claims that one pass over the documents looks for, the bound of what is sent to every task; scores held at once.
+SEARCHED, SCORES = 100_000, 1 << 21
 
 
 def bm25_search(claims: DataFrame, claim_id: str, claim_text: str, docs: DataFrame, doc_id: str, body: str, k: int = 100) -> DataFrame:
     """claim_id, id, score, rank: the k best documents of every claim.
 
-    Claims go to the documents, at most SEARCHED at a time.  The first pass over the texts keeps one row
+    Claims go to the documents, about SEARCHED of their words at a time.  The first pass over the texts keeps one row
     for each document, with the claims' words that it holds; frequencies come from these rows.  The second
     pass reads them, adds up the weights of a block of documents for all claims, and keeps each
     claim's best.  So nothing is shuffled but best lists, and no row is made for a claim, a document and a
     word that they share.
     """
     spark = claims.sparkSession
-    asked = kept(terms(claims, claim_id, claim_text).where("id is not null").select(F.col("id").cast("long").alias("id"), "token").distinct())
-    blocks = -(-asked.select("id").distinct().count() // SEARCHED)
+    asked = terms(claims, claim_id, claim_text).where("id is not null").select(F.col("id").cast("long").alias("id"), "token").distinct()
     found = spark.createDataFrame([], "claim_id long, id long, score double")
-    for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
-        if rows:
-            found = found.union(_bm25_block(rows, docs, doc_id, body, k))
+    for rows in in_blocks(asked, "id", SEARCHED):
+        found = found.union(_bm25_block(rows, docs, doc_id, body, k))
     return ranked(found, k)
 
 
@@ -121,11 +117,11 @@ def _bm25_block(asked: list, docs: DataFrame, doc_id: str, body: str, k: int) ->
 
     occurrences = _occurrences(_read(docs, doc_id, body)).select("row", F.col("id").cast("long").alias("id"), "dl", "token")
     held = kept(occurrences.mapInArrow(hold, "id long, dl long, words array<int>, tfs array<int>"))
-    total = held.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).first()
-    average = max(total["total"] / max(total["n"], 1), 1.0)
+    n, total = docs.count(), held.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+    average = max(total / max(n, 1), 1.0)
     idf = np.zeros(len(vocabulary))
     frequency = held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    for r in frequency.select("word", scores.bm25_idf(F.lit(total["n"]), F.col("df")).alias("idf")).collect():  # a row for each of the claims' words at most
+    for r in frequency.select("word", scores.bm25_idf(F.lit(n), F.col("df")).alias("idf")).collect():  # a row for each of the claims' words at most
         idf[r["word"]] = r["idf"]
     sent = spark.sparkContext.broadcast((names, [np.array(c) for c in claims_of], idf))
 
@@ -214,12 +210,10 @@ def leading_words(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     over it, and only claims whose first keyword is among them are looked at.
     """
     spark = claims.sparkSession
-    blocks = max(1, -(-claims.count() // CLAIMS_AT_ONCE))
     texts = spread(chunks.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low")).where("low is not null"))
-    found = None
-    for i in range(blocks):
-        part = claims if blocks == 1 else claims.where(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)) == i)
-        sent = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in part.select("claim_id", "kws").collect()])
+    found = spark.createDataFrame([], "claim_id long, id long, level int, n int")
+    for part in in_blocks(claims.select("claim_id", "kws"), "claim_id", CLAIMS_AT_ONCE):
+        sent = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in part])
 
         def find(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             held_by = _finder(sorted({w for _, kws in sent.value for w in kws}))
@@ -238,8 +232,7 @@ def leading_words(claims: DataFrame, chunks: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["claim_id", "id", "level", "n"])
 
-        one = texts.mapInArrow(find, "claim_id long, id long, level int, n int")
-        found = one if found is None else found.union(one)
+        found = found.union(texts.mapInArrow(find, "claim_id long, id long, level int, n int"))
     return found
 
 

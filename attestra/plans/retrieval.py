@@ -43,7 +43,7 @@ WORDS = "ational national organization hopefulness anxiousness effectiveness pla
 @query("f10_stems", f"SELECT word, {b.stem_sql('word')} AS stem FROM {b.values([(w,) for w in WORDS], 'word')}")
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    return df.select("word", text.stem(F.col("word")).alias("stem"))
+    return df.select("word", text.stem("word").alias("stem"))
 
 
 @query("f14_token_index", f"SELECT token, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) AS idx FROM (SELECT DISTINCT token FROM {DOC_TERMS})")

@@ -6,9 +6,11 @@ import os
 import tempfile
 import weakref
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: weakref.WeakSet = weakref.WeakSet()
@@ -18,6 +20,7 @@ def local(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> Sp
     """A session on this machine, in UTC, without the interface."""
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", partitions)
     settings = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": memory, "spark.ui.showConsoleProgress": "false"}
+    settings["spark.python.sql.dataFrameDebugging.enabled"] = "false"  # the place in the code of every expression costs more than small plans do
     return builder.config(map=settings).getOrCreate()
 
 
@@ -28,6 +31,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+def in_blocks(df: DataFrame, key: str, most: int) -> Iterator[list[Row]]:
+    """Rows of a table on the driver, at most about ``most`` at a time, those of one key together.  A table that
+    has no more is read once."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) <= most:
+        if rows:
+            yield rows
+        return
+    blocks = -(-df.count() // most)
+    for i in range(blocks):
+        if part := df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).collect():
+            yield part
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Checkpoints go where the cluster says; a folder of our own only where it says nothing, on a local master."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

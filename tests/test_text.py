@@ -22,7 +22,7 @@ def test_unicode(spark, raw, want):
     [("freeze", "freez"), ("frozen", "freez"), ("washing", "wash"), ("organization", "organize"), ("treatment", "treat"), ("walking", "walk"), ("tried", "try"), ("gas", "gas"), ("cats", "cat"), ("bes", "bes"), ("sing", "sing"), ("using", "us")],
 )
 def test_stem(spark, word, stem):
-    assert one(spark, word, text.stem) == stem
+    assert one(spark, word, lambda c: text.stem("t")) == stem
 
 
 def test_keywords(spark):
