@@ -107,6 +107,20 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", text.doi(t).alias("doi"), text.year(t).alias("year"), text.trial_id(t).alias("trial_id"), text.title(t, F.col("f")).alias("title"))
 
 
+_HEADED = "'# Report *' || source || '*' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'In ' || (1960 + doc_id % 90) || ' ' ELSE '' END || CASE doc_id % 4 WHEN 0 THEN 'doi: 10.' || (1000 + doc_id) || '/x' || doc_id || '); ' WHEN 1 THEN 'see 10.5555/' || doc_id || ', ' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'NCT' || (10000000 + doc_id) ELSE '' END || chr(10) || text"
+
+
+@query("f22_f23_documents", f"""
+SELECT doc_id, nullif(regexp_replace(coalesce(nullif(regexp_extract(substr(t, 1, 8000), '(?i)(?:doi\\.org/|doi:?\\s*)(10\\.\\d{{4,9}}/[^\\s,]+)', 1), ''), regexp_extract(substr(t, 1, 8000), '(10\\.\\d{{4,9}}/[^\\s,]+)', 1)), '[.,;)]+$', ''), '') AS doi,
+ TRY_CAST(nullif(regexp_extract(substr(t, 1, 2000), '\\b(19[89]\\d|20[012]\\d)\\b', 1), '') AS INT) AS year, nullif(regexp_extract(substr(t, 1, 5000), 'NCT\\d{{7,8}}'), '') AS trial_id,
+ coalesce(nullif(trim(regexp_replace(regexp_extract(substr(t, 1, 2000), '(?m)^#\\s+(.+)$', 1), '[*_`]', '', 'g')), ''), source) AS title FROM (SELECT doc_id, source, {_HEADED} AS t FROM documents)""")
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of F22 and F23 over all documents, each under a heading with what its number gives."""
+    t = F.col("t")
+    d = b.table(spark, sf_dir, "documents").selectExpr("doc_id", "source", _HEADED.replace("chr(10)", "char(10)") + " AS t")
+    return d.select("doc_id", text.doi(t).alias("doi"), text.year(t).alias("year"), text.trial_id(t).alias("trial_id"), text.title(t, F.col("source")).alias("title"))
+
+
 AUTHORS = [(1, "A;B;C", None, 2020, 2019), (2, "A;B;C;D", "10.1/a", None, 2018), (3, "", "10.1/b", None, None), (4, "X", None, 1999, 2001)]
 
 

@@ -23,7 +23,11 @@ NAMES = ("claim_id", "coverage_score", "ct_id", "failed_parts", "secondary", "st
 
 
 def judged(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(JUDGED, "claim_id int, coverage_score double, ct_id string, failed_parts string, secondary boolean, stats boolean, note string, numbers string")
+    return as_judged(spark.createDataFrame(JUDGED, "claim_id int, coverage_score double, ct_id string, failed_parts string, secondary boolean, stats boolean, note string, numbers string"))
+
+
+def as_judged(rows: DataFrame) -> DataFrame:
+    """Rows with a judge's answers as the gate reads them."""
     dims = F.array(*[F.lit(x) for x in ("comparator", "intervention", "outcome", "population", "timeframe")])
     parts = F.split("failed_parts", ",")
     return rows.select(
@@ -34,8 +38,8 @@ def judged(spark: SparkSession) -> DataFrame:
 
 
 _EFF = f"ct_id IN ({b.quoted(fixed.GATE_EFFICACY)})"
-GATE_SQL = f"""
-WITH j AS (SELECT * FROM {b.values(JUDGED, *NAMES)}),
+_GATE_SQL = f"""
+WITH j AS (SELECT * FROM %s),
  f AS (SELECT claim_id, CAST(coverage_score AS DOUBLE) AS s, ct_id, failed_parts <> '' AS failed, contains(failed_parts, 'timeframe') OR contains(failed_parts, 'comparator') AS serious,
    coalesce(secondary, false) AS sec, {_EFF} AND NOT coalesce(stats, true) AS nostat, {_EFF} AND (contains(lower(coalesce(note, '')), 'no safety') OR contains(lower(coalesce(note, '')), 'not found')) AS fair,
    numbers <> '' AS nums FROM j)
@@ -44,9 +48,40 @@ SELECT claim_id, CASE WHEN s < 60 OR sec THEN 'BLOCK' WHEN serious THEN 'SOFT_FL
 FROM f"""
 
 
-@query("c05_logic_gate", GATE_SQL)
+@query("c05_logic_gate", _GATE_SQL % b.values(JUDGED, *NAMES))
 def logic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gate.gate(judged(spark))
+    return _gated(judged(spark))
+
+
+#: Every document as a judged claim: all answers by its number, in all combinations over 4,620 of them.
+_TYPES = [*fixed.GATE_EFFICACY[:2], "CT-606", "CT-101"]
+_ANSWERS = """doc_id AS claim_id, CAST(n_chars % 101 AS DOUBLE) AS coverage_score, {ct} AS ct_id, CASE doc_id % 5 WHEN 0 THEN 'timeframe' WHEN 1 THEN 'population' WHEN 2 THEN 'comparator,outcome' ELSE '' END AS failed_parts,
+ CASE WHEN doc_id % 7 = 0 THEN true WHEN doc_id % 7 < 5 THEN false END AS secondary, CASE WHEN doc_id % 3 = 0 THEN false WHEN doc_id % 3 = 1 THEN true END AS stats,
+ CASE doc_id % 11 WHEN 0 THEN 'No Safety data' WHEN 1 THEN 'it was not found' WHEN 2 THEN 'fine' ELSE '' END AS note, CASE WHEN lang = 'fr' THEN 'rounded' ELSE '' END AS numbers"""
+
+
+@query("c05_gate_of_documents", _GATE_SQL % f"(SELECT {_ANSWERS.format(ct=b.list_item(_TYPES, 'doc_id'))} FROM documents)")
+def gate_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over a whole table."""
+    ct = f"element_at(array({b.quoted(_TYPES)}), CAST(doc_id % {len(_TYPES)} AS INT) + 1)"
+    return _gated(as_judged(b.table(spark, sf_dir, "documents").selectExpr(*_split(_ANSWERS.format(ct=ct)))))
+
+
+def _split(columns: str) -> list[str]:
+    """A select list by its top-level commas."""
+    out, depth, quoted = [""], 0, False
+    for c in columns:
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c in "([") - (c in ")]")
+        if c == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _gated(rows: DataFrame) -> DataFrame:
+    g = gate.gate(rows)
     linked = ~F.exists("flags", lambda f: F.lower(f).contains("fair balance"))
     return g.select("claim_id", "verdict", F.size("flags").alias("n_flags"), F.size("blockers").alias("n_blockers"), linked.alias("fair_balance_linked"))
 
