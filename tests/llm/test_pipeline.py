@@ -39,5 +39,15 @@ def test_stages(spark, tmp_path):
     assert packed.groupby("bin_id").n_tokens.sum().max() <= 2048
 
 
+def test_folders_go(spark, tmp_path):
+    from pathlib import Path
+
+    from attestra.llm.common import shared_path
+
+    sf = folder(spark, tmp_path, documents(4, 60))
+    out = corpus_pipeline.run(spark, sf)
+    assert not list(Path(shared_path(spark).removeprefix("file:")).glob("pipeline-*")) and out.count() > 0
+
+
 def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).count() == 0
