@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import langid, licenses, mixing, neardup, packing, simhash, substrings, suffixes, topk, toxicity
+from attestra.llm import divergence, langid, licenses, mixing, neardup, packing, simhash, substrings, suffixes, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffixes.query,
         "op9_source_mix": mixing.query,
         "op10_simhash": simhash.query,
+        "op11_source_divergence": divergence.query,
+        "op12_url_filter": urls.query,
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substrings.SQL,
         "op5_embedding_neardup": neardup.SQL,
         "op7_topk_products": topk.SQL,
+        "op11_source_divergence": divergence.SQL,
+        "op12_url_filter": urls.SQL,
     }
