@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("retrieval", "policies", "verdicts", "registries", "texts", "checks")
+MODULES = ("retrieval", "policies", "verdicts", "registries", "texts", "checks", "jobs")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

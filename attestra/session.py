@@ -60,6 +60,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for tables that are written and read again."""
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given.rstrip("/")
+    checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, unless they find it where the driver does: by
     PYTHONPATH, or, on one machine, in the working folder."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions import text
 from attestra.operators import lexical
 from attestra.operators.corpus import point_id
+from attestra.session import exists
 
 
 #: Payload fields that searches filter by, in the order in which rows are laid.
@@ -29,12 +30,6 @@ def write_index(chunks: DataFrame, path: str, dim: int | None = None) -> int:
     return n
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is something at a path, in whatever store it is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def write_sparse(chunks: DataFrame, path: str) -> int:
     """The second, sparse collection: point_id, sent_id, indices and values (token numbers and BM25 weights without
     idf) of every chunk (sent_id, text) that the table does not hold yet, under the ids of the dense one.  Weights
