@@ -58,21 +58,36 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows with one code, the smaller row first."""
+def _some_pairs(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows with one code, the smaller row first, about PAIRS at a time."""
     order = np.argsort(code, kind="stable")
     code, n, d = code[order], len(code), 1
     live = np.flatnonzero(code[1:] == code[:-1])
-    out = [(live[:0], live[:0])]
+    held, size = [], 0
     while len(live):
-        out.append((order[live], order[live + d]))
+        held.append((order[live], order[live + d]))
+        size += len(live)
+        if size >= PAIRS:
+            yield _joined(held)
+            held, size = [], 0
         d += 1
         live = live[live + d < n]
         live = live[code[live] == code[live + d]]
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows with one code, the smaller row first."""
+    none = np.zeros(0, dtype=np.int64)
+    return _joined([(none, none), *_some_pairs(code)])
+
+
 def tallied(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of one block and the number of positional bytes that they share, summed over the
     postings of the block: lists of its rows by position and byte.  Rows are sorted by key; all masks have as
@@ -93,23 +108,26 @@ def tallied(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarr
 
 def linked(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows joined to the first row of their component: of pairs by their tally, those with the guaranteed
-    number of bytes are verified by their bits."""
-    a, b, tally = tallied(key, mask, fp)
-    keep = tally >= AGREE
-    a, b = a[keep], b[keep]
-    bits = fp.view(np.uint64)
-    near = np.bitwise_count(bits[a] ^ bits[b]) <= BITS
-    a, b = a[near], b[near]
-    label = np.arange(len(key))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while not np.array_equal(up := label[label], label):
-            label = up
-        if np.array_equal(before, label):
-            break
+    number of bytes are verified by their bits.  Where the block itself shares as many, pairs are made, verified and joined
+    some at a time, so a block of any size takes the memory of its rows."""
+    label, bits = np.arange(len(key)), fp.view(np.uint64)
+    if int(mask[0]).bit_count() >= AGREE:
+        parts = _some_pairs(np.cumsum(np.append(False, key[1:] != key[:-1])))
+    else:
+        a, b, tally = tallied(key, mask, fp)
+        parts = iter([(a[tally >= AGREE], b[tally >= AGREE])])
+    for a, b in parts:
+        near = (label[a] != label[b]) & (np.bitwise_count(bits[a] ^ bits[b]) <= BITS)
+        a, b = a[near], b[near]
+        while len(a):
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            while not np.array_equal(up := label[label], label):
+                label = up
+            if np.array_equal(before, label):
+                break
     far = np.flatnonzero(label != np.arange(len(key)))
     return far, label[far]
 
@@ -156,7 +174,8 @@ def links(nodes: DataFrame) -> DataFrame:
             keys = materialise(counts.where(F.col("n") > BLOCK / SAMPLE).select("key"))
             if not keys.isEmpty():
                 short, long = blocks.join(keys, "key", "left_anti"), blocks.join(keys, "key", "left_semi")
-        short = short.select("key", "mask", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(_by_block, "a long, b long")
+        # by a hash of the key: an exchange by the key itself is left out after a join by it, which may lose that order as it runs
+        short = short.select("key", "mask", "fp", "node").repartition(F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(_by_block, "a long, b long")
         found = short if found is None else found.union(short)
         if long is None:
             break

@@ -82,6 +82,15 @@ def test_long_blocks_are_split(spark, monkeypatch, block):
     assert len(TRIPLES) == 8
 
 
+def test_a_block_that_is_never_split(monkeypatch):
+    """Five shared positions: all pairs, some at a time, joined as they come."""
+    monkeypatch.setattr(module, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 12, 300)).astype(np.int64)
+    edges = list(zip(*(e.tolist() for e in linked(np.zeros(len(fps), dtype=np.int64), np.full(len(fps), 0b11111000), fps)), strict=True))
+    assert union_find(len(fps), edges) == union_find(len(fps), within(fps.tolist())) and len(edges) < len(fps)
+
+
 def test_null_ids_empty_and_repeated(spark):
     assert simhash(frame(spark, [])).count() == 0
     row = documents(1, 10)[8]
