@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,8 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, cl
     packed by itself, best fit first in decreasing size.  The bins depend on the rows alone, not on how they
     are partitioned.
 
-    Null or wordless texts: one row with no tokens and null bin.  Null source: a source of its own.
+    Null or wordless texts: one row with no tokens and null bin.  Null doc_id: packed like others, last among pieces of its
+    size; ids come back as they are, whatever their size.  Null source: a source of its own.
     Repeated rows are packed as often as they are there.  Pieces of equal size go by doc_id, place, cluster and
     source.  Extra columns are not read.  No rows: no rows.
     """
@@ -111,13 +113,15 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, cl
     shards = max(1, -(-cut.count() // shard))
     dealt = cut.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source", "_again"), F.lit(shards))).drop("_again")
 
-    def pack(pieces: pd.DataFrame) -> pd.DataFrame:
-        out = pack_shard(pieces, capacity, per_source)
+    def pack(pieces: pa.Table) -> pa.Table:
+        # whole numbers that may be null: a null must not make floats of ids
+        out = pack_shard(pieces.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), capacity, per_source)
         out["bin_id"] = out["shard"] * 2**32 + out["bin"]
-        return out[["doc_id", "piece", "start_token", "n_tokens", "source", "cluster", "bin_id", "bin_offset"]]
+        kinds = [(c, pa.string() if c == "source" else pa.int64()) for c in ("doc_id", "piece", "start_token", "n_tokens", "source", "cluster", "bin_id", "bin_offset")]
+        return pa.Table.from_pandas(out, pa.schema(kinds), preserve_index=False)
 
     schema = "doc_id long, piece long, start_token long, n_tokens long, source string, cluster long, bin_id long, bin_offset long"
-    packed = dealt.groupBy("shard").applyInPandas(pack, schema)
+    packed = dealt.groupBy("shard").applyInArrow(pack, schema)
     none = F.lit(None).cast("long")
     return packed.union(cut.where("n_tokens = 0").select("doc_id", "piece", "start_token", "n_tokens", "source", "cluster", none, none))
 

@@ -68,3 +68,11 @@ def test_one_source_fills_its_bins():
     pieces = pd.DataFrame({"doc_id": range(3000), "piece": 0, "n_tokens": [rng.randrange(40, 80) for _ in range(3000)], "source": "a", "cluster": range(3000)})
     got = pack_shard(pieces, 2048, 4)
     assert got.n_tokens.sum() / (2048 * got.bin.nunique()) > 0.95
+
+
+def test_large_and_null_ids_come_back(spark):
+    """One shard with a null id and ids that floats cannot tell apart."""
+    ids = [2**53 + 1, None, 2**53 + 3, 2**53 + 5, -(2**63), 2**63 - 1, None]
+    rows = [(i, f"text number {n}", "en", "a" if n % 2 else None, 1, 7, "x", 0.5, "y", "z", None) for n, i in enumerate(ids)]
+    got = [r.doc_id for r in best_fit_pack(frame(spark, rows)).where("bin_id is not null").collect()]
+    assert Counter(got) == Counter(ids)
