@@ -65,6 +65,7 @@ def add_batch(docs: DataFrame, id_: str, body: str, path: str, batch: int, zone:
     of documents of its length in the batch.
     """
     spark = docs.sparkSession
+    held = [b for b, *_ in corpus(spark, path)]
     rows = docs.select(F.col(id_).alias("id"), F.col(body).cast("string").alias("body"))
     size = F.floor(F.log2(F.coalesce(F.length("body"), F.lit(0)) + F.lit(1.0)) * 2)
     counts = {r[0]: r[1] for r in rows.groupBy(size.alias("size")).count().collect()}  # one row for each half power of two
@@ -85,10 +86,16 @@ def add_batch(docs: DataFrame, id_: str, body: str, path: str, batch: int, zone:
         laid = blocks.repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token", "zone")
         laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
         tokens = spark.read.schema("tokens long").parquet(f"{path}/postings/batch={batch}").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    spark.createDataFrame([(n, tokens)], "documents long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/batch={batch}")
+    if n or batch in held:
+        spark.createDataFrame([(n, tokens)], "documents long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/batch={batch}")
     return n
 
 
+def add(docs: DataFrame, id_: str, body: str, path: str) -> int:
+    """Write the documents that are new as the next batch; how many there are.  If none are, nothing changes."""
+    return add_batch(docs, id_, body, path, max((b for b, *_ in corpus(docs.sparkSession, path)), default=-1) + 1)
+
+
 def statistics(spark: SparkSession, path: str) -> tuple[int, float]:
     """Documents, and their average length in tokens (1 at least)."""
     rows = corpus(spark, path)
@@ -155,7 +162,7 @@ def _search_block(asked: list, blocks: DataFrame, stats: tuple[int, float], k: i
             claim = np.flatnonzero(most)
             yield pa.RecordBatch.from_arrays([pa.array(claim, pa.int32()), pa.array(np.full(len(claim), t["zone"][0].as_py()), pa.int64()), pa.array(most[claim])], ["claim", "zone", "bound"])
 
-    by_zone = bounds.repartition("zone").sortWithinPartitions("zone", "word")
+    by_zone = bounds.repartition(F.xxhash64("zone")).sortWithinPartitions("zone", "word")
     wanted = by_zone.mapInArrow(reach, "claim int, zone long, bound double")
     order = F.row_number().over(Window.partitionBy("claim").orderBy(F.desc("bound"), "zone"))
     wanted = kept(wanted.withColumn("place", order))
@@ -190,7 +197,9 @@ def _search_block(asked: list, blocks: DataFrame, stats: tuple[int, float], k: i
         lists = held.join(zones.select("zone"), "zone", "left_semi").select("zone", "word", "n", "ids", "tfs", "dls", F.lit(None).cast("array<int>").alias("claims"))
         none = [F.lit(None).cast(kind).alias(c) for c, kind in (("n", "long"), ("ids", "array<long>"), ("tfs", "array<int>"), ("dls", "array<int>"))]
         rows = lists.union(zones.select("zone", F.lit(-1).alias("word"), *none, "claims"))
-        return rows.repartition("zone").sortWithinPartitions("zone", "word").mapInArrow(score, "claim_id long, id long, score double")
+        # by a hash of the zone: Spark leaves out an exchange by the column itself, as the joins are by it, and may turn those
+        # into joins that keep no such order when they run
+        return rows.repartition(F.xxhash64("zone")).sortWithinPartitions("zone", "word").mapInArrow(score, "claim_id long, id long, score double")
 
     first = kept(ranked(hits(wanted.where(F.col("place") <= AHEAD)), k))
     index = spark.createDataFrame(list(enumerate(names.tolist())), "claim int, claim_id long")
