@@ -4,7 +4,7 @@ Under one path lie three plain tables, each with a folder ``batch=N`` for every
 
     documents   id
     postings    bucket (of the token; a folder), token, zone, ids, tfs, dls, n, tokens, top_tf, least_dl
-    corpus      documents, tokens: one row, written last; a batch without it is not read
+    corpus      documents, tokens, label: one row, written last; a batch without it is not read
 
 Nothing that is stored depends on the rest of the corpus: document frequency, average length and weights are summed up and
 worked out when the index is read, so batches in any order give what one batch gives.
@@ -55,7 +55,7 @@ def new_documents(docs: DataFrame, path: str, batch: int) -> DataFrame:
     return fresh if known is None else fresh.join(known.select("id"), "id", "left_anti")
 
 
-def add_batch(docs: DataFrame, id_: str, body: str, path: str, batch: int, zone: int = ZONE) -> int:
+def add_batch(docs: DataFrame, id_: str, body: str, path: str, batch: int, zone: int = ZONE, label: str | None = None) -> int:
     """Write the documents that are new as one batch; how many there are.  Writing a batch again replaces it, so a run that
     broke off is just run again.  Of rows with one id the one with the smallest hash of its text counts; null texts are
     documents without a token.
@@ -87,13 +87,19 @@ def add_batch(docs: DataFrame, id_: str, body: str, path: str, batch: int, zone:
         laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
         tokens = spark.read.schema("tokens long").parquet(f"{path}/postings/batch={batch}").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if n or batch in held:
-        spark.createDataFrame([(n, tokens)], "documents long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/batch={batch}")
+        spark.createDataFrame([(n, tokens, label)], "documents long, tokens long, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/batch={batch}")
     return n
 
 
-def add(docs: DataFrame, id_: str, body: str, path: str) -> int:
-    """Write the documents that are new as the next batch; how many there are.  If none are, nothing changes."""
-    return add_batch(docs, id_, body, path, max((b for b, *_ in corpus(docs.sparkSession, path)), default=-1) + 1)
+def add(docs: DataFrame, id_: str, body: str, path: str, zone: int = ZONE, label: str | None = None) -> int:
+    """Write the documents that are new as the next batch; how many there are.  If none are, nothing changes.  A batch that is
+    there under the label is written again instead."""
+    spark = docs.sparkSession
+    batch = max((b for b, *_ in corpus(spark, path)), default=-1) + 1
+    if batch and label:
+        same = spark.read.parquet(f"{path}/corpus").where(F.col("label") == label).select("batch").first()
+        batch = same[0] if same else batch
+    return add_batch(docs, id_, body, path, batch, zone, label)
 
 
 def statistics(spark: SparkSession, path: str) -> tuple[int, float]:

@@ -24,47 +24,48 @@ def current_type(rt_id: Column) -> Column:
     return out.otherwise(rt_id)
 
 
-def parse_flat(lines: DataFrame) -> DataFrame:
-    """line_no, ct_id, rt_id, tier, note, ok from the long table of a mapping file.  lines: line_no, line.
+def parse_flat(lines: DataFrame, *file: str) -> DataFrame:
+    """line_no, ct_id, rt_id, tier, note, ok from the long table of a mapping file.  lines: line_no, line, and for many files
+    the columns that tell them, which come first.
 
     Rows count from the rule under the header of the sheet to the next sheet.  The state of a line is
     the last sheet title or rule above it.
     """
     t = F.trim("line")
     sheet = F.when(t.contains(fixed.MATRIX_SHEET), 1).when(t.startswith(fixed.ANY_SHEET), 0)
-    up_to = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    state = lines.select("line_no", t.alias("line"), sheet.alias("sheet"))
+    up_to = Window.partitionBy(*file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    state = lines.select(*file, "line_no", t.alias("line"), sheet.alias("sheet"))
     state = state.withColumn("on", F.coalesce(F.last("sheet", True).over(up_to), F.lit(0))).withColumn("starts", F.sum((F.coalesce("sheet", F.lit(0)) == 1).cast("int")).over(up_to))
-    ruled = F.max((F.col("line").rlike(fixed.MATRIX_RULE)).cast("int")).over(Window.partitionBy("starts").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    ruled = F.max((F.col("line").rlike(fixed.MATRIX_RULE)).cast("int")).over(Window.partitionBy(*file, "starts").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     rows = state.withColumn("ruled", ruled).where((F.col("on") == 1) & (F.col("ruled") == 1) & F.col("line").startswith("|") & ~F.col("line").rlike(fixed.MATRIX_RULE))
     rows = rows.withColumn("cells", _cells(F.col("line"))).where(F.size("cells") >= 7)
     tier = F.upper(_cell(6))
     ok = tier.isin("P", "A", "C", "N") & _cell(0).startswith("CT-") & _cell(3).startswith("RT-")
-    return rows.select("line_no", _cell(0).alias("ct_id"), current_type(_cell(3)).alias("rt_id"), tier.alias("tier"), F.coalesce(_cell(7), F.lit("")).alias("note"), ok.alias("ok"))
+    return rows.select(*file, "line_no", _cell(0).alias("ct_id"), current_type(_cell(3)).alias("rt_id"), tier.alias("tier"), F.coalesce(_cell(7), F.lit("")).alias("note"), ok.alias("ok"))
 
 
-def parse_grouped(lines: DataFrame) -> DataFrame:
+def parse_grouped(lines: DataFrame, *file: str) -> DataFrame:
     """As parse_flat, from a file with a headed table for each claim type: the header above a row
     gives its claim type.  A text line ends a table."""
     t = F.trim("line")
     ct = F.nullif(F.regexp_extract(t, fixed.MATRIX_HEAD, 1), F.lit(""))
     event = F.when(ct.isNotNull(), 0).when(t.rlike(fixed.MATRIX_RULE), 1).when(~t.startswith("|") & (t != ""), 0)
-    up_to = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    state = lines.select("line_no", t.alias("line"), ct.alias("head"), event.alias("event"))
+    up_to = Window.partitionBy(*file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    state = lines.select(*file, "line_no", t.alias("line"), ct.alias("head"), event.alias("event"))
     state = state.withColumn("ct_id", F.last("head", True).over(up_to)).withColumn("on", F.last("event", True).over(up_to))
     rows = state.where(F.col("ct_id").isNotNull() & (F.col("on") == 1) & F.col("line").startswith("|") & ~F.col("line").rlike(fixed.MATRIX_RULE))
     rows = rows.withColumn("cells", _cells(F.col("line"))).where(F.size("cells") >= 4)
     tier = F.upper(_cell(3))
     ok = tier.isin("P", "A", "C", "N") & _cell(0).startswith("RT-")
-    return rows.select("line_no", "ct_id", current_type(_cell(0)).alias("rt_id"), tier.alias("tier"), F.coalesce(_cell(4), F.lit("")).alias("note"), ok.alias("ok"))
+    return rows.select(*file, "line_no", "ct_id", current_type(_cell(0)).alias("rt_id"), tier.alias("tier"), F.coalesce(_cell(4), F.lit("")).alias("note"), ok.alias("ok"))
 
 
 def usable(parsed: DataFrame) -> DataFrame:
-    return parsed.where("ok").select("ct_id", "rt_id", "tier", "note")
+    return parsed.where("ok").drop("line_no", "ok")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.coalesce("ok", F.lit(False))).select("line_no", "ct_id", "rt_id", "tier")
+    return parsed.where(~F.coalesce("ok", F.lit(False))).drop("note", "ok")
 
 
 def tier_sets(policy: DataFrame) -> DataFrame:

@@ -64,6 +64,23 @@ def list_item(items: list[str], n: str) -> str:
     return f"([{quoted(items)}])[CAST({n} AS INT) % {len(items)} + 1]"
 
 
+def dealt(spark: SparkSession, sf_dir: str, cases: list[tuple], schema: str, *texts: str) -> DataFrame:
+    """Every document with the case of its number (one of a few, in turn): its id, source, n_chars and body, and the case's fields but its own id.
+    Fields named in ``texts`` are followed by the document's whole text."""
+    few = spark.createDataFrame([(n, *row) for n, row in enumerate(cases)], f"_case int, {schema}").drop("id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars", F.col("text").alias("body"))
+    out = docs.join(F.broadcast(few), F.col("id") % len(cases) == F.col("_case")).drop("_case")
+    return out.withColumns({t: F.concat(t, F.lit("\n"), F.col("body")) for t in texts})
+
+
+def dealt_sql(cases: list[tuple], names: str, *texts: str) -> str:
+    """The same in SQL; names: the fields of a case, its own id among them or not."""
+    fields = names.split()
+    mine = ", ".join(f"c.{f} || chr(10) || d.text AS {f}" if f in texts else f"c.{f}" for f in fields if f != "id")
+    listed = values([(n, *row) for n, row in enumerate(cases)], "case_no", *fields)
+    return f"(SELECT d.doc_id AS id, d.source, d.n_chars, d.text AS body, {mine} FROM documents d JOIN (SELECT * FROM {listed}) c ON c.case_no = d.doc_id % {len(cases)})"
+
+
 CHUNKS_SQL = f"(SELECT doc_id AS id, source AS ref_id, {list_item(TYPES, 'substr(source, 4)')} AS rt_id, text FROM documents)"
 CLAIMS_SQL = f"(SELECT item_id AS claim_id, text, {list_item(CLAIM_TYPES, 'item_id')} AS ct_id FROM benchmark)"
 POLICY_SQL = f"(SELECT * FROM {values(POLICY, 'ct_id', 'rt_id', 'tier')})"

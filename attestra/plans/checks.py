@@ -135,9 +135,10 @@ _SYM = "list_sort(list_concat([x FOR x IN a IF NOT list_contains(b, x)], [x FOR
 SETS = [(1, "a,b,c", "b,c,d"), (2, "a", "a"), (3, "x,y", "z")]
 
 
-@query("u04_symmetric_difference", f"SELECT id, array_to_string({_SYM}, ',') AS diff FROM (SELECT id, string_split(l, ',') AS a, string_split(r, ',') AS b FROM {b.values(SETS, 'id', 'l', 'r')})")
+@query("u04_symmetric_difference", f"SELECT id, array_to_string({_SYM}, ',') AS diff FROM (SELECT id, string_split(l || ',' || source, ',') AS a, string_split(r || ',src' || n_chars % 20, ',') AS b FROM {b.dealt_sql(SETS, 'id l r')})")
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(SETS, "id int, l string, r string")
+    d = b.dealt(spark, sf_dir, SETS, "id int, l string, r string")
+    d = d.withColumns({"l": F.concat_ws(",", "l", "source"), "r": F.concat(F.col("r"), F.lit(",src"), F.col("n_chars") % 20)})
     return d.select("id", F.array_join(quality.symmetric_difference(F.split("l", ","), F.split("r", ",")), ",").alias("diff"))
 
 
@@ -171,9 +172,9 @@ def secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTS = [(1, "12 (21%) and 26 [46 %]"), (2, "none (x)"), (3, "7 (3.5%)")]
 
 
-@query("g05_counts_with_percent", f"SELECT id, array_to_string([replace(x, ' ', '') FOR x IN regexp_extract_all(t, '\\d+\\s*[(\\[]\\s*(\\d+\\.?\\d*\\s*%)\\s*[)\\]]', 1)], ',') AS shares FROM {b.values(COUNTS, 'id', 't')}")
+@query("g05_counts_with_percent", f"SELECT id, array_to_string([replace(x, ' ', '') FOR x IN regexp_extract_all(t, '\\d+\\s*[(\\[]\\s*(\\d+\\.?\\d*\\s*%)\\s*[)\\]]', 1)], ',') AS shares FROM {b.dealt_sql(COUNTS, 'id t', 't')}")
 def counts_with_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(COUNTS, "id int, t string").select("id", F.array_join(numbers.shares_of_counts(F.col("t")), ",").alias("shares"))
+    return b.dealt(spark, sf_dir, COUNTS, "id int, t string", "t").select("id", F.array_join(numbers.shares_of_counts(F.col("t")), ",").alias("shares"))
 
 
 @query("g02_authority", f"SELECT c.claim_id, bool_or(p.tier = 'P') AS has_primary, bool_or(p.tier IN ('P', 'A')) AS has_acceptable FROM {b.CLAIMS_SQL} c JOIN {b.POLICY_SQL} p USING (ct_id) GROUP BY c.claim_id")
@@ -225,6 +226,6 @@ CUES = [("prescribing information", "RT-101"), ("clinical study report", "RT-209
 NAMES = [(1, "Drug Prescribing Information 2024"), (2, "A GUIDELINE poster"), (3, "Smith 2020"), (4, "preprint server copy")]
 
 
-@query("f33_typing_cues", f"SELECT id, CASE {' '.join(f'WHEN contains(lower(n), {chr(39)}{c}{chr(39)}) THEN {chr(39)}{r}{chr(39)}' for c, r in CUES)} ELSE 'RT-301' END AS rt_id FROM {b.values(NAMES, 'id', 'n')}")
+@query("f33_typing_cues", f"SELECT id, CASE {' '.join(f'WHEN contains(lower(n), {chr(39)}{c}{chr(39)}) THEN {chr(39)}{r}{chr(39)}' for c, r in CUES)} ELSE 'RT-301' END AS rt_id FROM {b.dealt_sql(NAMES, 'id n', 'n')}")
 def typing_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id int, n string").select("id", corpus.typed_by_cues(F.col("n"), CUES, "RT-301").alias("rt_id"))
+    return b.dealt(spark, sf_dir, NAMES, "id int, n string", "n").select("id", corpus.typed_by_cues(F.col("n"), CUES, "RT-301").alias("rt_id"))

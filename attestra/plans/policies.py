@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,15 @@ A closing line
 | RT-101 |  | Label | C | shifted |"""
 
 
-def _lines(spark: SparkSession, body: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(body.split("\n"))), "line_no int, line string")
+def _lines(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    """Every document as a mapping file: the lines of a body, its source in the place of the word note."""
+    lines = F.posexplode(F.split(F.replace(F.lit(body), F.lit("main"), F.col("source")), "\n")).alias("line_no", "line")
+    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), lines)
 
 
 def _lines_sql(body: str) -> str:
-    return f"(SELECT line_no, trim(line) AS line, [x FOR x IN [trim(y) FOR y IN string_split(trim(line), '|')] IF x <> ''] AS c FROM {b.values(list(enumerate(body.split(chr(10)))), 'line_no', 'line')})"
+    rows = b.values(list(enumerate(body.split(chr(10)))), "line_no", "raw")
+    return f"(SELECT file, line_no, line, [x FOR x IN [trim(y) FOR y IN string_split(line, '|')] IF x <> ''] AS c FROM (SELECT d.doc_id AS file, line_no, trim(replace(raw, 'main', d.source)) AS line FROM documents d, {rows}))"
 
 
 _RULE = r"regexp_full_match(line, '\|[-\s|]+\|')"
@@ -55,41 +60,54 @@ _TYPE = "CASE {0} WHEN 'RT-602' THEN 'RT-601' ELSE {0} END"
 _FLAT = f"""
 WITH l AS {_lines_sql(FLAT)},
  m AS (SELECT *, CASE WHEN contains(line, 'Sheet: Mapping (Long)') THEN 1 WHEN starts_with(line, '## Sheet:') THEN 0 END AS sheet, {_RULE} AS rule FROM l),
- s AS (SELECT *, last_value(sheet IGNORE NULLS) OVER (ORDER BY line_no) AS lit, (SELECT min(line_no) FROM m x WHERE x.rule AND x.line_no > (SELECT min(line_no) FROM m y WHERE y.sheet = 1)) AS begin FROM m),
- r AS (SELECT line_no, c[1] AS ct_id, {_TYPE.format('c[4]')} AS rt_id, upper(c[7]) AS tier, coalesce(c[8], '') AS note FROM s WHERE lit = 1 AND line_no > begin AND NOT rule AND starts_with(line, '|') AND len(c) >= 7)
+ s AS (SELECT *, last_value(sheet IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS lit, (SELECT min(line_no) FROM m x WHERE x.rule AND x.line_no > (SELECT min(line_no) FROM m y WHERE y.sheet = 1)) AS begin FROM m),
+ r AS (SELECT file, line_no, c[1] AS ct_id, {_TYPE.format('c[4]')} AS rt_id, upper(c[7]) AS tier, coalesce(c[8], '') AS note FROM s WHERE lit = 1 AND line_no > begin AND NOT rule AND starts_with(line, '|') AND len(c) >= 7)
 """
 _OK = "tier IN ('P', 'A', 'C', 'N') AND starts_with(rt_id, 'RT-')"
 
 
-@query("s07_policy_flat", f"{_FLAT} SELECT ct_id, rt_id, tier, note FROM r WHERE {_OK} AND starts_with(ct_id, 'CT-')")
+@query("s07_policy_flat", f"{_FLAT} SELECT file, ct_id, rt_id, tier, note FROM r WHERE {_OK} AND starts_with(ct_id, 'CT-')")
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.usable(policy.parse_flat(_lines(spark, FLAT)))
+    return policy.usable(policy.parse_flat(_lines(spark, sf_dir, FLAT), "file"))
 
 
-@query("s07_policy_rejected", f"{_FLAT} SELECT line_no, ct_id, rt_id, tier FROM r WHERE NOT ({_OK} AND starts_with(ct_id, 'CT-'))")
+@query("s07_policy_rejected", f"{_FLAT} SELECT file, line_no, ct_id, rt_id, tier FROM r WHERE NOT ({_OK} AND starts_with(ct_id, 'CT-'))")
 def flat_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.rejected(policy.parse_flat(_lines(spark, FLAT)))
+    return policy.rejected(policy.parse_flat(_lines(spark, sf_dir, FLAT), "file"))
 
 
 @query("s08_policy_grouped", f"""
 WITH l AS {_lines_sql(GROUPED)},
  m AS (SELECT *, {_RULE} AS rule, nullif(regexp_extract(line, '^###\\s+(CT-[A-Z0-9]+(?:-[A-Z0-9]+)?)\\s*[—–-]', 1), '') AS head FROM l),
  e AS (SELECT *, CASE WHEN head IS NOT NULL THEN 0 WHEN rule THEN 1 WHEN NOT starts_with(line, '|') AND line <> '' THEN 0 END AS ev FROM m),
- s AS (SELECT *, last_value(head IGNORE NULLS) OVER (ORDER BY line_no) AS ct_id, last_value(ev IGNORE NULLS) OVER (ORDER BY line_no) AS lit FROM e),
- r AS (SELECT ct_id, {_TYPE.format('c[1]')} AS rt_id, upper(c[4]) AS tier, coalesce(c[5], '') AS note FROM s WHERE ct_id IS NOT NULL AND lit = 1 AND starts_with(line, '|') AND NOT rule AND len(c) >= 4)
-SELECT ct_id, rt_id, tier, note FROM r WHERE {_OK}""")
+ s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS ct_id, last_value(ev IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS lit FROM e),
+ r AS (SELECT file, ct_id, {_TYPE.format('c[1]')} AS rt_id, upper(c[4]) AS tier, coalesce(c[5], '') AS note FROM s WHERE ct_id IS NOT NULL AND lit = 1 AND starts_with(line, '|') AND NOT rule AND len(c) >= 4)
+SELECT file, ct_id, rt_id, tier, note FROM r WHERE {_OK}""")
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header above carried down."""
-    return policy.usable(policy.parse_grouped(_lines(spark, GROUPED)))
+    return policy.usable(policy.parse_grouped(_lines(spark, sf_dir, GROUPED), "file"))
+
+
+#: Every document as an entry of a policy: types by its source and language, tiers by its length.  Two languages have no primary type.
+_ENTRY = "'CT-' || lang || {0} AS ct_id, 'RT-' || source AS rt_id, CASE WHEN n_chars % 4 = 0 AND lang IN ('en', 'de') THEN 'P' WHEN n_chars % 4 < 2 THEN 'A' WHEN n_chars % 4 = 2 THEN 'C' ELSE 'N' END AS tier"
+_ENTRIES_SQL = f"(SELECT {_ENTRY.format('doc_id % 3')} FROM documents)"
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b.table(spark, sf_dir, "documents").createOrReplaceTempView(view := f"entries_{uuid.uuid4().hex}")
+    try:
+        return spark.sql(f"SELECT {_ENTRY.format('doc_id % 3')} FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def _set(*tiers: str) -> str:
     return f"coalesce(string_agg(DISTINCT CASE WHEN tier IN ({b.quoted(list(tiers))}) THEN rt_id END, ',' ORDER BY CASE WHEN tier IN ({b.quoted(list(tiers))}) THEN rt_id END), '')"
 
 
-@query("j02_tier_sets", f"SELECT ct_id, {_set('P')} AS primary_types, {_set('A')} AS acceptable, {_set('C')} AS conditional, {_set('N')} AS blocked, {_set('P', 'A', 'C')} AS allowed FROM {b.POLICY_SQL} GROUP BY ct_id")
+@query("j02_tier_sets", f"SELECT ct_id, {_set('P')} AS primary_types, {_set('A')} AS acceptable, {_set('C')} AS conditional, {_set('N')} AS blocked, {_set('P', 'A', 'C')} AS allowed FROM {_ENTRIES_SQL} GROUP BY ct_id")
 def tier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.tier_sets(b.policy(spark))
+    return policy.tier_sets(entries(spark, sf_dir))
 
 
 @query("j03_tier_join", f"""SELECT d.id, c.ct_id, CASE min(CASE tier WHEN 'P' THEN 1 WHEN 'A' THEN 2 WHEN 'C' THEN 3 END) WHEN 1 THEN 'P' WHEN 2 THEN 'A' WHEN 3 THEN 'C' ELSE '?' END AS tier
@@ -100,14 +118,14 @@ def tier_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.with_tier(b.chunks(spark, sf_dir).select("id", "rt_id", types.alias("ct_id")), b.policy(spark)).select("id", "ct_id", "tier")
 
 
-@query("a17_without_primary", f"SELECT ct_id FROM {b.POLICY_SQL} GROUP BY ct_id HAVING NOT bool_or(tier = 'P')")
+@query("a17_without_primary", f"SELECT ct_id FROM {_ENTRIES_SQL} GROUP BY ct_id HAVING NOT bool_or(tier = 'P')")
 def without_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.without_primary(b.policy(spark))
+    return policy.without_primary(entries(spark, sf_dir))
 
 
-@query("a18_preferred", f"SELECT ct_id, coalesce(string_agg(DISTINCT CASE WHEN tier = 'P' THEN rt_id END, '; ' ORDER BY CASE WHEN tier = 'P' THEN rt_id END), '') AS preferred, CAST(count(DISTINCT CASE WHEN tier = 'P' THEN rt_id END) AS BIGINT) AS n FROM {b.POLICY_SQL} GROUP BY ct_id")
+@query("a18_preferred", f"SELECT ct_id, coalesce(string_agg(DISTINCT CASE WHEN tier = 'P' THEN rt_id END, '; ' ORDER BY CASE WHEN tier = 'P' THEN rt_id END), '') AS preferred, CAST(count(DISTINCT CASE WHEN tier = 'P' THEN rt_id END) AS BIGINT) AS n FROM {_ENTRIES_SQL} GROUP BY ct_id")
 def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.preferred(b.policy(spark))
+    return policy.preferred(entries(spark, sf_dir))
 
 
 @query("u06_combined_labels", f"""
@@ -127,10 +145,10 @@ _GROUPS = [(t, group) for group, types in fixed.GROUPS.items() for t in types]
 
 
 @query("c06_f27_claim_flags", f"""
-SELECT ct_id, ct_id IN ({b.quoted(fixed.MODIFIERS)}) AS is_modifier, ct_id IN ({b.quoted(fixed.PENDING)}) AS mapping_pending,
+SELECT id, ct_id, ct_id IN ({b.quoted(fixed.MODIFIERS)}) AS is_modifier, ct_id IN ({b.quoted(fixed.PENDING)}) AS mapping_pending,
  CASE WHEN ct_id IN ({b.quoted(fixed.PAYER_ONLY)}) THEN 'payer_only' WHEN ct_id IN ({b.quoted(fixed.HCP_ONLY)}) THEN 'hcp_only' ELSE 'unrestricted' END AS audience,
  (SELECT arg_max(g, length(k)) FROM {b.values(_GROUPS, 'k', 'g')} WHERE starts_with(ct_id, k)) AS claim_group
-FROM {b.values([(t,) for t in TYPES], 'ct_id')}""")
+FROM {b.dealt_sql([(t,) for t in TYPES], 'ct_id')}""")
 def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame([(t,) for t in TYPES], "ct_id string")
-    return policy.flags(c).select("ct_id", "is_modifier", "mapping_pending", "audience", "claim_group")
+    c = b.dealt(spark, sf_dir, [(t,) for t in TYPES], "ct_id string")
+    return policy.flags(c).select("id", "ct_id", "is_modifier", "mapping_pending", "audience", "claim_group")

@@ -268,9 +268,10 @@ def all_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASSESSED = [(1, "supported by Passage 2, RT-101", "0.1,0.9,0.3"), (2, "passage 9 says", "0.1,0.9,0.9"), (3, "nothing", ""), (4, "", "0.2"), (5, "Passage 0", "0.5,0.1")]
 
 
-@query("w10_key_passage", f"""SELECT id, CASE WHEN n BETWEEN 0 AND len(s) - 1 THEN n WHEN len(s) > 0 THEN list_position(s, list_max(s)) - 1 ELSE -1 END::INT AS key FROM (SELECT id, TRY_CAST(regexp_extract(a, '[Pp]assage\\s+(\\d+)', 1) AS INT) - 1 AS n, CASE WHEN p = '' THEN CAST([] AS DOUBLE[]) ELSE CAST(string_split(p, ',') AS DOUBLE[]) END AS s FROM {b.values(ASSESSED, 'id', 'a', 'p')})""")
+@query("w10_key_passage", f"""SELECT id, CASE WHEN n BETWEEN 0 AND len(s) - 1 THEN n WHEN len(s) > 0 THEN list_position(s, list_max(s)) - 1 ELSE -1 END::INT AS key FROM (SELECT id, TRY_CAST(regexp_extract(a, '[Pp]assage\\s+(\\d+)', 1) AS INT) - 1 AS n, CASE WHEN p = '' THEN CAST([] AS DOUBLE[]) ELSE CAST(string_split(p, ',') AS DOUBLE[]) END AS s FROM (SELECT * REPLACE (CASE WHEN p = '' THEN '' ELSE p || ',0.' || n_chars % 10 END AS p) FROM {b.dealt_sql(ASSESSED, 'id a p')}))""")
 def key_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(ASSESSED, "id int, a string, p string")
+    d = b.dealt(spark, sf_dir, ASSESSED, "id int, a string, p string")
+    d = d.withColumn("p", F.when(F.col("p") == "", "").otherwise(F.concat(F.col("p"), F.lit(",0."), F.col("n_chars") % 10)))
     passages = F.transform(F.when(F.col("p") != "", F.split("p", ",")).otherwise(F.array().cast("array<string>")), lambda x: F.struct(x.cast("double").alias("score")))
     return d.select("id", registry.key_passage(F.col("a"), passages).cast("int").alias("key"))
 

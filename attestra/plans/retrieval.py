@@ -37,13 +37,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.terms(b.table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("token").agg(F.count("*").alias("n"))
 
 
-WORDS = "ational national organization hopefulness anxiousness effectiveness placement treatment kindness dating sizing visible readable ration tension falling trying walking tried flies walked walker slowly boxes cats frozen freezing injection unused as gas".split()
-
-
-@query("f10_stems", f"SELECT word, {b.stem_sql('word')} AS stem FROM {b.values([(w,) for w in WORDS], 'word')}")
+@query("f10_stems", f"SELECT word, {b.stem_sql('word')} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{fixed.TOKEN}')) AS word FROM documents)")
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    return df.select("word", text.stem("word").alias("stem"))
+    """The stem of every word of the documents."""
+    words = b.table(spark, sf_dir, "documents").select(F.explode(text.raw_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", text.stem("word").alias("stem"))
 
 
 @query("f14_token_index", f"SELECT token, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) AS idx FROM (SELECT DISTINCT token FROM {DOC_TERMS})")

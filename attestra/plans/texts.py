@@ -17,10 +17,10 @@ RAW = [
 ]
 
 
-@query("f01_plain_unicode", f"SELECT id, coalesce(trim(regexp_replace(regexp_replace(translate(t, '—–·', '--.'), '[  -​  　]', ' ', 'g'), '\\s+', ' ', 'g')), '') AS t FROM {b.values(RAW, 'id', 't')}")
+@query("f01_plain_unicode", f"SELECT id, coalesce(trim(regexp_replace(regexp_replace(translate(t, '—–·', '--.'), '[  -​  　]', ' ', 'g'), '\\s+', ' ', 'g')), '') AS t FROM {b.dealt_sql(RAW, 'id t', 't')}")
 def plain_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalisation but for NFKC, which DuckDB does not have."""
-    return spark.createDataFrame(RAW, "id int, t string").select("id", text.plain_unicode(F.col("t")).alias("t"))
+    return b.dealt(spark, sf_dir, RAW, "id int, t string", "t").select("id", text.plain_unicode(F.col("t")).alias("t"))
 
 
 @query("f01_normalized_documents")
@@ -35,18 +35,18 @@ PAGES = [
 ]
 
 
-@query("f02_page_furniture", f"SELECT id, regexp_replace(regexp_replace(t, '(?s)<page_header>.*?</page_header>', '', 'g'), '(?s)<page_footer>.*?</page_footer>', '', 'g') AS t FROM {b.values(PAGES, 'id', 't')}")
+@query("f02_page_furniture", f"SELECT id, regexp_replace(regexp_replace(t, '(?s)<page_header>.*?</page_header>', '', 'g'), '(?s)<page_footer>.*?</page_footer>', '', 'g') AS t FROM {b.dealt_sql(PAGES, 'id t', 't')}")
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(PAGES, "id int, t string").select("id", text.strip_page_furniture(F.col("t")).alias("t"))
+    return b.dealt(spark, sf_dir, PAGES, "id int, t string", "t").select("id", text.strip_page_furniture(F.col("t")).alias("t"))
 
 
 _END = r"\]\([^)]+\.(?:jpg|png|jpeg|gif|svg|webp)[^)]*\)"
 _ALT = "trim(regexp_extract(t, '!\\[([^\\]]*)', 1))"
 
 
-@query("f04_images", f"SELECT id, CASE WHEN regexp_matches(t, '(?i)!\\[[^\\]]*{_END}') THEN regexp_replace(t, '(?i)!\\[[^\\]]*{_END}', CASE WHEN length({_ALT}) > 20 AND NOT suffix({_ALT}, 'logo') THEN '[Figure: ' || {_ALT} || ']' ELSE '' END, 'g') ELSE t END AS t FROM {b.values(PAGES, 'id', 't')}")
+@query("f04_images", f"SELECT id, CASE WHEN regexp_matches(t, '(?i)!\\[[^\\]]*{_END}') THEN regexp_replace(t, '(?i)!\\[[^\\]]*{_END}', CASE WHEN length({_ALT}) > 20 AND NOT suffix({_ALT}, 'logo') THEN '[Figure: ' || {_ALT} || ']' ELSE '' END, 'g') ELSE t END AS t FROM {b.dealt_sql(PAGES, 'id t', 't')}")
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(PAGES, "id int, t string").select("id", text.strip_images(F.col("t")).alias("t"))
+    return b.dealt(spark, sf_dir, PAGES, "id int, t string", "t").select("id", text.strip_images(F.col("t")).alias("t"))
 
 
 @query("f05_blank_lines", "SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents")
@@ -57,9 +57,9 @@ def blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANCHORS = [(1, "<a id='x-1'></a>\n\nText"), (2, '<a id="y"></a> and <A ID="z"></A>'), (3, "none"), (4, '<a href="k">l</a>')]
 
 
-@query("f06_anchors", f"SELECT id, regexp_replace(regexp_replace(t, '(?i)<a id=[''\"][^''\"]*[''\"]></a>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM {b.values(ANCHORS, 'id', 't')}")
+@query("f06_anchors", f"SELECT id, regexp_replace(regexp_replace(t, '(?i)<a id=[''\"][^''\"]*[''\"]></a>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM {b.dealt_sql(ANCHORS, 'id t', 't')}")
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ANCHORS, "id int, t string").select("id", text.strip_anchors(F.col("t")).alias("t"))
+    return b.dealt(spark, sf_dir, ANCHORS, "id int, t string", "t").select("id", text.strip_anchors(F.col("t")).alias("t"))
 
 
 @query("f07_html_strip", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages")
@@ -99,11 +99,11 @@ HEADS = [
 
 
 @query("f22_f23_metadata", f"""
-SELECT id, nullif(regexp_replace(coalesce(nullif(regexp_extract(t, '(?i)(?:doi\\.org/|doi:?\\s*)(10\\.\\d{{4,9}}/[^\\s,]+)', 1), ''), regexp_extract(t, '(10\\.\\d{{4,9}}/[^\\s,]+)', 1)), '[.,;)]+$', ''), '') AS doi,
- TRY_CAST(nullif(regexp_extract(t, '\\b(19[89]\\d|20[012]\\d)\\b', 1), '') AS INT) AS year, nullif(regexp_extract(t, 'NCT\\d{{7,8}}'), '') AS trial_id,
- coalesce(nullif(trim(regexp_replace(regexp_extract(t, '(?m)^#\\s+(.+)$', 1), '[*_`]', '', 'g')), ''), nullif(f, '')) AS title FROM {b.values(HEADS, 'id', 't', 'f')}""")
+SELECT id, nullif(regexp_replace(coalesce(nullif(regexp_extract(substr(t, 1, 8000), '(?i)(?:doi\\.org/|doi:?\\s*)(10\\.\\d{{4,9}}/[^\\s,]+)', 1), ''), regexp_extract(substr(t, 1, 8000), '(10\\.\\d{{4,9}}/[^\\s,]+)', 1)), '[.,;)]+$', ''), '') AS doi,
+ TRY_CAST(nullif(regexp_extract(substr(t, 1, 2000), '\\b(19[89]\\d|20[012]\\d)\\b', 1), '') AS INT) AS year, nullif(regexp_extract(substr(t, 1, 5000), 'NCT\\d{{7,8}}'), '') AS trial_id,
+ coalesce(nullif(trim(regexp_replace(regexp_extract(substr(t, 1, 2000), '(?m)^#\\s+(.+)$', 1), '[*_`]', '', 'g')), ''), nullif(f, '')) AS title FROM {b.dealt_sql(HEADS, 'id t f', 't')}""")
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, t = spark.createDataFrame(HEADS, "id int, t string, f string"), F.col("t")
+    d, t = b.dealt(spark, sf_dir, HEADS, "id int, t string, f string", "t"), F.col("t")
     return d.select("id", text.doi(t).alias("doi"), text.year(t).alias("year"), text.trial_id(t).alias("trial_id"), text.title(t, F.col("f")).alias("title"))
 
 
@@ -124,10 +124,11 @@ def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUTHORS = [(1, "A;B;C", None, 2020, 2019), (2, "A;B;C;D", "10.1/a", None, 2018), (3, "", "10.1/b", None, None), (4, "X", None, 1999, 2001)]
 
 
-@query("f24_merged_metadata", f"SELECT id, CASE WHEN au <> '' THEN array_to_string((string_split(au, ';'))[1:3], ', ') || CASE WHEN len(string_split(au, ';')) > 3 THEN ' et al.' ELSE '' END END AS authors_str, coalesce(found, 'given') AS doi, coalesce(year, other) AS year FROM {b.values(AUTHORS, 'id', 'au', 'found', 'year', 'other')}")
+@query("f24_merged_metadata", f"SELECT id, CASE WHEN au <> '' THEN array_to_string((string_split(au, ';'))[1:3], ', ') || CASE WHEN len(string_split(au, ';')) > 3 THEN ' et al.' ELSE '' END END AS authors_str, coalesce(found, 'given') AS doi, coalesce(year, other) AS year FROM (SELECT * REPLACE (CASE WHEN au <> '' THEN au || ';' || source ELSE '' END AS au, other + n_chars % 5 AS other) FROM {b.dealt_sql(AUTHORS, 'id au found year other')})")
 def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern's DOI wins over the given one, its year only stands in."""
-    d = spark.createDataFrame(AUTHORS, "id int, au string, found string, year int, other int")
+    d = b.dealt(spark, sf_dir, AUTHORS, "id int, au string, found string, year int, other int").withColumn("other", (F.col("other") + F.col("n_chars") % 5).cast("int"))
+    d = d.withColumn("au", F.when(F.col("au") != "", F.concat("au", F.lit(";"), "source")).otherwise(F.lit("")))
     authors = F.when(F.col("au") != "", F.split("au", ";")).otherwise(F.array().cast("array<string>"))
     return d.select("id", text.authors_line(authors).alias("authors_str"), F.coalesce("found", F.lit("given")).alias("doi"), F.coalesce("year", "other").alias("year"))
 
@@ -149,9 +150,9 @@ _NUMERIC = numbers.PATTERN.replace("'", "''")
 _NORMAL = r"lower(regexp_replace(regexp_replace(regexp_replace(trim(v), '\s*([<>=≤≥:])\s*', '\1', 'g'), '\s+%', '%', 'g'), '([<>=≤≥])\.(\d)', '\10.\2', 'g'))"
 
 
-@query("m01_m04_numeric_values", f"SELECT id, pos, v, {_NORMAL} AS value FROM (SELECT id, unnest(r) AS v, CAST(unnest(range(0, len(r))) AS INT) AS pos FROM (SELECT id, [trim(x) FOR x IN regexp_extract_all(t, '(?i){_NUMERIC}')] AS r FROM {b.values(NUMBERS, 'id', 't')}))")
+@query("m01_m04_numeric_values", f"SELECT id, pos, v, {_NORMAL} AS value FROM (SELECT id, unnest(r) AS v, CAST(unnest(range(0, len(r))) AS INT) AS pos FROM (SELECT id, [trim(x) FOR x IN regexp_extract_all(t, '(?i){_NUMERIC}')] AS r FROM {b.dealt_sql(NUMBERS, 'id t', 't')}))")
 def numeric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(NUMBERS, "id int, t string").select("id", F.posexplode(numbers.numeric_values(F.col("t"))).alias("pos", "v"))
+    d = b.dealt(spark, sf_dir, NUMBERS, "id int, t string", "t").select("id", F.posexplode(numbers.numeric_values(F.col("t"))).alias("pos", "v"))
     return d.select("id", "pos", "v", numbers.normalize_value(F.col("v")).alias("value"))
 
 
@@ -239,20 +240,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("sent_id", "section", "segment_type", "chunk_index", "approx_tokens", "embeddable", F.size("numeric_tokens").alias("n_numbers"), F.md5("text").alias("digest"))
 
 
-REPLIES = [
-    (1, '{"chunks": [{"id": "c1", "type": "text", "markdown": "<a id=\'c1\'></a> First", "grounding": {"page": 2, "box": {"left": 0.5}}}, {"id": "c2", "type": "table", "markdown": "<a id=\'c2\'></a>"}], "grounding": {"c1": {"confidence": 0.75}}}'),
-    (2, '{"chunks": [{"id": "d1", "markdown": "Only"}]}'),
-]
-
-
-@query("s04_parsed_chunks", f"""
-SELECT id, chunk_id, kind AS chunk_type, t AS text, page, confidence FROM (
- SELECT id, json_extract_string(c, '$.id') AS chunk_id, coalesce(json_extract_string(c, '$.type'), 'text') AS kind, regexp_replace(regexp_replace(json_extract_string(c, '$.markdown'), '<a id=[''\"][^''\"]*[''\"]></a>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t,
-  coalesce(CAST(json_extract(c, '$.grounding.page') AS INT), 0) AS page, CAST(json_extract(j, '$.grounding.' || json_extract_string(c, '$.id') || '.confidence') AS DOUBLE) AS confidence
- FROM (SELECT id, j, unnest(CAST(json_extract(j, '$.chunks') AS JSON[])) AS c FROM (SELECT id, CAST(r AS JSON) AS j FROM {b.values(REPLIES, 'id', 'r')}))) WHERE t <> ''""")
+@query("s04_parsed_chunks", """
+SELECT doc_id AS id, 'c' || doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'text' END AS chunk_type, t AS text, CAST(CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 100 END AS INT) AS page, CASE WHEN doc_id % 2 = 0 THEN 0.75::DOUBLE END AS confidence
+FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE t <> ''""")
 def parsed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = readers.parsed_chunks(spark.createDataFrame(REPLIES, "id int, r string"), "r")
-    return p.select("id", "chunk_id", "chunk_type", "text", "page", "confidence")
+    """Replies made of the documents: a chunk with an anchor and the text, and one of an anchor alone."""
+    c, n, none = F.concat(F.lit("c"), F.col("doc_id")), F.col("doc_id"), F.lit(None)
+    anchor = F.concat(F.lit("<a id='"), c, F.lit("'></a>"))
+    ground = F.when(n % 4 != 0, F.struct((n % 100).cast("int").alias("page"), F.create_map(F.lit("left"), F.lit(0.5)).alias("box")))
+    first = F.struct(c.alias("id"), F.when(n % 3 == 0, "table").alias("type"), F.concat(anchor, F.lit(" "), F.col("text")).alias("markdown"), ground.alias("grounding"))
+    second = F.struct(F.lit("x").alias("id"), none.cast("string").alias("type"), anchor.alias("markdown"), F.when(F.lit(False), ground).alias("grounding"))
+    sure = F.when(n % 2 == 0, F.create_map(c, F.struct(F.lit(0.75).alias("confidence"))))
+    replies = b.table(spark, sf_dir, "documents").select(n.alias("id"), F.to_json(F.struct(F.array(first, second).alias("chunks"), sure.alias("grounding"))).alias("r"))
+    return readers.parsed_chunks(replies, "r").select("id", "chunk_id", "chunk_type", "text", "page", "confidence")
 
 
 @query("s05_uncached", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -303,9 +303,9 @@ TABLES = [
 ]
 
 
-@query("f03_real_tables", f"SELECT id, kept FROM {b.values(TABLES, 'id', 't', 'kept')}")
+@query("f03_real_tables", f"SELECT id, kept FROM {b.dealt_sql(TABLES, 'id t kept', 'kept')}")
 def real_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([r[:2] for r in TABLES], "id int, t string")
+    d = b.dealt(spark, sf_dir, [r[:2] for r in TABLES], "id int, t string", "t")
     return d.select("id", markdown.without_fake_tables(F.col("t")).alias("kept"))
 
 
@@ -318,11 +318,13 @@ PARTS = [
 _GOLD = [(i, n, kind, section, t) for i, _, out in PARTS for n, (kind, section, t) in enumerate(out)]
 
 
-@query("f18_f19_entries_and_prefixes", f"SELECT * FROM {b.values(_GOLD, 'id', 'chunk_index', 'segment_type', 'section', 'text')}")
+@query("f18_f19_entries_and_prefixes", f"SELECT d.doc_id AS id, chunk_index, segment_type, section, replace(replace(g.text, 'One', 'One' || d.source), 'words', 'words' || d.source) AS text FROM documents d JOIN (SELECT * FROM {b.values(_GOLD, 'id', 'chunk_index', 'segment_type', 'section', 'text')}) g ON g.id = d.doc_id % {len(PARTS)} + 1")
 def entries_and_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bibliography entries of one paragraph; headings without text drop out of paths, which are cut to 80
     characters."""
-    d = spark.createDataFrame([r[:2] for r in PARTS], "id int, t string")
+    d = b.dealt(spark, sf_dir, [r[:2] for r in PARTS], "id int, t string")
+    for word in ("One", "words"):
+        d = d.withColumn("t", F.replace("t", F.lit(word), F.concat(F.lit(word), F.col("source"))))
     return d.select("id", F.explode(markdown.markdown_chunks(F.col("t"))).alias("c")).select("id", "c.chunk_index", "c.segment_type", "c.section", "c.text")
 
 
@@ -331,9 +333,11 @@ _HEAD = "<table><thead><tr><th>H</th></tr></thead>"
 SPLIT = [(1, _HEAD + "<tbody>" + "".join(_ROWS) + "</tbody></table>", [3, 3]), (2, "| h |\n|---|\n" + "\n".join(f"| {'y' * 390} |" for _ in range(6)), [4, 2]), (3, _HEAD + "</table>", [0])]
 
 
-@query("f21_table_splits", f"SELECT * FROM {b.values([(i, n, k) for i, _, out in SPLIT for n, k in enumerate(out)], 'id', 'part', 'n_rows')}")
+@query("f21_table_splits", f"SELECT d.doc_id AS id, part, n_rows FROM documents d JOIN (SELECT * FROM {b.values([(i, n, k) for i, _, out in SPLIT for n, k in enumerate(out)], 'id', 'part', 'n_rows')}) g ON g.id = d.doc_id % {len(SPLIT)} + 1")
 def table_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large tables by groups of rows: data rows in each part."""
-    d = spark.createDataFrame([r[:2] for r in SPLIT], "id int, t string")
+    d = b.dealt(spark, sf_dir, [r[:2] for r in SPLIT], "id int, t string")
+    for head in ("<th>H", "| h"):
+        d = d.withColumn("t", F.replace("t", F.lit(head), F.concat(F.lit(head), F.col("source"))))
     c = d.select("id", F.explode(markdown.markdown_chunks(F.col("t"))).alias("c"))
     return c.select("id", F.col("c.chunk_index").alias("part"), F.regexp_count("c.text", F.lit("<td>|y{390}")).alias("n_rows"))

@@ -22,8 +22,14 @@ JUDGED = [
 NAMES = ("claim_id", "coverage_score", "ct_id", "failed_parts", "secondary", "stats", "note", "numbers")
 
 
-def judged(spark: SparkSession) -> DataFrame:
-    return as_judged(spark.createDataFrame(JUDGED, "claim_id int, coverage_score double, ct_id string, failed_parts string, secondary boolean, stats boolean, note string, numbers string"))
+KINDS = "id int, coverage_score double, ct_id string, failed_parts string, secondary boolean, stats boolean, note string, numbers string"
+#: Every document as a judged claim: the row of its number, its score less by a little.
+JUDGED_SQL = f"(SELECT id AS claim_id, * EXCLUDE (id) REPLACE (coverage_score - n_chars % 7 AS coverage_score) FROM {b.dealt_sql(JUDGED, ' '.join(('id', *NAMES[1:])))})"
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = b.dealt(spark, sf_dir, JUDGED, KINDS)
+    return as_judged(d.withColumnRenamed("id", "claim_id").withColumn("coverage_score", F.col("coverage_score") - F.col("n_chars") % 7))
 
 
 def as_judged(rows: DataFrame) -> DataFrame:
@@ -48,9 +54,9 @@ SELECT claim_id, CASE WHEN s < 60 OR sec THEN 'BLOCK' WHEN serious THEN 'SOFT_FL
 FROM f"""
 
 
-@query("c05_logic_gate", _GATE_SQL % b.values(JUDGED, *NAMES))
+@query("c05_logic_gate", _GATE_SQL % JUDGED_SQL)
 def logic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gated(judged(spark))
+    return _gated(judged(spark, sf_dir))
 
 
 #: Every document as a judged claim: all answers by its number, in all combinations over 4,620 of them.
@@ -139,20 +145,21 @@ def unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = ["85%", " 70 % ", "n/a", "", "0.5", "100", "1e2", "-3%"]
 
 
-@query("f29_parsed_scores", f"SELECT s, coalesce(TRY_CAST(trim(replace(s, '%', '')) AS DOUBLE), 0.0) AS score FROM {b.values([(s,) for s in SCORES], 's')}")
+@query("f29_parsed_scores", f"SELECT id, s, coalesce(TRY_CAST(trim(replace(s, '%', '')) AS DOUBLE), 0.0) AS score FROM (SELECT id, CASE WHEN id % 3 = 0 THEN s ELSE replace(s, '5', CAST(n_chars % 10 AS VARCHAR)) END AS s FROM {b.dealt_sql([(s,) for s in SCORES], 's')})")
 def parsed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(s,) for s in SCORES], "s string")
-    return d.select("s", scores.parsed_score(F.col("s")).alias("score"))
+    d = b.dealt(spark, sf_dir, [(s,) for s in SCORES], "s string")
+    d = d.withColumn("s", F.when(F.col("id") % 3 == 0, F.col("s")).otherwise(F.replace("s", F.lit("5"), (F.col("n_chars") % 10).cast("string"))))
+    return d.select("id", "s", scores.parsed_score(F.col("s")).alias("score"))
 
 
 REPLIES = ['```json\n{"a": 1}\n```', 'Sure: {"a": 2, "b": {"c": 3}} done', "none", '{"a": 4}', '```\n{"a": 5}\n```']
 
 
-@query("f28_json_in_replies", f"""SELECT r, CAST(json_extract_string(j, '$.a') AS INT) AS a FROM (SELECT r, CASE WHEN starts_with(x, '{{') THEN x ELSE nullif(regexp_extract(x, '\\{{[^{{}}]*(?:\\{{[^{{}}]*\\}}[^{{}}]*)*\\}}'), '') END AS j
- FROM (SELECT r, trim(regexp_replace(r, '(?s)^\\s*```(?:json)?\\s*|\\s*```\\s*$', '', 'g')) AS x FROM {b.values([(r,) for r in REPLIES], 'r')}))""")
+@query("f28_json_in_replies", f"""SELECT id, r, CAST(json_extract_string(j, '$.a') AS INT) AS a FROM (SELECT id, r, CASE WHEN starts_with(x, '{{') THEN x ELSE nullif(regexp_extract(x, '\\{{[^{{}}]*(?:\\{{[^{{}}]*\\}}[^{{}}]*)*\\}}'), '') END AS j
+ FROM (SELECT id, r, trim(regexp_replace(r, '(?s)^\\s*```(?:json)?\\s*|\\s*```\\s*$', '', 'g')) AS x FROM (SELECT id, replace(r, '"a": ', '"a": ' || n_chars) AS r FROM {b.dealt_sql([(r,) for r in REPLIES], 'r')})))""")
 def json_in_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(r,) for r in REPLIES], "r string")
-    return d.select("r", F.get_json_object(text.json_object(F.col("r")), "$.a").cast("int").alias("a"))
+    d = b.dealt(spark, sf_dir, [(r,) for r in REPLIES], "r string").withColumn("r", F.replace("r", F.lit('"a": '), F.concat(F.lit('"a": '), F.col("n_chars"))))
+    return d.select("id", "r", F.get_json_object(text.json_object(F.col("r")), "$.a").cast("int").alias("a"))
 
 
 @query("g01_conditional_cap", f"""WITH s AS (SELECT claim_id, coverage, claim_id % 3 = 0 AS only_c FROM {COVERAGE_SQL}) SELECT claim_id, round(CASE WHEN only_c THEN least(coverage, 60) ELSE coverage END, 6) AS score FROM s""")
@@ -175,16 +182,20 @@ CITED = [
 
 @query("f25_citations", f"""
 SELECT id, CASE WHEN p = '' THEN ref ELSE p || '.' END AS citation FROM (SELECT id, ref, concat_ws('. ', CASE WHEN au = '' THEN NULL ELSE array_to_string((string_split(au, ';'))[1:3], ', ') || CASE WHEN len(string_split(au, ';')) > 3 THEN ' et al.' ELSE '' END END,
-  nullif(ti, ''), CASE WHEN nullif(jo, '') IS NOT NULL AND ye IS NOT NULL THEN jo || ' ' || ye ELSE CAST(ye AS VARCHAR) END, 'doi:' || nullif(doi, '')) AS p FROM {b.values(CITED, 'id', 'au', 'ti', 'jo', 'ye', 'doi', 'ref')})""")
+  nullif(ti, ''), CASE WHEN nullif(jo, '') IS NOT NULL AND ye IS NOT NULL THEN jo || ' ' || ye ELSE CAST(ye AS VARCHAR) END, 'doi:' || nullif(doi, '')) AS p FROM (SELECT * REPLACE (CASE WHEN ti = '' THEN '' ELSE ti || ' ' || n_chars END AS ti), source AS ref FROM {b.dealt_sql(CITED, 'id au ti jo ye doi s')}))""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(CITED, "id int, au string, ti string, jo string, ye int, doi string, ref string")
+    d = b.dealt(spark, sf_dir, CITED, "id int, au string, ti string, jo string, ye int, doi string, s string").withColumn("ref", F.col("source"))
+    d = d.withColumn("ti", F.when(F.col("ti") == "", "").otherwise(F.concat_ws(" ", "ti", "n_chars")))
     authors = F.when(F.col("au") != "", F.split("au", ";")).otherwise(F.array().cast("array<string>"))
     return d.select("id", text.citation(authors, F.col("ti"), F.col("jo"), F.col("ye"), F.col("doi"), F.col("ref")).alias("citation"))
 
 
 @query("c08_audit_records")
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C8 over the judged rows: two passages each."""
-    p = spark.createDataFrame([(c, r, f"src{r}", t, "evidence", "Results", 3, ["A B"], "T", "J", 2020, None) for c, *_ in JUDGED for r, t in ((1, "RT-209"), (2, "RT-402"))], "claim_id int, rank int, ref_id string, rt_id string, text string, section string, page int, authors array<string>, title string, journal string, year int, doi string")
-    a = gate.audit_records(gate.gate(judged(spark)), p)
+    """C8 over every document as a judged claim, with two passages of its text."""
+    two = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(t).alias("rt_id")) for r, t in ((1, "RT-209"), (2, "RT-402"))])).alias("two")
+    said = {"section": "Results", "title": "T", "journal": "J"}
+    p = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), two, F.col("source").alias("ref_id"), "text", *[F.lit(v).alias(k) for k, v in said.items()])
+    p = p.select("*", "two.*", F.lit(3).alias("page"), F.array(F.lit("A B")).alias("authors"), F.lit(2020).alias("year"), F.lit(None).cast("string").alias("doi"))
+    a = gate.audit_records(gate.gate(judged(spark, sf_dir)), p)
     return a.select("claim_id", "ct_id", "verdict", "evidence_types", F.size("citations").alias("n_citations"), F.col("citations")[0]["full_citation"].alias("first_citation"), F.col("citations")[0]["data_on_file"].alias("data_on_file"), "fair_balance_linked")

@@ -5,12 +5,14 @@
 A stream of files takes what earlier runs have not seen, ``files`` at a time, and ends when there is nothing more.  Each
 part becomes a batch of the index (attestra/operators/inverted.py): postings by batch and bucket, ids and sums.  Statistics
 add up, so the index is the same whether documents came in one run or in many.  A document is indexed once: rows with an id
-that the index holds are left out.  A run that broke off is started again; Spark gives the open part the same number, and the
-batch is written anew.
+that the index holds are left out.  A run that broke off is started again: Spark gives the open part the same number, and its
+batch, which is known by the stream's id and that number, is written anew.  If the mark is lost, all files are read
+again, and nothing is indexed twice.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 
 if __name__ == "__main__":
@@ -31,8 +33,9 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, id: s
     done = {"read": 0, "written": 0, "batches": 0}
 
     def add(rows: DataFrame, number: int) -> None:
-        read, written = rows.count(), inverted.add_batch(rows, id, text, output, number, zone)
-        log.info("batch %d: read %d documents of %s, wrote %d to %s", number, read, documents, written, output)
+        stream_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        read, written = rows.count(), inverted.add(rows, id, text, output, zone, f"{stream_id}/{number}")
+        log.info("part %d: read %d documents of %s, wrote %d to %s", number, read, documents, written, output)
         for name, n in (("read", read), ("written", written), ("batches", 1)):
             done[name] += n
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import claims, corpus, fusion, gate, lexical, policy, quality, registry
-from attestra.plans.verdicts import JUDGED, judged
+from attestra.plans.verdicts import JUDGED, KINDS, as_judged
 from attestra.sources import readers, writers
 from attestra.streaming.ingest import ingest
 
@@ -50,6 +50,10 @@ def test_payload_filter_keeps_rows_without_type(spark):
     assert [r["id"] for r in fusion.payload_filter(c, blocked=["RT-310"], excluded=["b"]).collect()] == [1]
 
 
+def judged(spark):
+    return as_judged(spark.createDataFrame(JUDGED, KINDS.replace("id int", "claim_id int", 1)))
+
+
 def test_gate(spark):
     got = {r["claim_id"]: r for r in gate.gate(judged(spark)).collect()}
     verdicts = {i: got[i]["verdict"] for i, *_ in JUDGED}

@@ -95,3 +95,27 @@ def test_values_match(spark, a, b, same):
 def test_fixed_values():
     assert len(fixed.INDEX_STOPWORDS) == len(set(fixed.INDEX_STOPWORDS)) and len(fixed.SUFFIXES) == 25
     assert len(fixed.TRIAL_PRIMARY) == 21 and sum(map(len, fixed.GROUPS.values())) == 94
+
+
+STEMS = {
+    "ational": "ational", "national": "nation", "organization": "organize", "hopefulness": "hopeful", "anxiousness": "anxious", "effectiveness": "effective", "placement": "plac", "treatment": "treat",
+    "kindness": "kind", "dating": "dat", "sizing": "siz", "visible": "vis", "readable": "read", "ration": "ra", "tension": "ten", "falling": "fall", "trying": "try", "walking": "walk", "tried": "try",
+    "flies": "fly", "walked": "walk", "walker": "walk", "slowly": "slow", "boxes": "box", "cats": "cat", "frozen": "freez", "freezing": "freez", "injection": "inject", "unused": "unus", "as": "as", "gas": "gas",
+    "tional": "tional", "bed": "bed", "sings": "sing", "xyz": "xyz", "12%": "12%", "3.5": "3.5", "passes": "pass",
+}
+
+
+def test_stems(spark):
+    """The first suffix in their order, whatever letter it is found by."""
+
+    def first(w):
+        if len(w) <= 3:
+            return w
+        if w in fixed.IRREGULAR_STEMS:
+            return fixed.IRREGULAR_STEMS[w]
+        return next((w[: -len(s)] + new for s, new in fixed.SUFFIXES if w.endswith(s) and len(w) >= len(s) + 2), w)
+
+    words = {*STEMS, *(f"{stem}{s}" for s, _ in fixed.SUFFIXES for stem in ("", "a", "ab", "tion", "rat"))}
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem("w").alias("s")).collect()}
+    assert got == {w: first(w) for w in words}
+    assert {w: s for w, s in STEMS.items() if got[w] != s} == {}
