@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,23 @@ def runs_of_key(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of rows, each the first row of its piece so far, after the pieces of pairs a, b are joined."""
+    apart = label[a] != label[b]
+    a, b = a[apart], b[apart]
+    while len(a):
+        low, before = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        if np.array_equal(before, label):
+            break
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
 def first_by_hash(rows: DataFrame, by: str, each: int) -> DataFrame:
     """At most ``each`` rows of every value of ``by``: the first by hash of their ``id``.
 

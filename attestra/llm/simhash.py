@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bound_batches, by_place, components, materialise, runs_of_key, table
+from attestra.llm.common import bound_batches, by_place, components, joined, materialise, runs_of_key, table
 
 #: A pair within 3 bits differs in 3 of 8 bytes at most, so it agrees in 5, and in 3 of one half.
 BITS, AGREE = 3, 5
@@ -68,16 +68,16 @@ def _some_pairs(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held.append((order[live], order[live + d]))
         size += len(live)
         if size >= PAIRS:
-            yield _joined(held)
+            yield _paired(held)
             held, size = [], 0
         d += 1
         live = live[live + d < n]
         live = live[code[live] == code[live + d]]
     if held:
-        yield _joined(held)
+        yield _paired(held)
 
 
-def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _paired(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -85,7 +85,7 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows with one code, the smaller row first."""
     none = np.zeros(0, dtype=np.int64)
-    return _joined([(none, none), *_some_pairs(code)])
+    return _paired([(none, none), *_some_pairs(code)])
 
 
 def tallied(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,16 +118,7 @@ def linked(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarra
         parts = iter([(a[tally >= AGREE], b[tally >= AGREE])])
     for a, b in parts:
         near = (label[a] != label[b]) & (np.bitwise_count(bits[a] ^ bits[b]) <= BITS)
-        a, b = a[near], b[near]
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            while not np.array_equal(up := label[label], label):
-                label = up
-            if np.array_equal(before, label):
-                break
+        label = joined(label, a[near], b[near])
     far = np.flatnonzero(label != np.arange(len(key)))
     return far, label[far]
 

@@ -96,6 +96,46 @@ def test_crowded_cone(spark):
     assert out.component_id.tolist() == union_find(2000, np.argwhere(near).tolist())
 
 
+def test_links_come_from_the_passes(spark, monkeypatch):
+    """Without what the passes find there is no link, but by the exact way."""
+    df = spark.createDataFrame(vectors(4), SCHEMA).repartition(3)
+    links = lambda **options: sum(r.n_links for r in near_duplicates(df, **options).collect())
+    want = links()
+    assert want > 100 and links(exact=True) == want
+    monkeypatch.setattr(neardup, "pass_links", lambda v, *_: v.select(neardup.F.col("vec_id").alias("a"), neardup.F.col("vec_id").alias("b"), "probe"))
+    assert links() < 10  # equal vectors alone
+    assert links(exact=True) == want
+
+
+def test_rounds_go_on_until_partners_are_found(spark, monkeypatch):
+    """A narrow window in a cone: partners are missed at first, so passes are added."""
+    monkeypatch.setattr(neardup, "PROBES", 200)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((600, 32)) * 0.5
+    x[:, 0] = 4
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0, 0, "") for i in range(600)], SCHEMA)
+    found = neardup.usable_vectors(df)
+    rounds = []
+    kept = neardup.pass_links
+    monkeypatch.setattr(neardup, "pass_links", lambda *a: rounds.append(a[3]) or kept(*a))
+    _, share = neardup.candidate_links(found, 0.95, 0.95, 2, 4)
+    assert len(rounds) > 1 and rounds == [4 << k for k in range(len(rounds))] and (share >= 0.95 or len(rounds) == neardup.ROUNDS)
+
+
+def test_pieces_are_counted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER", 16)
+    monkeypatch.setattr(neardup, "ROWS", 7)
+    rows = vectors(6)
+    u = unit(rows)
+    m = np.stack([u[i] for i in sorted(u)])
+    near = m @ m.T >= 0.9
+    want = dict(zip(sorted(u), (near.sum(1) - 1).tolist(), strict=True))
+    for sent in (100_000, 0):
+        monkeypatch.setattr(neardup, "SENT", sent)
+        got = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+        assert {i: got[i] for i in want} == want
+
+
 def best(rows, every=100, k=10):
     v = {}
     for i, x, *_ in rows:
