@@ -79,40 +79,55 @@ def _seeds() -> tuple[dict[bytes, list[tuple[int, int]]], list]:
     return seeds, patterns
 
 
-def _places(pattern: regex.Pattern, flat: bytes, a: int, z: int, least: int) -> Iterator[tuple[int, int, int]]:
-    """start, end, edits of places in flat[a:z].  A search returns the best place of all that it is
-    given, so what lies before it is searched like what lies behind."""
-    parts = [(a, z)]
+def _parts(a: int, z: int, longest: int) -> Iterator[tuple[int, int]]:
+    """A region in parts of a few lengths of a place, each of which overlaps the next by one: every place is whole in some part, and
+    searching again around a hit never goes far."""
+    while z - a > 8 * longest:
+        yield a, a + 8 * longest
+        a += 7 * longest
+    yield a, z
+
+
+@lru_cache(maxsize=4096)
+def _places(i: int, part: bytes) -> list[tuple[int, int, int]]:
+    """start, end, edits of places of a notice in a part of a text.  A search returns the best place of all that it is
+    given, so what lies before it is searched like what lies behind.  Parts that come again are remembered."""
+    pattern, least, out = _seeds()[1][i], len(_names()[i]) - allowed(_names()[i]), []
+    parts = [(0, len(part))]
     while parts:
         a, z = parts.pop()
-        if z - a >= least and (m := pattern.search(flat, a, z)):
-            yield m.start(), m.end(), sum(m.fuzzy_counts)
+        if z - a >= least and (m := pattern.search(part, a, z)):
+            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
             parts += [(a, m.start()), (m.end(), z)]
+    return out
+
+
+@lru_cache(maxsize=1)
+def _names() -> list[str]:
+    return list(NOTICES)
 
 
 def notices(flat: bytes) -> list[tuple[int, int, int, int]]:
     """notice, start, end, edits of verified places in a text whose white space is single blanks."""
-    seeds, patterns = _seeds()
-    names = list(NOTICES)
-    near: dict[int, list[tuple[int, int]]] = {}
+    seeds, names = _seeds()[0], _names()
+    starts: dict[int, list[int]] = {}
     for seed, uses in seeds.items():
         at = flat.find(seed)
         while at >= 0:
             for i, offset in uses:
-                k = allowed(names[i])
-                near.setdefault(i, []).append((max(0, at - offset - k), at - offset + len(names[i]) + k))
+                starts.setdefault(i, []).append(at - offset)
             at = flat.find(seed, at + 1)
     out = []
-    for i, spots in near.items():
-        spots.sort()
-        merged = [list(spots[0])]
-        for a, z in spots[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], z)
-            else:
-                merged.append([a, z])
-        for a, z in merged:
-            out += [(i, *x) for x in _places(patterns[i], flat, a, min(z, len(flat)), len(names[i]) - allowed(names[i]))]
+    for i, found in starts.items():
+        # the seeds of one place tell of starts that are twice the edits apart at most
+        size, k = len(names[i]), allowed(names[i])
+        found.sort()
+        edge = [0, *(n for n in range(1, len(found)) if found[n] - found[n - 1] > 2 * k), len(found)]
+        for first, last in zip(edge, edge[1:], strict=False):
+            a, z = max(0, found[first] - k), min(found[last - 1] + size + k, len(flat))
+            for lo, hi in _parts(a, z, size + k):
+                out += [(i, lo + start, lo + end, edits) for start, end, edits in _places(i, flat[lo:hi])]
+    out = list(dict.fromkeys(out))  # what stands where two parts overlap is found in both
     # of notices that overlap, the one with the smallest share of edits
     kept: list[tuple[int, int, int]] = []  # start, end, place in out; none overlap
     for n, x in sorted(enumerate(out), key=lambda e: (e[1][3] / len(names[e[1][0]]), -len(names[e[1][0]]), e[1][1], e[1][0])):
@@ -182,7 +197,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     12 characters and reported with byte spans of the text.  score: 1 with a base phrase, else
     1 - edits / length of the best notice, else 0.  Of notices that overlap the one with the smallest share of
     edits is kept, then the longer, the first.  Null and empty texts have no words, no labels (""), no spans
-    and score 0.  Whole texts are read, however long; the cost grows with length and hits.  Only doc_id
+    and score 0.  Whole texts are read, however long; the cost grows with length and hits, each of which is searched for in a
+    few lengths of its notice.  Only doc_id
     and text are read of the columns.  One row in, one row out, repeated rows and null ids included.
     """
     bound_batches(docs.sparkSession)

@@ -102,3 +102,12 @@ def test_very_many_hits_in_a_long_text():
     text = "Released under the MIT Licence. " * 4000 + "mit license " * 4000
     s = scan(text)
     assert s["n_base"] == 4000 and len(s["spans"]) == 4000 and s["first_word"] == 20000 and s["last_word"] == 20000 + 2 * 3999
+
+
+@pytest.mark.parametrize("gap", ["", "some words between "])
+def test_edited_notices_side_by_side(gap):
+    """Each place is found by itself, however many there are."""
+    rng = random.Random(4)
+    texts = [f"released under th{rng.choice('abcdf')} mit licens{rng.choice('abcdf')}" for _ in range(3000)]
+    s = scan(" ".join(gap + t for t in texts))
+    assert len(s["spans"]) == 3000 and {x["edits"] for x in s["spans"]} == {2}
