@@ -18,7 +18,7 @@ from attestra.session import in_blocks
 BLOCK, SLICE = 2048, 1024
 
 
-def _unit(rows: list) -> np.ndarray:
+def unit_rows(rows: list) -> np.ndarray:
     x = np.array(rows, dtype=np.float64)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
@@ -35,7 +35,7 @@ def dense_search(claims: DataFrame, chunks: DataFrame, k: int = 150) -> DataFram
     asked = claims.where(F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>"))
     found = spark.createDataFrame([], "claim_id long, id long, score double")
     for rows in in_blocks(asked.select("claim_id", "vector"), "claim_id", BLOCK):
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows])))
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], unit_rows([r[1] for r in rows])))
 
         def best(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
@@ -43,7 +43,7 @@ def dense_search(claims: DataFrame, chunks: DataFrame, k: int = 150) -> DataFram
             for b in batches:
                 for start in range(0, b.num_rows, SLICE):
                     part = b.slice(start, SLICE)
-                    held.add(q @ _unit(part.column(1).to_pylist()).T, part.column(0).to_numpy(zero_copy_only=False))
+                    held.add(q @ unit_rows(part.column(1).to_pylist()).T, part.column(0).to_numpy(zero_copy_only=False))
             yield from held.rows(np.array(names))
 
         vectors = chunks.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), F.col("vector").cast("array<double>"))

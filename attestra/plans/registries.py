@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from attestra.functions import scores
 from attestra.operators import claims, quality, registry
 from attestra.plans import bindings as b
 from attestra.plans.catalog import query
+from attestra.session import shared_folder
+from attestra.sources import writers
 
 # Registry from events: a user is a claim, purchases are results, errors are overrides.
 _VERDICT_SQL = "CASE WHEN value >= 80 THEN 'PASS' WHEN value >= 60 THEN 'SOFT_FLAG' ELSE 'BLOCK' END"
@@ -27,9 +31,13 @@ def registry_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("claim_id", F.concat(F.lit("claim "), F.col("claim_id")).alias("text"), b.pick(b.CLAIM_TYPES, F.col("claim_id")).alias("ct_id"), source.alias("source"), "updated_at")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.table(spark, sf_dir, "events").where("event_type = 'purchase' and user_id % 5 <> 0")
-    rows = e.select(F.col("user_id").alias("claim_id"), "event_id", "ts", F.col("value").alias("coverage_score"), scores.verdict(F.col("value")).alias("verdict"))
+    return e.select(F.col("user_id").alias("claim_id"), "event_id", "ts", F.col("value").alias("coverage_score"), scores.verdict(F.col("value")).alias("verdict"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = all_results(spark, sf_dir)
     early, late = rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")
     return registry.upsert(early, late, "claim_id", "ts", "event_id")
 
@@ -49,6 +57,15 @@ def result_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("claim_id", "event_id", "verdict", "coverage_score")
 
 
+@query("s18_result_table", f"WITH {REGISTRY_SQL} SELECT claim_id, event_id, verdict, coverage_score FROM res")
+def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table in folders by claim: results come in two batches, the second of them twice."""
+    path, rows = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}", all_results(spark, sf_dir).withColumn("at", F.struct("ts", "event_id"))
+    for odd in (1, 0, 0):
+        writers.upsert(rows.where(F.col("event_id") % 2 == odd), path, ["claim_id"], "at")
+    return spark.read.parquet(path).select("claim_id", "event_id", "verdict", "coverage_score")
+
+
 @query("s19_override_insert", f"WITH {REGISTRY_SQL} SELECT o.override_id, o.claim_id, o.new_verdict, coalesce(lag(o.new_verdict) OVER (PARTITION BY o.claim_id ORDER BY o.ts, o.override_id), r.verdict, 'PENDING') AS previous_verdict FROM ov o LEFT JOIN res r USING (claim_id)")
 def override_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = registry.with_previous(overrides(spark, sf_dir), results(spark, sf_dir))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra import fixed
 from attestra.functions import scores, text
-from attestra.operators import dense, fusion, lexical
+from attestra.operators import cells, dense, fusion, inverted, lexical
 from attestra.plans import bindings as b
 from attestra.plans.catalog import query
+from attestra.session import shared_folder
 
 DOC_TERMS = b.terms_sql("documents", "doc_id", "text")
 CLAIM_TERMS = b.terms_sql("benchmark", "item_id", "text")
@@ -101,6 +104,16 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_hits(spark, sf_dir).select("claim_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("s10_index_search", f"WITH {BM25} SELECT claim_id, id, rank, round(score, 6) AS score FROM bm25")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by a kept index, whose documents came in two batches."""
+    path, docs = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", b.table(spark, sf_dir, "documents")
+    for part in ("doc_id % 2 = 0", "true"):
+        inverted.add(docs.where(part), "doc_id", "text", path)
+    found = inverted.search(b.table(spark, sf_dir, "benchmark"), "item_id", "text", path)
+    return found.select("claim_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 DENSE = f"""
   q AS (SELECT vec_id AS claim_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
   c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -119,6 +132,15 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_hits(spark, sf_dir).select("claim_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("j10_cell_search", f"WITH {DENSE} SELECT claim_id, id, rank, round(score, 6) AS score FROM dense")
+def cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by a kept index of cells."""
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.write_cells(b.chunk_vectors(spark, sf_dir), path)
+    found = cells.search_cells(b.claim_vectors(spark, sf_dir), path, 151)
+    return lexical.ranked(found.where("id <> claim_id").drop("rank"), 150).select("claim_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("m07_cosine_by_label", "WITH f AS (SELECT label, min(vec_id) AS m FROM embeddings GROUP BY label) SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e JOIN f USING (label) JOIN embeddings g ON g.vec_id = f.m")
 def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against the first of its label."""
