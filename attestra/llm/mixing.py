@@ -72,7 +72,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     Running sums and ranks go by (source, hash range) and (source, chunk of slots), so a
     source that holds most rows is spread over many tasks.  Null text: size 0; null source: a
     source of its own, last; size 0: taken 0.  Repeated rows count as often as they are there.
-    No rows: no rows.
+    Documents whose hashes tie are laid by doc_id, then size.  A text is counted whole, however long: one longer than a block is
+    cut over several.  Extra columns are not read.  No rows: no rows.
     """
     spark = docs.sparkSession
     sizes = materialise(sized(docs))

@@ -180,7 +180,7 @@ def simhash(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Equal fingerprints are one node, named by its smallest doc_id, so groups of copies are
     summed before anything is compared.  Null or wordless texts have fingerprint zero and are linked
-    like others.  Rows with a null doc_id get a fingerprint, link nothing and have a null
+    like others.  Whole texts are hashed, 65,536 shingles' bits at a time; extra columns are not read.  Rows with a null doc_id get a fingerprint, link nothing and have a null
     component.  Repeated rows stay; no rows: no rows.
     """
     prints = materialise(fingerprints(docs, width))

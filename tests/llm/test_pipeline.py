@@ -53,3 +53,21 @@ def test_folders_go(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).count() == 0
+
+
+def test_folders_go_when_a_stage_fails(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    import pytest
+
+    from attestra.llm.common import shared_path
+
+    def broken(*_):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("broken", broken), *corpus_pipeline.STAGES[2:]])
+    there = lambda: set(Path(shared_path(spark).removeprefix("file:")).glob("pipeline-*"))
+    before = there()
+    with pytest.raises(RuntimeError, match="broken"):
+        corpus_pipeline.run(spark, folder(spark, tmp_path, documents(4, 20)))
+    assert there() <= before
