@@ -58,16 +58,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again.  A stage's folder goes when the next is written, the
-    last with the result, which is a checkpoint.  Empty documents: no rows."""
+    last with the result, which is a checkpoint; all of them go if a stage fails.  Empty documents: no rows."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_path(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            remove(spark, before)
-        before = f"{folder}/{name}"
-    out = materialise(STAGES[-1][1](spark, docs, sf_dir))
-    remove(spark, folder)
-    return out
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{name}"
+        return materialise(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        remove(spark, folder)
