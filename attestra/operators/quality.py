@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra import fixed
+from attestra.operators import passages
 
 
 def numbers_in(c: Column) -> Column:
@@ -57,20 +58,27 @@ def collapsed(c: Column) -> Column:
 
 
 def text_fidelity(chunks: DataFrame, sources: DataFrame, key: str = "ref_id") -> DataFrame:
-    """key, n, found: chunks whose middle stands in their source.  sources: key, source_text."""
-    joined = chunks.join(sources, key)
-    hit = collapsed(F.col("source_text")).contains(collapsed(middle_snippet(F.col("text"))))
-    return joined.groupBy(key).agg(F.count("*").alias("n"), F.sum(hit.cast("int")).alias("found"))
+    """key, n, found: chunks whose middle stands in their source.  sources: key, source_text, one for each key.  No chunk takes its source's
+    text along (``passages.standing``)."""
+    there = sources.select(F.col(key).alias("k"), collapsed(F.col("source_text")).alias("t"))
+    asked = chunks.select(F.col(key).alias("k"), collapsed(middle_snippet(F.col("text"))).alias("t")).join(there.select("k"), "k", "left_semi").groupBy("k", "t").agg(F.count("*").alias("n"))
+    hit = passages.standing(asked, there).withColumn("hit", F.lit(1))
+    joined = asked.join(hit, ["k", "t"], "left")
+    return joined.groupBy(F.col("k").alias(key)).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("found"))
 
 
 def paragraph_coverage(sources: DataFrame, chunks: DataFrame, key: str = "ref_id", least: int = 60) -> DataFrame:
     """key, paragraphs, covered: long paragraphs whose beginning some chunk of the source holds;
-    headings and tables count as covered.  Paragraph and chunk meet by source only."""
-    para = sources.select(key, F.posexplode(F.split("source_text", "\n\n")).alias("no", "p")).withColumn("p", F.trim("p")).where(F.length("p") > least)
-    para = para.withColumn("snippet", collapsed(F.substring("p", 1, 60))).withColumn("auto", F.col("p").startswith("#") | F.lower("p").contains("<table"))
-    whole = chunks.groupBy(key).agg(collapsed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), " ")).alias("all_text"))
-    hit = F.col("auto") | F.coalesce(F.col("all_text").contains(F.col("snippet")), F.lit(False))
-    return para.join(whole, key, "left").groupBy(key).agg(F.count("*").alias("paragraphs"), F.sum(hit.cast("int")).alias("covered"))
+    headings and tables count as covered.  Beginnings and chunks meet by their fingerprints (``passages.standing``)."""
+    para = sources.select(F.col(key).alias("k"), F.explode(F.split("source_text", "\n\n")).alias("p")).withColumn("p", F.trim("p")).where(F.length("p") > least)
+    auto = F.col("p").startswith("#") | F.lower("p").contains("<table")
+    para = para.groupBy("k", collapsed(F.substring("p", 1, 60)).alias("t"), auto.alias("auto")).agg(F.count("*").alias("n"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])
+    whole = chunks.groupBy(F.col(key).alias("k")).agg(collapsed(F.array_join(ordered, " ")).alias("t"))
+    hit = passages.standing(para.where("not auto"), whole).withColumn("hit", F.lit(True))
+    joined = para.join(hit, ["k", "t"], "left")
+    covered = F.when(F.col("auto") | F.coalesce("hit", F.lit(False)), F.col("n")).otherwise(0)
+    return joined.groupBy(F.col("k").alias(key)).agg(F.sum("n").alias("paragraphs"), F.sum(covered).alias("covered"))
 
 
 def violations(chunks: DataFrame) -> DataFrame:
