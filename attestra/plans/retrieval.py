@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra import fixed
 from attestra.functions import scores, text
-from attestra.operators import cells, dense, fusion, inverted, lexical
+from attestra.operators import cells, dense, fusion, inverted, lexical, paging
 from attestra.plans import bindings as b
 from attestra.plans.catalog import query
 from attestra.session import shared_folder
@@ -403,6 +403,15 @@ def scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "documents").where("source = 'src3'").select("doc_id", "source").orderBy("doc_id").limit(64)
 
 
+@query("s12_scroll_by_key", "SELECT doc_id, source FROM documents ORDER BY source DESC, doc_id LIMIT 64 OFFSET 128")
+def scroll_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of 64, each asked for by the last key of the one before."""
+    docs, order, last = b.table(spark, sf_dir, "documents").select("doc_id", "source"), [("source", True), ("doc_id", False)], None
+    for _ in range(2):
+        last = paging.key_of(paging.page_after(docs, order, last, 64).collect(), order)
+    return paging.page_after(docs, order, last, 64)
+
+
 @query("c03_strip_brands", f"WITH {ALL_KEYWORDS}, {BM25}, {BRAND}, br AS (SELECT b.claim_id, b.brand FROM b JOIN bm25 h USING (claim_id) JOIN documents d ON d.doc_id = h.id GROUP BY b.claim_id, b.brand HAVING max(contains(lower(d.source), b.brand)) OR sum(contains(lower(d.text), b.brand)::INT) >= 3) SELECT p.claim_id, p.kw FROM picked p WHERE p.kw NOT IN (SELECT brand FROM br WHERE br.claim_id = p.claim_id)")
 def strip_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-keyword search words without the claim's brands."""
