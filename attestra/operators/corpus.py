@@ -19,7 +19,8 @@ def preprocess(c: Column) -> Column:
 
 
 def sent_id(ref_id: Column, index: Column) -> Column:
-    return F.concat(ref_id, F.lit("::chunk-"), F.lpad(index.cast("string"), 4, "0"))
+    number = index.cast("string")
+    return F.concat(ref_id, F.lit("::chunk-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0")))  # lpad cuts what is longer
 
 
 def registered(docs: DataFrame, registry: DataFrame) -> DataFrame:
