@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra import fixed
-from attestra.operators import passages
+from attestra.operators import links, passages
+from attestra.session import kept
 
 
 def numbers_in(c: Column) -> Column:
@@ -116,17 +117,37 @@ def secondary_citation(c: Column, rt_id: Column, cues: str) -> Column:
 
 
 def number_and_word_links(left: DataFrame, right: DataFrame, stopwords: list[str], pair: Column | None = None, least: int = 2) -> DataFrame:
-    """a, b, words: ids of a left and a right text (id, text) that share a number and ``least`` words.
+    """a, b, words: ids of a left and a right text (id, text; one row for each id) that share a number and ``least`` words.
 
-    Texts meet by number, never all with all, but a number that many texts have gives all pairs of them:
-    that is the rule's own output.
+    Texts meet by number, never all with all, but a number that many texts have gives all pairs of them: that is the rule's own
+    output.  No pair takes its texts along: the texts of a number are cut in blocks, two blocks are compared in one task
+    (``links.compared``), and a pair is counted at the smallest number that it shares.
     """
-    values = lambda d, n: d.select(F.col("id").alias(n), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*%?"), F.lit(0)))).alias("v"))
-    words = lambda d, n: d.select(F.col("id").alias(n), F.array_except(F.split(F.lower("text"), " "), F.array(*[F.lit(x) for x in stopwords])).alias(f"w{n}"))
-    pairs = values(left, "a").join(values(right, "b"), "v")
-    pairs = (pairs if pair is None else pairs.where(pair)).select("a", "b").distinct()
-    joined = pairs.join(words(left, "a"), "a").join(words(right, "b"), "b")
-    return joined.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("words")).where(F.col("words") >= least)
+    same = right is left
+    values = lambda d: kept(d.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*%?"), F.lit(0)))).alias("v")))
+    l_values = values(left)
+    r_values = l_values if same else values(right)
+    sizes = lambda d, n: d.groupBy("v").agg(F.count("*").alias(f"n{n}"), F.min("id").alias(n))
+    met = sizes(l_values, "a").join(sizes(r_values, "b"), "v")
+    if pair is not None:
+        met = met.where((F.col("na") * F.col("nb") > 1) | pair)  # numbers of one text alone go no further
+    blocks = lambda n: F.ceil(F.col(n) / links.BLOCK).cast("int")
+    met = kept(met.select("v", blocks("na").alias("na"), blocks("nb").alias("nb")))
+
+    def side(docs: DataFrame, found: DataFrame, right_: bool) -> DataFrame:
+        shared = found.join(met, "v").groupBy("id").agg(F.collect_list(F.struct("v", "na", "nb")).alias("m"))
+        words = F.array_except(F.split(F.lower("text"), " "), F.array(*[F.lit(x) for x in stopwords]))
+        rows = docs.where(F.col("text").rlike(r"\d")).select("id", words.alias("words")).join(shared, "id")
+        rows = rows.select("id", "words", F.col("m.v").alias("numbers"), F.explode("m").alias("m"))
+        mine, other = ("nb", "na") if right_ else ("na", "nb")
+        own = F.pmod(F.xxhash64("id"), F.col(f"m.{mine}"))
+        rows = rows.select("id", "words", "numbers", "m.v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col(f"m.{other}") - 1)).alias("other"))
+        place = ("other", "own") if right_ else ("own", "other")
+        return rows.select(F.concat_ws(" ", "v", *place).alias("task"), F.lit(right_).alias("right"), "id", "numbers", "words")
+
+    rows = side(left, l_values, False).union(side(right, r_values, True))
+    pairs = links.compared(rows, least)
+    return (pairs if pair is None else pairs.where(pair)).select("a", "b", "words")
 
 
 def key_sets(json: Column) -> Column:
