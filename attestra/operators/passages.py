@@ -1,18 +1,22 @@
-"""Where short passages stand in long texts, by winnowed position fingerprints."""
+"""Which short passages stand in long texts, and grams that windows choose (winnowing)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.session import in_slices
+
 #: Characters of a gram; grams of a window.  A passage of GRAM + WINDOW - 1 characters holds a whole window.
 GRAM, WINDOW = 8, 9
-#: Characters of a text that are looked at together.
-PIECE = 1 << 20
+#: Passages up to which a text is searched for each; passages that one automaton holds.  PIECE: characters of
+#: a text that fingerprints once took together; nothing here reads it.
+FEW, LISTED, PIECE = 8, 50_000, 1 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,73 +45,40 @@ def chosen(codes: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
     return np.unique(every.argmin(axis=1) + start) if len(start) else start
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
-def _together(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Characters, the number of the text and the place in it of each, about PIECE at a time.  Longer texts come in pieces that share all but
-    one of a window's characters, so the same grams are chosen."""
-    held: list[tuple[int, int, np.ndarray]] = []
-    size = 0
-    for n, t in enumerate(texts):
-        codes = _codes(t)
-        for start in range(0, max(1, len(codes) - GRAM - WINDOW + 2), PIECE):
-            part = codes[start : start + PIECE + GRAM + WINDOW - 2]
-            if size + len(part) > PIECE and held:
-                yield _laid(held)
-                held, size = [], 0
-            held.append((n, start, part))
-            size += len(part)
-    if held:
-        yield _laid(held)
-
-
-def _laid(parts: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = [len(p) for *_, p in parts]
-    return np.concatenate([p for *_, p in parts]), np.repeat([n for n, *_ in parts], sizes), np.concatenate([np.arange(start, start + len(p)) for _, start, p in parts])
-
-
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """k, hash, at (from 0) of the chosen grams of texts (k, t).  Texts that hold no whole window have none."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for codes, text, place in _together(b.column(1).to_pylist()):
-                at = chosen(codes, text)
-                h = gram_hashes(codes)[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[at])), pa.array(h), pa.array(place[at], pa.int64())], ["k", "hash", "at"])
-
-    kind = texts.schema["k"].dataType.simpleString()
-    found = texts.where("t is not null").select("k", "t").mapInArrow(run, f"k {kind}, hash long, at long")
-    return found.distinct()  # a gram at a cut may be chosen by both pieces
-
-
 def standing(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """k, t: the passages (k, t), each once, that stand in the text (k, t) of their key, which has one.
 
-    Each window of a passage chooses the same gram wherever the passage stands.  So all of its grams must be in the text; the one that is
-    there the least often says where the passage may begin, and there it is compared, character by character.  The work
-    grows with the lengths of texts and passages, not with their product.  Passages too short for a window come to their text as
-    a list and are searched for.  Empty passages stand everywhere; null ones nowhere.
+    Only texts and passages are shuffled, once each: a key's passages come to its text as a list, and all of them are looked
+    for in one pass over it (an automaton), so the work grows with the lengths of texts and passages, not with their
+    product.  A text with more than LISTED passages is read once for each part of them.  Empty passages stand
+    everywhere; null ones nowhere.
     """
     asked = passages.where("t is not null").select("k", "t").distinct()
-    whole = F.length("t") >= GRAM + WINDOW - 1
-    marks = fingerprints(asked.where(whole).select(F.struct("k", "t").alias("k"), "t")).select("k.k", "k.t", "hash", F.col("at").alias("offset"))
-    places = fingerprints(texts).groupBy("k", "hash").agg(F.collect_list("at").alias("ats"))
-    often = marks.join(places.select("k", "hash", F.size("ats").alias("n")), ["k", "hash"], "left")
-    rarest = often.groupBy("k", "t").agg(F.min(F.struct("n", "hash", "offset")).alias("m"), F.bool_and(F.col("n").isNotNull()).alias("all")).where("all").select("k", "t", "m.hash", "m.offset")
-    begins = rarest.join(places, ["k", "hash"]).select("k", "t", "offset", F.explode("ats").alias("at")).where("at >= offset")
-    begins = begins.select("k", F.struct((F.col("at") - F.col("offset") + 1).cast("int").alias("begin"), "t").alias("c"))
-    short = asked.where(~whole).select("k", F.struct(F.lit(0).alias("begin"), "t").alias("c"))
-    lists = begins.union(short).groupBy("k").agg(F.collect_set("c").alias("cs"))
-    joined = lists.join(texts.select("k", F.col("t").alias("body")), "k").where("body is not null").select("k", "body", "cs")
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, body, cs in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                at = lambda c: body.startswith(c["t"], c["begin"] - 1) if c["begin"] else c["t"] in body  # noqa: B023, E731
-                here = list(dict.fromkeys(c["t"] for c in cs if at(c)))
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(here), k.type), pa.array(here, pa.string())], ["k", "t"])
-
-    return joined.mapInArrow(compare, f"k {joined.schema['k'].dataType.simpleString()}, t string")
+    bodies = texts.where("t is not null").select("k", F.col("t").alias("body"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("k")) / LISTED)
+    lists = asked.withColumn("part", F.pmod(F.xxhash64("t"), parts)).groupBy("k", "part").agg(F.collect_list("t").alias("ts"))
+    joined = lists.join(bodies, "k").select("k", "body", "ts")
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            at, here = [], []
+            for n, (body, ts) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                found = [t for t in ts if t in body] if len(ts) <= FEW else held_in(body, ts)
+                at += [n] * len(found)
+                here += found
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(here, pa.string())], ["k", "t"])
+
+    return joined.mapInArrow(find, f"k {joined.schema['k'].dataType.simpleString()}, t string")
+
+
+def held_in(body: str, passages: list[str]) -> list[str]:
+    """The passages that a text holds, in one pass over it."""
+    automaton = ahocorasick.Automaton()
+    for t in passages:
+        if t:
+            automaton.add_word(t, t)
+    empty = [""] if "" in passages else []
+    if not len(automaton):
+        return empty
+    automaton.make_automaton()
+    return empty + list({t for _, t in automaton.iter(body)})

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from attestra.operators import passages, quality
+from attestra.session import kept
 
 
 def texts_and_passages(seed):
@@ -62,3 +63,26 @@ def test_long_source_of_many_paragraphs(spark):
 def test_none(spark):
     none = spark.createDataFrame([], "k int, t string")
     assert not passages.standing(none, none).collect()
+
+
+def test_texts_are_shuffled_once(spark):
+    """A text and its passages: 3 MB and less; grams of it took over ten times as much."""
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdefghij klmnop") for _ in range(5_000))) for k in range(600)]
+    asked = [(k, t[at : at + 50]) for k, t in rows for at in range(0, 5_000, 500)]
+    frame = lambda r: spark.createDataFrame(r, "k int, t string").repartition(3)
+    texts, passages_ = kept(frame(rows)), kept(frame(asked))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert passages.standing(passages_, texts).count() == len(set(asked))
+    assert written() - before < 6_000_000
+
+
+def test_many_passages_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(passages, "LISTED", 7)
+    texts, asked = texts_and_passages(4)
+    body = dict(texts)
+    frame = lambda rows: spark.createDataFrame(rows, "k int, t string")
+    got = [tuple(r) for r in passages.standing(frame(asked), frame(texts)).collect()]
+    want = {(k, p) for k, p in asked if p is not None and body.get(k) is not None and p in body[k]}
+    assert set(got) == want and len(got) == len(want)
