@@ -5,11 +5,11 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestra import fixed
+from attestra.functions.mapped import of_texts
 
 SPACES = r"[\xa0 -​  　]"
 
@@ -20,13 +20,9 @@ def plain_unicode(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
 def nfkc(c: Column) -> Column:
     """Compatibility composition; Spark has no function for it."""
-    return F.pandas_udf(_nfkc, "string")(c)
+    return of_texts(lambda t: None if t is None else unicodedata.normalize("NFKC", t), "string")(c)
 
 
 def normalize_unicode(c: Column) -> Column:
