@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import scores
-from attestra.operators.lexical import ranked
+from attestra.operators.lexical import SCORES, ranked
 from attestra.operators.ranking import Best
 from attestra.session import in_blocks
 
-#: Claims that one pass over the chunks compares, the bound of what is sent to every task; chunks that they meet at once.
+#: Claims that one pass over the chunks compares, the bound of what is sent to every task; chunks that they meet at once, at most (and no more than give SCORES scores).
 BLOCK, SLICE = 2048, 1024
 
 
@@ -39,10 +39,10 @@ def dense_search(claims: DataFrame, chunks: DataFrame, k: int = 150) -> DataFram
 
         def best(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            held = Best(len(names), k)
+            held, step = Best(len(names), k), max(1, min(SLICE, SCORES // len(names)))
             for b in batches:
-                for start in range(0, b.num_rows, SLICE):
-                    part = b.slice(start, SLICE)
+                for start in range(0, b.num_rows, step):
+                    part = b.slice(start, step)
                     held.add(q @ unit_rows(part.column(1).to_pylist()).T, part.column(0).to_numpy(zero_copy_only=False))
             yield from held.rows(np.array(names))
 

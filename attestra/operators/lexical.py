@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import scores, text
 from attestra.operators.ranking import Best
-from attestra.session import in_blocks, kept, spread
+from attestra.session import in_blocks, in_slices, kept, spread
 
 
 def terms(docs: DataFrame, id_: str, body: str) -> DataFrame:
@@ -59,7 +59,7 @@ def weighted(docs: DataFrame, id_: str, body: str) -> DataFrame:
 
 
 #: Words of claims that one pass over the documents looks for, the bound of what is sent to every task; scores held at once.
-SEARCHED, SCORES = 100_000, 1 << 21
+SEARCHED, SCORES = 100_000, 1 << 19
 
 
 def bm25_search(claims: DataFrame, claim_id: str, claim_text: str, docs: DataFrame, doc_id: str, body: str, k: int = 100) -> DataFrame:
@@ -184,7 +184,7 @@ def words_held(words: DataFrame, chunks: DataFrame, fold: bool = True) -> DataFr
 
         def find(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             held_by = _finder(sent.value)
-            for b in batches:
+            for b in in_slices(batches):
                 held = [sorted(held_by(t)) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.string()))], ["id", "words"])
 
@@ -220,7 +220,7 @@ def leading_words(claims: DataFrame, chunks: DataFrame) -> DataFrame:
             by_first: dict[str, list] = {}
             for claim, kws in sent.value:
                 by_first.setdefault(kws[0], []).append((claim, kws))
-            for b in batches:
+            for b in in_slices(batches):
                 rows: list[tuple] = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     held = set(held_by(t))
