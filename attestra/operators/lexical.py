@@ -51,6 +51,15 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
+def frequency_of(words: DataFrame, docs: DataFrame, id_: str, body: str) -> DataFrame:
+    """token, df: documents that hold each of the given words (token, distinct).  A document's equal tokens are one before they are stemmed, and
+    others than the words go no further."""
+    rows = spread(docs.select(F.col(id_).alias("id"), F.col(body).alias("body")))
+    raw = rows.select("id", F.explode(F.array_distinct(text.raw_tokens(F.col("body")))).alias("raw")).where(text.index_token(F.col("raw")))
+    held = raw.select("id", text.stem("raw").alias("token")).join(words, "token", "left_semi")
+    return document_frequency(held.distinct())
+
+
 def weighted(docs: DataFrame, id_: str, body: str) -> DataFrame:
     """id, token, tf, df, weight, idf.  Texts are read once; the one row of statistics goes to every task."""
     post = kept(postings(docs, id_, body))

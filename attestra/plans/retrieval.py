@@ -83,10 +83,9 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique terms of every claim with their idf, where they have one."""
     docs = b.table(spark, sf_dir, "documents")
-    post = lexical.postings(docs, "doc_id", "text")
     asked = lexical.terms(b.table(spark, sf_dir, "benchmark"), "item_id", "text").distinct().withColumnRenamed("id", "claim_id")
-    idf = lexical.document_frequency(post).join(F.broadcast(lexical.corpus_stats(docs, post)))
-    return asked.join(idf, "token").select("claim_id", "token", F.round(scores.bm25_idf(F.col("n"), F.col("df")), 4).alias("weight"))
+    df = lexical.frequency_of(asked.select("token").distinct(), docs, "doc_id", "text")
+    return asked.join(df, "token").join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("claim_id", "token", F.round(scores.bm25_idf(F.col("n"), F.col("df")), 4).alias("weight"))
 
 
 BM25 = f"""{POSTINGS},
