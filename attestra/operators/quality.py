@@ -70,7 +70,7 @@ def text_fidelity(chunks: DataFrame, sources: DataFrame, key: str = "ref_id") ->
 
 def paragraph_coverage(sources: DataFrame, chunks: DataFrame, key: str = "ref_id", least: int = 60) -> DataFrame:
     """key, paragraphs, covered: long paragraphs whose beginning some chunk of the source holds;
-    headings and tables count as covered.  Beginnings and chunks meet by their fingerprints (``passages.standing``)."""
+    headings and tables count as covered (``passages.standing``)."""
     para = sources.select(F.col(key).alias("k"), F.explode(F.split("source_text", "\n\n")).alias("p")).withColumn("p", F.trim("p")).where(F.length("p") > least)
     auto = F.col("p").startswith("#") | F.lower("p").contains("<table")
     para = para.groupBy("k", collapsed(F.substring("p", 1, 60)).alias("t"), auto.alias("auto")).agg(F.count("*").alias("n"))
