@@ -16,16 +16,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.functions import scores, text
-from attestra.operators.lexical import SCORES, SEARCHED, ranked, terms
+from attestra.functions import scores
+from attestra.operators.lexical import SCORES, SEARCHED, counted, ranked, terms, with_frequency
 from attestra.operators.ranking import Best
-from attestra.session import exists, in_blocks, kept
+from attestra.session import exists, in_blocks, in_slices, kept
 
 #: Documents of a zone, about: a token's postings of one zone are one block.  Folders over which tokens are dealt.
 ZONE, BUCKETS = 1024, 32
+#: Characters of a zone's texts, about, where its documents are long; of the texts whose counts or blocks one task takes.
+CHARACTERS, PART = 1 << 22, 1 << 24
 #: Zones that a search reads at first for each claim; they give the score that blocks must reach afterwards.
 AHEAD = 2
 #: More than rounding can make of a score.
@@ -62,28 +65,35 @@ def add_batch(docs: DataFrame, id_: str, body: str, path: str, batch: int, zone:
 
     Documents of like length share zones: short ones weigh more, and the best weight of a block is nearer to what its
     other documents have.  Zones are dealt by hash, so a document's zone depends on nothing but itself and the number
-    of documents of its length in the batch.
+    and size of documents of its length in the batch.
+
+    Words are counted where texts are read; counted documents go to their zone, and its blocks to their folder.  Both exchanges have
+    as many parts as the texts ask for, so a task's memory does not grow with the batch, nor with a frequent word.
     """
     spark = docs.sparkSession
     held = [b for b, *_ in corpus(spark, path)]
     rows = docs.select(F.col(id_).alias("id"), F.col(body).cast("string").alias("body"))
-    size = F.floor(F.log2(F.coalesce(F.length("body"), F.lit(0)) + F.lit(1.0)) * 2)
-    counts = {r[0]: r[1] for r in rows.groupBy(size.alias("size")).count().collect()}  # one row for each half power of two
+    length = F.coalesce(F.length("body"), F.lit(0))
+    size = F.floor(F.log2(length + F.lit(1.0)) * 2)
+    sizes = rows.groupBy(size.alias("size")).agg(F.count("*"), F.sum(length)).collect()  # one row for each half power of two
     new_documents(rows.select("id").distinct(), path, batch).write.mode("overwrite").parquet(f"{path}/documents/batch={batch}")
     n = spark.read.parquet(f"{path}/documents/batch={batch}").count()
     tokens = 0
     if n:
-        first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("body"), "body"))
-        fresh = new_documents(rows, path, batch).withColumn("first", first).where("first = 1")
-        slots = F.expr(f"CASE size {' '.join(f'WHEN {s} THEN {-(-c // zone)}' for s, c in counts.items())} END")
+        fresh = new_documents(rows, path, batch)
+        if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+            first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("body"), "body"))
+            fresh = fresh.withColumn("first", first).where("first = 1")
+        slots = F.expr(f"CASE size {' '.join(f'WHEN {s} THEN {max(-(-c // zone), -(-chars // CHARACTERS))}' for s, c, chars in sizes)} END")
         spot = F.lit(batch * (1 << 40)) + F.col("size") * (1 << 32) + F.pmod(F.xxhash64("id"), slots)
-        raw = fresh.withColumn("size", size).select("id", spot.alias("zone"), text.raw_tokens(F.col("body")).alias("raw"))
-        raw = raw.withColumn("dl", F.size(F.filter("raw", text.index_token))).select("id", "zone", "dl", F.explode("raw").alias("raw")).where(text.index_token(F.col("raw")))
-        post = raw.select("id", "zone", "dl", text.stem("raw").alias("token")).groupBy("id", "zone", "dl", "token").agg(F.count("*").cast("int").alias("tf"))
-        packed = F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("p")
-        blocks = post.groupBy("token", "zone").agg(packed, F.count("*").alias("n"), F.sum("tf").alias("tokens"), F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"))
-        blocks = blocks.select("token", "zone", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), "n", "tokens", "top_tf", "least_dl", bucket(F.col("token")).alias("bucket"))
-        laid = blocks.repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token", "zone")
+        parts = max(spark.sparkContext.defaultParallelism, -(-sum(r[2] for r in sizes) // PART))
+        texts = counted(fresh.withColumn("size", size).withColumn("zone", spot), "id", "body", "zone")
+        blocks = _blocks(texts.repartition(parts, F.xxhash64("zone")).sortWithinPartitions("zone", "id"))
+        blocks = blocks.withColumn("bucket", bucket(F.col("token")))
+        slices, together = -(-parts // BUCKETS), max(1, BUCKETS // parts)  # parts of a folder, or folders of a part
+        parts = -(-BUCKETS // together) * slices
+        place = F.floor(F.col("bucket") / together) * slices + F.pmod(F.xxhash64("token", "zone"), F.lit(slices))
+        laid = blocks.repartitionById(parts, place.cast("int")).sortWithinPartitions("bucket", "token", "zone")
         laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
         tokens = spark.read.schema("tokens long").parquet(f"{path}/postings/batch={batch}").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if n or batch in held:
@@ -91,6 +101,32 @@ def add_batch(docs: DataFrame, id_: str, body: str, path: str, batch: int, zone:
     return n
 
 
+def _blocks(texts: DataFrame) -> DataFrame:
+    """Blocks of counted documents (id, zone, dl, words, tfs) that come zone by zone, by id."""
+    id_ = texts.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _zones(batches):
+            t = t.combine_chunks()
+            words, tf = pc.split_pattern(t["words"].chunk(0), " "), t["tfs"].chunk(0).flatten().to_numpy()
+            doc = np.repeat(np.arange(len(t)), words.value_lengths().to_numpy())
+            coded = words.flatten().dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            tf, doc = tf[order], doc[order]
+            n = np.bincount(code, minlength=len(coded.dictionary))
+            first = np.cumsum(n) - n
+            dl = t["dl"].to_numpy().astype(np.int32)[doc]
+            edge = pa.array(np.append(first, len(doc)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edge, x) for x in (t["id"].chunk(0).take(pa.array(doc)), pa.array(tf), pa.array(dl))]
+            sums = [n.astype(np.int64), np.add.reduceat(tf, first, dtype=np.int64), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first)]
+            zone = pa.array(np.full(len(n), t["zone"][0].as_py(), np.int64))
+            whole = pa.RecordBatch.from_arrays([coded.dictionary, zone, *lists, *map(pa.array, sums)], ["token", "zone", "ids", "tfs", "dls", "n", "tokens", "top_tf", "least_dl"])
+            yield from in_slices([whole])
+
+    return texts.mapInArrow(pack, f"token string, zone long, ids array<{id_}>, tfs array<int>, dls array<int>, n long, tokens long, top_tf int, least_dl int")
+
+
 def add(docs: DataFrame, id_: str, body: str, path: str, zone: int = ZONE, label: str | None = None) -> int:
     """Write the documents that are new as the next batch; how many there are.  If none are, nothing changes.  A batch that is
     there under the label is written again instead."""
@@ -115,8 +151,8 @@ def postings(spark: SparkSession, path: str) -> DataFrame:
     blocks = table(spark, path, "postings")
     if blocks is None:
         return spark.createDataFrame([], "id long, token string, tf int, dl int, df long, weight double, idf double")
-    df = blocks.groupBy("token").agg(F.sum("n").alias("df"))
-    rows = blocks.select("token", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).join(df, "token")
+    df = kept(blocks.groupBy("token").agg(F.sum("n").alias("df")))
+    rows = with_frequency(blocks.select("token", "ids", "tfs", "dls"), df).select("token", "df", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
     weight = scores.bm25_weight(F.col("p.tfs"), F.col("p.dls"), F.lit(average))
     return rows.select(F.col("p.ids").alias("id"), "token", F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), "df", weight.alias("weight"), scores.bm25_idf(F.lit(n), F.col("df")).alias("idf"))
 

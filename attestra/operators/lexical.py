@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from attestra.functions import scores, text
 from attestra.operators.ranking import Best
@@ -22,23 +23,91 @@ def terms(docs: DataFrame, id_: str, body: str) -> DataFrame:
     return raw.where(text.index_token(F.col("raw"))).select("id", text.stem("raw").alias("token"))
 
 
-def _read(docs: DataFrame, id_: str, body: str) -> DataFrame:
-    """row (a number), id, raw (tokens as they stand), dl (indexed tokens): one pass, nothing is gathered."""
-    rows = spread(docs.select(F.col(id_).alias("id"), F.col(body).alias("body")))
-    raw = rows.select(F.monotonically_increasing_id().alias("row"), "id", text.raw_tokens(F.col("body")).alias("raw"))
-    return raw.withColumn("dl", F.size(F.filter("raw", text.index_token)).cast("long"))
+def _read(docs: DataFrame, id_: str, body: str, *more: str) -> DataFrame:
+    """row (a number), id, more columns, raw (tokens as they stand): one pass, nothing is gathered."""
+    rows = spread(docs.select(F.col(id_).alias("id"), *more, F.col(body).alias("body")))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", *more, text.raw_tokens(F.col("body")).alias("raw"))
+
+
+def _occurrences(read: DataFrame, *more: str) -> DataFrame:
+    """row, id, more columns, token: one row per occurrence of an indexed token, documents one after the other."""
+    rows = read.select("row", "id", *more, F.explode("raw").alias("raw")).where(text.index_token(F.col("raw")))
+    return rows.select("row", "id", *more, text.stem("raw").alias("token"))
+
+
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Occurrences as tables of whole documents: the last of a batch may go on in the next."""
+    waiting: list[pa.RecordBatch] = []
+    name = -1
+    for b in batches:
+        row = b.column(0).to_numpy()
+        if not len(row):
+            continue
+        if waiting and row[-1] == name:
+            waiting.append(b)
+            continue
+        cut = int(np.searchsorted(row, row[-1]))
+        if waiting or cut:
+            yield pa.Table.from_batches([*waiting, b.slice(0, cut)]).combine_chunks()
+        waiting, name = [b.slice(cut)], row[-1]
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
 
 
-def _occurrences(read: DataFrame) -> DataFrame:
-    """row, id, dl, token: one row per occurrence of an indexed token, documents one after the other."""
-    rows = read.select("row", "id", "dl", F.explode("raw").alias("raw")).where(text.index_token(F.col("raw")))
-    return rows.select("row", "id", "dl", text.stem("raw").alias("token"))
+def counted(docs: DataFrame, id_: str, body: str, *more: str) -> DataFrame:
+    """id, more columns, dl, words (the document's indexed tokens, each once, joined by blanks), tfs: a row for each document that has a token.
+
+    A document's tokens are counted where it is read, some documents at a time, so nothing is exchanged and a task holds no table of counts.
+    """
+    rows = _occurrences(_read(docs, id_, body, *more), *more)
+    names = ["id", *more]
+    kind = StructType([*(rows.schema[c] for c in names), StructField("dl", LongType()), StructField("words", StringType()), StructField("tfs", ArrayType(IntegerType()))])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _documents(batches):
+            row = t["row"].to_numpy()
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            dl = np.diff(np.append(first, len(row)))
+            doc = np.repeat(np.arange(len(first)), dl)
+            coded = t["token"].chunk(0).dictionary_encode()
+            size = len(coded.dictionary)
+            code, tf = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
+            edge = pa.array(np.searchsorted(code, np.arange(len(first) + 1) * size).astype(np.int32))
+            words = pc.binary_join(pa.ListArray.from_arrays(edge, coded.dictionary.take(pa.array(code % size))), " ")
+            one = t.select(names).take(pa.array(first)).combine_chunks()
+            tfs = pa.ListArray.from_arrays(edge, pa.array(tf.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(one[c].chunk(0) for c in names), pa.array(dl), words, tfs], [*names, "dl", "words", "tfs"])
+
+    return rows.mapInArrow(count, kind)
+
+
+#: Words that go to every task with what is known of them; the most frequent ones.
+FREQUENT = 100_000
+
+
+def with_frequency(rows: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Rows (token, others) with df.  frequency: token, df; it is read some times, so it should be kept.
+
+    The most frequent words, at most FREQUENT, go to the rows; only rows of the others are exchanged.  So most rows stay where
+    they are, and no word with many rows comes together in one task.
+    """
+    power = F.floor(F.log2("df")).cast("int")
+    sizes = {r[0]: r[1] for r in frequency.groupBy(power.alias("power")).count().collect()}  # a row for each power of two
+    total, least = 0, max(sizes, default=0) + 1
+    while least > 0 and (total := total + sizes.get(least - 1, 0)) <= FREQUENT:
+        least -= 1
+    often = F.broadcast(frequency.where(power >= least))
+    found = rows.join(often, "token")
+    if least == 0:
+        return found
+    return found.union(rows.join(often, "token", "left_anti").join(frequency.where(power < least), "token").select(found.columns))
 
 
 def postings(docs: DataFrame, id_: str, body: str) -> DataFrame:
     """id, token, tf, dl: term frequency and document length.  The length is taken before tokens
     are spread, so there is one exchange."""
-    return _occurrences(_read(docs, id_, body)).groupBy("id", "token", "dl").agg(F.count("*").alias("tf")).select("id", "token", "tf", "dl")
+    read = _read(docs, id_, body).withColumn("dl", F.size(F.filter("raw", text.index_token)).cast("long"))
+    return _occurrences(read, "dl").groupBy("id", "token", "dl").agg(F.count("*").alias("tf")).select("id", "token", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
@@ -100,31 +169,21 @@ def _bm25_block(asked: list, docs: DataFrame, doc_id: str, body: str, k: int) ->
 
     def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(words.value, pa.string())
-        tail: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if tail is None else pa.concat_tables([tail, t])
-            row = t["row"].to_numpy()
-            cut = int(np.searchsorted(row, row[-1])) if len(row) else 0  # the last document may go on
-            if cut:
-                yield pack(t.slice(0, cut), known)
-            tail = t.slice(cut)
-        if tail is not None and tail.num_rows:
-            yield pack(tail, known)
+        for t in _documents(batches):
+            yield pack(t, known)
 
     def pack(t: pa.Table, known: pa.Array) -> pa.RecordBatch:
-        t = t.combine_chunks()
         row = t["row"].to_numpy()
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         at = pc.fill_null(pc.index_in(t["token"], value_set=known), -1).to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+        dl = np.diff(np.append(first, len(row)))
+        doc = np.repeat(np.arange(len(first)), dl)
         code, tf = np.unique((doc * len(known) + at)[at >= 0], return_counts=True)
         edge = pa.array(np.searchsorted(code, np.arange(len(first) + 1) * len(known)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(edge, pa.array(x.astype(np.int32))) for x in (code % len(known), tf)]
-        one = t.select(["id", "dl"]).take(pa.array(first)).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(one[c].chunk(0).cast(pa.int64()) for c in ("id", "dl")), *lists], ["id", "dl", "words", "tfs"])
+        return pa.RecordBatch.from_arrays([t["id"].chunk(0).take(pa.array(first)), pa.array(dl), *lists], ["id", "dl", "words", "tfs"])
 
-    occurrences = _occurrences(_read(docs, doc_id, body)).select("row", F.col("id").cast("long").alias("id"), "dl", "token")
+    occurrences = _occurrences(_read(docs, doc_id, body)).select("row", F.col("id").cast("long").alias("id"), "token")
     held = kept(occurrences.mapInArrow(hold, "id long, dl long, words array<int>, tfs array<int>"))
     n, total = docs.count(), held.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
     average = max(total / max(n, 1), 1.0)

@@ -106,6 +106,29 @@ def test_a_batch_that_broke_off(spark, tmp_path, paths):
     assert weights(spark, path) == weights(spark, one)
 
 
+def test_a_frequent_word_is_dealt_over_tasks(spark, tmp_path, paths, monkeypatch):
+    """A task takes a bounded part of the texts: blocks of one word lie in several files, and long texts share a zone with few others."""
+    docs, one, _ = paths
+    monkeypatch.setattr(inverted, "PART", 400)
+    monkeypatch.setattr(inverted, "CHARACTERS", 2000)
+    inverted.add_batch(docs, "id", "text", str(tmp_path), 0, zone=8)
+    blocks = spark.read.parquet(f"{tmp_path}/postings")
+    assert blocks.where("token = 'trial'").select(F.input_file_name()).distinct().count() > 1
+    assert weights(spark, str(tmp_path)) == weights(spark, one)
+    zones = blocks.groupBy("zone").agg(F.sum("tokens").alias("tokens"), F.max("n").alias("n"))
+    assert zones.where("tokens > 1000 and n > 1").isEmpty()
+
+
+def test_rows_with_one_id(spark, tmp_path):
+    """Of texts with one id the one with the smallest hash is indexed, whatever stands beside it."""
+    rows = [(1, "trial dose"), (1, "placebo"), (2, "dose dose"), (3, "trial"), (3, "trial"), (None, "dose")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    assert inverted.add(docs, "id", "text", str(tmp_path)) == 3
+    first = {r.id: r.text for r in docs.where("id is not null").orderBy(F.xxhash64("text").desc(), F.desc("text")).collect()}
+    want = sorted((i, w, t.split().count(w)) for i, t in first.items() for w in set(t.split()))
+    assert [w[:3] for w in weights(spark, str(tmp_path))] == want
+
+
 def test_nothing_there(spark, tmp_path):
     path = str(tmp_path)
     none = spark.createDataFrame([], "id long, text string")
