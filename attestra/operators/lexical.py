@@ -81,6 +81,12 @@ def counted(docs: DataFrame, id_: str, body: str, *more: str) -> DataFrame:
     return rows.mapInArrow(count, kind)
 
 
+def each_word(held: DataFrame) -> DataFrame:
+    """id, token, tf, dl: one row for each word of the counted documents."""
+    one = held.select("id", "dl", F.explode(F.arrays_zip(F.split("words", " ").alias("token"), F.col("tfs").alias("tf"))).alias("w"))
+    return one.select("id", F.col("w.token").alias("token"), F.col("w.tf").cast("long").alias("tf"), "dl")
+
+
 #: Words that go to every task with what is known of them; the most frequent ones.
 FREQUENT = 100_000
 
@@ -130,10 +136,15 @@ def frequency_of(words: DataFrame, docs: DataFrame, id_: str, body: str) -> Data
 
 
 def weighted(docs: DataFrame, id_: str, body: str) -> DataFrame:
-    """id, token, tf, df, weight, idf.  Texts are read once; the one row of statistics goes to every task."""
-    post = kept(postings(docs, id_, body))
-    joined = post.join(document_frequency(post), "token").join(F.broadcast(corpus_stats(docs, post)))
-    return joined.select("id", "token", "tf", "df", scores.bm25_weight(F.col("tf"), F.col("dl"), F.greatest("avgdl", F.lit(1.0))).alias("weight"), scores.bm25_idf(F.col("n"), F.col("df")).alias("idf"))
+    """id, token, tf, df, weight, idf.  Texts are read once, and only rows of rare words are exchanged.  Rows with one id are one document."""
+    held = kept(counted(docs, id_, body))
+    post = each_word(held)
+    if not held.groupBy("id").count().where("count > 1").isEmpty():
+        post = post.groupBy("id", "token").agg(F.sum("tf").alias("tf"))
+        post = kept(post.join(post.groupBy("id").agg(F.sum("tf").alias("dl")), "id"))
+    n, total = docs.count(), held.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+    weight = scores.bm25_weight(F.col("tf"), F.col("dl"), F.lit(max(total / max(n, 1), 1.0)))
+    return with_frequency(post, kept(document_frequency(post))).select("id", "token", "tf", "df", weight.alias("weight"), scores.bm25_idf(F.lit(n), F.col("df")).alias("idf"))
 
 
 #: Words of claims that one pass over the documents looks for, the bound of what is sent to every task; scores held at once.
