@@ -102,6 +102,13 @@ def stem(name: str) -> Column:
     return F.expr(f"CASE WHEN length({name}) <= 3 THEN {name} WHEN {name} IN ({words}) THEN CASE {name} {roots} END {letters} ELSE {name} END")
 
 
+def unstemmed(c: Column) -> Column:
+    """What may have been stemmed to a word: itself, irregular words, and its root with each suffix.  ``stem`` tells which of them are."""
+    root = lambda new: F.when(c.endswith(new), c.substr(F.lit(1), F.length(c) - len(new)))
+    forms = [F.concat(root(new), F.lit(suffix)) for suffix, new in fixed.SUFFIXES] + [F.when(c == r, F.lit(w)) for w, r in fixed.IRREGULAR_STEMS.items()]
+    return F.array_distinct(F.array_compact(F.array(c, *forms)))
+
+
 def index_token(c: Column) -> Column:
     """Whether a raw token is indexed."""
     return (F.length(c) >= 2) & ~c.isin(fixed.INDEX_STOPWORDS)

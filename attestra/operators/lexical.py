@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from attestra import fixed
 from attestra.functions import scores, text
 from attestra.operators.ranking import Best
 from attestra.session import in_blocks, in_slices, kept, spread
@@ -109,6 +110,12 @@ def with_frequency(rows: DataFrame, frequency: DataFrame) -> DataFrame:
     return found.union(rows.join(often, "token", "left_anti").join(frequency.where(power < least), "token").select(found.columns))
 
 
+def raw_forms(words: DataFrame) -> DataFrame:
+    """raw, token: every indexed token, as it stands in a text, that is stemmed to one of the words (token, distinct)."""
+    may = words.select("token", F.explode(text.unstemmed(F.col("token"))).alias("raw")).where(text.index_token(F.col("raw")))
+    return may.where(text.stem("raw") == F.col("token")).select("raw", "token")
+
+
 def postings(docs: DataFrame, id_: str, body: str) -> DataFrame:
     """id, token, tf, dl: term frequency and document length.  The length is taken before tokens
     are spread, so there is one exchange."""
@@ -149,12 +156,15 @@ def weighted(docs: DataFrame, id_: str, body: str) -> DataFrame:
 
 #: Words of claims that one pass over the documents looks for, the bound of what is sent to every task; scores held at once.
 SEARCHED, SCORES = 100_000, 1 << 19
+#: Bytes of a text's tokens that are looked up at once.
+TOKENS_AT_ONCE = 1 << 24
 
 
 def bm25_search(claims: DataFrame, claim_id: str, claim_text: str, docs: DataFrame, doc_id: str, body: str, k: int = 100) -> DataFrame:
     """claim_id, id, score, rank: the k best documents of every claim.
 
-    Claims go to the documents, about SEARCHED of their words at a time.  The first pass over the texts keeps one row
+    Claims go to the documents, about SEARCHED of their words at a time, as all forms that are stemmed to them, so
+    tokens of the texts are neither spread to rows nor stemmed.  The first pass over the texts keeps one row
     for each document, with the claims' words that it holds; frequencies come from these rows.  The second
     pass reads them, adds up the weights of a block of documents for all claims, and keeps each
     claim's best.  So nothing is shuffled but best lists, and no row is made for a claim, a document and a
@@ -176,26 +186,25 @@ def _bm25_block(asked: list, docs: DataFrame, doc_id: str, body: str, k: int) ->
     claims_of: list[list[int]] = [[] for _ in vocabulary]
     for c, r in zip(place.tolist(), asked, strict=True):
         claims_of[number[r["token"]]].append(c)
-    words = spark.sparkContext.broadcast(vocabulary)
+    forms = raw_forms(spark.createDataFrame([(w,) for w in vocabulary], "token string")).collect()
+    looked_for = spark.sparkContext.broadcast(([r["raw"] for r in forms], np.array([number[r["token"]] for r in forms], np.int64), len(vocabulary)))
 
     def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(words.value, pa.string())
-        for t in _documents(batches):
-            yield pack(t, known)
-
-    def pack(t: pa.Table, known: pa.Array) -> pa.RecordBatch:
-        row = t["row"].to_numpy()
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        at = pc.fill_null(pc.index_in(t["token"], value_set=known), -1).to_numpy().astype(np.int64)
-        dl = np.diff(np.append(first, len(row)))
-        doc = np.repeat(np.arange(len(first)), dl)
-        code, tf = np.unique((doc * len(known) + at)[at >= 0], return_counts=True)
-        edge = pa.array(np.searchsorted(code, np.arange(len(first) + 1) * len(known)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(edge, pa.array(x.astype(np.int32))) for x in (code % len(known), tf)]
-        return pa.RecordBatch.from_arrays([t["id"].chunk(0).take(pa.array(first)), pa.array(dl), *lists], ["id", "dl", "words", "tfs"])
-
-    occurrences = _occurrences(_read(docs, doc_id, body)).select("row", F.col("id").cast("long").alias("id"), "token")
-    held = kept(occurrences.mapInArrow(hold, "id long, dl long, words array<int>, tfs array<int>"))
+        raws, word_of, size = looked_for.value
+        known, common = pa.array(raws, pa.string()), pa.array(fixed.INDEX_STOPWORDS, pa.string())
+        for b in in_slices(batches, TOKENS_AT_ONCE):
+            raw = b.column(1)
+            flat, doc = raw.flatten(), np.repeat(np.arange(len(raw)), pc.fill_null(raw.value_lengths(), 0).to_numpy())
+            indexed = pc.and_not(pc.greater(pc.utf8_length(flat), 1), pc.is_in(flat, value_set=common)).to_numpy(zero_copy_only=False)
+            dl = np.bincount(doc[indexed], minlength=len(raw))
+            at = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy()
+            code, tf = np.unique(doc[at >= 0] * size + word_of[at[at >= 0]], return_counts=True)
+            edge = pa.array(np.searchsorted(code, np.arange(len(raw) + 1) * size).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edge, pa.array(x.astype(np.int32))) for x in (code % size, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dl.astype(np.int64)), *lists], ["id", "dl", "words", "tfs"]).filter(pa.array(dl > 0))
+
+    read = _read(docs, doc_id, body).select(F.col("id").cast("long").alias("id"), "raw")
+    held = kept(read.mapInArrow(hold, "id long, dl long, words array<int>, tfs array<int>"))
     n, total = docs.count(), held.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
     average = max(total / max(n, 1), 1.0)
     idf = np.zeros(len(vocabulary))

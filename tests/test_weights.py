@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from attestra import fixed
+from attestra.functions import text
 from attestra.operators import lexical
 
 ROWS = [(1, "trial dose dose"), (2, "placebo trial"), (3, "trial"), (4, None), (5, "the of"), (6, "dose " * 12_000 + "trial " * 30_000), (7, "rare")]
@@ -44,3 +46,14 @@ def test_counts_need_no_exchange(spark):
         1: (3, {"trial": 1, "dose": 2}), 2: (2, {"placebo": 1, "trial": 1}), 3: (1, {"trial": 1}), 6: (42_000, {"dose": 12_000, "trial": 30_000}), 7: (1, {"rare": 1}),
     }
     assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_forms_of_a_word(spark):
+    """Each token that is stemmed to a word is among the word's forms, and no other is."""
+    roots = ["trial", "treat", "rel", "nat", "agr", "hop", "x", "ab", "stat", *fixed.IRREGULAR_STEMS, *fixed.IRREGULAR_STEMS.values()]
+    raws = {r + e for r in roots for e in ["", *(s for s, _ in fixed.SUFFIXES), *(n for _, n in fixed.SUFFIXES)]} | {"the", "during", "1.5%", "a"}
+    pairs = spark.createDataFrame([(r,) for r in sorted(raws)], "raw string").where(text.index_token(F.col("raw"))).select("raw", text.stem("raw").alias("token"))
+    found = {tuple(r) for r in lexical.raw_forms(pairs.select("token").distinct()).collect()}
+    assert {tuple(r) for r in pairs.collect()} <= found
+    told = spark.createDataFrame(sorted(found), "raw string, token string")
+    assert told.where((text.stem("raw") != F.col("token")) | ~text.index_token(F.col("raw"))).isEmpty()
