@@ -116,37 +116,46 @@ def secondary_citation(c: Column, rt_id: Column, cues: str) -> Column:
     return c.rlike(cues) & ~rt_id.isin("RT-101", "RT-311")
 
 
-def number_and_word_links(left: DataFrame, right: DataFrame, stopwords: list[str], pair: Column | None = None, least: int = 2) -> DataFrame:
-    """a, b, words: ids of a left and a right text (id, text; one row for each id) that share a number and ``least`` words.
+def number_and_word_links(left: DataFrame, right: DataFrame, stopwords: list[str], pair: Column | None = None, least: int = 2, once: bool = False) -> DataFrame:
+    """a, b, words: ids of a left and a right text (id, text; one row for each id) that share a number and ``least`` words.  With ``once``
+    left and right are the same table, and each pair of two texts stands once, a < b.
 
     Texts meet by number, never all with all, but a number that many texts have gives all pairs of them: that is the rule's own
-    output.  No pair takes its texts along: the texts of a number are cut in blocks, two blocks are compared in one task
-    (``links.compared``), and a pair is counted at the smallest number that it shares.
+    output.  No pair takes its texts along: the texts of a number are cut in blocks (``links.blocks``), two blocks are compared in one
+    task (``links.compared``), and a pair is counted at the smallest number that it shares.
     """
-    same = right is left
-    values = lambda d: kept(d.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*%?"), F.lit(0)))).alias("v")))
+    same = once or right is left
+    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*%?"), F.lit(0)))
+    values = lambda d: kept(d.select("id", F.length("text").alias("chars"), F.explode(numbers).alias("v")))
     l_values = values(left)
     r_values = l_values if same else values(right)
-    sizes = lambda d, n: d.groupBy("v").agg(F.count("*").alias(f"n{n}"), F.min("id").alias(n))
-    met = sizes(l_values, "a").join(sizes(r_values, "b"), "v")
-    if pair is not None:
-        met = met.where((F.col("na") * F.col("nb") > 1) | pair)  # numbers of one text alone go no further
-    blocks = lambda n: F.ceil(F.col(n) / links.BLOCK).cast("int")
-    met = kept(met.select("v", blocks("na").alias("na"), blocks("nb").alias("nb")))
+    sizes = lambda d, n: d.groupBy("v").agg(F.count("*").alias(f"n{n}"), F.sum("chars").alias(f"c{n}"), F.min("id").alias(n))
+    if once:
+        met = sizes(l_values, "a").where("na > 1").withColumns({"nb": F.col("na"), "cb": F.col("ca")})
+    else:
+        met = sizes(l_values, "a").join(sizes(r_values, "b"), "v")
+        if pair is not None:
+            met = met.where((F.col("na") * F.col("nb") > 1) | pair)  # numbers of one text alone go no further
+    met = kept(met.select("v", "na", "nb", "ca", "cb"))
+    met = links.blocks(met)
 
     def side(docs: DataFrame, found: DataFrame, right_: bool) -> DataFrame:
-        shared = found.join(met, "v").groupBy("id").agg(F.collect_list(F.struct("v", "na", "nb")).alias("m"))
+        shared = found.join(met, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("v", "na", "nb"))).alias("m"))
         words = F.array_except(F.split(F.lower("text"), " "), F.array(*[F.lit(x) for x in stopwords]))
-        rows = docs.where(F.col("text").rlike(r"\d")).select("id", words.alias("words")).join(shared, "id")
-        rows = rows.select("id", "words", F.col("m.v").alias("numbers"), F.explode("m").alias("m"))
+        rows = docs.where(F.col("text").rlike(r"\d")).select("id", links.joined(words).alias("words")).join(shared, "id")
+        rows = rows.select("id", "words", F.col("m.v").alias("numbers"), F.posexplode("m").alias("at", "m"))
         mine, other = ("nb", "na") if right_ else ("na", "nb")
         own = F.pmod(F.xxhash64("id"), F.col(f"m.{mine}"))
-        rows = rows.select("id", "words", "numbers", "m.v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col(f"m.{other}") - 1)).alias("other"))
-        place = ("other", "own") if right_ else ("own", "other")
-        return rows.select(F.concat_ws(" ", "v", *place).alias("task"), F.lit(right_).alias("right"), "id", "numbers", "words")
-
-    rows = side(left, l_values, False).union(side(right, r_values, True))
-    pairs = links.compared(rows, least)
+        below = links.joined(F.slice("numbers", 1, F.col("at")))
+        rows = rows.select("id", "words", below.alias("numbers"), "m.v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col(f"m.{other}") - 1)).alias("other"))
+        place = (F.least("own", "other"), F.greatest("own", "other")) if once else ("other", "own") if right_ else ("own", "other")
+        is_right = F.col("own") > F.col("other") if once else F.lit(right_)
+        return rows.select(F.concat_ws(" ", "v", *place).alias("task"), is_right.alias("right"), "id", "numbers", "words")
+
+    rows = side(left, l_values, False)
+    if not once:
+        rows = rows.union(side(right, r_values, True))
+    pairs = links.compared(rows, least, once)
     return (pairs if pair is None else pairs.where(pair)).select("a", "b", "words")
 
 
